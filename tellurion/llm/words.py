@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -47,6 +48,10 @@ def text_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
+def is_space(data: np.ndarray) -> np.ndarray:
+    return _SPACE[data]
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
@@ -113,7 +118,7 @@ def hash_words(vals: pa.Array, seed: int = 0) -> np.ndarray:
     off = np.frombuffer(vals.buffers()[1], np.int64)[vals.offset : vals.offset + n + 1]
     data = np.frombuffer(vals.buffers()[2], np.uint8)
     lens = np.diff(off)
-    h = mix64(lens.astype(np.uint64) + np.uint64(seed) * _M1 + _M3)
+    h = mix64(lens.astype(np.uint64) + np.uint64((seed * int(_M1) + int(_M3)) & (2**64 - 1)))
     padded = np.concatenate([data[: off[-1]], np.zeros(8, np.uint8)])
     live = np.arange(n)
     at = off[:-1].astype(np.int64)
@@ -164,3 +169,49 @@ def shingle_sets(col, k: int) -> tuple[np.ndarray, np.ndarray]:
             sizes[i] = len(u)
             p += c
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), sizes
+
+
+def unit_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end) of units, each a run of ASCII white space and the run of other bytes after it.
+
+    Units cover every byte. Byte-level tokenizers never join bytes of two units.
+    """
+    n = len(data)
+    if not n:
+        z = np.zeros(0, np.int64)
+        return z, z, np.zeros(len(off) - 1, np.int64)
+    space = _SPACE[data]
+    first = np.empty(n, dtype=bool)
+    first[0] = True
+    first[1:] = space[1:] & ~space[:-1]
+    head = off[:-1][np.diff(off) > 0]
+    first[head] = True
+    starts = np.flatnonzero(first)
+    ends = np.append(starts[1:], n)
+    return starts, ends, np.diff(np.searchsorted(starts, off))
+
+
+def slices(batch: pa.RecordBatch, col: int, max_bytes: int = 6 << 20, max_rows: int = 4096):
+    """Pieces of a batch with about max_bytes of text each, to bound a worker's memory."""
+    n = batch.num_rows
+    if not n:
+        return
+    data = pa.compute.binary_length(batch.column(col)).fill_null(0).to_numpy(zero_copy_only=False)
+    total = np.cumsum(data, dtype=np.int64)
+    begin = 0
+    while begin < n:
+        base = total[begin - 1] if begin else 0
+        end = int(np.searchsorted(total, base + max_bytes, side="right"))
+        end = min(max(end, begin + 1), begin + max_rows, n)
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def ragged_take(values: np.ndarray, off: np.ndarray, idx: np.ndarray) -> np.ndarray:
+    """Concatenation of values[off[i]:off[i+1]] for i in idx."""
+    lens = (off[1:] - off[:-1])[idx]
+    total = int(lens.sum())
+    if not total:
+        return values[:0]
+    shift = np.repeat(off[idx] - np.concatenate(([0], np.cumsum(lens)[:-1])), lens)
+    return values[np.arange(total) + shift]
