@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_url_filter, op5_quality, op6_toxicity, op7_packing, op8_bpe, op10_pii
+from . import op1_url_filter, op2_ngram_join, op3_gru_lm, op4_embedding_dedup, op5_quality, op6_toxicity, op7_packing, op8_bpe, op10_pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter.query,
+    "op2_ngram_join": op2_ngram_join.query,
+    "op3_gru_lm": op3_gru_lm.query,
+    "op4_embedding_dedup": op4_embedding_dedup.query,
     "op5_quality": op5_quality.query,
     "op6_toxicity": op6_toxicity.query,
     "op7_packing": op7_packing.query,
