@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialise, ship_package
 
 CORNERS, SCALES, TABLES, BAND_BITS = 28, (1.0, 0.75, 0.5), 5, 24
-MAX_DISTANCE, LEAST, SLACK, RADIUS = 26, 4, 3.0, 7
+MAX_DISTANCE, LEAST, SLACK, RADIUS = 26, 7, 3.0, 7
 
 
 def tests() -> np.ndarray:
@@ -240,12 +240,12 @@ def find_copies(queries: DataFrame, images: DataFrame, id_col: str, media_col: s
 
 
 def render(seed: int, side: int = 72) -> np.ndarray:
-    """A picture drawn from a seed: boxes of many greys."""
+    """A picture drawn from a seed: boxes of many greys under a coarse grain."""
     rng = np.random.default_rng(seed)
     out = np.full((side, side), float(rng.integers(60, 200)))
     for y, x, h, w, v in zip(*(rng.integers(0, side, 34) for _ in range(2)), *(rng.integers(6, 26, 34) for _ in range(2)), rng.integers(0, 256, 34), strict=True):
         out[y : y + h, x : x + w] = v
-    return out
+    return out + np.kron(rng.normal(0, 22, (side // 4, side // 4)), np.ones((4, 4)))
 
 
 def edit(image: np.ndarray, seed: int) -> np.ndarray:
