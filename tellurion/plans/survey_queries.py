@@ -1,14 +1,290 @@
-"""Named survey queries with their SQL twins."""
+"""Named survey queries over the survey-shaped views, each with an independent SQL twin."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from tellurion.functions import geodesy
+from tellurion.operators import correlation as C
+from tellurion.operators import grids as G
+from tellurion.operators import interpolation as I
+from tellurion.operators import joins as J
+from tellurion.operators import points as P
+from tellurion.operators import spectral as S
+from tellurion.operators import tracks as T
+from tellurion.sources.tables import embeddings_grid, events_points, lineitem_points, orders_points
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+_P = "p AS (SELECT event_id AS pid, CAST(user_id AS INT) AS track, (epoch_us(ts) - 1704067200000000) / 1000000.0 AS x, CAST(user_id AS DOUBLE) AS y, value, event_type FROM events)"
+_L = "p AS (SELECT l_orderkey AS pid, CAST(l_suppkey AS INT) AS track, l_quantity AS x, round(l_discount * 100) AS y, l_extendedprice AS value FROM lineitem)"
+_O = "p AS (SELECT o_orderkey AS pid, CAST(o_custkey AS INT) AS track, epoch_us(o_orderdate) / 86400000000.0 AS x, CAST(o_custkey AS DOUBLE) AS y, o_totalprice AS value FROM orders)"
+_G = "g AS (SELECT CAST(vec_id AS INT) AS iy, CAST(i - 1 AS INT) AS ix, CAST(embedding[i] AS DOUBLE) AS z FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))"
+_N = "n AS (SELECT max(ix) + 1 AS nx, max(iy) + 1 AS ny FROM g)"
+# cells as targets of mirrored windows of radius 1: a clamped index is the mirror image there
+_NEAR = "near AS (SELECT a.iy, a.ix, b.z AS v FROM g a, n, range(-1, 2) d(dy), range(-1, 2) e(dx), g b WHERE b.iy = least(greatest(a.iy + dy, 0), ny - 1) AND b.ix = least(greatest(a.ix + dx, 0), nx - 1))"
+
+
+def _r(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), digits) for c in cols})
+
+
+def add(name: str, run: Query, sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql:
+        SQL[name] = sql
+
+
+def _ev(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: f(events_points(spark, d))
+
+
+def _li(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: f(lineitem_points(spark, d))
+
+
+def _or(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: f(orders_points(spark, d))
+
+
+def _gr(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: f(embeddings_grid(spark, d))
+
+
+def _values(df: DataFrame, *more: str) -> DataFrame:
+    return _r(df.select("pid", *more, "value"), "value", *[m for m in more if m in ("x", "y", "distance")])
+
+
+def _cells(df: DataFrame) -> DataFrame:
+    return _r(df.select("iy", "ix", "z"), "z")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").count()
+    """Level all tracks, then the means on a lattice of two-hour by one-track cells."""
+    p = T.level(events_points(spark, sf_dir))
+    info = G.grid_info(p, 7200.0, 1.0)
+    return G.bin_points(p, info).select("iy", "ix", F.round("z", 6).alias("z"))
+
+
+# statistics ------------------------------------------------------------------
+
+_STATS = "min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS stdev"
+add("points_stats", _li(lambda p: _r(P.stats(p).drop("survey_id"), "mean", "stdev")), f"WITH {_L} SELECT {_STATS} FROM p")
+add("points_stats_by_track", _ev(lambda p: _r(P.stats(p, by=["track"]), "mean", "stdev")), f"WITH {_P} SELECT track, {_STATS} FROM p GROUP BY track")
+add("grid_stats", _gr(lambda g: _r(P.stats(g, "z").drop("survey_id"), "min", "max", "mean", "stdev")), f"WITH {_G} SELECT round(min(z), 6) AS min, round(max(z), 6) AS max, round(avg(z), 6) AS mean, round(stddev_pop(z), 6) AS stdev FROM g")
+_Q = "round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS stdev, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.75), 6) AS q3, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr"
+add("quartiles_iqr_by_track", _ev(lambda p: _r(P.spread(p, by=["track"], vmin=1.0, vmax=400.0), "mean", "stdev", "median", "q1", "q3", "iqr")), f"WITH {_P} SELECT track, {_Q} FROM p WHERE value BETWEEN 1 AND 400 GROUP BY track")
+add("mid_interval_90", _ev(lambda p: _r(P.mid_interval(p, 90, by=["track"]), "low", "high")), f"WITH {_P} SELECT track, round(quantile_cont(value, 0.05), 6) AS low, round(quantile_cont(value, 0.95), 6) AS high FROM p GROUP BY track")
+add("median_step_x", _li(lambda p: P.median_step(p, "x").drop("survey_id")), f"WITH {_L}, d AS (SELECT DISTINCT x FROM p), s AS (SELECT x - lag(x) OVER (ORDER BY x) AS gap FROM d) SELECT coalesce(round(quantile_cont(gap, 0.5), 6), 0.0) AS step FROM s")
+add("median_step_y", _li(lambda p: P.median_step(p, "y").drop("survey_id")), f"WITH {_L}, d AS (SELECT DISTINCT y FROM p), s AS (SELECT y - lag(y) OVER (ORDER BY y) AS gap FROM d) SELECT coalesce(round(quantile_cont(gap, 0.5), 6), 0.0) AS step FROM s")
+add("centroid", _ev(lambda p: _r(P.centroid(p, ["track"]), "x", "y")), f"WITH {_P} SELECT track, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM p GROUP BY track")
+add("bounding_box", _ev(lambda p: _r(P.bounding_box(p).drop("survey_id"), "x", "y")), f"WITH {_P}, b AS (SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1 FROM p) SELECT 0 AS corner, round(x0, 6) AS x, y0 AS y FROM b UNION ALL SELECT 1, round(x1, 6), y0 FROM b UNION ALL SELECT 2, round(x0, 6), y1 FROM b UNION ALL SELECT 3, round(x1, 6), y1 FROM b")
+add("histogram_50", _ev(lambda p: P.histogram(p).drop("survey_id")), f"WITH {_P}, b AS (SELECT min(value) lo, max(value) hi FROM p) SELECT CAST(least(floor((value - lo) * 50 / (hi - lo)), 49) AS INT) AS bin, count(*) AS n FROM p, b GROUP BY 1")
+add("topk_min_max", _ev(lambda p: P.extremes(p, 10)), f"WITH {_P} SELECT * FROM (SELECT 'min' AS kind, pid, value FROM p ORDER BY value, pid LIMIT 10) UNION ALL SELECT * FROM (SELECT 'max' AS kind, pid, value FROM p ORDER BY value DESC, pid LIMIT 10)")
+add("gaussian_moments", _ev(lambda p: _r(P.gaussian_fit(p).drop("survey_id"), "a", "x0", "sigma")), f"WITH {_P} SELECT round(count(value) * ((max(value) - min(value)) / 50) / (stddev_pop(value) * sqrt(2 * pi())), 6) AS a, round(avg(value), 6) AS x0, round(stddev_pop(value), 6) AS sigma FROM p")
+add("nearest_value", _ev(lambda p: J.nearest_value(p, 50.0).drop("survey_id")), f"WITH {_P} SELECT pid, value FROM p ORDER BY abs(value - 50), pid LIMIT 1")
+add("identical_tracks", _ev(lambda p: P.identical(p, ["track"])), f"WITH {_P} SELECT count(DISTINCT track) <= 1 AS identical FROM p")
+
+# arithmetic and geometry ------------------------------------------------------
+
+add("add_multiply_chain", _ev(lambda p: _values(P.divide(P.subtract(P.multiply(P.add(p, 10.0), 3.0), 7.0), 4.0))), f"WITH {_P} SELECT pid, round(((value + 10) * 3 - 7) / 4, 6) AS value FROM p")
+add("divide_by_zero", _ev(lambda p: _values(P.divide(p, 0.0))), f"WITH {_P} SELECT pid, CAST(NULL AS DOUBLE) AS value FROM p")
+add("grid_arithmetic", _gr(lambda g: _cells(P.multiply(P.add(g, 1.0, "z"), 2.5, "z"))), f"WITH {_G} SELECT iy, ix, round((z + 1) * 2.5, 6) AS z FROM g")
+add("set_mean", _ev(lambda p: _values(P.set_mean(p, 5.0))), f"WITH {_P} SELECT pid, round(value + (5 - (SELECT avg(value) FROM p)), 6) AS value FROM p")
+add("set_median", _ev(lambda p: _values(P.set_median(p, 5.0))), f"WITH {_P} SELECT pid, round(value + (5 - (SELECT quantile_cont(value, 0.5) FROM p)), 6) AS value FROM p")
+add("set_mean_multiplicative", _ev(lambda p: _values(P.set_mean(p, 5.0, by=["track"], method="multiplicative"))), f"WITH {_P}, s AS (SELECT track, avg(value) AS m FROM p GROUP BY track) SELECT pid, round(value * 5 / nullif(m, 0), 6) AS value FROM p JOIN s USING (track)")
+add("set_profile_median", _gr(lambda g: _cells(P.set_median(g, 1.0, "z", ["ix"]))), f"WITH {_G}, s AS (SELECT ix, quantile_cont(z, 0.5) AS m FROM g GROUP BY ix) SELECT iy, ix, round(z + (1 - m), 6) AS z FROM g JOIN s USING (ix)")
+add("log_transform", _gr(lambda g: _cells(P.log_transform(g, 5.0, "z"))), f"WITH {_G} SELECT iy, ix, round(sign(z) * ln(1 + abs(z) * 5), 6) AS z FROM g")
+add("log10_piecewise", _gr(lambda g: _cells(P.piecewise_log10(g, 50.0, "z"))), f"WITH {_G} SELECT iy, ix, round(CASE WHEN abs(z) * 50 > 1 THEN sign(z) * log10(abs(z) * 50) ELSE 0 END, 6) AS z FROM g")
+add("level_quantise_256", _gr(lambda g: P.to_levels(g).select("iy", "ix", "level")), f"WITH {_G}, b AS (SELECT min(z) lo, (max(z) - min(z)) / 256 s FROM g) SELECT iy, ix, CAST(greatest(least(round_even((z - lo) / s, 0), 255), 0) AS INT) AS level FROM g, b")
+add("rotate_translate", _ev(lambda p: _values(P.translate(P.rotate(p, 30.0, (100.0, 5.0)), 3.0, -2.0), "x", "y")), f"WITH {_P} SELECT pid, round(100 + (x - 100) * cos(radians(30)) - (y - 5) * sin(radians(30)) + 3, 6) AS x, round(5 + (x - 100) * sin(radians(30)) + (y - 5) * cos(radians(30)) - 2, 6) AS y, round(value, 6) AS value FROM p")
+add("rotate_about_corner", _ev(lambda p: _values(P.rotate_about(p, 20.0, "BL"), "x", "y")), f"WITH {_P}, c AS (SELECT min(x) cx, min(y) cy FROM p) SELECT pid, round(cx + (x - cx) * cos(radians(-20)) - (y - cy) * sin(radians(-20)), 6) AS x, round(cy + (x - cx) * sin(radians(-20)) + (y - cy) * cos(radians(-20)), 6) AS y, round(value, 6) AS value FROM p, c")
+
+# filters -----------------------------------------------------------------------
+
+add("crop_box", _ev(lambda p: _values(P.crop(p, 1e5, 9e5, 3.0, 20.0), "track")), f"WITH {_P} SELECT pid, track, round(value, 6) AS value FROM p WHERE x BETWEEN 1e5 AND 9e5 AND y BETWEEN 3 AND 20")
+add("get_track", _ev(lambda p: _values(P.get_track(p, [3, 5]), "track")), f"WITH {_P} SELECT pid, track, round(value, 6) AS value FROM p WHERE track IN (3, 5)")
+add("threshold_clip", _ev(lambda p: _values(P.threshold(p, 10.0, 80.0))), f"WITH {_P} SELECT pid, round(CASE WHEN value < 10 THEN 10.0 WHEN value > 80 THEN 80.0 ELSE value END, 6) AS value FROM p")
+for _k, _s in (("mean", "avg(value)"), ("median", "quantile_cont(value, 0.5)")):
+    add(f"threshold_inlier_{_k}", _ev(lambda p, _k=_k: _values(P.threshold(p, 10.0, 80.0, _k))), f"WITH {_P}, s AS (SELECT {_s} AS m FROM p WHERE value BETWEEN 10 AND 80) SELECT pid, round(CASE WHEN value BETWEEN 10 AND 80 THEN value ELSE m END, 6) AS value FROM p, s")
+add("threshold_null", _ev(lambda p: _values(P.threshold(p, 10.0, 80.0, "null"))), f"WITH {_P} SELECT pid, round(CASE WHEN value BETWEEN 10 AND 80 THEN value END, 6) AS value FROM p")
+add("threshold_stats", _ev(lambda p: _r(P.threshold_stats(p, 10.0, 80.0, by=["track"]), "percent")), f"WITH {_P} SELECT track, count(*) FILTER (value NOT BETWEEN 10 AND 80) AS modified, round(100.0 * count(*) FILTER (value NOT BETWEEN 10 AND 80) / count(*), 6) AS percent FROM p GROUP BY track")
+add("threshold_profile_median", _gr(lambda g: _cells(P.threshold(g, -0.2, 0.2, "median", "z", ["ix"]))), f"WITH {_G}, s AS (SELECT ix, quantile_cont(z, 0.5) AS m FROM g WHERE z BETWEEN -0.2 AND 0.2 GROUP BY ix) SELECT iy, ix, round(CASE WHEN z BETWEEN -0.2 AND 0.2 THEN z ELSE m END, 6) AS z FROM g LEFT JOIN s USING (ix)")
+add("blank_rows", _ev(lambda p: _values(P.blank_rows(p, ["value"], 100, 299))), f"WITH {_P} SELECT pid, CASE WHEN pid BETWEEN 100 AND 299 THEN NULL ELSE round(value, 6) END AS value FROM p")
+add("distinct_first", _ev(lambda p: P.distinct_first(p, ["track", "event_type"]).select("pid", "track", "event_type")), f"WITH {_P} SELECT min(pid) AS pid, track, event_type FROM p GROUP BY track, event_type")
+add("union_fuse", _ev(lambda p: _r(P.stats(P.fuse(p, P.add(p, 1.0)), by=["track"]), "mean", "stdev")), f"WITH {_P}, u AS (SELECT track, value FROM p UNION ALL SELECT track, value + 1 FROM p) SELECT track, {_STATS} FROM u GROUP BY track")
+
+# tracks ----------------------------------------------------------------------------
+
+for _k, _s, _g in (("mean", "avg(value)", "stddev_pop(value)"), ("median", "quantile_cont(value, 0.5)", "quantile_cont(value, 0.75) - quantile_cont(value, 0.25)")):
+    _with = f"WITH {_P}, t AS (SELECT track, {_s} AS s, {_g} AS g FROM p GROUP BY track), a AS (SELECT {_s} AS s, {_g} AS g FROM p)"
+    add(f"level_mono_{_k}", _ev(lambda p, _k=_k: _values(T.level(p, _k))), f"{_with} SELECT pid, round(value - t.s + a.s, 6) AS value FROM p JOIN t USING (track), a")
+    add(f"level_multi_{_k}", _ev(lambda p, _k=_k: _values(T.level(p, _k, "multi"))), f"{_with} SELECT pid, round((value - t.s) * CASE WHEN a.g = 0 THEN 1 ELSE a.g END / CASE WHEN t.g = 0 THEN 1 ELSE t.g END + a.s, 6) AS value FROM p JOIN t USING (track), a")
+    add(f"zero_{_k}_tracks", _ev(lambda p, _k=_k: _values(T.zero_tracks(p, _k))), f"{_with} SELECT pid, round(value - t.s, 6) AS value FROM p JOIN t USING (track)")
+add("level_percentile_5_95", _ev(lambda p: _values(T.level(p, percentiles=(5, 95)))), f"WITH {_P}, q AS (SELECT quantile_cont(value, 0.05) lo, quantile_cont(value, 0.95) hi FROM p), i AS (SELECT track, value FROM p, q WHERE value BETWEEN lo AND hi), t AS (SELECT track, avg(value) AS s FROM i GROUP BY track), a AS (SELECT avg(value) AS s FROM i) SELECT pid, round(value - t.s + a.s, 6) AS value FROM p LEFT JOIN t USING (track), a")
+add("level_grid_profiles", _gr(lambda g: _cells(T.level(g, col="z", by=["ix"]))), f"WITH {_G}, t AS (SELECT ix, avg(z) AS s FROM g GROUP BY ix), a AS (SELECT avg(z) AS s FROM g) SELECT iy, ix, round(z - t.s + a.s, 6) AS z FROM g JOIN t USING (ix), a")
+add("destripe_neighbours_4", _gr(lambda g: _cells(T.destripe_neighbours(g, 4))), f"WITH {_G}, t AS (SELECT ix, avg(z) AS s FROM g GROUP BY ix), r AS (SELECT t.ix, avg(g.z) AS s FROM t JOIN g ON g.ix BETWEEN t.ix - 4 AND t.ix + 3 GROUP BY t.ix) SELECT iy, ix, round(z - t.s + r.s, 6) AS z FROM g JOIN t USING (ix) JOIN r USING (ix)")
+add("destripe_neighbours_median", _gr(lambda g: _cells(T.destripe_neighbours(g, 2, reference="median"))), f"WITH {_G}, t AS (SELECT ix, quantile_cont(z, 0.5) AS s FROM g GROUP BY ix), r AS (SELECT t.ix, quantile_cont(g.z, 0.5) AS s FROM t JOIN g ON g.ix BETWEEN t.ix - 2 AND t.ix + 1 GROUP BY t.ix) SELECT iy, ix, round(z - t.s + r.s, 6) AS z FROM g JOIN t USING (ix) JOIN r USING (ix)")
+add("detrend_linear", _or(lambda p: _values(T.detrend_linear(p))), f"WITH {_O}, c AS (SELECT track, regr_slope(value, x) AS b, regr_intercept(value, x) AS a, avg(value) AS m FROM p GROUP BY track) SELECT pid, round(value - coalesce(CASE WHEN isnan(a + b * x) THEN NULL ELSE a + b * x END, m), 4) AS value FROM p JOIN c USING (track)")
+QUERIES["detrend_linear"] = _or(lambda p: _r(T.detrend_linear(p).select("pid", "value"), "value", digits=4))
+add("distance_along_track", _ev(lambda p: _r(T.distance_along_track(p).select("pid", "distance"), "distance")), f"WITH {_P}, d AS (SELECT *, coalesce(sqrt((x - lag(x) OVER w) ^ 2 + (y - lag(y) OVER w) ^ 2), 0) AS leg FROM p WINDOW w AS (PARTITION BY track ORDER BY pid)) SELECT pid, round(sum(leg) OVER (PARTITION BY track ORDER BY pid ROWS UNBOUNDED PRECEDING), 6) AS distance FROM d")
+_W5 = "(PARTITION BY track ORDER BY pid ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"
+add("median_decision_rel", _ev(lambda p: _values(T.median_decision(p, 5, 0.8))), f"WITH {_P}, m AS (SELECT *, quantile_cont(value, 0.5) OVER {_W5} AS m FROM p) SELECT pid, round(CASE WHEN abs(value - m) > abs(0.8 * m) THEN m ELSE value END, 6) AS value FROM m")
+add("median_decision_abs", _ev(lambda p: _values(T.median_decision(p, 5, 30.0, "absolute"))), f"WITH {_P}, m AS (SELECT *, quantile_cont(value, 0.5) OVER {_W5} AS m FROM p) SELECT pid, round(CASE WHEN abs(value - m) > 30 THEN m ELSE value END, 6) AS value FROM m")
+add("hampel_1d_w5", _ev(lambda p: _values(T.hampel(p))), f"WITH {_P}, m AS (SELECT pid, track, value, list(value) OVER {_W5} AS l, quantile_cont(value, 0.5) OVER {_W5} AS m FROM p), d AS (SELECT pid, value, m, 1.4826 * list_aggregate(list_transform(l, lambda v: abs(v - m)), 'quantile_cont', 0.5) AS mad FROM m) SELECT pid, round(CASE WHEN mad > 0 AND abs(value - m) > 3 * mad THEN m ELSE value END, 6) AS value FROM d")
+add("despike_grid_rows", _gr(lambda g: _cells(T.median_decision(g, 5, 2.0, "relative", "z", ["iy"], "ix"))), f"WITH {_G}, m AS (SELECT *, quantile_cont(z, 0.5) OVER (PARTITION BY iy ORDER BY ix ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM g) SELECT iy, ix, round(CASE WHEN abs(z - m) > abs(2 * m) THEN m ELSE z END, 6) AS z FROM m")
+_SEG = f"{_P}, d AS (SELECT *, x - lag(x) OVER (PARTITION BY track ORDER BY pid) AS gap FROM p), m AS (SELECT track, quantile_cont(gap, 0.5) AS m FROM d GROUP BY track), s AS (SELECT d.*, CAST(sum(CASE WHEN gap > 3 * m THEN 1 ELSE 0 END) OVER (PARTITION BY d.track ORDER BY pid ROWS UNBOUNDED PRECEDING) + 1 AS INT) AS segment FROM d JOIN m USING (track))"
+
+
+def _sessions(p: DataFrame) -> DataFrame:
+    return T.gap_sessions(p.withColumn("survey_id", F.col("track").cast("string")), 3.0, "x")
+
+
+add("gap_sessions", _ev(lambda p: _sessions(p).select("pid", "segment")), f"WITH {_SEG} SELECT pid, segment FROM s")
+_MID = f"{_SEG}, c AS (SELECT track, segment, round(avg(x), 2) AS cx, round(avg(y), 2) AS cy FROM s GROUP BY ALL), f AS (SELECT *, sqrt((cx - first(cx) OVER w) ^ 2 + (cy - first(cy) OVER w) ^ 2) <= 50000 AND count(*) OVER (PARTITION BY track) > 1 AS b FROM c WINDOW w AS (PARTITION BY track ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), k AS (SELECT track, segment, CASE WHEN b THEN sum(b::INT) OVER w ELSE 0 END AS base, CASE WHEN b THEN 0 ELSE sum((NOT b)::INT) OVER w END AS profile FROM f WINDOW w AS (PARTITION BY track ORDER BY segment ROWS UNBOUNDED PRECEDING))"
+add("base_detection", _ev(lambda p: T.detect_bases(_sessions(p), 50000.0).select("pid", "base", "profile")), f"WITH {_MID} SELECT pid, CAST(base AS INT) AS base, CAST(profile AS INT) AS profile FROM s JOIN k USING (track, segment)")
+add("profile_renumber", _ev(lambda p: T.renumber(p).select("pid", "number")), f"WITH {_P}, f AS (SELECT track, min(pid) AS m FROM p GROUP BY track), r AS (SELECT track, CAST(dense_rank() OVER (ORDER BY m) AS INT) AS number FROM f) SELECT pid, number FROM p JOIN r USING (track)")
+_RUNS = "SELECT pid, CAST(sum(CASE WHEN l IS NULL OR event_type = l THEN 0 ELSE 1 END) OVER (PARTITION BY track ORDER BY pid ROWS UNBOUNDED PRECEDING) AS INT) AS profile FROM (SELECT *, lag(event_type) OVER (PARTITION BY track ORDER BY pid) AS l FROM p)"
+add("profiles_by_runs", _ev(lambda p: P.with_profiles(p.withColumn("survey_id", F.col("track").cast("string")), "event_type").select("pid", "profile")), f"WITH {_P} {_RUNS}")
+_HOLES = lambda p: p.withColumn("value", F.when(F.col("pid") % 5 != 2, F.col("value")))
+add(
+    "fill_linear", _ev(lambda p: _values(T.fill_linear(_HOLES(p), "value", "x", ["track"]))),
+    f"WITH {_P}, h AS (SELECT pid, track, x, CASE WHEN pid % 5 <> 2 THEN value END AS v FROM p), b AS (SELECT *, last_value(v IGNORE NULLS) OVER k AS v0, last_value(CASE WHEN v IS NOT NULL THEN x END IGNORE NULLS) OVER k AS x0, first_value(v IGNORE NULLS) OVER f AS v1, first_value(CASE WHEN v IS NOT NULL THEN x END IGNORE NULLS) OVER f AS x1 FROM h WINDOW k AS (PARTITION BY track ORDER BY x ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY track ORDER BY x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT pid, round(coalesce(v, v0 + (v1 - v0) * (x - x0) / nullif(x1 - x0, 0), v0, v1), 6) AS value FROM b",
+)
+add(
+    "regress_fill", _ev(lambda p: _r(T.regress_fill(_HOLES(p), ["value"], ["track"]).select("pid", "value"), "value", digits=4)),
+    f"WITH {_P}, h AS (SELECT pid, track, CAST(row_number() OVER (PARTITION BY track ORDER BY pid) - 1 AS DOUBLE) AS i, CASE WHEN pid % 5 <> 2 THEN value END AS v FROM p), c AS (SELECT track, regr_slope(v, i) AS b, regr_intercept(v, i) AS a FROM h GROUP BY track) SELECT pid, round(coalesce(v, a + b * i), 4) AS value FROM h JOIN c USING (track)",
+)
+add(
+    "resample_step", _ev(lambda p: _r(T.resample(p, 20000.0).select("track", "k", "value"), "value", digits=4)),
+    f"WITH {_P}, g AS (SELECT *, coalesce(sqrt((x - lag(x) OVER w) ^ 2 + (y - lag(y) OVER w) ^ 2), 0) AS leg FROM p WINDOW w AS (PARTITION BY track ORDER BY pid)), d AS (SELECT track, pid, value, sum(leg) OVER (PARTITION BY track ORDER BY pid ROWS UNBOUNDED PRECEDING) AS d FROM g), l AS (SELECT *, lead(d) OVER w AS d1, lead(value) OVER w AS v1 FROM d WINDOW w AS (PARTITION BY track ORDER BY d, pid)) SELECT track, CAST(k AS BIGINT) AS k, round(value + (v1 - value) * (k * 20000.0 - d) / (d1 - d), 4) AS value FROM (SELECT *, unnest(generate_series(CAST(ceil(d / 20000.0) AS BIGINT), CAST(ceil(d1 / 20000.0) AS BIGINT) - 1)) AS k FROM l WHERE d1 > d)",
+)
+add(
+    "interpolate_segments", _ev(lambda p: T.interpolate_segments(p.withColumn("segment", F.col("track")).withColumn("x", F.bround("x", 0))).select("pid", F.round("x", 1).alias("x"))),
+    f"WITH {_P}, k AS (SELECT pid, round_even(x, 0) AS x, row_number() OVER (PARTITION BY track ORDER BY pid) - 1 AS k, count(*) OVER (PARTITION BY track) AS n, first(round_even(x, 0)) OVER w AS a, last(round_even(x, 0)) OVER w AS b FROM p WINDOW w AS (PARTITION BY track ORDER BY pid ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) SELECT pid, round(round(a + CASE WHEN n > 1 THEN k / (n - 1) ELSE 0 END * (b - a), 2), 1) AS x FROM k",
+)
+add(
+    "offset_along_track", _ev(lambda p: _r(T.offset_along_track(p, 2.0, 0.5, 9).select("pid", "x", "y"), "x", "y")),
+    f"WITH {_P}, a AS (SELECT *, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM p WINDOW w AS (PARTITION BY track ORDER BY pid)), u AS (SELECT *, dx / nullif(sqrt(dx * dx + dy * dy), 0) AS ux, dy / nullif(sqrt(dx * dx + dy * dy), 0) AS uy FROM a), m AS (SELECT *, (coalesce(ux, lead(ux) OVER w) + coalesce(lead(ux) OVER w, ux)) / 2 AS mx, (coalesce(uy, lead(uy) OVER w) + coalesce(lead(uy) OVER w, uy)) / 2 AS my FROM u WINDOW w AS (PARTITION BY track ORDER BY pid)) SELECT pid, round(coalesce(x + 2 * mx - 0.5 * my, x), 6) AS x, round(coalesce(y + 2 * my + 0.5 * mx, y), 6) AS y FROM m",
+)
+add("seconds_of_day", lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", F.date_format("ts", "HH:mm:ss").alias("t")).select("event_id", T.seconds_of_day("t").alias("seconds")), "SELECT event_id, CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS DOUBLE) AS seconds FROM events")
+add("destripe_polynomial_3", _ev(lambda p: _r(T.polynomial(p, 3).select("pid", "value"), "value", digits=3)))
+add("destripe_polynomial_mean", _ev(lambda p: _r(T.polynomial(p, 2, "mean").select("pid", "value"), "value", digits=3)))
+add("destripe_grid_linear", _gr(lambda g: _cells(T.polynomial(g, 1, kind="grid"))), f"WITH {_G}, c AS (SELECT ix, regr_slope(z, iy) AS b, regr_intercept(z, iy) AS a FROM g GROUP BY ix) SELECT iy, ix, round(z - (a + b * iy), 6) AS z FROM g JOIN c USING (ix)")
+
+# grids ----------------------------------------------------------------------------------
+
+add(
+    "bin_grid", _li(lambda p: _r(G.bin_points(p, G.grid_info(p, 5.0, 1.0), complete=True).drop("survey_id"), "z")),
+    f"WITH {_L}, i AS (SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1, CAST(round((max(x) - min(x)) / 5) AS INT) AS nx, CAST(round(max(y) - min(y)) AS INT) AS ny FROM p), b AS (SELECT CAST(least(floor((y - y0) / ((y1 - y0) / ny)), ny - 1) AS INT) AS iy, CAST(least(floor((x - x0) / ((x1 - x0) / nx)), nx - 1) AS INT) AS ix, avg(value) AS z FROM p, i GROUP BY ALL), c AS (SELECT CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix FROM i, range(ny) a(iy), range(nx) b(ix)) SELECT iy, ix, round(z, 6) AS z FROM c LEFT JOIN b USING (iy, ix)",
+)
+for _a, _y, _x in ((90, "nx - 1 - ix", "iy"), (180, "ny - 1 - iy", "nx - 1 - ix"), (270, "ix", "ny - 1 - iy")):
+    add(f"grid_rotate{_a}", _gr(lambda g, _a=_a: _cells(G.rotate(g, _a))), f"WITH {_G}, {_N} SELECT CAST({_y} AS INT) AS iy, CAST({_x} AS INT) AS ix, round(z, 6) AS z FROM g, n")
+add("grid_flip", _gr(lambda g: _cells(G.flip(G.flip(g), "vertical"))), f"WITH {_G}, {_N} SELECT CAST(ny - 1 - iy AS INT) AS iy, CAST(nx - 1 - ix AS INT) AS ix, round(z, 6) AS z FROM g, n")
+add("grid_crop", _gr(lambda g: _cells(G.crop(g, 5, 40, 10, 90))), f"WITH {_G} SELECT CAST(iy - 10 AS INT) AS iy, CAST(ix - 5 AS INT) AS ix, round(z, 6) AS z FROM g WHERE ix BETWEEN 5 AND 40 AND iy BETWEEN 10 AND 90")
+add("grid_shift_roll", _gr(lambda g: _cells(G.shift(g, 3, roll=True))), f"WITH {_G}, {_N} SELECT CAST((iy + 3) % ny AS INT) AS iy, ix, round(z, 6) AS z FROM g, n")
+add("grid_shift_fill", _gr(lambda g: _cells(G.shift(g, 2))), f"WITH {_G} SELECT iy, ix, round(lag(z, 2) OVER (PARTITION BY ix ORDER BY iy), 6) AS z FROM g")
+add("lattice_nodes", _li(lambda p: _r(G.lattice(G.grid_info(p, 7.0, 2.0)).drop("survey_id"), "x", "y")), f"WITH {_L}, i AS (SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1, CAST(round((max(x) - min(x)) / 7) AS INT) + 1 AS nx, CAST(round((max(y) - min(y)) / 2) AS INT) + 1 AS ny FROM p) SELECT CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix, round(x0 + ix * (x1 - x0) / (nx - 1), 6) AS x, round(y0 + iy * (y1 - y0) / (ny - 1), 6) AS y FROM i, range(ny) a(iy), range(nx) b(ix)")
+_MED = f"WITH {_G}, {_N}, {_NEAR}, m AS (SELECT iy, ix, quantile_cont(v, 0.5) AS m FROM near GROUP BY iy, ix)"
+add("median2d_3x3", _gr(lambda g: _cells(G.median_filter(g, (3, 3)))), f"{_MED} SELECT iy, ix, round(m, 6) AS z FROM m")
+add("median2d_3x3_decision", _gr(lambda g: _cells(G.median_filter(g, (3, 3), 0.15, "absolute"))), f"{_MED} SELECT iy, ix, round(CASE WHEN abs(z - m) > 0.15 THEN m ELSE z END, 6) AS z FROM g JOIN m USING (iy, ix)")
+add(
+    "hampel2d_3x3", _gr(lambda g: _cells(G.hampel_filter(g, (3, 3), 2.0))),
+    f"{_MED}, d AS (SELECT iy, ix, z, m, abs(z - m) AS d FROM g JOIN m USING (iy, ix)), k AS (SELECT a.iy, a.ix, quantile_cont(b.d, 0.5) AS mad FROM d a, n, range(-1, 2) e(dy), range(-1, 2) f(dx), d b WHERE b.iy = least(greatest(a.iy + dy, 0), ny - 1) AND b.ix = least(greatest(a.ix + dx, 0), nx - 1) GROUP BY a.iy, a.ix) SELECT iy, ix, round(CASE WHEN d > 2 * 1.4826 * mad THEN m ELSE z END, 6) AS z FROM d JOIN k USING (iy, ix)",
+)
+_AVG = f"WITH {_G}, {_N}, {_NEAR}, m AS (SELECT iy, ix, avg(v) AS m, avg(v * v) AS q FROM near GROUP BY iy, ix)"
+add("box_mean_3x3", _gr(lambda g: _cells(G.separate_trends(g, (3, 3), "regional"))), f"{_AVG} SELECT iy, ix, round(m, 6) AS z FROM m")
+add("trend_local_3x3", _gr(lambda g: _cells(G.separate_trends(g, (3, 3)))), f"{_AVG} SELECT iy, ix, round(z - m, 6) AS z FROM g JOIN m USING (iy, ix)")
+add("trend_local_relative", _gr(lambda g: _r(G.separate_trends(P.add(g, 5.0, "z"), (3, 3), "local", "relative").select("iy", "ix", "z"), "z")), f"{_AVG} SELECT iy, ix, round((z + 5) * ((SELECT avg(z) FROM g) + 5) / (m + 5), 6) AS z FROM g JOIN m USING (iy, ix)")
+add("wallis_3x3", _gr(lambda g: _r(G.wallis(g, 3, 1.0, 2.0).select("iy", "ix", "z"), "z", digits=5)), f"{_AVG}, s AS (SELECT iy, ix, m, sqrt(greatest(q - m * m, 0)) AS s FROM m), t AS (SELECT max(s) AS top FROM s) SELECT iy, ix, round(2 / greatest(s, top * 0.1) * (z - m) + 1, 5) AS z FROM g JOIN s USING (iy, ix), t")
+add("wallis_levels", _gr(lambda g: _cells(G.wallis_levels(g, 2, 2))))
+add("clahe", _gr(lambda g: _cells(G.clahe(g, (16, 16)))))
+_TILE = "greatest(least(CAST(ceil((p.{c} - lo{c}) / ((hi{c} - lo{c}) / 40) - 0.5) - 1 AS INT), 39), 0)"
+_TILES = f"{_P}, b AS (SELECT min(x) lox, max(x) hix, min(y) loy, max(y) hiy FROM p), t AS (SELECT {_TILE.format(c='y')} AS ty, {_TILE.format(c='x')} AS tx, count(*) AS c FROM p, b GROUP BY ALL), k AS (SELECT dy, dx, 1 - sqrt(dy * dy + dx * dx) / 3 AS w FROM range(-2, 3) a(dy), range(-2, 3) b(dx) WHERE dy * dy + dx * dx <= 4), d AS (SELECT CAST(ty + dy AS INT) AS iy, CAST(tx + dx AS INT) AS ix, sum(c * w) / (4 / 3.0) AS density FROM t, k WHERE ty + dy BETWEEN 0 AND 39 AND tx + dx BETWEEN 0 AND 39 GROUP BY ALL)"
+add("tile_heatmap", _ev(lambda p: _r(G.tile_density(p, 40, 2, 1.0).drop("survey_id"), "density")), f"WITH {_TILES} SELECT iy, ix, round(density, 6) AS density FROM d")
+add("tile_mask", _ev(lambda p: G.tile_mask(p, 40, 2, 1.0).drop("survey_id")), f"WITH {_TILES} SELECT iy, ix FROM d WHERE density > 1")
+add("tile_mask_round", _ev(lambda p: G.tile_mask_round(p, 40, 2).drop("survey_id")))
+
+# correlation --------------------------------------------------------------------------------
+
+_CORR = f"{_G}, h AS (SELECT * FROM g WHERE iy < 40), b AS (SELECT a.ix, a.iy, a.z, l.z AS u FROM h a JOIN h l ON l.ix = a.ix - 1 AND l.iy = a.iy), s AS (SELECT ix, stddev_pop(z) * stddev_pop(u) * count(*) AS d FROM b GROUP BY ix), r AS (SELECT a.ix, a.iy - c.iy AS lag, sum(a.z * c.u) / any_value(d) AS r FROM b a JOIN b c ON a.ix = c.ix JOIN s ON s.ix = a.ix GROUP BY a.ix, a.iy - c.iy)"
+_C40 = lambda f: lambda spark, d: f(embeddings_grid(spark, d, (0, 39)))
+add("correlation_map", _C40(lambda g: _r(C.correlation_map(g).drop("survey_id"), "r")), f"WITH {_CORR} SELECT ix, lag, round(r, 6) AS r FROM r")
+add("correlation_sum", _C40(lambda g: _r(C.correlation_sum(g).drop("survey_id"), "r")), f"WITH {_CORR} SELECT lag, round(sum(r), 6) AS r FROM r GROUP BY lag")
+add("correlation_peak", _C40(lambda g: C.peak_lag(g).drop("survey_id")), f"WITH {_CORR}, t AS (SELECT lag, sum(r) AS r FROM r GROUP BY lag) SELECT lag FROM t ORDER BY r DESC, lag LIMIT 1")
+add("profile_pearson", _gr(lambda g: _r(C.ranked_correlation(g).drop("survey_id"), "r")), f"WITH {_G} SELECT a.ix, round(corr(a.z, l.z), 6) AS r FROM g a JOIN g l ON l.ix = a.ix - 1 AND l.iy = a.iy GROUP BY a.ix")
+add("profile_spearman", _gr(lambda g: _r(C.ranked_correlation(g, "spearman").drop("survey_id"), "r")), f"WITH {_G}, b AS (SELECT a.ix, a.z, l.z AS u FROM g a JOIN g l ON l.ix = a.ix - 1 AND l.iy = a.iy), r AS (SELECT ix, rank() OVER (PARTITION BY ix ORDER BY z) + (count(*) OVER (PARTITION BY ix, z) - 1) / 2 AS rz, rank() OVER (PARTITION BY ix ORDER BY u) + (count(*) OVER (PARTITION BY ix, u) - 1) / 2 AS ru FROM b) SELECT ix, round(corr(rz, ru), 6) AS r FROM r GROUP BY ix")
+add("profile_kendall", _C40(lambda g: _r(C.ranked_correlation(g, "kendall").drop("survey_id"), "r")), f"WITH {_G}, b AS (SELECT a.ix, a.z, l.z AS u FROM g a JOIN g l ON l.ix = a.ix - 1 AND l.iy = a.iy WHERE a.iy < 40) SELECT a.ix, round(sum(sign((a.z - c.z) * (a.u - c.u))) / (count(*) - 40), 6) AS r FROM b a JOIN b c USING (ix) GROUP BY a.ix")
+add("destagger_grid", _gr(lambda g: _cells(C.destagger(g, 5, 0.05))))
+add("destagger_points", _ev(lambda p: _r(T.destagger_points(p.select("survey_id", "pid", "track", "x", "y", "value"), 20000.0).select("pid", "x", "y"), "x", "y", digits=3)))
+
+# joins -------------------------------------------------------------------------------------------
+
+_AB = f"{_P}, a AS (SELECT pid, x / 3600 AS x, y, value FROM p WHERE event_type = 'view'), b AS (SELECT pid, x / 3600 AS x, y, value FROM p WHERE event_type = 'click'), o AS (SELECT a.pid AS id_a, b.pid AS id_b, a.value AS value_a, b.value AS value_b, sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2) AS dist FROM a JOIN b ON abs(a.x - b.x) <= 1.5 AND abs(a.y - b.y) <= 1.5 WHERE sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2) <= 1.5)"
+
+
+def _pair(p: DataFrame) -> DataFrame:
+    p = p.withColumn("x", F.col("x") / 3600)
+    return J.overlap(p.where("event_type = 'view'"), p.where("event_type = 'click'"), 1.5)
+
+
+add("overlap_join_tol", _ev(lambda p: _r(_pair(p).select("id_a", "id_b", "dist"), "dist")), f"WITH {_AB} SELECT id_a, id_b, round(dist, 6) AS dist FROM o")
+add("mismatch_weighted", _ev(lambda p: _r(J.mismatch(_pair(p)), "mismatch", "weight")), f"WITH {_AB}, s AS (SELECT avg(value_a - value_b) m, stddev_pop(value_a - value_b) s FROM o), k AS (SELECT value_a - value_b AS d FROM o, s WHERE abs(value_a - value_b - m) <= 2.5 * s) SELECT round(avg(d), 6) AS mismatch, round(coalesce(1 / nullif(stddev_pop(d) ^ 2, 0), 0), 6) AS weight FROM k")
+add(
+    "asof_base_drift", _ev(lambda p: _values(J.correct_drift(p.where("event_type <> 'signup'"), p.where("event_type = 'signup'").select("track", "x", "value"), ["track"], "x"))),
+    f"WITH {_P}, b AS (SELECT track, x AS t, value AS v FROM p WHERE event_type = 'signup'), r AS (SELECT pid, track, x, value FROM p WHERE event_type <> 'signup'), k AS (SELECT r.*, (SELECT max(t) FROM b WHERE b.track = r.track AND t <= r.x) AS t0, (SELECT min(t) FROM b WHERE b.track = r.track AND t > r.x) AS t1, (SELECT arg_min(v, t) FROM b WHERE b.track = r.track) AS f FROM r), j AS (SELECT k.*, b0.v AS v0, b1.v AS v1 FROM k LEFT JOIN b b0 ON b0.track = k.track AND b0.t = t0 LEFT JOIN b b1 ON b1.track = k.track AND b1.t = t1) SELECT pid, round(coalesce(value - (coalesce(v0 + (v1 - v0) * (x - t0) / nullif(t1 - t0, 0), v0, v1) - f), value), 6) AS value FROM j",
+)
+add("border_pairs", _ev(lambda p: _r(J.border_pairs(p.where("event_type = 'view'").withColumn("x", F.col("x") / 3600), p.where("event_type = 'click'").withColumn("x", F.col("x") / 3600), 40, 1.5).select("id_a", "id_b", "dist"), "dist")), f"WITH {_AB}, n AS (SELECT id_a, id_b, dist, row_number() OVER (PARTITION BY id_a ORDER BY dist, id_b) AS k FROM o) SELECT id_a, id_b, round(dist, 6) AS dist FROM n WHERE k = 1 ORDER BY n.dist, id_a, id_b LIMIT 40")
+add("linear_match", _ev(lambda p: _r(J.linear_match(_pair(p)), "a", "b")), f"WITH {_AB} SELECT round(avg(value_a) - stddev_pop(value_a) / stddev_pop(value_b) * avg(value_b), 6) AS a, round(stddev_pop(value_a) / stddev_pop(value_b), 6) AS b FROM o")
+add("variogram_lags", _ev(lambda p: _r(I.variogram(p.withColumn("x", F.col("x") / 3600), 0.5, 4).drop("survey_id"), "distance", "gamma")), f"WITH {_P}, q AS (SELECT pid, x / 3600 AS x, y, value FROM p), d AS (SELECT sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2) AS d, (a.value - b.value) ^ 2 AS s FROM q a JOIN q b ON a.pid < b.pid AND abs(a.x - b.x) < 2 AND abs(a.y - b.y) < 2) SELECT CAST(floor(d / 0.5) AS INT) AS lag, count(*) AS n, round(avg(d), 6) AS distance, round(avg(s) / 2, 6) AS gamma FROM d WHERE d > 0 AND d < 2 GROUP BY 1")
+add("merge_grids", _gr(lambda g: _r(J.merge_grids([g.select("iy", "ix", "z"), G.shift(g, 1).select("iy", "ix", "z")]), "z")), f"WITH {_G}, s AS (SELECT iy, ix, lag(z) OVER (PARTITION BY ix ORDER BY iy) AS z FROM g) SELECT iy, ix, round(avg(z), 6) AS z FROM (SELECT * FROM g UNION ALL SELECT * FROM s) GROUP BY iy, ix")
+add("georeference", _ev(lambda p: _r(J.georeference(p, [(-10.0, -10.0, 100.0, 200.0), (3e6, -10.0, 3100.0, 210.0), (-10.0, 5000.0, 150.0, 5200.0), (3e6, 5000.0, 3200.0, 5300.0)]).select("pid", F.col("east").isNotNull().alias("inside")), )), f"WITH {_P} SELECT pid, x BETWEEN -10 AND 3e6 AND y BETWEEN -10 AND 5000 AS inside FROM p")
+
+# spectra -----------------------------------------------------------------------------------------
+
+add("wavenumbers", _gr(lambda g: _r(S.wavenumbers(g, 0.5, 2.0).select("iy", "ix", "u", "v"), "u", "v", digits=9)), f"WITH {_G}, {_N} SELECT iy, ix, round(CASE WHEN ix <= floor((nx - 1) / 2) THEN ix ELSE ix - nx END / (nx * 0.5), 9) AS u, round(CASE WHEN iy <= floor((ny - 1) / 2) THEN iy ELSE iy - ny END / (ny * 2.0), 9) AS v FROM g, n")
+_TK = "CASE WHEN least({i} / ({n} - 1), 1 - {i} / ({n} - 1)) < 0.1 THEN 0.5 * (1 + cos(pi() * (2 * least({i} / ({n} - 1), 1 - {i} / ({n} - 1)) / 0.2 - 1))) ELSE 1 END"
+add("apodize_tukey", _gr(lambda g: _cells(S.apodize(g, 0.1))), f"WITH {_G}, {_N} SELECT iy, ix, round(z * {_TK.format(i='ix', n='nx')} * {_TK.format(i='iy', n='ny')}, 6) AS z FROM g, n")
+_DFT = f"{_G}, c AS (SELECT iy, ix, z - (SELECT avg(z) FROM g WHERE iy < 8) AS z FROM g WHERE iy < 8), n AS (SELECT max(ix) + 1 AS nx, 8 AS ny FROM c), k AS (SELECT CAST(ky AS INT) AS ky, CAST(kx AS INT) AS kx FROM n, range(8) a(ky), range(nx) b(kx)), f AS (SELECT ky, kx, sum(z * cos(2 * pi() * (kx * ix / nx + ky * iy / ny))) AS re, -sum(z * sin(2 * pi() * (kx * ix / nx + ky * iy / ny))) AS im FROM k, c, n GROUP BY ky, kx)"
+_C8 = lambda f: lambda spark, d: f(embeddings_grid(spark, d, (0, 7)))
+add("fft2_small", _C8(lambda g: _r(S.fft2(g).select(F.col("ky").cast("int").alias("ky"), F.col("kx").cast("int").alias("kx"), "re", "im"), "re", "im", digits=5).withColumns({c: F.col(c) + F.lit(0.0) for c in ("re", "im")})), f"WITH {_DFT} SELECT ky, kx, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im FROM f")
+add("spectrum_power", _C8(lambda g: _r(S.spectrum(g, "power").select(F.col("ky").cast("int").alias("ky"), F.col("kx").cast("int").alias("kx"), "s"), "s", digits=5)), f"WITH {_DFT} SELECT ky, kx, round((re * re + im * im) / (nx * ny), 5) AS s FROM f, n")
+_INV = f"{_DFT}, w AS (SELECT ky, kx, re, im, 2 * pi() * sqrt((CASE WHEN kx <= floor((nx - 1) / 2) THEN kx ELSE kx - nx END / nx) ^ 2 + (CASE WHEN ky <= 3 THEN ky ELSE ky - 8 END / 8) ^ 2) AS k FROM f, n)"
+add("continuation_up", _C8(lambda g: _r(S.continue_field(g, 1.5).select("iy", "ix", "z"), "z", digits=5).withColumn("z", F.col("z") + F.lit(0.0))), f"WITH {_INV} SELECT iy, ix, round((SELECT avg(z) FROM g WHERE iy < 8) + sum(exp(-1.5 * k) * (re * cos(2 * pi() * (kx * ix / nx + ky * iy / ny)) - im * sin(2 * pi() * (kx * ix / nx + ky * iy / ny)))) / (nx * ny), 5) + 0.0 AS z FROM c, w, n GROUP BY iy, ix, nx, ny")
+for _n, _f in (
+    ("analytic_signal", lambda g: S.analytic_signal(g)), ("pole_reduction", lambda g: S.reduce_to_pole(g, 65.0, 2.0)), ("field_to_gradient", lambda g: S.convert_sensor(g, "TotalField", "Gradient")),
+    ("gradient_to_fluxgate", lambda g: S.convert_sensor(g, "Gradient", "Fluxgate")), ("fluxgate_to_field", lambda g: S.convert_sensor(g, "Fluxgate", "TotalField")), ("plough_filter", lambda g: S.plough_filter(g, 30.0, 2.0, 0.3)),
+):
+    add(_n, _gr(lambda g, _f=_f: _r(_f(g).select("iy", "ix", "z"), "z")))
+add("euler_deconvolution", lambda spark, d: S.euler(embeddings_grid(spark, d, (0, 63)), 3.0).select("iy", "ix", F.round("depth", 4).alias("depth")))
+
+# interpolation and functions -----------------------------------------------------------------------
+
+add("interpolate_nearest", _li(lambda p: I.nearest(P.distinct_first(p.withColumn("pid", F.xxhash64("pid", "track", "value")), ["survey_id", "x", "y"]), G.grid_info(p, 0.5, 0.5), 1.5).select("iy", "ix", "z")))
+add("interpolate_linear", _li(lambda p: _r(I.linear(p.groupBy("survey_id", "x", "y").agg(F.lit(0).cast("long").alias("pid"), (2 * F.first("x") + 3 * F.first("y")).alias("value")), G.grid_info(p, 0.5, 0.5)).select("iy", "ix", "z"), "z")), f"WITH {_L}, i AS (SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1, CAST(round((max(x) - min(x)) / 0.5) AS INT) + 1 AS nx, CAST(round((max(y) - min(y)) / 0.5) AS INT) + 1 AS ny FROM p) SELECT CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix, round(2 * (x0 + ix * (x1 - x0) / (nx - 1)) + 3 * (y0 + iy * (y1 - y0) / (ny - 1)), 6) AS z FROM i, range(ny) a(iy), range(nx) b(ix)")
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return c.select("c_custkey", (F.col("c_custkey") * 7 % 160 - 80).cast("double").alias("lat"), (F.col("c_custkey") * 13 % 360 - 180).cast("double").alias("lon"))
+
+
+def _utm_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _places(spark, sf_dir)
+    e, n, z = geodesy.utm(F.col("lat"), F.col("lon"))
+    q = p.withColumns({"e": e, "n": n, "z": z})
+    lat, lon = geodesy.wgs84(F.col("e"), F.col("n"), F.col("z"), F.col("lat") >= 0)
+    return q.select("c_custkey", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon")).withColumns({"lat": F.col("lat") + 0.0, "lon": F.col("lon") + 0.0})
+
+
+add("utm_roundtrip", _utm_roundtrip, "SELECT c_custkey, CAST(c_custkey * 7 % 160 - 80 AS DOUBLE) AS lat, CAST(c_custkey * 13 % 360 - 180 AS DOUBLE) AS lon FROM customer")
+add(
+    "utm_zone", lambda spark, d: _places(spark, d).select("c_custkey", geodesy.zone_number(F.col("lat"), F.col("lon")).alias("zone"), geodesy.zone_letter(F.col("lat")).alias("letter")),
+    "WITH p AS (SELECT c_custkey, c_custkey * 7 % 160 - 80 AS lat, c_custkey * 13 % 360 - 180 AS lon FROM customer) SELECT c_custkey, CAST(CASE WHEN lat >= 56 AND lat < 64 AND lon >= 3 AND lon < 12 THEN 32 WHEN lat BETWEEN 72 AND 84 AND lon >= 0 AND lon < 42 THEN CASE WHEN lon < 9 THEN 31 WHEN lon < 21 THEN 33 WHEN lon < 33 THEN 35 ELSE 37 END ELSE floor((lon + 180) / 6) + 1 END AS INT) AS zone, substr('CDEFGHJKLMNPQRSTUVWX', CAST(least(floor((lat + 80) / 8), 19) AS INT) + 1, 1) AS letter FROM p",
+)
+add("angle_text", lambda spark, d: _places(spark, d).select("c_custkey", F.round(geodesy.parse_angle(geodesy.format_angle(F.col("lat") / 7)), 8).alias("lat")).withColumn("lat", F.col("lat") + 0.0), "SELECT c_custkey, round((c_custkey * 7 % 160 - 80) / 7, 8) + 0.0 AS lat FROM customer")
