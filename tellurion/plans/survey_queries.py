@@ -125,7 +125,7 @@ for _k, _s, _g in (("mean", "avg(value)", "stddev_pop(value)"), ("median", "quan
     _with = f"WITH {_P}, t AS (SELECT track, {_s} AS s, {_g} AS g FROM p GROUP BY track), a AS (SELECT {_s} AS s, {_g} AS g FROM p)"
     add(f"level_mono_{_k}", _ev(lambda p, _k=_k: _values(T.level(p, _k))), f"{_with} SELECT pid, round(value - t.s + a.s, 6) AS value FROM p JOIN t USING (track), a")
     add(f"level_multi_{_k}", _ev(lambda p, _k=_k: _values(T.level(p, _k, "multi"))), f"{_with} SELECT pid, round((value - t.s) * CASE WHEN a.g = 0 THEN 1 ELSE a.g END / CASE WHEN t.g = 0 THEN 1 ELSE t.g END + a.s, 6) AS value FROM p JOIN t USING (track), a")
-    add(f"zero_{_k}_tracks", _ev(lambda p, _k=_k: _values(T.zero_tracks(p, _k))), f"{_with} SELECT pid, round(value - t.s, 6) AS value FROM p JOIN t USING (track)")
+    add(f"zero_{_k}_tracks", _ev(lambda p, _k=_k: _r(T.zero_tracks(p, _k).select("pid", "value"), "value", digits=9)), f"{_with} SELECT pid, round(value - t.s, 9) AS value FROM p JOIN t USING (track)")
 add("level_percentile_5_95", _ev(lambda p: _values(T.level(p, percentiles=(5, 95)))), f"WITH {_P}, q AS (SELECT quantile_cont(value, 0.05) lo, quantile_cont(value, 0.95) hi FROM p), i AS (SELECT track, value FROM p, q WHERE value BETWEEN lo AND hi), t AS (SELECT track, avg(value) AS s FROM i GROUP BY track), a AS (SELECT avg(value) AS s FROM i) SELECT pid, round(value - t.s + a.s, 6) AS value FROM p LEFT JOIN t USING (track), a")
 add("level_grid_profiles", _gr(lambda g: _cells(T.level(g, col="z", by=["ix"]))), f"WITH {_G}, t AS (SELECT ix, avg(z) AS s FROM g GROUP BY ix), a AS (SELECT avg(z) AS s FROM g) SELECT iy, ix, round(z - t.s + a.s, 6) AS z FROM g JOIN t USING (ix), a")
 add("destripe_neighbours_4", _gr(lambda g: _cells(T.destripe_neighbours(g, 4))), f"WITH {_G}, t AS (SELECT ix, avg(z) AS s FROM g GROUP BY ix), r AS (SELECT t.ix, avg(g.z) AS s FROM t JOIN g ON g.ix BETWEEN t.ix - 4 AND t.ix + 3 GROUP BY t.ix) SELECT iy, ix, round(z - t.s + r.s, 6) AS z FROM g JOIN t USING (ix) JOIN r USING (ix)")
