@@ -91,20 +91,21 @@ class SubwordModel:
 
 def bags(col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse rows: (start of each text's entries, bucket, weight); weights of a text sum to 1."""
-    idx, vals, per = W.batch_words(col)
-    bucket, grams = gram_buckets(vals)
-    begin = np.concatenate(([0], np.cumsum(grams)))
-    starts, buckets, weights, at = [0], [], [], 0
-    for count in per.tolist():
-        own = np.unique(idx[at : at + count])
-        at += count
-        if len(own):
-            mine = W.ragged_take(bucket, begin, own)
-            w = np.repeat(1 / (grams[own] * max(len(own), LEAST_WORDS)), grams[own])
-            u, inv = np.unique(mine, return_inverse=True)
-            buckets.append(u.astype(np.int32))
-            weights.append(np.bincount(inv, w).astype(np.float32))
-        starts.append(starts[-1] + (len(u) if len(own) else 0))
+    starts, buckets, weights = [0], [], []
+    for first in range(0, len(col), 256):  # a few texts at a time, for the driver's memory
+        idx, vals, per = W.batch_words(col.slice(first, 256))
+        bucket, grams = gram_buckets(vals)
+        begin, at = np.concatenate(([0], np.cumsum(grams))), 0
+        for count in per.tolist():
+            own = np.unique(idx[at : at + count])
+            at += count
+            if len(own):
+                mine = W.ragged_take(bucket, begin, own)
+                w = np.repeat(1 / (grams[own] * max(len(own), LEAST_WORDS)), grams[own])
+                u, inv = np.unique(mine, return_inverse=True)
+                buckets.append(u.astype(np.int32))
+                weights.append(np.bincount(inv, w).astype(np.float32))
+            starts.append(starts[-1] + (len(u) if len(own) else 0))
     cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
     return np.array(starts), cat(buckets, np.int32), cat(weights, np.float32)
 
