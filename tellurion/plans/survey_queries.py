@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tellurion.functions import geodesy
 from tellurion.operators import correlation as C
+from tellurion.operators import emi as M
 from tellurion.operators import grids as G
 from tellurion.operators import interpolation as I
 from tellurion.operators import joins as J
@@ -288,3 +289,25 @@ add(
     "WITH p AS (SELECT c_custkey, c_custkey * 7 % 160 - 80 AS lat, c_custkey * 13 % 360 - 180 AS lon FROM customer) SELECT c_custkey, CAST(CASE WHEN lat >= 56 AND lat < 64 AND lon >= 3 AND lon < 12 THEN 32 WHEN lat BETWEEN 72 AND 84 AND lon >= 0 AND lon < 42 THEN CASE WHEN lon < 9 THEN 31 WHEN lon < 21 THEN 33 WHEN lon < 33 THEN 35 ELSE 37 END ELSE floor((lon + 180) / 6) + 1 END AS INT) AS zone, substr('CDEFGHJKLMNPQRSTUVWX', CAST(least(floor((lat + 80) / 8), 19) AS INT) + 1, 1) AS letter FROM p",
 )
 add("angle_text", lambda spark, d: _places(spark, d).select("c_custkey", F.round(geodesy.parse_angle(geodesy.format_angle(F.col("lat") / 7)), 8).alias("lat")).withColumn("lat", F.col("lat") + 0.0), "SELECT c_custkey, round((c_custkey * 7 % 160 - 80) / 7, 8) + 0.0 AS lat FROM customer")
+
+# electromagnetic logs: events stand for readings, the weekday for the file, the kind of event for the base -----------
+
+
+def _emi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = events_points(spark, sf_dir)
+    base = F.when(F.col("event_type") == "signup", 1 + F.col("pid") % 3).otherwise(0).cast("int")
+    return p.select(F.col("track").alias("file_id"), "pid", F.col("x").alias("seconds"), base.alias("base"), (F.col("pid") % 2 + 1).cast("int").alias("channel"), F.col("value").alias("cond"), (F.col("value") * 0.5 + F.col("pid") % 7).alias("inph"))
+
+
+_E = f"{_P}, e AS (SELECT track AS file_id, pid, x AS seconds, CAST(CASE WHEN event_type = 'signup' THEN 1 + pid % 3 ELSE 0 END AS INT) AS base, CAST(pid % 2 + 1 AS INT) AS channel, value AS cond, value * 0.5 + pid % 7 AS inph FROM p)"
+add(
+    "synthetic_bases", lambda spark, d: _r(M.synthetic_bases(_emi(spark, d).withColumn("cond", F.round("cond", 0)), by=["base", "channel"]).select("base", "channel", "cond"), "cond", digits=1),
+    f"WITH {_E}, r AS (SELECT base, channel, round(cond, 0) AS cond FROM e WHERE base <> 0), t AS (SELECT base, channel, (quantile_cont(cond, 0.05) + quantile_cont(cond, 0.95)) / 2 AS t FROM r GROUP BY ALL) SELECT base, channel, round((quantile_cont(cond, 0.5) FILTER (cond > t) + quantile_cont(cond, 0.5) FILTER (cond <= t)) / 2, 1) AS cond FROM r JOIN t USING (base, channel) GROUP BY base, channel",
+)
+add("channel_relation", lambda spark, d: _r(M.relation(_emi(spark, d)), "slope", "intercept"), f"WITH {_E} SELECT channel, round(regr_slope(inph, cond), 6) AS slope, round(regr_intercept(inph, cond), 6) AS intercept FROM e GROUP BY channel")
+add("calibration_cubic", lambda spark, d: M.calibrate(_emi(spark, d), [1.5, -0.2, 0.01]).select("pid", F.round("sigma", 9).alias("sigma")), f"WITH {_E}, q AS (SELECT pid, inph / 1000 AS q FROM e), s AS (SELECT pid, 1.5 * q - 0.2 * q ^ 2 + 0.01 * q ^ 3 AS s FROM q) SELECT pid, round(CASE WHEN s > 0 THEN s END, 9) AS sigma FROM s")
+add("channels_wide", lambda spark, d: M.to_wide(_emi(spark, d), ["base"], [1, 2]).select("base", F.col("1_cond").isNotNull().alias("one"), F.col("2_cond").isNotNull().alias("two")), f"WITH {_E} SELECT base, count(*) FILTER (channel = 1) > 0 AS one, count(*) FILTER (channel = 2) > 0 AS two FROM e GROUP BY base")
+add("emi_process", lambda spark, d: M.process(_emi(spark, d).drop("base").withColumns({"x": F.col("seconds") / 1000, "y": F.lit(0.0)}), 3.0, 50.0).select("file_id", "pid", "segment", F.round("cond", 4).alias("cond")))
+add("tracks_wiped_gaps", _ev(lambda p: T.mark_gaps(p.select("survey_id", "pid", "track", "x", "value"), 1000.0).where("pid is null").groupBy("track").count().withColumnRenamed("count", "n")), f"WITH {_P}, l AS (SELECT track, lead(x) OVER (PARTITION BY track ORDER BY x) - x AS gap FROM p), m AS (SELECT track, min(gap) AS d FROM l WHERE gap > 0 GROUP BY track) SELECT track, count(*) AS n FROM l JOIN m USING (track) WHERE gap > 2000 * d GROUP BY track")
+add("spread_repeats", _ev(lambda p: _r(T.spread_repeats(p.withColumn("x", F.floor(F.col("x") / 60000) * 60000.0), ["x"], ["track"]).select("pid", "x"), "x")), f"WITH {_P}, q AS (SELECT pid, track, floor(x / 60000) * 60000.0 AS x FROM p), c AS (SELECT *, sum(CASE WHEN l IS NULL OR l = x THEN 0 ELSE 1 END) OVER (PARTITION BY track ORDER BY pid ROWS UNBOUNDED PRECEDING) AS r FROM (SELECT *, lag(x) OVER (PARTITION BY track ORDER BY pid) AS l FROM q)), u AS (SELECT track, r, any_value(x) AS v, count(*) AS n FROM c GROUP BY track, r), w AS (SELECT *, lead(v) OVER (PARTITION BY track ORDER BY r) AS nx FROM u) SELECT pid, round(v + coalesce((nx - v) * (row_number() OVER (PARTITION BY c.track, c.r ORDER BY pid) - 1) / n, 0), 6) AS x FROM c JOIN w ON c.track = w.track AND c.r = w.r")
+add("bilinear_sample", _li(lambda p: _r(I.sample(p.select("survey_id", F.xxhash64("pid", "track", "value").alias("pid"), "x", "y", "value"), G.lattice(G.grid_info(p, 7.0, 5.0)).select("survey_id", "iy", "ix", (2 * F.col("x") - F.col("y")).alias("z")), G.grid_info(p, 7.0, 5.0)).groupBy("x", "y").agg(F.first("sampled").alias("sampled")), "sampled")), f"WITH {_L} SELECT x, y, round(2 * x - y, 6) AS sampled FROM p GROUP BY x, y")
