@@ -7,7 +7,7 @@ bucket in any table are compared exactly (cosine in doubles), so no link is belo
 
 Equal vectors are one class with a weight. A bucket above BLOCK rows is dealt out to
 pairs of blocks, so no group is ever gathered whole. A pair counts in the first
-table where it meets, and leaves only sums and a spanning forest, not pairs, so the
+bucket where it meets, and leaves only sums and a spanning forest, not pairs, so the
 output stays linear in the rows. Links within classes are counted by weight.
 
 Null vectors, zero vectors and those with null or non-finite components, or without an id, link with
@@ -160,15 +160,17 @@ def _linker(limit: float):
                 j = j + m
             if not len(i):
                 continue
-            if table:  # met before in an earlier table?
-                c = np.frombuffer(b"".join(codes[a:b]), np.int32).reshape(b - a, TABLES, -1)
-                old = np.zeros(len(i), bool)
-                for s in range(0, len(i), 65536):
-                    u, v = c[i[s : s + 65536], :table], c[j[s : s + 65536], :table]
-                    old[s : s + 65536] = (u[:, :, :, None] == v[:, :, None, :]).any((1, 2, 3))
-                i, j = i[~old], j[~old]
-                if not len(i):
-                    continue
+            c = np.frombuffer(b"".join(codes[a:b]), np.int32).reshape(b - a, TABLES, -1)
+            here = int(bucket[a] >> 32)
+            old = np.zeros(len(i), bool)  # met before, in an earlier table or a lower bucket of this one?
+            for s in range(0, len(i), 65536):
+                u, v = c[i[s : s + 65536], : table + 1], c[j[s : s + 65536], : table + 1]
+                same = u[:, :, :, None] == v[:, :, None, :]
+                same[:, table] &= u[:, table, :, None] < here
+                old[s : s + 65536] = same.any((1, 2, 3))
+            i, j = i[~old], j[~old]
+            if not len(i):
+                continue
             w = weight[a:b]
             got = np.bincount(i, w[j], b - a) + np.bincount(j, w[i], b - a)
             on = np.flatnonzero(got)

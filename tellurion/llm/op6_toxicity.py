@@ -27,6 +27,8 @@ from .common import remainder, ship_package
 
 #: Bound on labelled documents that are fitted on, for each of the two labels.
 PER_CLASS = 1800
+#: Small samples are gone through more often, up to so many updates.
+LEAST_UPDATES = 280
 BUCKETS, DIMENSION, GRAMS = 1 << 17, 4, (3, 4, 5)
 #: A bucket must be met in so many training texts to count in a score.
 LEAST_TEXTS = 3
@@ -121,6 +123,7 @@ def fit(col, y: np.ndarray, epochs: int = 8, batch: int = 100, rate: float = 0.0
     bias = np.zeros(2, np.float32)
     cls = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
     m1, m2, t = [np.zeros_like(p) for p in (vec, out, bias)], [np.zeros_like(p) for p in (vec, out, bias)], 0
+    epochs = max(epochs, -(-LEAST_UPDATES * batch // len(y)))
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         for a in range(0, len(y), batch):
