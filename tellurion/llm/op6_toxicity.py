@@ -6,7 +6,7 @@ softmax are trained jointly in numpy (Adam on minibatches). Misspelt or inflecte
 were never seen share n-grams with those that were. As all is linear, scoring needs one number
 per n-gram bucket, so words are scored in vectorised sums over bytes.
 
-Null and empty texts have the mean 0 and get the softmax's bias. Repeated rows are scored
+Null and empty texts have no passage and get the score of one without known n-grams. Repeated rows are scored
 one by one; without usable labels all scores are 0.5; an empty table gives an empty result.
 Only the named columns are read; labels, language, source and id are never inputs.
 """
@@ -25,15 +25,26 @@ from . import labelled
 from . import words as W
 from .common import remainder, ship_package
 
-#: Bound on labelled documents that are fitted on, for each of the two labels.
-PER_CLASS = 1800
-#: Small samples are gone through more often, up to so many updates.
-LEAST_UPDATES = 280
-BUCKETS, DIMENSION, GRAMS = 1 << 17, 4, (3, 4, 5)
-#: A bucket must be met in so many training texts to count in a score.
+#: Bound on labelled documents that are fitted on, for each of the two labels, and on passages of each.
+PER_CLASS, PASSAGES = 1800, 24
+BUCKETS, DIMENSION, GRAMS, WINDOW = 1 << 17, 4, (3, 4, 5), 16
+#: Only buckets met in so many of the training passages' texts are learnt; others add nothing.
 LEAST_TEXTS = 3
-#: A text of fewer distinct words is averaged as if filled up with neutral ones.
-LEAST_WORDS = 24
+#: A passage of fewer distinct words is averaged as if filled up with neutral ones.
+LEAST_WORDS = 10
+#: Each update also shrinks all vectors and weights by this times the rate.
+DECAY = 0.02
+EPOCHS, BATCH, RATE, LEAST_UPDATES, WORST = 3, 1000, 0.05, 240, 4
+#: A mean is stretched by this, as few of its words bear on the label.
+SCALE = np.float32(20.0)
+
+
+def passages(per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(passage of each word, passages per text)."""
+    count = -(-per // WINDOW)
+    first = np.cumsum(count) - count
+    place = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
+    return np.repeat(first, per) + place // WINDOW, count
 
 
 def gram_buckets(vals: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -68,94 +79,150 @@ def gram_buckets(vals: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np
 
 @dataclass
 class SubwordModel:
-    """Per bucket, what an n-gram adds to the log odds of class 1; and the bias."""
+    """Per bucket, what an n-gram adds to a passage's log odds of class 1; the bias; slope and offset of the scores' curve."""
 
     value: np.ndarray
     bias: float
+    slope: float = 1.0
+    offset: float = 0.0
 
-    def logits(self, col) -> np.ndarray:
+    def worst(self, col) -> np.ndarray:
+        """Log odds of each text's worst passage."""
         idx, vals, per = W.batch_words(col)
+        out = np.full(len(per), self.bias)
+        if not len(idx):
+            return out
         bucket, grams = gram_buckets(vals, len(self.value))
         word_of = np.repeat(np.arange(len(grams)), grams)
         word = np.bincount(word_of, weights=self.value[bucket], minlength=len(grams)) / np.maximum(grams, 1)
-        if not len(idx):
-            return np.full(len(per), self.bias)
+        window, count = passages(per)
         v = len(vals)
-        key = np.sort(np.repeat(np.arange(len(per)), per) * v + idx)
+        key = np.sort(window * v + idx)
         key = key[np.concatenate(([True], key[1:] != key[:-1]))]
-        text_of = key // v
-        held = np.bincount(text_of, minlength=len(per))
-        return np.bincount(text_of, weights=word[key % v], minlength=len(per)) / np.maximum(held, LEAST_WORDS) + self.bias
+        total = int(count.sum())
+        mean = np.bincount(key // v, weights=word[key % v], minlength=total) / np.maximum(np.bincount(key // v, minlength=total), LEAST_WORDS)
+        some = count > 0
+        out[some] += np.maximum.reduceat(mean, (np.cumsum(count) - count)[some])
+        return out
+
+    def logits(self, col) -> np.ndarray:
+        return self.slope * self.worst(col) + self.offset
 
     def scores(self, col) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(col), -30, 30)))
 
 
-def bags(col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows: (start of each text's entries, bucket, weight); weights of a text sum to 1."""
-    starts, buckets, weights = [0], [], []
+def bags(col, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse rows of passages, at most PASSAGES of a text: (start of each one's entries, bucket, weight, text)."""
+    size, buckets, weights, texts = [], [], [], []
     for first in range(0, len(col), 256):  # a few texts at a time, for the driver's memory
         idx, vals, per = W.batch_words(col.slice(first, 256))
+        if not len(idx):
+            continue
         bucket, grams = gram_buckets(vals)
-        begin, at = np.concatenate(([0], np.cumsum(grams))), 0
-        for count in per.tolist():
-            own = np.unique(idx[at : at + count])
-            at += count
-            if len(own):
-                mine = W.ragged_take(bucket, begin, own)
-                w = np.repeat(1 / (grams[own] * max(len(own), LEAST_WORDS)), grams[own])
-                u, inv = np.unique(mine, return_inverse=True)
-                buckets.append(u.astype(np.int32))
-                weights.append(np.bincount(inv, w).astype(np.float32))
-            starts.append(starts[-1] + (len(u) if len(own) else 0))
+        begin = np.concatenate(([0], np.cumsum(grams)))
+        window, count = passages(per)
+        lot, text_of = rng.random(int(count.sum())), np.repeat(np.arange(len(per)), count)
+        order = np.lexsort((lot, text_of))
+        rank = np.empty(len(lot), np.int64)
+        rank[order] = np.arange(len(lot)) - np.repeat(np.cumsum(count) - count, count)
+        chosen = rank < PASSAGES
+        v = len(vals)
+        on = chosen[window]
+        key = np.unique(window[on] * v + idx[on])
+        row, word = key // v, key % v
+        held = np.maximum(np.bincount(row, minlength=len(lot)), LEAST_WORDS)
+        buckets.append(W.ragged_take(bucket, begin, word).astype(np.int32))
+        weights.append(np.repeat(1 / (grams[word] * held[row]), grams[word]).astype(np.float32))
+        size.append(np.bincount(row, weights=grams[word], minlength=len(lot)).astype(np.int64)[chosen])
+        texts.append(first + text_of[chosen])
     cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return np.array(starts), cat(buckets, np.int32), cat(weights, np.float32)
+    return np.concatenate(([0], np.cumsum(cat(size, np.int64)))), cat(buckets, np.int32), cat(weights, np.float32), cat(texts, np.int64)
 
 
-def fit(col, y: np.ndarray, epochs: int = 8, batch: int = 100, rate: float = 0.05, seed: int = 1) -> SubwordModel:
-    """Joint training of n-gram vectors and softmax, both classes with equal weight."""
-    if not len(y) or y.min() == y.max():
-        return SubwordModel(np.zeros(BUCKETS), 0.0)
-    rng = np.random.default_rng(seed)
-    start, bucket, weight = bags(col)
-    vec = rng.normal(0, 0.01, (BUCKETS, DIMENSION)).astype(np.float32)
-    out = rng.normal(0, 0.5, (DIMENSION, 2)).astype(np.float32)
-    bias = np.zeros(2, np.float32)
-    cls = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
-    m1, m2, t = [np.zeros_like(p) for p in (vec, out, bias)], [np.zeros_like(p) for p in (vec, out, bias)], 0
-    epochs = max(epochs, -(-LEAST_UPDATES * batch // len(y)))
+def _descend(net: list[np.ndarray], start: np.ndarray, bucket: np.ndarray, weight: np.ndarray, rows: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> None:
+    """Joint training of vectors and softmax on the passages ``rows``, both classes with equal weight."""
+    vec, out, _ = net
+    share = max(y.mean(), 1e-9)
+    cls = np.where(y == 1, 0.5 / share, 0.5 / max(1 - share, 1e-9)).astype(np.float32)
+    m1, m2, t = [np.zeros_like(p) for p in net], [np.zeros_like(p) for p in net], 0
+    batch = min(BATCH, max(64, len(rows) // 8))
+    epochs = max(EPOCHS, -(-LEAST_UPDATES * batch // len(rows)))
     for epoch in range(epochs):
-        order = rng.permutation(len(y))
-        for a in range(0, len(y), batch):
-            rows = order[a : a + batch]
-            size = (start[rows + 1] - start[rows]).astype(np.int64)
-            at = W.ragged_take(np.arange(len(bucket)), start, rows)
-            row = np.repeat(np.arange(len(rows)), size)
+        order = rng.permutation(len(rows))
+        for a in range(0, len(order), batch):
+            pick = order[a : a + batch]
+            mine = rows[pick]
+            row = np.repeat(np.arange(len(mine)), start[mine + 1] - start[mine])
+            at = W.ragged_take(np.arange(len(bucket)), start, mine)
             b, w = bucket[at], weight[at]
             part = vec[b] * w[:, None]
-            hidden = np.stack([np.bincount(row, part[:, k], len(rows)) for k in range(DIMENSION)], 1).astype(np.float32) * SCALE
-            z = hidden @ out + bias
+            hidden = np.stack([np.bincount(row, part[:, k], len(mine)) for k in range(DIMENSION)], 1).astype(np.float32) * SCALE
+            z = hidden @ out + net[2]
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            p[np.arange(len(rows)), y[rows].astype(int)] -= 1
-            p *= cls[rows][:, None] / len(rows)
+            p[np.arange(len(mine)), y[pick]] -= 1
+            p *= cls[pick][:, None] / len(mine)
             dh = (p @ out.T) * SCALE
-            grads = [np.stack([np.bincount(b, dh[row, k] * w, BUCKETS) for k in range(DIMENSION)], 1).astype(np.float32), hidden.T @ p, p.sum(0)]
+            grads = [np.stack([np.bincount(b, dh[row, k] * w, len(vec)) for k in range(DIMENSION)], 1).astype(np.float32), hidden.T @ p, p.sum(0)]
             t += 1
-            lr = rate * (1 - epoch / epochs)
-            for q, g, u, v in zip((vec, out, bias), grads, m1, m2, strict=True):
+            lr = RATE * (1 - epoch / epochs)
+            for q, g, u, v in zip(net, grads, m1, m2, strict=True):
                 u *= 0.9
                 u += 0.1 * g
                 v *= 0.999
                 v += 0.001 * g * g
+                q *= 1 - lr * DECAY
                 q -= lr * (u / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    turn = out[:, 1] - out[:, 0]
-    met = np.bincount(bucket, minlength=BUCKETS) >= LEAST_TEXTS
-    return SubwordModel(np.where(met, vec @ turn, 0).astype(np.float64) * float(SCALE), float(bias[1] - bias[0]))
 
 
-#: A text's mean is stretched by this, as few of its words bear on the label.
-SCALE = np.float32(20.0)
+def fit(col, y: np.ndarray, seed: int = 1) -> SubwordModel:
+    y = np.asarray(y).astype(np.int64)
+    if not len(y) or y.min() == y.max():
+        return SubwordModel(np.zeros(BUCKETS), 0.0)
+    rng = np.random.default_rng(seed)
+    start, bucket, weight, text = bags(col, rng)
+    if not len(text):
+        return SubwordModel(np.zeros(BUCKETS), 0.0)
+    of = np.repeat(text, np.diff(start))
+    pairs = np.unique(bucket.astype(np.int64) * len(y) + of)
+    met = np.bincount(pairs // len(y), minlength=BUCKETS) >= LEAST_TEXTS
+    on = met[bucket]
+    start = np.concatenate(([0], np.cumsum(on)))[start]
+    bucket, weight = bucket[on], weight[on]
+    net = [rng.normal(0, 0.01, (BUCKETS, DIMENSION)).astype(np.float32), rng.normal(0, 0.5, (DIMENSION, 2)).astype(np.float32), np.zeros(2, np.float32)]
+    _descend(net, start, bucket, weight, np.arange(len(text)), y[text], rng)
+
+    def model() -> SubwordModel:
+        turn = net[1][:, 1] - net[1][:, 0]
+        return SubwordModel(np.where(met, net[0] @ turn, 0).astype(np.float64) * float(SCALE), float(net[2][1] - net[2][0]))
+
+    value = model().value
+    row = np.repeat(np.arange(len(text)), np.diff(start))
+    logit = np.bincount(row, value[bucket] * weight, len(text))
+    order = np.lexsort((-logit, text))
+    rank = np.empty(len(text), np.int64)
+    rank[order] = np.arange(len(text)) - np.searchsorted(text[order], text[order], side="left")
+    bar = np.quantile(logit[y[text] == 0], 0.98) if (y[text] == 0).any() else 0.0
+    rows = np.flatnonzero((y[text] == 0) | ((rank < WORST) & (logit > bar)) | (rank == 0))
+    _descend(net, start, bucket, weight, rows, y[text[rows]], rng)
+    out = model()
+    worst = np.concatenate([out.worst(col.slice(a, 256)) for a in range(0, len(col), 256)])
+    return SubwordModel(out.value, out.bias, *curve(worst, y))
+
+
+def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic curve of y over x by Newton's method, slightly shrunk; a false alarm weighs as two misses."""
+    w = np.where(y == 1, 0.5 / y.mean(), 1.0 / (1 - y.mean()))
+    mid, size = x.mean(), x.std() + 1e-9
+    m = np.stack(((x - mid) / size, np.ones(len(x))), 1)
+    c = np.zeros(2)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(m @ c, -30, 30)))
+        h = (m * (w * p * (1 - p))[:, None]).T @ m + np.diag([0.5, 1e-6])
+        c = c + np.linalg.solve(h, m.T @ (w * (y - p)) - np.array([0.5, 1e-6]) * c)
+    slope = max(float(c[0] / size), 0.0)
+    return slope, float(c[1] - slope * mid)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held_out: int = 1, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> SubwordModel:
