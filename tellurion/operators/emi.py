@@ -171,7 +171,8 @@ def device(app_id: int, name: str, config: str, gps: bool, gps_dec: tuple[float,
         raise ValueError(f"config must be one of {CONFIGURATIONS}")
     if len(tr_l) != len(tr_t) or len(freq) != len(tr_l):
         raise ValueError("a device has one pair of coil offsets and one frequency per channel")
-    return {"app_id": app_id, "app_name": name, "config": config, "gps": gps, "gps_dec": list(gps_dec), "nb_channels": len(tr_l), "tr_l": tr_l, "tr_t": tr_t, "tr": [round(math.hypot(a, b), 2) for a, b in zip(tr_l, tr_t, strict=True)], "height": height, "freq_list": freq, "bucking_coil": bucking_coil}
+    tr_l, tr_t, freq = ([float(v) for v in part] for part in (tr_l, tr_t, freq))
+    return {"app_id": app_id, "app_name": name, "config": config, "gps": gps, "gps_dec": [float(v) for v in gps_dec], "nb_channels": len(tr_l), "tr_l": tr_l, "tr_t": tr_t, "tr": [round(math.hypot(a, b), 2) for a, b in zip(tr_l, tr_t, strict=True)], "height": float(height), "freq_list": freq, "bucking_coil": bucking_coil}
 
 
 DEVICES = "app_id int, app_name string, config string, gps boolean, gps_dec array<double>, nb_channels int, tr_l array<double>, tr_t array<double>, tr array<double>, height double, freq_list array<double>, bucking_coil int"
