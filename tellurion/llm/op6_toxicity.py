@@ -226,11 +226,20 @@ def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held_out: int = 1, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> SubwordModel:
+    """Fit on a bounded sample, in one task of an executor; the driver gets the finished model."""
     ship_package(docs.sparkSession)
-    got = labelled.sample(docs, labels, label, modulus, held_out, per_class, id_col, text_col).toArrow()
-    got = got.sort_by([("text", "ascending"), ("y", "ascending")])  # rows arrive in any order
-    text = got.column("text").combine_chunks()
-    return fit(text, got.column("y").to_numpy())
+    sample = labelled.sample(docs, labels, label, modulus, held_out, per_class, id_col, text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(list(batches), pa.schema([("text", pa.string()), ("y", pa.int32())]))
+        got = got.sort_by([("text", "ascending"), ("y", "ascending")])  # rows arrive in any order
+        m = fit(got.column("text").combine_chunks(), got.column("y").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([m.value.tobytes()], pa.binary()), *(pa.array([v]) for v in (m.bias, m.slope, m.offset))], ["value", "bias", "slope", "offset"])
+
+    rows = sample.repartition(1).mapInArrow(work, "value binary, bias double, slope double, offset double").collect()  # one row
+    if not rows:
+        return SubwordModel(np.zeros(BUCKETS), 0.0)
+    return SubwordModel(np.frombuffer(rows[0]["value"], np.float64), rows[0]["bias"], rows[0]["slope"], rows[0]["offset"])
 
 
 def score_documents(docs: DataFrame, model: SubwordModel, modulus: int = 3, held_out: int = 1, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:

@@ -191,7 +191,7 @@ def unit_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.diff(np.searchsorted(starts, off))
 
 
-def slices(batch: pa.RecordBatch, col: int, max_bytes: int = 6 << 20, max_rows: int = 4096):
+def slices(batch: pa.RecordBatch, col: int, max_bytes: int = 3 << 20, max_rows: int = 4096):
     """Pieces of a batch with about max_bytes of text each, to bound a worker's memory."""
     n = batch.num_rows
     if not n:
