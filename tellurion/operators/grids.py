@@ -281,8 +281,8 @@ def tile_density(points: DataFrame, n: int = 100, radius: int = 2, power: float
 
 
 def tile_mask(points: DataFrame, n: int = 100, radius: int = 2, power: float = 0.0) -> DataFrame:
-    """Tiles with enough points near: density above 1."""
-    return tile_density(points, n, radius, power).where("density > 1").select(*CELL)
+    """Tiles with enough points near: density above 1 (to nine decimals, so that the order of sums can't decide)."""
+    return tile_density(points, n, radius, power).where("round(density, 9) > 1").select(*CELL)
 
 
 def tile_mask_round(points: DataFrame, n: int = 100, radius: int = 3) -> DataFrame:

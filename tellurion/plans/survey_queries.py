@@ -208,7 +208,7 @@ add("clahe", _gr(lambda g: _cells(G.clahe(g, (16, 16)))))
 _TILE = "greatest(least(CAST(ceil((p.{c} - lo{c}) / ((hi{c} - lo{c}) / 40) - 0.5) - 1 AS INT), 39), 0)"
 _TILES = f"{_P}, b AS (SELECT min(x) lox, max(x) hix, min(y) loy, max(y) hiy FROM p), t AS (SELECT {_TILE.format(c='y')} AS ty, {_TILE.format(c='x')} AS tx, count(*) AS c FROM p, b GROUP BY ALL), k AS (SELECT dy, dx, 1 - sqrt(dy * dy + dx * dx) / 3 AS w FROM range(-2, 3) a(dy), range(-2, 3) b(dx) WHERE dy * dy + dx * dx <= 4), d AS (SELECT CAST(ty + dy AS INT) AS iy, CAST(tx + dx AS INT) AS ix, sum(c * w) / (4 / 3.0) AS density FROM t, k WHERE ty + dy BETWEEN 0 AND 39 AND tx + dx BETWEEN 0 AND 39 GROUP BY ALL)"
 add("tile_heatmap", _ev(lambda p: _r(G.tile_density(p, 40, 2, 1.0).drop("survey_id"), "density")), f"WITH {_TILES} SELECT iy, ix, round(density, 6) AS density FROM d")
-add("tile_mask", _ev(lambda p: G.tile_mask(p, 40, 2, 1.0).drop("survey_id")), f"WITH {_TILES} SELECT iy, ix FROM d WHERE density > 1")
+add("tile_mask", _ev(lambda p: G.tile_mask(p, 40, 2, 1.0).drop("survey_id")), f"WITH {_TILES} SELECT iy, ix FROM d WHERE round(density, 9) > 1")
 add("tile_mask_round", _ev(lambda p: G.tile_mask_round(p, 40, 2).drop("survey_id")))
 
 # correlation --------------------------------------------------------------------------------
