@@ -5,27 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package's modules (once per application)."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    sc.addPyFile(str(target))
-    _SHIPPED.add(sc.applicationId)
+from tellurion.shipping import ship_package
+
+__all__ = ["connected_components", "materialise", "remainder", "scratch_dir", "ship_package"]
 
 
 def scratch_dir(spark: SparkSession) -> str:
