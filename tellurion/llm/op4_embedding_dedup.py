@@ -17,6 +17,7 @@ rows count as further vectors. An empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialise, ship_package
 
-TABLES, PROBES, BLOCK, GROUP_ROWS = 8, 4, 512, 4000
+TABLES, PROBES, AXES, BLOCK, GROUP_ROWS = 8, 4, 3, 512, 4000
 
 
 def fast_hadamard(x: np.ndarray) -> np.ndarray:
@@ -54,34 +55,32 @@ def rotate(x: np.ndarray, seed: int) -> np.ndarray:
 def buckets(x: np.ndarray, tables: int = TABLES, probes: int = PROBES) -> np.ndarray:
     """(rows, tables, 1 + probes) bucket numbers; the first is the home bucket.
 
-    Probes swap one of the two axes for one of its runners-up, the least loss first.
+    A bucket is AXES signed axes, one per rotation. Probes swap one or two of them for runners-up,
+    the least loss of height first.
     """
-    n, top = len(x), 3
-    out = np.empty((n, tables, 1 + probes), np.int32)
+    n = len(x)
+    out = np.empty((n, tables, 1 + probes), np.int64)
     for t in range(tables):
-        axes, heights = [], []
-        for half in range(2):
-            y = rotate(x, 1000 * t + half)
-            k = min(top, y.shape[1])
+        axes, heights, wide = [], [], 1
+        for part in range(AXES):
+            y = rotate(x, 1000 * t + part)
+            k = min(3, y.shape[1])
             best = np.argpartition(-np.abs(y), k - 1, axis=1)[:, :k]
             h = np.take_along_axis(y, best, 1)
             order = np.argsort(-np.abs(h), axis=1, kind="stable")
             best, h = np.take_along_axis(best, order, 1), np.take_along_axis(h, order, 1)
-            axes.append(best * 2 + (h < 0))
-            heights.append(np.abs(h))
-        wide = 2 * y.shape[1]
-        codes, loss = [axes[0][:, 0] * wide + axes[1][:, 0]], []
-        for half in range(2):
-            for r in range(1, axes[half].shape[1]):
-                a, b = (axes[0][:, r], axes[1][:, 0]) if half == 0 else (axes[0][:, 0], axes[1][:, r])
-                codes.append(a * wide + b)
-                loss.append(heights[half][:, 0] - heights[half][:, r])
-        home, rest = codes[0], np.stack(codes[1:], 1) if loss else np.zeros((n, 0), np.int64)
-        if loss:
-            rest = np.take_along_axis(rest, np.argsort(np.stack(loss, 1), axis=1, kind="stable"), 1)
-        rest = rest[:, :probes]
-        full = np.concatenate([home[:, None], rest, np.repeat(home[:, None], probes - rest.shape[1], 1)], 1)
-        out[:, t] = full
+            axes.append((best * 2 + (h < 0)) * wide)
+            heights.append(np.abs(h[:, :1]) - np.abs(h))
+            wide *= 2 * y.shape[1]
+        codes, loss = [], []
+        for ranks in itertools.product(range(axes[0].shape[1]), repeat=AXES):
+            if sum(r > 0 for r in ranks) <= 2:
+                codes.append(sum(a[:, r] for a, r in zip(axes, ranks, strict=True)))
+                loss.append(sum(h[:, r] for h, r in zip(heights, ranks, strict=True)))
+        codes, loss = np.stack(codes, 1), np.stack(loss, 1)
+        order = np.argsort(loss[:, 1:], axis=1, kind="stable")[:, :probes] + 1  # the first is the home bucket, without loss
+        got = np.concatenate((codes[:, :1], np.take_along_axis(codes, order, 1)), 1)
+        out[:, t] = np.concatenate((got, np.repeat(codes[:, :1], 1 + probes - got.shape[1], 1)), 1)
     return out
 
 
@@ -105,6 +104,10 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds each class's bucket numbers (``codes``) and the distinct keys that it is filed under.
+
+    A key holds table, code and the vector's length (modulo 256).
+    """
     for b in batches:
         raw = b.column(2).to_pylist()
         by_size: dict[int, list[int]] = {}
@@ -113,20 +116,12 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for size, rows in by_size.items():
             x = np.frombuffer(b"".join(raw[i] for i in rows), np.float64).reshape(len(rows), -1)
             codes = buckets(x / np.sqrt((x * x).sum(1, keepdims=True)))
-            row, table, code = [], [], []
-            for t in range(codes.shape[1]):
-                c = np.sort(codes[:, t], axis=1)
-                fresh = np.ones(c.shape, bool)
-                fresh[:, 1:] = c[:, 1:] != c[:, :-1]
-                r, k = np.nonzero(fresh)
-                row.append(r)
-                table.append(np.full(len(r), t, np.int32))
-                code.append(c[r, k])
-            row, table, code = np.concatenate(row), np.concatenate(table), np.concatenate(code)
-            key = (code.astype(np.int64) << 32) + (np.int64(size) << 8) + table
-            place = pa.array(np.array(rows)[row])
-            lists = pa.array([codes[i].tobytes() for i in range(len(rows))], pa.binary()).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0).take(place), b.column(1).take(place), b.column(2).take(place), lists], ["bucket", "rep", "weight", "raw", "codes"])
+            keys = np.sort((codes << 16) + ((size // 8 & 255) << 8) + np.arange(codes.shape[1])[None, :, None], axis=2).reshape(len(rows), -1)
+            fresh = np.ones(keys.shape, bool)
+            fresh[:, 1:] = keys[:, 1:] != keys[:, :-1]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(fresh.sum(1)))), pa.int32()), pa.array(keys[fresh]))
+            place = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(place) for k in range(3)), pa.array([c.tobytes() for c in codes], pa.binary()), lists], ["rep", "weight", "raw", "codes", "keys"])
 
 
 def _find(parent: np.ndarray, i: int) -> int:
@@ -144,14 +139,18 @@ def _linker(limit: float):
         bucket, p, q, side = bucket[order], p[order], q[order], side[order]
         rep, weight = t.column("rep").to_numpy()[order], t.column("weight").to_numpy()[order]
         raw, codes = t.column("raw").take(pa.array(order)).to_pylist(), t.column("codes").take(pa.array(order)).to_pylist()
-        cut = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]), [True])))
+        wide = np.array([len(r) for r in raw])
+        order = np.lexsort((side, wide, q, p, bucket))  # lengths that agree modulo 256 only are kept apart
+        bucket, p, q, side, rep, weight, wide = (v[order] for v in (bucket, p, q, side, rep, weight, wide))
+        raw, codes = [raw[i] for i in order], [codes[i] for i in order]
+        cut = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]) | (wide[1:] != wide[:-1]), [True])))
         nodes, sums, ea, eb = [], [], [], []
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             if b - a < 2:
                 continue
             x = np.frombuffer(b"".join(raw[a:b]), np.float64).reshape(b - a, -1)
             x = x / np.sqrt((x * x).sum(1, keepdims=True))
-            table = int(bucket[a] & 255)
+            table, here = int(bucket[a] & 255), int(bucket[a] >> 16)
             if p[a] == q[a]:
                 i, j = np.nonzero(np.triu(x @ x.T >= limit, 1))
             else:
@@ -160,8 +159,7 @@ def _linker(limit: float):
                 j = j + m
             if not len(i):
                 continue
-            c = np.frombuffer(b"".join(codes[a:b]), np.int32).reshape(b - a, TABLES, -1)
-            here = int(bucket[a] >> 32)
+            c = np.frombuffer(b"".join(codes[a:b]), np.int64).reshape(b - a, TABLES, -1)
             old = np.zeros(len(i), bool)  # met before, in an earlier table or a lower bucket of this one?
             for s in range(0, len(i), 65536):
                 u, v = c[i[s : s + 65536], : table + 1], c[j[s : s + 65536], : table + 1]
@@ -202,14 +200,15 @@ def dedup(vectors: DataFrame, limit: float = 0.95, id_col: str = "vec_id", vecto
     rows = materialise(src.mapInArrow(_digests, "vec_id bigint, digest binary, raw binary"))
     able = rows.where("digest is not null and vec_id is not null")
     classes = materialise(able.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("raw").alias("raw")))
-    hashed = materialise(classes.select("rep", "weight", "raw").mapInArrow(_hashed, "bucket bigint, rep bigint, weight bigint, raw binary, codes binary"))
-    sizes = hashed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = hashed.join(sizes, "bucket").withColumn("blocks", blocks).withColumn("own", mine)
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", "rep", "weight", "raw", "codes", F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q"), (F.col("own") > F.col("o")).cast("int").alias("side"))
-    groups = max(1, hashed.count() // GROUP_ROWS)
+    hashed = materialise(classes.select("rep", "weight", "raw").mapInArrow(_hashed, "rep bigint, weight bigint, raw binary, codes binary, keys array<bigint>"))
+    filed = hashed.select("rep", F.explode("keys").alias("bucket"))  # narrow rows; vectors join those that have company
+    sizes = filed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialise(filed.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = shared.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", "rep", F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q"), (F.col("own") > F.col("o")).cast("int").alias("side"))
+    dealt = dealt.join(hashed.select("rep", "weight", "raw", "codes"), "rep")
+    groups = max(1, shared.count() // GROUP_ROWS)
     dealt = dealt.withColumn("g", F.pmod(F.xxhash64("bucket", "p", "q"), F.lit(groups)))
     found = materialise(dealt.groupBy("g").applyInArrow(_linker(limit), "node bigint, links bigint, other bigint"))
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
