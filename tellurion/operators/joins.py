@@ -139,7 +139,7 @@ def triangulate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.zeros((0, 3), int)
     lo, hi = pts[ids].min(0), pts[ids].max(0)
     mid, span = (lo + hi) / 2, max(float((hi - lo).max()), 1e-9)
-    far = np.array([mid + span * np.array(c) for c in ((-3e4, -2e4), (3e4, -2e4), (0, 4e4))])  # far off, so that slim triangles at the rim survive
+    far = np.array([mid + span * np.array(c) for c in ((-1500, -1000), (1500, -1000), (0, 2000))])  # far off, so that slim triangles at the rim survive
     n = len(pts)
     p = np.vstack((pts, far))
     tri = np.array([[n, n + 1, n + 2]])
