@@ -5,7 +5,8 @@ of the patch's centre of mass) and 128 binary tests of smoothed grey values, tur
 are cut into TABLES bands of 24 bits; images that agree in a band of some descriptor are joined through
 these Hamming tables, their pairs of descriptors are kept up to MAX_DISTANCE bits. Geometric
 consensus decides: each match proposes a turn, scale and shift, and the best proposal must be shared by
-LEAST matches. Images of equal bytes are one class, so large groups of copies cost one row.
+LEAST matches. Images of equal bytes are one class (by a 64-bit hash), so large groups of copies cost one row.
+Only corners that share a band with some query leave the scan; the set of the queries' bands is a bit map of fixed size.
 
 Reads binary PGM (P5), PPM (P6) and PNG (8 bits, grey, RGB or RGBA, not interlaced). Null, empty or
 unreadable images have no descriptors and match nothing. Repeated rows are all reported. Empty
@@ -169,21 +170,57 @@ def bands(code: np.ndarray) -> np.ndarray:
     return np.stack([(t << BAND_BITS) + (b[:, 3 * t] << 16) + (b[:, 3 * t + 1] << 8) + b[:, 3 * t + 2] for t in range(TABLES)], 1)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for a in range(0, whole.num_rows, 256):
-            b = whole.slice(a, 256)
-            by_shape: dict[tuple, list[tuple[int, np.ndarray]]] = {}
-            for i, raw in enumerate(b.column(1).to_pylist()):
-                x = decode(raw)
-                if x is not None and x.size:
-                    by_shape.setdefault(x.shape, []).append((i, x))
-            for group in by_shape.values():
-                img, y, x, pose, code = describe(np.stack([g[1] for g in group]).astype(float))
-                if len(img):
-                    ids = b.column(0).take(pa.array(np.array([g[0] for g in group])[img]))
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(img) * TABLES + 1, TABLES), pa.int32()), pa.array(bands(code).ravel()))
-                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(v) for v in (y, x, pose[:, 0], pose[:, 1])), pa.array([c.tobytes() for c in code], pa.binary()), lists], ["image", "y", "x", "angle", "scale", "code", "bands"])
+_NAMES = ["kind", "id", "image", "y", "x", "angle", "scale", "code", "bands"]
+_SCHEMA = "kind int, id bigint, image bigint, y double, x double, angle double, scale double, code binary, bands array<bigint>"
+
+
+def _features(wanted: np.ndarray | None = None):
+    """Kind 0: each image's id and class (a hash of its bytes). Kind 1: corners of a batch's distinct images.
+
+    wanted: a bit per band value; corners without a wanted band are left out.
+    """
+
+    def emit(n: int, **cols) -> pa.RecordBatch:
+        types = [pa.int32(), pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.binary(), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([cols[k] if k in cols else pa.nulls(n, t) for k, t in zip(_NAMES, types, strict=True)], _NAMES)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            done: set[int] = set()
+            for a in range(0, whole.num_rows, 256):
+                b = whole.slice(a, 256)
+                raws = b.column(1).to_pylist()
+                names = [None if r is None else int.from_bytes(hashlib.blake2b(r, digest_size=8).digest(), "little", signed=True) for r in raws]
+                yield emit(len(raws), kind=pa.array([0] * len(raws), pa.int32()), id=b.column(0), image=pa.array(names, pa.int64()))
+                by_shape: dict[tuple, list[tuple[int, np.ndarray]]] = {}
+                for name, raw in zip(names, raws, strict=True):
+                    if name is None or name in done:
+                        continue
+                    done.add(name)
+                    x = decode(raw)
+                    if x is not None and x.size:
+                        by_shape.setdefault(x.shape, []).append((name, x))
+                for group in by_shape.values():
+                    img, y, x, pose, code = describe(np.stack([g[1] for g in group]).astype(float))
+                    band = bands(code)
+                    if wanted is not None and len(img):
+                        on = ((wanted[band >> 3] >> (band & 7).astype(np.uint8)) & 1).any(1)
+                        img, y, x, pose, code, band = (v[on] for v in (img, y, x, pose, code, band))
+                    n = len(img)
+                    if n:
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * TABLES + 1, TABLES), pa.int32()), pa.array(band.ravel()))
+                        yield emit(n, kind=pa.array([1] * n, pa.int32()), image=pa.array(np.array([g[0] for g in group], np.int64)[img]), y=pa.array(y), x=pa.array(x), angle=pa.array(pose[:, 0]), scale=pa.array(pose[:, 1]), code=pa.array([c.tobytes() for c in code], pa.binary()), bands=lists)
+
+    return work
+
+
+def _bits(t: pa.Table) -> pa.Table:
+    """One part of the set of band values as bits."""
+    part = t.column("part")[0].as_py()
+    out = np.zeros(1 << 13, np.uint8)
+    low = np.unique(t.column("band").to_numpy()) & 0xFFFF
+    np.bitwise_or.at(out, low >> 3, np.left_shift(1, low & 7).astype(np.uint8))
+    return pa.table({"part": pa.array([part], pa.int64()), "bits": pa.array([out.tobytes()], pa.binary())})
 
 
 def consensus(q: np.ndarray, c: np.ndarray) -> int:
@@ -218,16 +255,27 @@ def find_copies(queries: DataFrame, images: DataFrame, id_col: str, media_col: s
     """(query_id, match_id, inliers): for each query image all images that it is a crop or edit of, or the reverse."""
     ship_package(images.sparkSession)
 
-    def classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        named = df.select(F.col(id_col).cast("long").alias("id"), F.sha2(F.col(media_col), 256).alias("digest"), F.col(media_col).alias("media")).where("id is not null and media is not null")
-        reps = named.groupBy("digest").agg(F.min("id").alias("rep"), F.first("media").alias("media"))
-        return materialise(named.select("id", "digest").join(reps.select("digest", "rep"), "digest").select("id", "rep")), materialise(reps.select("rep", "media"))
+    def source(df: DataFrame) -> DataFrame:
+        return df.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")).where("id is not null and media is not null")
+
+    def corners(df: DataFrame) -> DataFrame:
+        return df.where("kind = 1").dropDuplicates(["image", "y", "x", "scale", "code"])
+
+    left = materialise(source(queries).mapInArrow(_features(), _SCHEMA))
+    band = left.where("kind = 1").select(F.explode("bands").alias("band")).distinct()
+    parts = band.select("band", F.shiftright("band", 16).alias("part")).groupBy("part").applyInArrow(_bits, "part bigint, bits binary").collect()
+    wanted = np.zeros(TABLES << (BAND_BITS - 3), np.uint8)  # 10 MB, whatever the number of queries
+    for r in parts:
+        wanted[r["part"] << 13 : (r["part"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
+    shared = images.sparkSession.sparkContext.broadcast(wanted)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _features(shared.value)(batches)
 
-    schema = "image bigint, y double, x double, angle double, scale double, code binary, bands array<bigint>"
-    q_members, q_reps = classes(queries)
-    c_members, c_reps = classes(images)
-    q = q_reps.mapInArrow(_features, schema).select(F.col("image").alias("query"), F.col("y").alias("qy"), F.col("x").alias("qx"), F.col("angle").alias("qa"), F.col("scale").alias("qs"), F.col("code").alias("qcode"), F.explode("bands").alias("band"))
-    c = c_reps.mapInArrow(_features, schema).select("image", F.col("y").alias("cy"), F.col("x").alias("cx"), F.col("angle").alias("ca"), F.col("scale").alias("cs"), F.col("code").alias("ccode"), F.explode("bands").alias("band"))
+    right = materialise(source(images).mapInArrow(index, _SCHEMA))
+    q = corners(left).select(F.col("image").alias("query"), F.col("y").alias("qy"), F.col("x").alias("qx"), F.col("angle").alias("qa"), F.col("scale").alias("qs"), F.col("code").alias("qcode"), F.explode("bands").alias("band"))
+    c = corners(right).select("image", F.col("y").alias("cy"), F.col("x").alias("cx"), F.col("angle").alias("ca"), F.col("scale").alias("cs"), F.col("code").alias("ccode"), F.explode("bands").alias("band"))
+    q_members, c_members = (d.where("kind = 0").select("id", F.col("image").alias("rep")) for d in (left, right))
     words = lambda col: [F.conv(F.hex(F.substring(col, k, 4)), 16, 10).cast("long") for k in (1, 5, 9, 13)]
     distance = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(words(F.col("qcode")), words(F.col("ccode")), strict=True)), F.lit(0))
     hits = q.join(c, "band").where(distance <= MAX_DISTANCE).drop("band", "qcode", "ccode").distinct()
