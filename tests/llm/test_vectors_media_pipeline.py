@@ -138,6 +138,43 @@ def test_crops_and_edits_are_found(spark):
     assert M.find_copies(queries.limit(0), images, "id", "media").count() == 0
 
 
+def pgm(image):
+    return bytearray(M.encode_pgm(np.clip(image, 0, 255)))
+
+
+def test_media_matches_against_brute_force():
+    codes = [M.describe(np.stack([f(M.render(i)) for i in range(40)]))[4] for f in (lambda x: x, lambda x: M.warp(x, 0.5, 1.15))]
+    far = np.bitwise_count(codes[1][:, None] ^ codes[0][None]).sum(2)
+    want = set(zip(*np.nonzero(far <= M.MAX_DISTANCE), strict=True))
+    got = set(zip(*M.Tables(codes[1]).matches(codes[0]), strict=True))
+    assert got <= want and len(got) >= 0.9 * len(want) > 100
+    rng = np.random.default_rng(0)  # pairs at the very bound
+    a = rng.integers(0, 256, (3000, 16)).astype(np.uint8)
+    b = a ^ np.packbits(rng.permuted(np.arange(128) < M.MAX_DISTANCE + np.zeros((3000, 1)), axis=1), axis=1)
+    q, c = M.Tables(a).matches(b)
+    assert (q == c).sum() >= 0.9 * 3000
+
+
+def test_media_turned_rescaled_noisy_repeated(spark):
+    n = 40
+    images = spark.createDataFrame([(i, pgm(M.render(i))) for i in range(n)] + [(n + i, pgm(M.render(i))) for i in range(0, n, 4)], "id bigint, media binary")
+    edits = {100: lambda x, i: M.warp(x, 0.15 + i), 200: lambda x, i: M.warp(x, scale=0.8), 300: lambda x, i: M.warp(x, scale=1.3), 400: lambda x, i: x + np.random.default_rng(i).normal(0, 12, x.shape)}
+    queries = spark.createDataFrame([(k + i, pgm(f(M.render(i), i))) for k, f in edits.items() for i in range(0, n, 4)], "id bigint, media binary")
+    got = {(r["query_id"], r["match_id"]) for r in M.find_copies(queries, images, "id", "media").collect()}
+    for k in edits:
+        want = {(k + i, j) for i in range(0, n, 4) for j in (i, n + i)}
+        assert len(got & want) >= 0.9 * len(want), k
+    assert all(m % n == q % 100 for q, m in got)
+
+
+def test_media_blocks_of_queries(spark, monkeypatch):
+    images = spark.createDataFrame([(i, pgm(M.render(i))) for i in range(12)], "id bigint, media binary")
+    whole = sorted(map(tuple, M.find_copies(images, images, "id", "media").collect()))
+    monkeypatch.setattr(M, "BLOCK", 100)
+    assert [w[:2] for w in whole] == [(i, i) for i in range(12)]
+    assert sorted(map(tuple, M.find_copies(images, images, "id", "media").collect())) == whole
+
+
 # the pipeline ------------------------------------------------------------------------------------
 
 
