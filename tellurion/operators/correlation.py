@@ -16,15 +16,25 @@ def correlation_map(df: DataFrame) -> DataFrame:
     """(survey_id, ix, lag, r): each column against its left neighbour.
 
     Rows where both are valid are closed up; products are summed by lag and divided by both population
-    deviations and their number. Values are not demeaned.
+    deviations and their number. Values are not demeaned. One task holds a column whole.
     """
     left = df.select("survey_id", (F.col("ix") + 1).alias("ix"), "iy", F.col("z").alias("u"))
     both = df.join(left, ["survey_id", "ix", "iy"]).where("z is not null and u is not null")
-    col = both.groupBy(*PROFILE).agg(F.array_sort(F.collect_list(F.struct("iy", "z", "u"))).alias("a"), F.stddev_pop("z").alias("sz"), F.stddev_pop("u").alias("su"), F.count("*").alias("n"))
-    z = col.select(*PROFILE, "sz", "su", "n", "a", F.posexplode("a").alias("i", "p")).select(*PROFILE, "sz", "su", "n", "a", "i", F.col("p.z").alias("z"))
-    pairs = z.select(*PROFILE, "sz", "su", "n", "i", "z", F.posexplode("a").alias("j", "q"))
-    out = pairs.groupBy(*PROFILE, (F.col("i") - F.col("j")).alias("lag")).agg(F.sum(F.col("z") * F.col("q.u")).alias("s"), F.first("sz").alias("sz"), F.first("su").alias("su"), F.first("n").alias("n"))
-    return out.select(*PROFILE, "lag", F.try_divide(F.col("s"), F.col("sz") * F.col("su") * F.col("n")).alias("r"))
+
+    def lags(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("iy")
+        z, u = g["z"].to_numpy(float), g["u"].to_numpy(float)
+        n, d = len(g), g["z"].std(ddof=0) * g["u"].std(ddof=0)
+        if n < 256 or not (np.isfinite(z).all() and np.isfinite(u).all()):
+            s = np.correlate(z, u, "full")
+        else:
+            size = 1 << (2 * n - 1).bit_length()
+            s = np.fft.irfft(np.fft.rfft(z, size) * np.fft.rfft(u[::-1], size), size)[: 2 * n - 1]
+        r = s / (d * n) if d else np.full(2 * n - 1, np.nan)
+        return pd.DataFrame({"survey_id": g["survey_id"].iloc[0], "ix": g["ix"].iloc[0], "lag": np.arange(1 - n, n), "r": r, "flat": not d})
+
+    out = both.select(*PROFILE, "iy", "z", "u").groupBy(*PROFILE).applyInPandas(lags, "survey_id string, ix int, lag int, r double, flat boolean")
+    return out.select(*PROFILE, "lag", F.when(~F.col("flat"), F.col("r")).alias("r"))
 
 
 def correlation_sum(df: DataFrame) -> DataFrame:

@@ -271,7 +271,16 @@ for _n, _f in (
     ("gradient_to_fluxgate", lambda g: S.convert_sensor(g, "Gradient", "Fluxgate")), ("fluxgate_to_field", lambda g: S.convert_sensor(g, "Fluxgate", "TotalField")), ("plough_filter", lambda g: S.plough_filter(g, 30.0, 2.0, 0.3)),
 ):
     add(_n, _gr(lambda g, _f=_f: _r(_f(g).select("iy", "ix", "z"), "z")))
-add("euler_deconvolution", lambda spark, d: S.euler(embeddings_grid(spark, d, (0, 63)), 3.0).select("iy", "ix", F.round("depth", 4).alias("depth")))
+add("euler_deconvolution", _gr(lambda g: S.euler(g, 3.0).select("iy", "ix", F.round("depth", 4).alias("depth"))))
+
+# the queries whose SQL reads the first 40 or 8 rows only, over the whole table; SQL would take too long on it
+add("correlation_map_whole", _gr(lambda g: _r(C.correlation_map(g).drop("survey_id"), "r")))
+add("correlation_sum_whole", _gr(lambda g: _r(C.correlation_sum(g).drop("survey_id"), "r")))
+add("correlation_peak_whole", _gr(lambda g: C.peak_lag(g).drop("survey_id")))
+add("profile_kendall_whole", _gr(lambda g: _r(C.ranked_correlation(g, "kendall").drop("survey_id"), "r")))
+add("fft2_whole", _gr(lambda g: _r(S.fft2(g).select(F.col("ky").cast("int").alias("ky"), F.col("kx").cast("int").alias("kx"), "re", "im"), "re", "im", digits=5)))
+add("spectrum_power_whole", _gr(lambda g: _r(S.spectrum(g, "power").select(F.col("ky").cast("int").alias("ky"), F.col("kx").cast("int").alias("kx"), "s"), "s", digits=5)))
+add("continuation_up_whole", _gr(lambda g: _r(S.continue_field(g, 1.5).select("iy", "ix", "z"), "z", digits=5)))
 
 # interpolation and functions -----------------------------------------------------------------------
 
