@@ -5,8 +5,7 @@ commonest words make the model's vocabulary, cut by frequency into classes; all
 rare classes by their last byte and whether they hold non-ASCII bytes. The output is
 factored: P(class | state) by softmax, P(word | class, state) by a softmax inside the class, and inside a rare
 class by smoothed counts. Gated units (GRU) are trained by truncated
-backpropagation (Adam). Every training document gives a run of its windows, one window in
-WINDOW_SHARE rounded up, so what is learnt from grows with the corpus. Partitions
+backpropagation (Adam) on all windows of every training document, each in one round. Partitions
 train copies of the model which are averaged block by block in ROUNDS rounds, each over
 its own documents. Scoring walks through whole documents window by window with the state carried.
 
@@ -31,8 +30,8 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import materialise, remainder, ship_package
 
-VOCABULARY, FREQUENT, CLASSES, LAST = 2000, 200_000, 32, 12
-EMBEDDING, HIDDEN, STEPS, BATCH, WINDOW_SHARE, ROUNDS, BLOCKS = 16, 24, 32, 64, 8, 3, 16
+VOCABULARY, FREQUENT, CLASSES, LAST = 16_000, 200_000, 32, 12
+EMBEDDING, HIDDEN, STEPS, BATCH, ROUNDS, BLOCKS = 16, 24, 32, 64, 3, 16
 SLICE_BYTES = 12 << 20
 RARE = 2 * LAST
 LOG10 = np.log(10.0)
@@ -236,22 +235,20 @@ def text_logs(p: dict, lex: Lexicon, per: np.ndarray, idx: np.ndarray, cls: np.n
 
 
 def train_texts(p: dict, lex: Lexicon, opt: Adam, per: np.ndarray, idx: np.ndarray, cls: np.ndarray, word: np.ndarray, sym: np.ndarray) -> int:
-    """Updates over a run of each text's windows; returns the tokens learnt from."""
+    """Updates over all windows of each text; returns the tokens learnt from."""
     start, length, c, w, x = _layout(per, idx, cls, word, sym, len(lex.word_class))
     windows = -(-length // STEPS)
-    run = -(-windows // WINDOW_SHARE)
-    first = (W.mix64((length * 31 + np.arange(len(length))).astype(np.uint64)) % (windows - run + 1).astype(np.uint64)).astype(np.int64)
-    order, seen = np.argsort(-run, kind="stable"), 0
+    order, seen = np.argsort(-windows, kind="stable"), 0
     for a in range(0, len(order), BATCH):
         group = order[a : a + BATCH]
         h = np.zeros((len(group), HIDDEN), np.float32)
-        for k in range(int(run[group[0]])):
-            active = int((run[group] > k).sum())
+        for k in range(int(windows[group[0]])):
+            active = int((windows[group] > k).sum())
             rows = group[:active]
-            begin = (first[rows] + k) * STEPS
+            begin = k * STEPS
             left = np.minimum(length[rows] - begin, STEPS)
             steps = int(left.max())
-            place = start[rows][:, None] + begin[:, None] + np.minimum(np.arange(steps), left[:, None] - 1)
+            place = start[rows][:, None] + begin + np.minimum(np.arange(steps), left[:, None] - 1)
             live = np.arange(steps) < left[:, None]
             states, kept = run_window(p, x[place], h[:active])
             grads = {n: np.zeros_like(v) for n, v in p.items()}

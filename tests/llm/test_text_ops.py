@@ -236,6 +236,16 @@ def test_language_model_on_odd_input(spark):
 # classifiers -------------------------------------------------------------------------------
 
 
+def test_gru_learns_from_every_window():
+    lex = L.make_lexicon(np.arange(10, 60), np.arange(50, 0, -1), np.full(L.RARE, 2000.0), np.full(L.RARE, 60.0), np.zeros(50, int), 9, 2000, 90)
+    p = L.start_params(lex)
+    per = np.array([40 * L.STEPS + 3, 0, 5, 8 * L.STEPS])
+    idx = np.arange(int(per.sum())) % 50
+    word = 1 + np.arange(50)
+    assert L.train_texts(p, lex, L.Adam(p, 0.01), per, idx, lex.word_class[word], word, word) == (per + 1).sum()
+    assert len(L.make_lexicon(np.arange(9000), np.arange(9000, 0, -1), np.full(L.RARE, 1e8), np.full(L.RARE, 1e4), np.zeros(9000, int), 9, 10**8, 10**5).words) == 9000
+
+
 def test_quality_and_toxicity_on_held_out_rows(spark, sf_dir):
     big = sf_dir.replace("sf0.001", "sf0.1")
     d, lab = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
