@@ -1,6 +1,6 @@
 """Media columns: local descriptors find cropped or edited copies of images.
 
-An image's pyramid is searched for corners (Harris); the strongest get an orientation (direction
+An image's pyramid is searched for corners (Harris); the strongest of each cell of pixels, so that their number grows with the area, get an orientation (direction
 of the patch's centre of mass) and 128 binary tests of smoothed grey values, turned by it. Descriptors
 are searched in tables keyed by random choices of their bits, so many that pairs up to MAX_DISTANCE bits apart are found
 (see Tables). Geometric consensus decides: each match proposes a turn, scale and shift, and the best proposal must be shared by
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, ship_package
 
-CORNERS, SCALES = 28, (1.0, 0.75, 0.5)
+#: Each cell of CELL x CELL pixels keeps its CORNERS strongest corners over all scales.
+CORNERS, CELL, SCALES = 28, 72, (1.0, 0.75, 0.5)
 MAX_DISTANCE, LEAST, SLACK, RADIUS = 26, 7, 3.0, 7
 #: Query corners searched for at a time, bits of a table's key, and the share of pairs at MAX_DISTANCE bits that all tables may miss.
 BLOCK, WIDTHS, MISSED = 1 << 18, (8, 16), 0.04
@@ -133,6 +134,19 @@ def _resize(x: np.ndarray, scale: float) -> np.ndarray:
     return top * (1 - fy) + low * fy
 
 
+def _cells(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return (y // CELL).astype(np.int64) * (1 << 32) + (x // CELL).astype(np.int64)
+
+
+def _strongest(img: np.ndarray, cell: np.ndarray, height: np.ndarray) -> np.ndarray:
+    """Rows of the CORNERS strongest of each cell of each image."""
+    order = np.lexsort((-height, cell, img))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (np.diff(img[order]) != 0) | (np.diff(cell[order]) != 0)
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+    return order[np.arange(len(order)) - first < CORNERS]
+
+
 def describe(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(image, y, x, angle with scale, 16 descriptor bytes) of the corners of equally large images."""
     found = []
@@ -152,11 +166,12 @@ def describe(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         inner = np.full(r.shape, -np.inf)
         inner[:, rim:-rim, rim:-rim] = r[:, rim:-rim, rim:-rim]
         flat = inner.reshape(len(r), -1)
-        k = min(CORNERS, flat.shape[1])
-        best = np.argpartition(-flat, k - 1, axis=1)[:, :k]
-        height = np.take_along_axis(flat, best, 1)
-        img, slot = np.nonzero(np.isfinite(height))
-        at = best[img, slot]
+        # the strongest of each cell of CELL pixels of the whole image; a cell keeps CORNERS of all scales below
+        img, at = np.nonzero(np.isfinite(flat))
+        strong = flat[img, at]
+        cell = _cells(at // r.shape[2] / scale, at % r.shape[2] / scale)
+        keep = _strongest(img, cell, strong)
+        img, at, strong = img[keep], at[keep], strong[keep]
         y, z = at // r.shape[2], at % r.shape[2]
         patch = x[img[:, None, None], y[:, None, None] + yy, z[:, None, None] + xx] * disc
         angle = np.arctan2((patch * yy).sum((1, 2)), (patch * xx).sum((1, 2)))
@@ -166,16 +181,12 @@ def describe(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
             return x[img[:, None], y[:, None] + np.rint(si * dx + co * dy).astype(int), z[:, None] + np.rint(co * dx - si * dy).astype(int)]
 
         bits = sample(_TESTS[:, 0], _TESTS[:, 1]) < sample(_TESTS[:, 2], _TESTS[:, 3])
-        found.append((img, y / scale, z / scale, np.stack((angle, np.full(len(img), scale)), 1), np.packbits(bits, axis=1), height[img, slot]))
+        found.append((img, y / scale, z / scale, np.stack((angle, np.full(len(img), scale)), 1), np.packbits(bits, axis=1), strong))
     if not found:
         return np.zeros(0, int), np.zeros(0), np.zeros(0), np.zeros((0, 2)), np.zeros((0, 16), np.uint8)
     img, y, x, pose, code, height = (np.concatenate([f[i] for f in found]) for i in range(6))
-    order = np.lexsort((-height, img))
-    img = img[order]
-    first = np.searchsorted(img, img, side="left")
-    order = order[np.arange(len(img)) - first < CORNERS]
-    full = np.concatenate([f[0] for f in found])
-    return full[order], y[order], x[order], pose[order], code[order]
+    order = _strongest(img, _cells(y, x), height)
+    return img[order], y[order], x[order], pose[order], code[order]
 
 
 class Tables:

@@ -167,6 +167,20 @@ def test_media_turned_rescaled_noisy_repeated(spark):
     assert all(m % n == q % 100 for q, m in got)
 
 
+def large(seed, side=360):
+    return np.block([[M.render(1000 * seed + 5 * i + j) for j in range(side // 72)] for i in range(side // 72)])
+
+
+def test_media_small_crops_of_large_images(spark):
+    """Crops of a tenth of the area."""
+    n = 8
+    images = spark.createDataFrame([(i, pgm(large(i))) for i in range(n)], "id bigint, media binary")
+    at = np.random.default_rng(4).integers(0, 360 - 114, (n, 2))
+    queries = spark.createDataFrame([(i, pgm(large(i)[y : y + 114, x : x + 114])) for i, (y, x) in enumerate(at.tolist())], "id bigint, media binary")
+    got = {(r["query_id"], r["match_id"]) for r in M.find_copies(queries, images, "id", "media").collect()}
+    assert got == {(i, i) for i in range(n)}
+
+
 def test_media_blocks_of_queries(spark, monkeypatch):
     images = spark.createDataFrame([(i, pgm(M.render(i))) for i in range(12)], "id bigint, media binary")
     whole = sorted(map(tuple, M.find_copies(images, images, "id", "media").collect()))
