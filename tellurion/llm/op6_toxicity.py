@@ -25,7 +25,7 @@ from . import labelled
 from . import words as W
 from .common import remainder, ship_package
 
-#: Bound on labelled documents that are fitted on, for each of the two labels, and on passages of each.
+#: Bound on labelled documents that are fitted on, for each of the two labels, and on passages drawn of each for the first stage.
 PER_CLASS, PASSAGES = 1800, 24
 BUCKETS, DIMENSION, GRAMS, WINDOW = 1 << 17, 4, (3, 4, 5), 16
 #: Only buckets met in so many of the training passages' texts are learnt; others add nothing.
@@ -86,6 +86,15 @@ class SubwordModel:
     slope: float = 1.0
     offset: float = 0.0
 
+    def means(self, idx: np.ndarray, bucket: np.ndarray, grams: np.ndarray, window: np.ndarray, total: int) -> np.ndarray:
+        """Log odds of each passage, less the bias."""
+        word_of = np.repeat(np.arange(len(grams)), grams)
+        word = np.bincount(word_of, weights=self.value[bucket], minlength=len(grams)) / np.maximum(grams, 1)
+        v = len(grams)
+        key = np.sort(window * v + idx)
+        key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+        return np.bincount(key // v, weights=word[key % v], minlength=total) / np.maximum(np.bincount(key // v, minlength=total), LEAST_WORDS)
+
     def worst(self, col) -> np.ndarray:
         """Log odds of each text's worst passage."""
         idx, vals, per = W.batch_words(col)
@@ -93,14 +102,8 @@ class SubwordModel:
         if not len(idx):
             return out
         bucket, grams = gram_buckets(vals, len(self.value))
-        word_of = np.repeat(np.arange(len(grams)), grams)
-        word = np.bincount(word_of, weights=self.value[bucket], minlength=len(grams)) / np.maximum(grams, 1)
         window, count = passages(per)
-        v = len(vals)
-        key = np.sort(window * v + idx)
-        key = key[np.concatenate(([True], key[1:] != key[:-1]))]
-        total = int(count.sum())
-        mean = np.bincount(key // v, weights=word[key % v], minlength=total) / np.maximum(np.bincount(key // v, minlength=total), LEAST_WORDS)
+        mean = self.means(idx, bucket, grams, window, int(count.sum()))
         some = count > 0
         out[some] += np.maximum.reduceat(mean, (np.cumsum(count) - count)[some])
         return out
@@ -112,8 +115,11 @@ class SubwordModel:
         return 1 / (1 + np.exp(-np.clip(self.logits(col), -30, 30)))
 
 
-def bags(col, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows of passages, at most PASSAGES of a text: (start of each one's entries, bucket, weight, text)."""
+def bags(col, rng: np.random.Generator, model: SubwordModel | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse rows of passages: (start of each one's entries, bucket, weight, text).
+
+    PASSAGES of a text are drawn; with a model, the WORST of all its passages come besides.
+    """
     size, buckets, weights, texts = [], [], [], []
     for first in range(0, len(col), 256):  # a few texts at a time, for the driver's memory
         idx, vals, per = W.batch_words(col.slice(first, 256))
@@ -123,10 +129,15 @@ def bags(col, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndar
         begin = np.concatenate(([0], np.cumsum(grams)))
         window, count = passages(per)
         lot, text_of = rng.random(int(count.sum())), np.repeat(np.arange(len(per)), count)
-        order = np.lexsort((lot, text_of))
-        rank = np.empty(len(lot), np.int64)
-        rank[order] = np.arange(len(lot)) - np.repeat(np.cumsum(count) - count, count)
-        chosen = rank < PASSAGES
+
+        def rank(by, text_of=text_of, count=count):
+            out = np.empty(len(by), np.int64)
+            out[np.lexsort((by, text_of))] = np.arange(len(by)) - np.repeat(np.cumsum(count) - count, count)
+            return out
+
+        chosen = rank(lot) < PASSAGES
+        if model is not None:
+            chosen |= rank(-model.means(idx, bucket, grams, window, len(lot))) < WORST
         v = len(vals)
         on = chosen[window]
         key = np.unique(window[on] * v + idx[on])
@@ -181,15 +192,18 @@ def fit(col, y: np.ndarray, seed: int = 1) -> SubwordModel:
     if not len(y) or y.min() == y.max():
         return SubwordModel(np.zeros(BUCKETS), 0.0)
     rng = np.random.default_rng(seed)
-    start, bucket, weight, text = bags(col, rng)
+
+    def learnt(model: SubwordModel | None = None) -> tuple[np.ndarray, ...]:
+        """bags() of the same draws without buckets met in too few texts, and the mask of buckets."""
+        start, bucket, weight, text = bags(col, np.random.default_rng((seed, 1)), model)
+        pairs = np.unique(bucket.astype(np.int64) * len(y) + np.repeat(text, np.diff(start)))
+        met = np.bincount(pairs // len(y), minlength=BUCKETS) >= LEAST_TEXTS
+        on = met[bucket]
+        return np.concatenate(([0], np.cumsum(on)))[start], bucket[on], weight[on], text, met
+
+    start, bucket, weight, text, met = learnt()
     if not len(text):
         return SubwordModel(np.zeros(BUCKETS), 0.0)
-    of = np.repeat(text, np.diff(start))
-    pairs = np.unique(bucket.astype(np.int64) * len(y) + of)
-    met = np.bincount(pairs // len(y), minlength=BUCKETS) >= LEAST_TEXTS
-    on = met[bucket]
-    start = np.concatenate(([0], np.cumsum(on)))[start]
-    bucket, weight = bucket[on], weight[on]
     net = [rng.normal(0, 0.01, (BUCKETS, DIMENSION)).astype(np.float32), rng.normal(0, 0.5, (DIMENSION, 2)).astype(np.float32), np.zeros(2, np.float32)]
     _descend(net, start, bucket, weight, np.arange(len(text)), y[text], rng)
 
@@ -198,6 +212,7 @@ def fit(col, y: np.ndarray, seed: int = 1) -> SubwordModel:
         return SubwordModel(np.where(met, net[0] @ turn, 0).astype(np.float64) * float(SCALE), float(net[2][1] - net[2][0]))
 
     value = model().value
+    start, bucket, weight, text, met = learnt(model())  # the worst of all passages of every text, drawn or not
     row = np.repeat(np.arange(len(text)), np.diff(start))
     logit = np.bincount(row, value[bucket] * weight, len(text))
     order = np.lexsort((-logit, text))

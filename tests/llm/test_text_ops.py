@@ -236,6 +236,21 @@ def test_language_model_on_odd_input(spark):
 # classifiers -------------------------------------------------------------------------------
 
 
+def test_toxicity_looks_at_all_passages_of_long_texts():
+    """The worst passage of a text of 500 passages, of which 24 are drawn, is in the second stage's rows."""
+    words = [f"plain{i % 90}" for i in range(500 * X.WINDOW)]
+    for k in (0, 250, 499):
+        text = words.copy()
+        text[k * X.WINDOW : k * X.WINDOW + 3] = ["vile"] * 3
+        value = np.zeros(X.BUCKETS)
+        bucket, _ = X.gram_buckets(pa.array(["vile"], pa.large_string()))
+        value[bucket] = 5.0
+        start, got, _, _ = X.bags(pa.array([" ".join(text)], pa.string()), np.random.default_rng(1), X.SubwordModel(value, 0.0))
+        rows = np.repeat(np.arange(len(start) - 1), np.diff(start))
+        per = np.array([np.isin(bucket, got[rows == r]).all() for r in range(len(start) - 1)])
+        assert per.any() and len(per) <= X.PASSAGES + X.WORST
+
+
 def test_gru_learns_from_every_window():
     lex = L.make_lexicon(np.arange(10, 60), np.arange(50, 0, -1), np.full(L.RARE, 2000.0), np.full(L.RARE, 60.0), np.zeros(50, int), 9, 2000, 90)
     p = L.start_params(lex)
