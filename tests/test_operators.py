@@ -323,3 +323,23 @@ def test_streaming(spark, tmp_path):
     assert sorted(r["mean"] for r in spark.table("stats").collect()) == [2.0, 5.0]
     with pytest.raises(ValueError):
         ST.apply_stateless(stream, "zero_mean_tracks")
+
+
+def test_linear_sparse_survey_is_the_whole_triangulation(spark):
+    """Gaps far wider than a tile's halo: every node as in one triangulation of all points."""
+    from tellurion.operators.joins import triangulate
+
+    rng = np.random.default_rng(8)
+    x, y = np.concatenate((rng.uniform(0, 1, 12), rng.uniform(38, 40, 12), [0, 40, 0, 40])), np.concatenate((rng.uniform(0, 40, 24), [0, 0, 40, 40]))
+    v = np.sin(x) * 10 + y**2
+    p = spark.createDataFrame([("s", i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(x, y, v, strict=True))], "survey_id string, pid bigint, x double, y double, value double")
+    got = {(r["iy"], r["ix"]): r["z"] for r in I.linear(p, G.grid_info(p, 1.0, 1.0), tile=4, halo=2).collect()}
+    assert len(got) == 41 * 41 and None not in got.values()
+    tri = triangulate(x, y)
+    for (b, a), z in got.items():
+        fits = []
+        for t in tri:
+            w = np.linalg.lstsq(np.array([x[t], y[t], np.ones(3)]), np.array([a, b, 1.0]), rcond=None)[0]
+            if (w >= -1e-7).all():
+                fits.append(w @ v[t])
+        assert any(abs(f - z) < 1e-4 for f in fits), (a, b)
