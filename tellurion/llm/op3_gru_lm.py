@@ -1,20 +1,22 @@
 """LM scoring: a gated recurrent language model in numpy.
 
 Counts of all training tokens come first (one grouped sum over the whole corpus). The
-commonest words make the model's vocabulary, cut by frequency into classes; all other words fall into
+VOCABULARY commonest words are cut by frequency into classes; all other words fall into
 rare classes by their last byte and whether they hold non-ASCII bytes. The output is
-factored: P(class | state) by softmax, P(word | class, state) by a softmax inside the class, and inside a rare
-class by smoothed counts. Gated units (GRU) are trained by truncated
-backpropagation (Adam) on all windows of every training document, each in one round. Partitions
-train copies of the model which are averaged block by block in ROUNDS rounds, each over
-its own documents. Scoring walks through whole documents window by window with the state carried.
+factored: P(class | state) by softmax, then P(word | class, state) by a softmax inside the class for the classes of the
+SOFT commonest words, and by smoothed counts inside the others. Texts are coded once, two bytes a token;
+training and scoring read the codes. Gated units (GRU) are trained by truncated
+backpropagation on all windows of every training document, each in one round. Partitions
+train copies of the model which are averaged block by block, in two levels, in ROUNDS rounds, each over
+its own documents; so the weights depend on how rows lie in partitions. Scoring walks through whole documents window by window with the state carried.
 
 Words are known by 64-bit hashes. Counts of the FREQUENT commonest words travel with the model
 (a bounded table), the rest are joined.
 
-A null text counts as empty: its end token alone. Repeated rows are scored one by one. If
+A null text counts as empty: its end token alone. Repeated rows are scored one by one, ids may repeat or be null. Very long texts
+are scored whole; a code row has two bytes for each of their words. Words of equal counts are ranked by their hash. If
 nothing is in the training part, base scores are 0. An empty table gives an empty
-result; only the id and text columns are read.
+result; only the id and text columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -24,15 +26,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
 from .common import materialise, remainder, ship_package
 
-VOCABULARY, FREQUENT, CLASSES, LAST = 16_000, 200_000, 32, 12
-EMBEDDING, HIDDEN, STEPS, BATCH, ROUNDS, BLOCKS = 16, 24, 32, 64, 3, 16
-SLICE_BYTES = 12 << 20
+VOCABULARY, SOFT, FREQUENT, CLASSES, LAST = 16_000, 4_000, 200_000, 64, 12
+EMBEDDING, HIDDEN, STEPS, RUN, ROUNDS, BLOCKS = 16, 16, 32, 16, 3, 16
+#: Runs of windows in an update: so many that a slice gives about UPDATES groups, within bounds.
+BATCH, UPDATES = (32, 256), 12
+OUTPUT_ROWS, SCORE_ROWS, SETTLE, ROW_RATE = 2048, 512, 1 << 15, 10.0
+SLICE_BYTES, CODE_BYTES, FAN = 6 << 20, 4 << 20, 128
 RARE = 2 * LAST
 LOG10 = np.log(10.0)
 
@@ -60,6 +66,8 @@ class Lexicon:
     word_bias: np.ndarray
     class_bias: np.ndarray
     log_z: np.ndarray  # natural log of each rare class's mass
+    in_class: np.ndarray  # natural log of each word's share of its class by counts; 0 where a softmax decides
+    soft: int  # classes with a softmax inside
     ends: int
     total: int
     types: int
@@ -77,8 +85,14 @@ def make_lexicon(hashes: np.ndarray, counts: np.ndarray, rare_mass: np.ndarray,
     class_mass = np.bincount(word_class, all_c, CLASSES + 1)
     mass = rare_mass - np.bincount(rare_of[:k], c, RARE) + 0.5 * (rare_types - np.bincount(rare_of[:k], minlength=RARE)) + 0.5
     bias = np.log(np.concatenate((class_mass, mass)) + 0.5)
+    bias[: CLASSES + 1][np.bincount(word_class, minlength=CLASSES + 1) == 0] = -40.0  # classes without words get no probability
+    soft = int(np.searchsorted(class_start[1:], 1 + SOFT, side="right"))
+    share = np.log(all_c / np.maximum(class_mass[word_class], 1e-9))
     order, by_word = np.argsort(hashes), np.argsort(hashes[:k])
-    return Lexicon(hashes[order], counts[order], hashes[:k][by_word], 1 + by_word, word_class, class_start, np.log(all_c).astype(np.float32), (bias - np.log(np.exp(bias).sum())).astype(np.float32), np.log(mass), ends, total, types)
+    return Lexicon(
+        hashes[order], counts[order], hashes[:k][by_word], 1 + by_word, word_class, class_start, share[: class_start[soft]].astype(np.float32), (bias - np.log(np.exp(bias).sum())).astype(np.float32),
+        np.log(mass), np.where(word_class < soft, 0, share), soft, ends, total, types,
+    )
 
 
 def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -94,107 +108,174 @@ def start_params(lex: Lexicon, seed: int = 3) -> dict[str, np.ndarray]:
     n, small = len(lex.word_class), lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
     return {
         "emb": small(n + RARE + 1, EMBEDDING), "wx": small(EMBEDDING, 3 * HIDDEN) * 2, "bx": np.zeros(3 * HIDDEN, np.float32), "u": small(HIDDEN, 3 * HIDDEN) * 2,
-        "wc": small(HIDDEN, 1 + CLASSES + RARE) * 0.1, "bc": lex.class_bias.copy(), "wo": small(n, HIDDEN) * 0.1, "bo": lex.word_bias.copy(),
+        "wc": small(HIDDEN, 1 + CLASSES + RARE) * 0.1, "bc": lex.class_bias.copy(), "wo": small(len(lex.word_bias), HIDDEN) * 0.1, "bo": lex.word_bias.copy(),
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
-def run_window(p: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
-    """States after each step (rows, steps, H) and what backpropagation needs."""
-    proj = p["emb"][x] @ p["wx"] + p["bx"]
-    states, kept = np.empty((*x.shape, HIDDEN), np.float32), []
-    for t in range(x.shape[1]):
-        hu, px = h @ p["u"], proj[:, t]
-        zr = _sigmoid(px[:, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        un = hu[:, 2 * HIDDEN :]
-        n = np.tanh(px[:, 2 * HIDDEN :] + r * un)
-        kept.append((h, z, r, un, n))
-        h = n + z * (h - n)
-        states[:, t] = h
-    return states, kept
+def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray, shift: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exponentials, their sums, log probability of the outcome ``at``) of each row; rows are shifted by their maximum only where it takes that."""
+    e = h @ w
+    e += b
+    if shift:
+        e -= e.max(1, keepdims=True)
+    logit = e[np.arange(len(h)), at]
+    np.exp(e, out=e)
+    s = e @ np.ones(e.shape[1], e.dtype)
+    if not shift and not (s.min() > 1e-25 and s.max() < 1e30):
+        return _softmax(h, w, b, at, True)
+    return e, s, logit - np.log(s)
+
+
+def run_window(p: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """States after each step (rows, steps, H) and what backpropagation needs.
+
+    Inside, all is laid out by step, unit, row, so that gates are whole blocks of memory. A logistic gate is (tanh(x / 2) + 1) / 2,
+    the half being put into the weights.
+    """
+    rows, steps = x.shape
+    half = np.ones(3 * HIDDEN, p["u"].dtype)
+    half[: 2 * HIDDEN] = 0.5
+    u = np.ascontiguousarray((p["u"] * half).T)
+    symbols = p["emb"][x.T.ravel()]
+    proj = np.matmul(np.ascontiguousarray((p["wx"] * half).T), symbols.reshape(steps, rows, -1).transpose(0, 2, 1))
+    proj += (p["bx"] * half)[:, None]
+    states = np.empty((steps + 1, HIDDEN, rows), proj.dtype)
+    gates, cand, un = np.empty((steps, 2 * HIDDEN, rows), proj.dtype), np.empty((steps, HIDDEN, rows), proj.dtype), np.empty((steps, HIDDEN, rows), proj.dtype)
+    states[0] = h.T
+    hu = np.empty((3 * HIDDEN, rows), proj.dtype)
+    for t in range(steps):
+        before, g, n, after = states[t], gates[t], cand[t], states[t + 1]
+        np.matmul(u, before, out=hu)
+        np.add(proj[t, : 2 * HIDDEN], hu[: 2 * HIDDEN], out=g)
+        np.tanh(g, out=g)
+        g += 1
+        g *= 0.5
+        un[t] = hu[2 * HIDDEN :]
+        np.multiply(g[HIDDEN:], un[t], out=n)
+        n += proj[t, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        np.subtract(before, n, out=after)
+        after *= g[:HIDDEN]
+        after += n
+    by_row = np.ascontiguousarray(states[1:].transpose(0, 2, 1))
+    return by_row.transpose(1, 0, 2), (states, gates, cand, un, symbols)
 
 
 def outputs(p: dict, lex: Lexicon, h: np.ndarray, cls: np.ndarray, word: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log probability of each token's class and word (word -1: rare); with grads, those of the states."""
-    z = h @ p["wc"] + p["bc"]
-    z -= z.max(1, keepdims=True)
-    e = np.exp(z)
-    s = e.sum(1, keepdims=True)
-    rows = np.arange(len(h))
-    logp = (z[rows, cls] - np.log(s[:, 0])).astype(np.float64)
-    dh = None
-    if grads is not None:
-        d = e / s
-        d[rows, cls] -= 1
-        grads["wc"] += h.T @ d
-        grads["bc"] += d.sum(0)
-        dh = d @ p["wc"].T
-    inside = np.flatnonzero(word >= 0)
-    inside = inside[np.argsort(cls[inside], kind="stable")]
-    cut = np.searchsorted(cls[inside], np.arange(CLASSES + 2))
-    for k in range(CLASSES + 1):
-        a, b = lex.class_start[k], lex.class_start[k + 1]
-        mine = inside[cut[k] : cut[k + 1]]
-        if b - a < 2 or not len(mine):
-            continue
-        q = h[mine] @ p["wo"][a:b].T + p["bo"][a:b]
-        q -= q.max(1, keepdims=True)
-        e = np.exp(q)
-        s = e.sum(1, keepdims=True)
-        at = np.arange(len(mine))
-        logp[mine] += q[at, word[mine] - a] - np.log(s[:, 0])
-        if grads is not None:
-            d = e / s
-            d[at, word[mine] - a] -= 1
-            grads["wo"][a:b] += d.T @ h[mine]
-            grads["bo"][a:b] += d.sum(0)
-            dh[mine] += d @ p["wo"][a:b]
+    logp, dh = np.empty(len(h)), np.empty_like(h) if grads is not None else None
+
+    def one(hs: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray, back: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+        """Log probabilities and the gradients of w and b; that of the states goes to ``back``."""
+        e, s, got = _softmax(hs, w, b, at)
+        if back is None:
+            return got, None, None
+        e /= s[:, None]
+        e[np.arange(len(hs)), at] -= 1
+        np.matmul(e, w.T, out=back)
+        return got, e.T @ hs, np.ones(len(hs), e.dtype) @ e
+
+    with np.errstate(over="ignore"):
+        for a in range(0, len(h), OUTPUT_ROWS):  # pieces that stay in the processor's cache
+            z = a + OUTPUT_ROWS
+            logp[a:z], gw, gb = one(h[a:z], p["wc"], p["bc"], cls[a:z], None if dh is None else dh[a:z])
+            if grads is not None:
+                grads["wc"] += gw.T
+                grads["bc"] += gb
+        logp += np.where(word >= 0, lex.in_class[word], 0)
+        inside = np.flatnonzero((word >= 0) & (cls < lex.soft))
+        inside = inside[np.argsort(cls[inside].astype(np.uint16), kind="stable")]
+        cut = np.searchsorted(cls[inside], np.arange(lex.soft + 1))
+        hs, place, got = h[inside], word[inside], np.zeros(len(inside))
+        back = None if dh is None else np.zeros_like(hs)
+        for k in range(lex.soft):
+            a, b, i, j = lex.class_start[k], lex.class_start[k + 1], cut[k], cut[k + 1]
+            if b - a < 2 or i == j:
+                continue
+            got[i:j], gw, gb = one(hs[i:j], p["wo"][a:b].T, p["bo"][a:b], place[i:j] - a, None if back is None else back[i:j])
+            if grads is not None:
+                grads["wo"][a:b] += gw
+                grads["bo"][a:b] += gb
+    logp[inside] += got
+    if dh is not None:
+        dh[inside] += back
     return logp, dh
 
 
-def back_window(p: dict, x: np.ndarray, kept: list, dstates: np.ndarray, grads: dict) -> None:
-    """Truncated backpropagation: gradients stop at the window's first state."""
-    dproj = np.empty((*x.shape, 3 * HIDDEN), np.float32)
-    dh = np.zeros((len(x), HIDDEN), np.float32)
-    for t in range(x.shape[1] - 1, -1, -1):
-        h, z, r, un, n = kept[t]
-        dh = dh + dstates[:, t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (h - n) * z * (1 - z)
-        dr = dn * un * r * (1 - r)
-        dproj[:, t, :HIDDEN], dproj[:, t, HIDDEN : 2 * HIDDEN], dproj[:, t, 2 * HIDDEN :] = dz, dr, dn
-        du = np.concatenate((dz, dr, dn * r), 1)
-        grads["u"] += h.T @ du
-        dh = dh * z + du @ p["u"].T
-    flat = dproj.reshape(-1, 3 * HIDDEN)
-    grads["wx"] += p["emb"][x.ravel()].T @ flat
-    grads["bx"] += flat.sum(0)
-    np.add.at(grads["emb"], x.ravel(), flat @ p["wx"].T)
+def back_window(p: dict, x: np.ndarray, kept: tuple, dstates: np.ndarray, grads: dict) -> np.ndarray:
+    """Truncated backpropagation: gradients stop at the window's first state. Returns the symbols met."""
+    states, gates, cand, un, symbols = kept
+    steps, _, rows = cand.shape
+    dstates = np.ascontiguousarray(dstates.transpose(1, 2, 0))
+    z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
+    dproj, du = np.empty((steps, 3 * HIDDEN, rows), states.dtype), np.empty((steps, 3 * HIDDEN, rows), states.dtype)
+    dn_of, dz_of = cand * cand, states[:-1] - cand  # what a step's gradient is multiplied by
+    np.subtract(1, dn_of, out=dn_of)
+    dn_of *= 1 - z
+    dz_of *= z
+    dz_of *= 1 - z
+    dr_of = un * r
+    dr_of *= 1 - r
+    dh = np.zeros((HIDDEN, rows), states.dtype)
+    for t in range(steps - 1, -1, -1):
+        dh += dstates[t]
+        d = du[t]
+        dn = dproj[t, 2 * HIDDEN :]
+        np.multiply(dh, dn_of[t], out=dn)
+        np.multiply(dh, dz_of[t], out=d[:HIDDEN])
+        np.multiply(dn, dr_of[t], out=d[HIDDEN : 2 * HIDDEN])
+        np.multiply(dn, r[t], out=d[2 * HIDDEN :])
+        dh *= z[t]
+        dh += p["u"] @ d
+    dproj[:, : 2 * HIDDEN] = du[:, : 2 * HIDDEN]
+    grads["u"] += np.matmul(states[:-1], du.transpose(0, 2, 1)).sum(0)
+    flat, sym = dproj.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN), x.T.ravel()
+    grads["wx"] += symbols.T @ flat
+    grads["bx"] += np.ones(len(flat), flat.dtype) @ flat
+    order = np.argsort(sym.astype(np.uint16), kind="stable")
+    sym = sym[order]
+    first = np.flatnonzero(np.concatenate(([True], sym[1:] != sym[:-1])))
+    grads["emb"][sym[first]] += np.add.reduceat((flat @ p["wx"].T)[order], first, axis=0)
+    return sym[first]
 
 
 class Adam:
+    """Adam for the small matrices. The two tables with a row per word take steps scaled by each row's mean squared
+    gradient, which touch only the rows met.
+    """
+
     def __init__(self, p: dict, rate: float):
-        self.m, self.v, self.t, self.rate = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0, rate
+        small = [k for k in p if k not in ("emb", "wo")]
+        self.m, self.v, self.t, self.rate = {k: np.zeros_like(p[k]) for k in small}, {k: np.zeros_like(p[k]) for k in small}, 0, rate
+        self.rows = {k: np.zeros(len(p[k]), np.float32) for k in ("emb", "wo")}
 
-    def step(self, p: dict, g: dict) -> None:
+    def step(self, p: dict, g: dict, symbols: np.ndarray, tokens: int) -> None:
+        """One update from the summed gradients of so many tokens; the gradients are set to zero."""
         self.t += 1
         lr = self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
-        for k, a in p.items():
-            self.m[k] += 0.1 * (g[k] - self.m[k])
-            self.v[k] += 0.01 * (g[k] * g[k] - self.v[k])
-            a -= lr * self.m[k] / (np.sqrt(self.v[k]) + 1e-6)
+        for k in self.m:
+            mean = g[k] / tokens
+            self.m[k] += 0.1 * (mean - self.m[k])
+            self.v[k] += 0.01 * (mean * mean - self.v[k])
+            p[k] -= lr * self.m[k] / (np.sqrt(self.v[k]) + 1e-6)
+            g[k].fill(0)
+        for k, on in (("emb", symbols), ("wo", slice(None))):
+            mine, seen = g[k][on], self.rows[k]
+            seen[on] += np.einsum("ij,ij->i", mine, mine) / mine.shape[1]
+            p[k][on] -= mine * (ROW_RATE * self.rate / (np.sqrt(seen[on]) + 1e-6))[:, None]
+            g[k][on] = 0
+
+
+def symbols(lex: Lexicon, hashes: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """Code of each distinct word: its model id, or one of the RARE codes after those."""
+    at = find(lex.words, hashes)
+    return np.where(at >= 0, lex.ids[np.maximum(at, 0)] if len(lex.ids) else -1, len(lex.word_class) + rare).astype(np.uint16)
 
 
-def token_ids(lex: Lexicon, hashes: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class, model word or -1, input symbol) of each distinct word."""
-    at = find(lex.words, hashes)
-    word = np.where(at >= 0, lex.ids[np.maximum(at, 0)] if len(lex.ids) else -1, -1)
-    cls = np.where(word >= 0, lex.word_class[np.maximum(word, 0)], 1 + CLASSES + rare)
-    return cls, word, np.where(word >= 0, word, len(lex.word_class) + rare)
+def code_tables(lex: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, model word or -1, input symbol) of each code."""
+    n = len(lex.word_class)
+    return np.concatenate((lex.word_class, 1 + CLASSES + np.arange(RARE))), np.concatenate((np.arange(n), np.full(RARE, -1))), np.arange(n + RARE)
 
 
 def _layout(per: np.ndarray, idx: np.ndarray, cls: np.ndarray, word: np.ndarray, sym: np.ndarray, n_model: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -202,7 +283,7 @@ def _layout(per: np.ndarray, idx: np.ndarray, cls: np.ndarray, word: np.ndarray,
     length = per + 1
     start = np.cumsum(length) - length
     total = int(length.sum())
-    c, w, x = np.zeros(total, np.int64), np.zeros(total, np.int64), np.empty(total, np.int64)
+    c, w, x = np.zeros(total, np.int32), np.zeros(total, np.int32), np.empty(total, np.int32)
     body = np.ones(total, bool)
     body[start + per] = False
     c[body], w[body] = cls[idx], word[idx]
@@ -216,50 +297,65 @@ def _layout(per: np.ndarray, idx: np.ndarray, cls: np.ndarray, word: np.ndarray,
 def text_logs(p: dict, lex: Lexicon, per: np.ndarray, idx: np.ndarray, cls: np.ndarray, word: np.ndarray, sym: np.ndarray) -> np.ndarray:
     """Natural log probability of each text's classes and model words, the state carried across windows."""
     start, length, c, w, x = _layout(per, idx, cls, word, sym, len(lex.word_class))
-    order = np.argsort(-length, kind="stable")
-    out, h = np.zeros(len(per)), np.zeros((len(per), HIDDEN), np.float32)
-    longest = int(length.max()) if len(per) else 0
-    for at in range(0, longest, STEPS):
-        active = int(np.searchsorted(-length[order], -at, side="left"))
-        rows = order[:active]
-        left = np.minimum(length[rows] - at, STEPS)
-        steps = int(left.max())
-        place = start[rows][:, None] + at + np.minimum(np.arange(steps), left[:, None] - 1)
-        states, _ = run_window(p, x[place], h[:active])
-        h[:active] = states[:, -1]
-        live = np.arange(steps) < left[:, None]
-        tok = place[live]
-        logp, _ = outputs(p, lex, states[live], c[tok], w[tok])
-        out[rows] += np.bincount(np.nonzero(live)[0], logp, active)
+    order, out = np.argsort(-length, kind="stable"), np.zeros(len(per))
+    waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def settle(least: int) -> None:
+        """Outputs of the states that wait, once they are many: they don't bear on later states."""
+        if waiting and sum(len(t) for _, t, _ in waiting) >= least:
+            h, tok, text = (np.concatenate([v[k] for v in waiting]) for k in range(3))
+            waiting.clear()
+            out[:] += np.bincount(text, outputs(p, lex, h, c[tok], w[tok])[0], len(out))
+
+    for first in range(0, len(order), SCORE_ROWS):
+        group = order[first : first + SCORE_ROWS]
+        h = np.zeros((len(group), HIDDEN), np.float32)
+        for begin in range(0, int(length[group[0]]), STEPS):
+            rows = group[: int((length[group] > begin).sum())]
+            place, live = _window(start[rows], length[rows], begin)
+            states, _ = run_window(p, x[place].T, h[: len(rows)])
+            h = states[:, -1]
+            waiting.append((states.transpose(1, 0, 2)[live], place[live], np.broadcast_to(rows, live.shape)[live]))
+            settle(SETTLE)
+    settle(1)
     return out
 
 
+def _window(start: np.ndarray, length: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """By step, (places, mask of those that count) of each text's window; past its end a text stays at its last token."""
+    left = np.minimum(length - begin, STEPS)
+    step = np.arange(int(left.max()))[:, None]
+    return start + begin + np.minimum(step, left - 1), step < left
+
+
 def train_texts(p: dict, lex: Lexicon, opt: Adam, per: np.ndarray, idx: np.ndarray, cls: np.ndarray, word: np.ndarray, sym: np.ndarray) -> int:
-    """Updates over all windows of each text; returns the tokens learnt from."""
+    """Updates over all windows of each text; returns the tokens learnt from.
+
+    Texts are cut into runs of RUN windows, over which the state is carried, so that updates are over many tokens.
+    """
     start, length, c, w, x = _layout(per, idx, cls, word, sym, len(lex.word_class))
-    windows = -(-length // STEPS)
-    order, seen = np.argsort(-windows, kind="stable"), 0
-    for a in range(0, len(order), BATCH):
-        group = order[a : a + BATCH]
+    size = RUN * STEPS
+    runs = -(-length // size)
+    text = np.repeat(np.arange(len(length)), runs)
+    skip = (np.arange(len(text)) - np.repeat(np.cumsum(runs) - runs, runs)) * size
+    start, length = start[text] + skip, np.minimum(length[text] - skip, size)
+    order, seen = np.lexsort((W.mix64(np.arange(len(length))), -(-length // STEPS))), 0
+    batch = int(np.clip(len(order) // UPDATES, *BATCH))
+    grads = {n: np.zeros_like(v) for n, v in p.items()}
+    groups = [order[a : a + batch] for a in range(0, len(order), batch)]
+    for k in np.random.default_rng(len(order)).permutation(len(groups)):  # short and long ones in turn
+        group = groups[k][np.argsort(-length[groups[k]], kind="stable")]
         h = np.zeros((len(group), HIDDEN), np.float32)
-        for k in range(int(windows[group[0]])):
-            active = int((windows[group] > k).sum())
-            rows = group[:active]
-            begin = k * STEPS
-            left = np.minimum(length[rows] - begin, STEPS)
-            steps = int(left.max())
-            place = start[rows][:, None] + begin + np.minimum(np.arange(steps), left[:, None] - 1)
-            live = np.arange(steps) < left[:, None]
-            states, kept = run_window(p, x[place], h[:active])
-            grads = {n: np.zeros_like(v) for n, v in p.items()}
+        for begin in range(0, int(length[group[0]]), STEPS):
+            rows = group[: int((length[group] > begin).sum())]
+            place, live = _window(start[rows], length[rows], begin)
+            states, kept = run_window(p, x[place].T, h[: len(rows)])
             tok = place[live]
-            _, dh = outputs(p, lex, states[live], c[tok], w[tok], grads)
-            d = np.zeros(states.shape, np.float32)
+            _, dh = outputs(p, lex, states.transpose(1, 0, 2)[live], c[tok], w[tok], grads)
+            d = np.zeros((*place.shape, HIDDEN), np.float32)
             d[live] = dh
-            back_window(p, x[place], kept, d, grads)
-            for g in grads.values():
-                g /= len(tok)
-            opt.step(p, grads)
+            met = back_window(p, x[place].T, kept, d.transpose(1, 0, 2), grads)
+            opt.step(p, grads, met, len(tok))
             h = states[:, -1]
             seen += len(tok)
     return seen
@@ -287,40 +383,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([h, pa.array(np.append(rare_class(vals), 0).astype(np.int32)), pa.array(np.append(c, b.num_rows))], ["h", "rare", "c"])
 
 
-def _trainer(lex: Lexicon, flat: np.ndarray, rate: float):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = _unflatten(flat, start_params(lex))
-        opt, seen = Adam(p, rate), 0
-        for whole in batches:
-            for b in W.slices(whole, 0):
-                idx, vals, per = W.batch_words(b.column(0))
-                cls, word, sym = token_ids(lex, W.hash_words(vals).view(np.int64), rare_class(vals))
-                seen += train_texts(p, lex, opt, per, idx, cls, word, sym)
-        if seen:
-            parts = np.array_split(_flatten(p).astype(np.float64) * seen, BLOCKS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([seen] * BLOCKS, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["block", "seen", "blob"])
-
-    return work
-
-
-def _average(t: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), np.float64) for x in t.column("blob"))
-    return pa.table({"block": [t.column("block")[0].as_py()], "seen": [sum(t.column("seen").to_pylist())], "blob": [total.tobytes()]}, schema=pa.schema([("block", pa.int32()), ("seen", pa.int64()), ("blob", pa.binary())]))
+_CODED = ["kind", "rid", "id", "held", "n", "known", "base", "score", "h", "codes"]
 
 
-def _scorer(lex: Lexicon, flat: np.ndarray):
-    """Kind 0: a document's local sums. Kind 1: (rid, h, tf) of words whose counts are to be joined."""
-    names = ["kind", "rid", "id", "n", "known", "base", "score", "h"]
+def _coder(lex: Lexicon):
+    """Kind 0: a document's sums over words by counts, and its codes. Kind 1: (rid, h, n) of words whose counts are to be joined."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = _unflatten(flat, start_params(lex))
         for whole in batches:
-            for b in W.slices(whole, 2, SLICE_BYTES, 8192):
+            for b in W.slices(whole, 3, SLICE_BYTES, 8192):
                 m = b.num_rows
-                idx, vals, per = W.batch_words(b.column(2))
+                idx, vals, per = W.batch_words(b.column(3))
                 hashes, rare = W.hash_words(vals).view(np.int64), rare_class(vals)
-                cls, word, sym = token_ids(lex, hashes, rare)
-                score = text_logs(p, lex, per, idx, cls, word, sym) / LOG10
+                code = symbols(lex, hashes, rare)
                 at = find(lex.hashes, hashes)
                 here = at >= 0
                 count = np.where(here, lex.counts[np.maximum(at, 0)] if len(lex.counts) else 0, 0)
@@ -328,22 +403,74 @@ def _scorer(lex: Lexicon, flat: np.ndarray):
                 text_of = np.repeat(np.arange(m), per)
                 add = lambda v: np.bincount(text_of, v[idx], m)  # noqa: E731, B023
                 base = add(log_c) + np.log10(lex.ends + 0.5)
-                score += add(np.where(word < 0, log_c - lex.log_z[rare] / LOG10, 0.0))
+                score = add(np.where(code >= len(lex.word_class), log_c - lex.log_z[rare] / LOG10, 0.0))
                 known = add((here & (count > 0)).astype(float)) + (lex.ends > 0)
-                nulls = pa.nulls(m, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), b.column(0), b.column(1), pa.array(per + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), nulls], names)
+                cut = pa.array(np.concatenate(([0], 2 * np.cumsum(per))), pa.int32())
+                codes = pa.Array.from_buffers(pa.binary(), m, [None, cut.buffers()[1], pa.py_buffer(code[idx])])
+                zeros = pa.array(np.zeros(m, np.int32))
+                yield pa.RecordBatch.from_arrays([zeros, *b.columns[:3], pa.array(per + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), pa.nulls(m, pa.int64()), codes], _CODED)
                 far = ~here[idx]
                 if far.any():
                     key = text_of[far] * max(len(vals), 1) + idx[far]
                     key, tf = np.unique(key, return_counts=True)
                     k = len(key)
                     rid = b.column(0).take(pa.array(key // len(vals)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), rid, pa.nulls(k, b.column(1).type), pa.array(tf.astype(np.int64)), *(pa.nulls(k, t) for t in (pa.int64(), pa.float64(), pa.float64())), pa.array(hashes[key % len(vals)])], names)
+                    none = [pa.nulls(k, t) for t in (b.column(1).type, pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), rid, *none[:2], pa.array(tf.astype(np.int64)), *none[2:5], pa.array(hashes[key % len(vals)]), none[5]], _CODED)
+
+    return work
+
+
+def _decoded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(words per text, all codes) of a column of codes."""
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return np.diff(off) // 2, np.frombuffer(data, np.uint16)[off[0] // 2 : off[-1] // 2] if data is not None else np.zeros(0, np.uint16)
+
+
+def _trainer(lex: Lexicon, flat: np.ndarray, rate: float):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = _unflatten(flat, start_params(lex))
+        opt, seen, tables = Adam(p, rate), 0, code_tables(lex)
+        for whole in batches:
+            for b in W.slices(whole, 0, CODE_BYTES, 1 << 14):
+                per, codes = _decoded(b.column(0))
+                seen += train_texts(p, lex, opt, per, codes, *tables)
+        if seen:
+            parts = np.array_split(_flatten(p).astype(np.float64) * seen, BLOCKS)
+            slot = TaskContext.get().partitionId() % FAN
+            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([slot] * BLOCKS, pa.int32()), pa.array([seen] * BLOCKS, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["block", "slot", "seen", "blob"])
+
+    return work
+
+
+_SUMS = "block int, slot int, seen bigint, blob binary"
+
+
+def _sum_up(t: pa.Table) -> pa.Table:
+    """One row of sums of the group's rows."""
+    total = 0
+    for x in t.column("blob"):
+        total = total + np.frombuffer(x.as_buffer(), np.float64)
+    first = [t.column(c)[0].as_py() for c in ("block", "slot")]
+    return pa.table([pa.array(first[:1], pa.int32()), pa.array(first[1:], pa.int32()), pa.array([sum(t.column("seen").to_pylist())], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["block", "slot", "seen", "blob"])
+
+
+def _scorer(lex: Lexicon, flat: np.ndarray):
+    """Adds what the model makes of a document's codes to its score."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, tables = _unflatten(flat, start_params(lex)), code_tables(lex)
+        for whole in batches:
+            for b in W.slices(whole, 7, CODE_BYTES, 1 << 14):
+                per, codes = _decoded(b.column(7))
+                score = b.column(6).to_numpy() + text_logs(p, lex, per, codes, *tables) / LOG10
+                yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(score)], ["rid", "id", "held", "n", "known", "base", "score"])
 
     return work
 
 
-def score_documents(docs: DataFrame, modulus: int = 5, held_out: int = 1, rate: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, modulus: int = 5, held_out: int = 1, rate: float = 0.02, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per input row."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -358,23 +485,24 @@ def score_documents(docs: DataFrame, modulus: int = 5, held_out: int = 1, rate:
         mass[r["rare"]], types[r["rare"]] = r["c"], r["n"]
     top = counts.where("h is not null").orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
     lex = make_lexicon(*(top.column(c).to_numpy() for c in ("h", "c")), mass, types, top.column("rare").to_numpy(), ends, int(mass.sum()) + ends, int(types.sum()) + (ends > 0))
-    params = start_params(lex)
-    flat = _flatten(params)
+    coded = src.select(F.monotonically_increasing_id().alias("rid"), "id", "held", "text").mapInArrow(_coder(lex), f"kind int, rid bigint, id {id_type}, held boolean, n bigint, known bigint, base double, score double, h bigint, codes binary")
+    coded = materialise(coded)
+    rows, flat = coded.where("kind = 0").drop("kind", "h"), _flatten(start_params(lex))
     for r in range(ROUNDS):
-        mine = training.where(F.pmod(F.xxhash64("id"), F.lit(ROUNDS)) == r).select("text")
-        got = mine.mapInArrow(_trainer(lex, flat, rate / (1 + r)), "block int, seen bigint, blob binary").groupBy("block").applyInArrow(_average, "block int, seen bigint, blob binary").toArrow()
-        if got.num_rows:  # BLOCKS rows
-            rows = sorted(zip(got.column("block").to_pylist(), got.column("seen").to_pylist(), got.column("blob").to_pylist(), strict=True))
-            flat = np.concatenate([np.frombuffer(x, np.float64) / n for _, n, x in rows]).astype(np.float32)
-    scored = materialise(src.select(F.monotonically_increasing_id().alias("rid"), "id", "text").mapInArrow(_scorer(lex, flat), f"kind int, rid bigint, id {id_type}, n bigint, known bigint, base double, score double, h bigint"))
+        mine = rows.where(~F.col("held") & (F.pmod(F.xxhash64("id"), F.lit(ROUNDS)) == r)).select("codes")
+        sums = mine.mapInArrow(_trainer(lex, flat, rate / (1 + r)), _SUMS).groupBy("block", "slot").applyInArrow(_sum_up, _SUMS).groupBy("block").applyInArrow(_sum_up, _SUMS)
+        got = sorted((r["block"], r["seen"], r["blob"]) for r in sums.collect())  # BLOCKS rows
+        if got:
+            flat = np.concatenate([np.frombuffer(x, np.float64) / n for _, n, x in got]).astype(np.float32)
+    scored = rows.select("rid", "id", "held", "n", "known", "base", "score", "codes").mapInArrow(_scorer(lex, flat), f"rid bigint, id {id_type}, held boolean, n bigint, known bigint, base double, score double")
     rest = counts.where("h is not null").select(F.col("h").alias("w"), "c")
-    far = scored.where("kind = 1").select("rid", F.col("n").alias("tf"), F.col("h").alias("w")).join(rest, "w", "left")
+    far = coded.where("kind = 1").select("rid", F.col("n").alias("tf"), F.col("h").alias("w")).join(rest, "w", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
     far = far.groupBy("rid").agg(F.sum(F.col("tf") * F.log10(c + 0.5)).alias("far"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("far_known"))
-    out = scored.where("kind = 0").join(far, "rid", "left")
+    out = scored.join(far, "rid", "left")
     more = F.coalesce("far", F.lit(0.0))
     return out.select(
-        F.col("id").alias(id_col), (remainder(F.col("id"), modulus) == held_out).alias("held_out"), F.col("n").alias("n_tokens"),
+        F.col("id").alias(id_col), F.col("held").alias("held_out"), F.col("n").alias("n_tokens"),
         (F.col("known") + F.coalesce("far_known", F.lit(0))).alias("n_known"), F.lit(lex.total).cast("long").alias("train_tokens"),
         (F.col("base") + more - F.col("n") * F.lit(float(np.log10(lex.total + 0.5 * (lex.types + 1))))).alias("base_score"), (F.col("score") + more).alias("score"),
     )
