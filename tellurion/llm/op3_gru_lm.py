@@ -401,7 +401,7 @@ def _coder(lex: Lexicon):
                 count = np.where(here, lex.counts[np.maximum(at, 0)] if len(lex.counts) else 0, 0)
                 log_c = np.where(here, np.log10(count + 0.5), 0.0)
                 text_of = np.repeat(np.arange(m), per)
-                add = lambda v: np.bincount(text_of, v[idx], m)  # noqa: E731, B023
+                add = lambda v: np.bincount(text_of, v[idx], m).astype(float)  # noqa: E731, B023
                 base = add(log_c) + np.log10(lex.ends + 0.5)
                 score = add(np.where(code >= len(lex.word_class), log_c - lex.log_z[rare] / LOG10, 0.0))
                 known = add((here & (count > 0)).astype(float)) + (lex.ends > 0)
