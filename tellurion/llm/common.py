@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellurion.shipping import ship_package
 
-__all__ = ["connected_components", "materialise", "remainder", "scratch_dir", "ship_package"]
+__all__ = ["connected_components", "lean", "materialise", "remainder", "scratch_dir", "ship_package"]
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -26,6 +29,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tellurion/{uuid.uuid4().hex}"
 
 
+def give_back() -> None:
+    """Return memory that was freed to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, with freed memory given back at its end: workers are reused by later stages, and wait meanwhile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df to a shared table and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession

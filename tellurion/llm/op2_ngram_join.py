@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import connected_components, materialise, ship_package
+from .common import connected_components, lean, materialise, ship_package
 
 WORDS, LIMIT = 4, 85
 PARTS, HEAVY, MAX_HEAVY, LONG, SHARED, BUCKETS, BLOCK = 512, 16, 1_000_000, 64, 3, 256, 1024
@@ -329,7 +329,7 @@ def components(docs: DataFrame, words: int = WORDS, limit: int = LIMIT, id_col:
     spark = docs.sparkSession
     ship_package(spark)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    counted = src.mapInArrow(_counting(words), _LAYOUT)
+    counted = src.mapInArrow(lean(_counting(words)), _LAYOUT)
     both = materialise(counted)
     members = both.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("cls"), F.col("n").alias("n_shingles"))
     heavy = both.where("kind = 1").select("part", "blob").groupBy("part").applyInArrow(_heavy_of_part, "key bigint, df bigint")
@@ -338,7 +338,7 @@ def components(docs: DataFrame, words: int = WORDS, limit: int = LIMIT, id_col:
     order = np.argsort(key)
     shared = spark.sparkContext.broadcast((key[order], df[order]))
 
-    paired = materialise(src.mapInArrow(_posting(words, limit, shared), _LAYOUT).groupBy("part").applyInArrow(_pairing(limit), _LAYOUT))
+    paired = materialise(src.mapInArrow(lean(_posting(words, limit, shared)), _LAYOUT).groupBy("part").applyInArrow(_pairing(limit), _LAYOUT))
     pairs = paired.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED)
     sigs = paired.where("kind = 2").groupBy("a").agg(F.first("n").alias("n"), F.first("blob").alias("sig"))
     left, right = sigs.toDF("a", "na", "sa"), sigs.toDF("b", "nb", "sb")
@@ -352,7 +352,7 @@ def components(docs: DataFrame, words: int = WORDS, limit: int = LIMIT, id_col:
     wanted = near.join(many, "component").join(reps, F.col("node") == F.col("cls")).where("rep is not null")
     wanted = wanted.select("rep", "cls", F.col("component").alias("comp"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     texts = src.join(wanted, src["id"] == wanted["rep"]).select("text", "cls", "comp", "blocks")
-    sets = texts.mapInArrow(_sets_of_wanted(words), "cls bigint, comp bigint, blocks int, blob binary")
+    sets = texts.mapInArrow(lean(_sets_of_wanted(words)), "cls bigint, comp bigint, blocks int, blob binary")
     own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     dealt = sets.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("comp", F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q"), (F.col("own") > F.col("o")).cast("int").alias("side"), "cls", "blob")

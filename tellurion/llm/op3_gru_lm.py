@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import materialise, remainder, ship_package
+from .common import lean, materialise, remainder, ship_package
 
 VOCABULARY, SOFT, FREQUENT, CLASSES, LAST = 16_000, 4_000, 200_000, 48, 8
 EMBEDDING, HIDDEN, STEPS, RUN, ROUNDS, BLOCKS = 16, 16, 32, 16, 3, 16
@@ -477,7 +477,7 @@ def score_documents(docs: DataFrame, modulus: int = 5, held_out: int = 1, rate:
     id_type = dict(docs.dtypes)[id_col]
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("held", remainder(F.col("id"), modulus) == held_out)
     training = src.where(~F.col("held"))
-    counts = materialise(training.select("text").mapInArrow(_count, "h bigint, rare int, c bigint").groupBy("h").agg(F.first("rare").alias("rare"), F.sum("c").alias("c")))
+    counts = materialise(training.select("text").mapInArrow(lean(_count), "h bigint, rare int, c bigint").groupBy("h").agg(F.first("rare").alias("rare"), F.sum("c").alias("c")))
     ends = counts.where("h is null").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     by_class = counts.where("h is not null").groupBy("rare").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()  # one row per rare class
     mass, types = np.zeros(RARE), np.zeros(RARE)
@@ -485,16 +485,16 @@ def score_documents(docs: DataFrame, modulus: int = 5, held_out: int = 1, rate:
         mass[r["rare"]], types[r["rare"]] = r["c"], r["n"]
     top = counts.where("h is not null").orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
     lex = make_lexicon(*(top.column(c).to_numpy() for c in ("h", "c")), mass, types, top.column("rare").to_numpy(), ends, int(mass.sum()) + ends, int(types.sum()) + (ends > 0))
-    coded = src.select(F.monotonically_increasing_id().alias("rid"), "id", "held", "text").mapInArrow(_coder(lex), f"kind int, rid bigint, id {id_type}, held boolean, n bigint, known bigint, base double, score double, h bigint, codes binary")
+    coded = src.select(F.monotonically_increasing_id().alias("rid"), "id", "held", "text").mapInArrow(lean(_coder(lex)), f"kind int, rid bigint, id {id_type}, held boolean, n bigint, known bigint, base double, score double, h bigint, codes binary")
     coded = materialise(coded)
     rows, flat = coded.where("kind = 0").drop("kind", "h"), _flatten(start_params(lex))
     for r in range(ROUNDS):
         mine = rows.where(~F.col("held") & (F.pmod(F.xxhash64("id"), F.lit(ROUNDS)) == r)).select("codes")
-        sums = mine.mapInArrow(_trainer(lex, flat, rate / (1 + r)), _SUMS).groupBy("block", "slot").applyInArrow(_sum_up, _SUMS).groupBy("block").applyInArrow(_sum_up, _SUMS)
+        sums = mine.mapInArrow(lean(_trainer(lex, flat, rate / (1 + r))), _SUMS).groupBy("block", "slot").applyInArrow(_sum_up, _SUMS).groupBy("block").applyInArrow(_sum_up, _SUMS)
         got = sorted((r["block"], r["seen"], r["blob"]) for r in sums.collect())  # BLOCKS rows
         if got:
             flat = np.concatenate([np.frombuffer(x, np.float64) / n for _, n, x in got]).astype(np.float32)
-    scored = rows.select("rid", "id", "held", "n", "known", "base", "score", "codes").mapInArrow(_scorer(lex, flat), f"rid bigint, id {id_type}, held boolean, n bigint, known bigint, base double, score double")
+    scored = rows.select("rid", "id", "held", "n", "known", "base", "score", "codes").mapInArrow(lean(_scorer(lex, flat)), f"rid bigint, id {id_type}, held boolean, n bigint, known bigint, base double, score double")
     rest = counts.where("h is not null").select(F.col("h").alias("w"), "c")
     far = coded.where("kind = 1").select("rid", F.col("n").alias("tf"), F.col("h").alias("w")).join(rest, "w", "left")
     c = F.coalesce(F.col("c"), F.lit(0))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import labelled
 from . import words as W
-from .common import remainder, ship_package
+from .common import lean, remainder, ship_package
 
 #: Bound on labelled documents that are fitted on, for each of the two labels.
 PER_CLASS = 6000
@@ -206,7 +206,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held_out: int = 2, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> AdditiveModel:
     ship_package(docs.sparkSession)
-    got = labelled.sample(docs, labels, label, modulus, held_out, per_class, id_col, text_col).mapInArrow(_feature_rows, "y int, x array<double>").toArrow()
+    got = labelled.sample(docs, labels, label, modulus, held_out, per_class, id_col, text_col).mapInArrow(lean(_feature_rows), "y int, x array<double>").toArrow()
     if not got.num_rows:
         return AdditiveModel()
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
@@ -220,7 +220,7 @@ def score_documents(docs: DataFrame, model: AdditiveModel, modulus: int = 4, hel
     ship_package(docs.sparkSession)
     fields = docs.schema.fields if keep else [docs.schema[id_col]]
     names = [f.name for f in fields]
-    if clash := {"__text", "__score"} & set(names):
+    if clash := {"__text", "__score", "__predicted"} & {n.lower() for n in names}:
         raise ValueError(f"reserved column names: {sorted(clash)}")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +230,7 @@ def score_documents(docs: DataFrame, model: AdditiveModel, modulus: int = 4, hel
 
     src = docs.select(F.col(text_col).alias("__text"), *[F.col(f"`{n}`") for n in names])
     schema = type(docs.schema)([*fields]).add("__score", "double")
-    out = src.mapInArrow(work, schema)
+    out = src.mapInArrow(lean(work), schema)
     score, predicted = F.col("__score"), (F.col("__score") >= threshold).cast("int")
     if keep:
         return out.withColumn("__predicted", predicted)

@@ -1,14 +1,19 @@
 """Toxicity: averaged subword-bag embeddings under a linear softmax.
 
 A word is the mean of the vectors of its character n-grams, with marks for its ends; a
-text is the mean of its distinct words (so that a word said over and over counts once); a softmax over two classes reads that mean. Vectors and
-softmax are trained jointly in numpy (Adam on minibatches). Misspelt or inflected words that
+passage of WINDOW words is the mean of its distinct words (so that a word said over and over counts once); a softmax over two
+classes reads that mean. Vectors and softmax are trained jointly in numpy (Adam on minibatches). Misspelt or inflected words that
 were never seen share n-grams with those that were. As all is linear, scoring needs one number
-per n-gram bucket, so words are scored in vectorised sums over bytes.
+per n-gram bucket, so words are scored in vectorised sums over bytes. A text's score is that of its worst passage, by a logistic
+curve, as a few toxic words vanish in the mean of a long text.
 
-Null and empty texts have no passage and get the score of one without known n-grams. Repeated rows are scored
-one by one; without usable labels all scores are 0.5; an empty table gives an empty result.
-Only the named columns are read; labels, language, source and id are never inputs.
+Training takes every passage of the sampled texts. A first stage gives a text's passages its label, those of a text with more than EVEN
+passages weigh less, so that long texts don't outweigh others; a second stage takes the passages of clean texts and the worst ones of toxic texts.
+
+Null and empty texts have no passage and get the score of one without known n-grams. Very long texts are scored in all their passages.
+Repeated rows are scored one by one; ties don't matter, as each row is scored by itself; without usable labels all scores are 0.5; an
+empty table gives an empty result. Only the named columns are read, so others cannot clash, unless they are kept (``keep``): then names
+that begin with ``__`` as here are refused. Labels, language, source and id are never inputs.
 """
 
 from __future__ import annotations
@@ -23,12 +28,12 @@ from pyspark.sql import functions as F
 
 from . import labelled
 from . import words as W
-from .common import remainder, ship_package
+from .common import lean, remainder, ship_package
 
-#: Bound on labelled documents that are fitted on, for each of the two labels, and on passages drawn of each for the first stage.
-PER_CLASS, PASSAGES = 1800, 24
+#: Bound on labelled documents that are fitted on, for each of the two labels; passages of a text from which on each weighs less in the first stage.
+PER_CLASS, EVEN = 1800, 24
 BUCKETS, DIMENSION, GRAMS, WINDOW = 1 << 17, 4, (3, 4, 5), 16
-#: Only buckets met in so many of the training passages' texts are learnt; others add nothing.
+#: Only buckets met in so many of the training texts are learnt; others add nothing.
 LEAST_TEXTS = 3
 #: A passage of fewer distinct words is averaged as if filled up with neutral ones.
 LEAST_WORDS = 10
@@ -115,47 +120,66 @@ class SubwordModel:
         return 1 / (1 + np.exp(-np.clip(self.logits(col), -30, 30)))
 
 
-def bags(col, rng: np.random.Generator, model: SubwordModel | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows of passages: (start of each one's entries, bucket, weight, text).
-
-    PASSAGES of a text are drawn; with a model, the WORST of all its passages come besides.
-    """
-    size, buckets, weights, texts = [], [], [], []
-    for first in range(0, len(col), 256):  # a few texts at a time, for the driver's memory
-        idx, vals, per = W.batch_words(col.slice(first, 256))
+@dataclass
+class Passages:
+    """All passages of the training texts as lists of words, words as lists of buckets; everything flat."""
+
+    start: np.ndarray  # of each passage's words
+    word: np.ndarray
+    held: np.ndarray  # words that a passage is averaged over
+    text: np.ndarray  # of each passage
+    gram_start: np.ndarray  # of each word's learnt buckets
+    gram: np.ndarray
+    grams: np.ndarray  # all n-grams of each word, learnt or not
+    met: np.ndarray  # mask of learnt buckets
+
+    def word_values(self, value: np.ndarray) -> np.ndarray:
+        of = np.repeat(np.arange(len(self.grams)), np.diff(self.gram_start))
+        return np.bincount(of, value[self.gram], len(self.grams)) / np.maximum(self.grams, 1)
+
+    def logits(self, value: np.ndarray) -> np.ndarray:
+        of = np.repeat(np.arange(len(self.held)), np.diff(self.start))
+        return np.bincount(of, self.word_values(value)[self.word], len(self.held)) / self.held
+
+
+def collect(col) -> Passages:
+    """The passages of all texts, a few texts at a time, for the task's memory; a word is listed once for each such part."""
+    size, word, held, text, gram, learnable, grams = [], [], [], [], [], [], []
+    count, words = np.zeros(BUCKETS, np.int64), 0
+    for first in range(0, len(col), 128):
+        part = col.slice(first, 128)
+        idx, vals, per = W.batch_words(part)
         if not len(idx):
             continue
-        bucket, grams = gram_buckets(vals)
-        begin = np.concatenate(([0], np.cumsum(grams)))
-        window, count = passages(per)
-        lot, text_of = rng.random(int(count.sum())), np.repeat(np.arange(len(per)), count)
-
-        def rank(by, text_of=text_of, count=count):
-            out = np.empty(len(by), np.int64)
-            out[np.lexsort((by, text_of))] = np.arange(len(by)) - np.repeat(np.cumsum(count) - count, count)
-            return out
-
-        chosen = rank(lot) < PASSAGES
-        if model is not None:
-            chosen |= rank(-model.means(idx, bucket, grams, window, len(lot))) < WORST
-        v = len(vals)
-        on = chosen[window]
-        key = np.unique(window[on] * v + idx[on])
-        row, word = key // v, key % v
-        held = np.maximum(np.bincount(row, minlength=len(lot)), LEAST_WORDS)
-        buckets.append(W.ragged_take(bucket, begin, word).astype(np.int32))
-        weights.append(np.repeat(1 / (grams[word] * held[row]), grams[word]).astype(np.float32))
-        size.append(np.bincount(row, weights=grams[word], minlength=len(lot)).astype(np.int64)[chosen])
-        texts.append(first + text_of[chosen])
+        bucket, n = gram_buckets(vals)
+        v, begin = len(vals), np.concatenate(([0], np.cumsum(n)))
+        window, many = passages(per)
+        total = int(many.sum())
+        key = np.unique(window * v + idx)
+        size.append(np.bincount(key // v, minlength=total))
+        held.append(np.maximum(size[-1], LEAST_WORDS))
+        word.append((key % v + words).astype(np.int32))
+        text.append(np.repeat(first + np.arange(len(per)), many))
+        key = np.unique(np.repeat(np.arange(len(per)), per) * v + idx)  # words of each text, then buckets of each text
+        of = np.repeat(key // v, n[key % v])
+        pairs = np.unique(of * BUCKETS + W.ragged_take(bucket, begin, key % v))
+        count += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
+        gram.append(bucket.astype(np.int32))
+        grams.append(n)
+        words += v
+    met = count >= LEAST_TEXTS
     cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return np.concatenate(([0], np.cumsum(cat(size, np.int64)))), cat(buckets, np.int32), cat(weights, np.float32), cat(texts, np.int64)
+    gram, grams = cat(gram, np.int32), cat(grams, np.int64)
+    learnable = met[gram]
+    ends = np.concatenate(([0], np.cumsum(learnable)))[np.concatenate(([0], np.cumsum(grams)))]
+    return Passages(np.concatenate(([0], np.cumsum(cat(size, np.int64)))), cat(word, np.int32), cat(held, np.int64).astype(np.float32), cat(text, np.int64), ends, gram[learnable], grams, met)
 
 
-def _descend(net: list[np.ndarray], start: np.ndarray, bucket: np.ndarray, weight: np.ndarray, rows: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> None:
+def _descend(net: list[np.ndarray], bags: Passages, rows: np.ndarray, y: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> None:
     """Joint training of vectors and softmax on the passages ``rows``, both classes with equal weight."""
     vec, out, _ = net
-    share = max(y.mean(), 1e-9)
-    cls = np.where(y == 1, 0.5 / share, 0.5 / max(1 - share, 1e-9)).astype(np.float32)
+    share = max(float(weight[y == 1].sum() / weight.sum()), 1e-9)
+    cls = (np.where(y == 1, 0.5 / share, 0.5 / max(1 - share, 1e-9)) * weight / weight.mean()).astype(np.float32)
     m1, m2, t = [np.zeros_like(p) for p in net], [np.zeros_like(p) for p in net], 0
     batch = min(BATCH, max(64, len(rows) // 8))
     epochs = max(EPOCHS, -(-LEAST_UPDATES * batch // len(rows)))
@@ -164,18 +188,22 @@ def _descend(net: list[np.ndarray], start: np.ndarray, bucket: np.ndarray, weigh
         for a in range(0, len(order), batch):
             pick = order[a : a + batch]
             mine = rows[pick]
-            row = np.repeat(np.arange(len(mine)), start[mine + 1] - start[mine])
-            at = W.ragged_take(np.arange(len(bucket)), start, mine)
-            b, w = bucket[at], weight[at]
-            part = vec[b] * w[:, None]
-            hidden = np.stack([np.bincount(row, part[:, k], len(mine)) for k in range(DIMENSION)], 1).astype(np.float32) * SCALE
+            row = np.repeat(np.arange(len(mine)), bags.start[mine + 1] - bags.start[mine])
+            words, place = np.unique(W.ragged_take(bags.word, bags.start, mine), return_inverse=True)
+            of = np.repeat(np.arange(len(words)), bags.gram_start[words + 1] - bags.gram_start[words])
+            b = W.ragged_take(bags.gram, bags.gram_start, words)
+            share_of = (1 / np.maximum(bags.grams[words], 1)).astype(np.float32)
+            part, w = vec[b], 1 / bags.held[mine][row]
+            mean = np.stack([np.bincount(of, part[:, k], len(words)) for k in range(DIMENSION)], 1) * share_of[:, None]
+            hidden = np.stack([np.bincount(row, mean[place, k] * w, len(mine)) for k in range(DIMENSION)], 1).astype(np.float32) * SCALE
             z = hidden @ out + net[2]
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(mine)), y[pick]] -= 1
             p *= cls[pick][:, None] / len(mine)
             dh = (p @ out.T) * SCALE
-            grads = [np.stack([np.bincount(b, dh[row, k] * w, len(vec)) for k in range(DIMENSION)], 1).astype(np.float32), hidden.T @ p, p.sum(0)]
+            back = np.stack([np.bincount(place, dh[row, k] * w, len(words)) for k in range(DIMENSION)], 1) * share_of[:, None]
+            grads = [np.stack([np.bincount(b, back[of, k], len(vec)) for k in range(DIMENSION)], 1).astype(np.float32), hidden.T @ p, p.sum(0)]
             t += 1
             lr = RATE * (1 - epoch / epochs)
             for q, g, u, v in zip(net, grads, m1, m2, strict=True):
@@ -191,39 +219,29 @@ def fit(col, y: np.ndarray, seed: int = 1) -> SubwordModel:
     y = np.asarray(y).astype(np.int64)
     if not len(y) or y.min() == y.max():
         return SubwordModel(np.zeros(BUCKETS), 0.0)
-    rng = np.random.default_rng(seed)
-
-    def learnt(model: SubwordModel | None = None) -> tuple[np.ndarray, ...]:
-        """bags() of the same draws without buckets met in too few texts, and the mask of buckets."""
-        start, bucket, weight, text = bags(col, np.random.default_rng((seed, 1)), model)
-        pairs = np.unique(bucket.astype(np.int64) * len(y) + np.repeat(text, np.diff(start)))
-        met = np.bincount(pairs // len(y), minlength=BUCKETS) >= LEAST_TEXTS
-        on = met[bucket]
-        return np.concatenate(([0], np.cumsum(on)))[start], bucket[on], weight[on], text, met
-
-    start, bucket, weight, text, met = learnt()
+    rng, bags = np.random.default_rng(seed), collect(col)
+    text = bags.text
     if not len(text):
         return SubwordModel(np.zeros(BUCKETS), 0.0)
     net = [rng.normal(0, 0.01, (BUCKETS, DIMENSION)).astype(np.float32), rng.normal(0, 0.5, (DIMENSION, 2)).astype(np.float32), np.zeros(2, np.float32)]
-    _descend(net, start, bucket, weight, np.arange(len(text)), y[text], rng)
+    even = 1 / np.maximum(np.bincount(text) / EVEN, 1)[text]
+    _descend(net, bags, np.arange(len(text)), y[text], even, rng)
 
-    def model() -> SubwordModel:
-        turn = net[1][:, 1] - net[1][:, 0]
-        return SubwordModel(np.where(met, net[0] @ turn, 0).astype(np.float64) * float(SCALE), float(net[2][1] - net[2][0]))
+    def value() -> np.ndarray:
+        return np.where(bags.met, net[0] @ (net[1][:, 1] - net[1][:, 0]), 0).astype(np.float64) * float(SCALE)
 
-    value = model().value
-    start, bucket, weight, text, met = learnt(model())  # the worst of all passages of every text, drawn or not
-    row = np.repeat(np.arange(len(text)), np.diff(start))
-    logit = np.bincount(row, value[bucket] * weight, len(text))
+    logit = bags.logits(value())
     order = np.lexsort((-logit, text))
     rank = np.empty(len(text), np.int64)
     rank[order] = np.arange(len(text)) - np.searchsorted(text[order], text[order], side="left")
     bar = np.quantile(logit[y[text] == 0], 0.98) if (y[text] == 0).any() else 0.0
     rows = np.flatnonzero((y[text] == 0) | ((rank < WORST) & (logit > bar)) | (rank == 0))
-    _descend(net, start, bucket, weight, rows, y[text[rows]], rng)
-    out = model()
-    worst = np.concatenate([out.worst(col.slice(a, 256)) for a in range(0, len(col), 256)])
-    return SubwordModel(out.value, out.bias, *curve(worst, y))
+    _descend(net, bags, rows, y[text[rows]], np.where(y[text] == 0, even, 1.0)[rows], rng)
+    bias = float(net[2][1] - net[2][0])
+    logit, some = bags.logits(value()), np.unique(text, return_index=True)
+    worst = np.full(len(y), bias)
+    worst[some[0]] += np.maximum.reduceat(logit, some[1])
+    return SubwordModel(value(), bias, *curve(worst, y))
 
 
 def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -241,7 +259,7 @@ def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held_out: int = 1, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> SubwordModel:
-    """Fit on a bounded sample, in one task of an executor; the driver gets the finished model."""
+    """Fit on a sample of at most per_class documents of each label, in one task of an executor; the driver gets the finished model."""
     ship_package(docs.sparkSession)
     sample = labelled.sample(docs, labels, label, modulus, held_out, per_class, id_col, text_col)
 
@@ -251,7 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
         m = fit(got.column("text").combine_chunks(), got.column("y").to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array([m.value.tobytes()], pa.binary()), *(pa.array([v]) for v in (m.bias, m.slope, m.offset))], ["value", "bias", "slope", "offset"])
 
-    rows = sample.repartition(1).mapInArrow(work, "value binary, bias double, slope double, offset double").collect()  # one row
+    rows = sample.repartition(1).mapInArrow(lean(work), "value binary, bias double, slope double, offset double").collect()  # one row
     if not rows:
         return SubwordModel(np.zeros(BUCKETS), 0.0)
     return SubwordModel(np.frombuffer(rows[0]["value"], np.float64), rows[0]["bias"], rows[0]["slope"], rows[0]["offset"])
@@ -262,7 +280,7 @@ def score_documents(docs: DataFrame, model: SubwordModel, modulus: int = 3, held
     ship_package(docs.sparkSession)
     fields = docs.schema.fields if keep else [docs.schema[id_col]]
     names = [f.name for f in fields]
-    if clash := {"__text", "__score"} & set(names):
+    if clash := {"__text", "__score", "__predicted"} & {n.lower() for n in names}:
         raise ValueError(f"reserved column names: {sorted(clash)}")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +289,7 @@ def score_documents(docs: DataFrame, model: SubwordModel, modulus: int = 3, held
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(model.scores(b.column(0)))], [*names, "__score"])
 
     src = docs.select(F.col(text_col).alias("__text"), *[F.col(f"`{n}`") for n in names])
-    out = src.mapInArrow(work, type(docs.schema)([*fields]).add("__score", "double"))
+    out = src.mapInArrow(lean(work), type(docs.schema)([*fields]).add("__score", "double"))
     predicted = (F.col("__score") >= threshold).cast("int")
     if keep:
         return out.withColumn("__predicted", predicted)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import materialise, ship_package
+from .common import lean, materialise, ship_package
 
 CAPACITY, END_ID, CACHE_UNITS = 1024, 2, 500_000
 _ODD_SPACE = tuple(c.encode() for c in "\x85\xa0     　") + (b"\xe2\x80",)
@@ -244,6 +244,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = UnitEncoder.of(tokenizer_path)
         end = np.array([end_id], np.uint32)
+        enc.clear()  # what an earlier task's texts left
         for whole in batches:
             for b in W.slices(whole, 1):
                 ids, per = enc.encode(b.column(1))
@@ -263,8 +264,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
                     [b.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     ["id", "piece", "start", "length", "ids_crc32"],
                 )
+        enc.clear()
 
-    pieces = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, f"id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    pieces = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(cut), f"id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint")
     pieces = materialise(pieces.withColumn("rid", F.monotonically_increasing_id()))
     rows = pieces.count()
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("rid"), F.lit(max(64, rows // 1000))))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import ship_package
+from .common import lean, ship_package
 from .op7_packing import byte_alphabet, tokenizer_file
 
 CACHE_WORDS, CACHE_PIECES = 1_200_000, 700_000
@@ -213,9 +213,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                 if full:
                     cols += [ids.cast(pa.string()), dec.cast(pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(cols)])
+        bpe.clear()
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = src.mapInArrow(work, f"id {dict(src.dtypes)['id']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
+    out = src.mapInArrow(lean(work), f"id {dict(src.dtypes)['id']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -236,19 +236,37 @@ def test_language_model_on_odd_input(spark):
 # classifiers -------------------------------------------------------------------------------
 
 
-def test_toxicity_looks_at_all_passages_of_long_texts():
-    """The worst passage of a text of 500 passages, of which 24 are drawn, is in the second stage's rows."""
+def test_toxicity_trains_on_all_passages_of_long_texts():
+    """Every passage of a text of 500 is there, and the one with other words is the worst under a model of them."""
     words = [f"plain{i % 90}" for i in range(500 * X.WINDOW)]
+    value = np.zeros(X.BUCKETS)
+    value[X.gram_buckets(pa.array(["vile"], pa.large_string()))[0]] = 5.0
     for k in (0, 250, 499):
         text = words.copy()
         text[k * X.WINDOW : k * X.WINDOW + 3] = ["vile"] * 3
-        value = np.zeros(X.BUCKETS)
-        bucket, _ = X.gram_buckets(pa.array(["vile"], pa.large_string()))
-        value[bucket] = 5.0
-        start, got, _, _ = X.bags(pa.array([" ".join(text)], pa.string()), np.random.default_rng(1), X.SubwordModel(value, 0.0))
-        rows = np.repeat(np.arange(len(start) - 1), np.diff(start))
-        per = np.array([np.isin(bucket, got[rows == r]).all() for r in range(len(start) - 1)])
-        assert per.any() and len(per) <= X.PASSAGES + X.WORST
+        bags = X.collect(pa.array(["other words", " ".join(text), "", *[f"vile {i}" for i in range(3)]], pa.string()))
+        assert np.bincount(bags.text, minlength=6).tolist() == [1, 500, 0, 1, 1, 1]
+        assert int(np.argmax(bags.logits(value)[bags.text == 1])) == k
+
+
+def test_toxicity_scores_against_plain_averages():
+    """A fitted model's scores, recomputed word by word from n-gram strings."""
+    rng = random.Random(2)
+    clean = [" ".join("".join(rng.choices("abcdefghij", k=rng.randint(1, 9))) for _ in range(rng.randint(1, 90))) for _ in range(80)]
+    model = X.fit(pa.array([t + " scoundrel scoundrels" if i % 2 else t for i, t in enumerate(clean)]), np.arange(80) % 2)
+    texts = [clean[0], clean[1] + " sc0undrel", "Scoundrel", "", "a a a a", "é scoundrel " * 40]
+
+    def word_value(w):
+        bucket, n = X.gram_buckets(pa.array([w.encode()], pa.large_binary()))
+        marked = b"\x01" + w.encode() + b"\x02"
+        assert n[0] == 1 + sum(max(len(marked) - k + 1, 0) for k in X.GRAMS)
+        return model.value[bucket].sum() / n[0]
+
+    for t, got in zip(texts, model.scores(pa.array(texts)), strict=True):
+        w = tokens(t)
+        parts = [sorted(set(w[i : i + X.WINDOW])) for i in range(0, len(w), X.WINDOW)]
+        worst = max((sum(map(word_value, p)) / max(len(p), X.LEAST_WORDS) for p in parts), default=0.0) + model.bias
+        assert math.isclose(got, 1 / (1 + math.exp(-(model.slope * worst + model.offset))), rel_tol=1e-9)
 
 
 def test_gru_learns_from_every_window():
