@@ -71,7 +71,7 @@ def gram_buckets(vals: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np
     found_word, found = [np.arange(n)], [W.hash_words(vals, 7) % np.uint64(buckets)]
     h = np.zeros(len(marked), np.uint64)
     prime = np.uint64(0x100000001B3)
-    for k in range(max(GRAMS)):
+    for k in range(min(max(GRAMS), len(marked))):
         h[: len(marked) - k] = h[: len(marked) - k] * prime + marked[k:] + np.uint64(1)
         if k + 1 in GRAMS:
             at = np.flatnonzero(left > k)
