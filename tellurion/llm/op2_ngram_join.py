@@ -17,8 +17,10 @@ Texts become sets of hashed word shingles; equal sets are one class. Two sets li
 4. Spanning edges found are joined into the components; copies get their class's.
 
 Null, blank or wordless texts have the empty set and link with nothing. Rows that repeat
-are members of one class. A null id takes part but never names a component (a
-component of null ids only is null). An empty table gives an empty result; other columns are not read.
+are members of one class, also under different ids; rows that share an id but not a text are kept apart. A null id takes part, links and
+bridges, but never names a component (a component of null ids only is null). Very long texts count with all their shingles; ties
+(sets of equal size, lists of equal length) are broken by hash and change no result. An empty table gives an empty result; other
+columns are not read, so they cannot clash.
 """
 
 from __future__ import annotations
@@ -35,8 +37,9 @@ from . import words as W
 from .common import connected_components, lean, materialise, ship_package
 
 WORDS, LIMIT = 4, 85
-PARTS, HEAVY, MAX_HEAVY, LONG, SHARED, BUCKETS, BLOCK = 512, 16, 1_000_000, 64, 3, 256, 1024
-_SHIFT = np.uint64(23)  # shingles are counted by their upper 41 bits: 9 for the part, 32 within it
+HEAVY, MAX_HEAVY, LONG, SHARED, BUCKETS, BLOCK = 16, 1_000_000, 64, 3, 256, 1024
+#: Shingles are dealt to 2 ** bits parts by their upper bits, at least and at most so many bits, and about so many rows a part; 32 more bits name them there.
+PART_BITS, PART_ROWS = (9, 16), 8000
 _MU = 0.02
 
 
@@ -45,6 +48,15 @@ def needed(n: np.ndarray | int, limit: int) -> np.ndarray | int:
     return -(-limit * n // 100)
 
 
+def part_bits(rows: int) -> int:
+    return int(np.clip(np.ceil(np.log2(max(rows / PART_ROWS, 1))), *PART_BITS))
+
+
+def _cuts(rising: np.ndarray, bits: int) -> np.ndarray:
+    """Where each part begins in rising shingles, and the end."""
+    return np.searchsorted(rising >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+
+
 def set_classes(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """A 64-bit name of each set; equal sets have equal names."""
     if not len(flat):
@@ -72,7 +84,7 @@ def _rows(height: int, **cols) -> pa.RecordBatch:
 _LAYOUT = "kind int, part int, a bigint, b bigint, n bigint, blob binary"
 
 
-def _counting(k: int):
+def _counting(k: int, bits: int):
     """Per text its class (kind 0); per slice and hash range the shingles of its classes (kind 1)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,8 +95,8 @@ def _counting(k: int):
                 rows = b.num_rows
                 yield _rows(rows, kind=np.zeros(rows, np.int32), a=b.column(0), b=cls, n=sizes)
                 mine = np.sort(flat[np.repeat(_first_of_class(cls, sizes), sizes)])
-                cut = np.searchsorted(mine >> np.uint64(55), np.arange(PARTS + 1, dtype=np.uint64))
-                low = (mine >> _SHIFT).astype(np.uint32)
+                cut = _cuts(mine, bits)
+                low = (mine >> np.uint64(32 - bits)).astype(np.uint32)
                 parts = np.flatnonzero(np.diff(cut)).astype(np.int32)
                 yield _rows(len(parts), kind=np.ones(len(parts), np.int32), part=parts, blob=[low[cut[p] : cut[p + 1]].tobytes() for p in parts])
 
@@ -101,7 +113,7 @@ def _heavy_of_part(t: pa.Table) -> pa.Table:
     return pa.table({"key": key, "df": count[on].astype(np.int64)})
 
 
-def _posting(k: int, limit: int, heavy):
+def _posting(k: int, limit: int, bits: int, heavy):
     """Prefix postings: light ones in blocks by hash range (kind 0), heavy ones as rows (kind 1); bucket counts of sets (kind 2)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +129,7 @@ def _posting(k: int, limit: int, heavy):
                 want = np.minimum(sizes - needed(sizes, limit) + SHARED, sizes)
                 begin = np.cumsum(sizes) - sizes
                 set_of = np.repeat(np.arange(len(sizes)), sizes)
-                key = (flat >> _SHIFT).astype(np.int64)
+                key = (flat >> np.uint64(32 - bits)).astype(np.int64)
                 at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
                 big = keys[at] == key if len(keys) else np.zeros(len(flat), bool)
                 light = np.cumsum(~big)
@@ -126,7 +138,7 @@ def _posting(k: int, limit: int, heavy):
                 h, s = flat[take], set_of[take]
                 order = np.argsort(h)
                 h, s = h[order], s[order]
-                cut = np.searchsorted(h >> np.uint64(55), np.arange(PARTS + 1, dtype=np.uint64))
+                cut = _cuts(h, bits)
                 rec = np.empty(len(h), [("h", np.uint64), ("c", np.int64), ("n", np.uint32)])
                 rec["h"], rec["c"], rec["n"] = h, cls[s], sizes[s]
                 parts = np.flatnonzero(np.diff(cut)).astype(np.int32)
@@ -141,10 +153,10 @@ def _posting(k: int, limit: int, heavy):
                     hc.append(np.full(len(pick), cls[i]))
                 if hh:
                     hh, hc = np.concatenate(hh), np.concatenate(hc)
-                    yield _rows(len(hh), kind=np.ones(len(hh), np.int32), part=(hc & (PARTS - 1)).astype(np.int32), a=hh.view(np.int64), b=hc)
+                    yield _rows(len(hh), kind=np.ones(len(hh), np.int32), part=(hc & ((1 << bits) - 1)).astype(np.int32), a=hh.view(np.int64), b=hc)
                 count = np.bincount(set_of * BUCKETS + (flat & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=len(sizes) * BUCKETS).reshape(-1, BUCKETS)
                 blobs = [b"" if full else row.tobytes() for full, row in zip((count > 255).any(1).tolist(), count.astype(np.uint8), strict=True)]
-                yield _rows(len(sizes), kind=np.full(len(sizes), 2, np.int32), part=(cls & (PARTS - 1)).astype(np.int32), a=cls, n=sizes, blob=blobs)
+                yield _rows(len(sizes), kind=np.full(len(sizes), 2, np.int32), part=(cls & ((1 << bits) - 1)).astype(np.int32), a=cls, n=sizes, blob=blobs)
 
     return work
 
@@ -209,12 +221,12 @@ def _bounding(limit: int):
 
 
 def merge_lists(lists: list[np.ndarray], least: int) -> np.ndarray:
-    """Members of at least ``least`` of the sorted lists: a heap merge, or one sort when they are many."""
+    """Members of at least ``least`` of the sorted lists: a heap merge, or a merge sort of the runs when they hold more than 48."""
     total = sum(map(len, lists))
     if not total:
         return np.zeros(0, np.int64)
     if total > 48:
-        x = np.sort(np.concatenate(lists))
+        x = np.sort(np.concatenate(lists), kind="stable")  # finds the sorted runs and merges them
         cut = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True])))
         return x[cut[:-1]][np.diff(cut) >= least]
     out, last, times = [], -1, 0
@@ -310,6 +322,20 @@ def _joining(limit: int):
     return work
 
 
+def _sets_of_nameless(k: int):
+    """(cls, blob) of texts without an id, once for each class of a slice."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in W.slices(whole, 0):
+                flat, sizes = W.shingle_sets(b.column(0), k)
+                cls = set_classes(flat, sizes)
+                end, on = np.cumsum(sizes), np.flatnonzero(_first_of_class(cls, sizes))
+                yield pa.RecordBatch.from_arrays([pa.array(cls[on]), pa.array([flat[end[i] - sizes[i] : end[i]].tobytes() for i in on], pa.binary())], ["cls", "blob"])
+
+    return work
+
+
 def _sets_of_wanted(k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -329,8 +355,8 @@ def components(docs: DataFrame, words: int = WORDS, limit: int = LIMIT, id_col:
     spark = docs.sparkSession
     ship_package(spark)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    counted = src.mapInArrow(lean(_counting(words)), _LAYOUT)
-    both = materialise(counted)
+    bits = part_bits(src.count())
+    both = materialise(src.mapInArrow(lean(_counting(words, bits)), _LAYOUT))
     members = both.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("cls"), F.col("n").alias("n_shingles"))
     heavy = both.where("kind = 1").select("part", "blob").groupBy("part").applyInArrow(_heavy_of_part, "key bigint, df bigint")
     top = heavy.orderBy(F.desc("df"), "key").limit(MAX_HEAVY).toArrow()
@@ -338,7 +364,7 @@ def components(docs: DataFrame, words: int = WORDS, limit: int = LIMIT, id_col:
     order = np.argsort(key)
     shared = spark.sparkContext.broadcast((key[order], df[order]))
 
-    paired = materialise(src.mapInArrow(lean(_posting(words, limit, shared)), _LAYOUT).groupBy("part").applyInArrow(_pairing(limit), _LAYOUT))
+    paired = materialise(src.mapInArrow(lean(_posting(words, limit, bits, shared)), _LAYOUT).groupBy("part").applyInArrow(_pairing(limit), _LAYOUT))
     pairs = paired.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED)
     sigs = paired.where("kind = 2").groupBy("a").agg(F.first("n").alias("n"), F.first("blob").alias("sig"))
     left, right = sigs.toDF("a", "na", "sa"), sigs.toDF("b", "nb", "sb")
@@ -349,10 +375,13 @@ def components(docs: DataFrame, words: int = WORDS, limit: int = LIMIT, id_col:
 
     many = near.groupBy("component").agg(F.count("*").alias("size"))
     reps = members.where("n_shingles > 0").groupBy("cls").agg(F.min("id").alias("rep"))
-    wanted = near.join(many, "component").join(reps, F.col("node") == F.col("cls")).where("rep is not null")
+    wanted = near.join(many, "component").join(reps, F.col("node") == F.col("cls"))
     wanted = wanted.select("rep", "cls", F.col("component").alias("comp"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     texts = src.join(wanted, src["id"] == wanted["rep"]).select("text", "cls", "comp", "blocks")
     sets = texts.mapInArrow(lean(_sets_of_wanted(words)), "cls bigint, comp bigint, blocks int, blob binary")
+    # a class whose rows have no id is read from those rows: null ids are pruned by the files' statistics where there are none
+    nameless = src.where("id is null").select("text").mapInArrow(lean(_sets_of_nameless(words)), "cls bigint, blob binary").dropDuplicates(["cls"])
+    sets = sets.unionByName(nameless.join(wanted.where("rep is null").select("cls", "comp", "blocks"), "cls"))
     own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     dealt = sets.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("comp", F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q"), (F.col("own") > F.col("o")).cast("int").alias("side"), "cls", "blob")

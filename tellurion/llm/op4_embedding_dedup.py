@@ -11,8 +11,9 @@ bucket where it meets, and leaves only sums and a spanning forest, not pairs, so
 output stays linear in the rows. Links within classes are counted by weight.
 
 Null vectors, zero vectors and those with null or non-finite components, or without an id, link with
-nothing and are their own component. Vectors of different length never meet. Repeated
-rows count as further vectors. An empty table gives an empty result; other columns are not read.
+nothing and are their own component. Vectors of different length never meet; very long ones are compared whole. Repeated
+rows count as further vectors, also where they share an id; rows of one id with different vectors are kept apart. Ties of axes go to the
+lower axis. An empty table gives an empty result; other columns are not read, so they cannot clash.
 """
 
 from __future__ import annotations
@@ -124,11 +125,17 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(b.column(k).take(place) for k in range(3)), pa.array([c.tobytes() for c in codes], pa.binary()), lists], ["rep", "weight", "raw", "codes", "keys"])
 
 
-def _find(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
+def reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest node that each of n nodes reaches over the edges (i, j)."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, i, root[j])
+        np.minimum.at(low, j, root[i])
+        low = low[low]
+        if np.array_equal(low, root):
+            return root
+        root = low
 
 
 def _linker(limit: float):
@@ -174,20 +181,17 @@ def _linker(limit: float):
             on = np.flatnonzero(got)
             nodes.append(rep[a:b][on])
             sums.append(got[on].astype(np.int64))
-            parent = np.arange(b - a)
-            for u, v in zip(i.tolist(), j.tolist(), strict=True):
-                ru, rv = _find(parent, u), _find(parent, v)
-                if ru != rv:
-                    parent[max(ru, rv)] = min(ru, rv)
-                    ea.append(rep[a + u])
-                    eb.append(rep[a + v])
+            root = reached(b - a, i, j)
+            moved = np.flatnonzero(root != np.arange(b - a))
+            ea.append(rep[a + moved])
+            eb.append(rep[a + root[moved]])
         node = np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
         total = np.concatenate(sums) if sums else np.zeros(0, np.int64)
-        k = len(ea)
+        ea, eb = (np.concatenate([np.zeros(0, np.int64), *e]) for e in (ea, eb))
         return pa.table({
-            "node": pa.array(np.concatenate((node, np.array(ea, np.int64)))),
-            "links": pa.array(np.concatenate((total, np.zeros(k, np.int64)))),
-            "other": pa.concat_arrays([pa.nulls(len(node), pa.int64()), pa.array(eb, pa.int64())]),
+            "node": pa.array(np.concatenate((node, ea))),
+            "links": pa.array(np.concatenate((total, np.zeros(len(ea), np.int64)))),
+            "other": pa.concat_arrays([pa.nulls(len(node), pa.int64()), pa.array(eb)]),
         })
 
     return link
@@ -199,7 +203,8 @@ def dedup(vectors: DataFrame, limit: float = 0.95, id_col: str = "vec_id", vecto
     src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     rows = materialise(src.mapInArrow(_digests, "vec_id bigint, digest binary, raw binary"))
     able = rows.where("digest is not null and vec_id is not null")
-    classes = materialise(able.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("raw").alias("raw")))
+    classes = able.groupBy("digest").agg(F.min("vec_id").alias("low"), F.count("*").alias("weight"), F.first("raw").alias("raw"))
+    classes = materialise(classes.withColumn("rep", F.monotonically_increasing_id()))  # a class is known by a number, as ids may repeat
     hashed = materialise(classes.select("rep", "weight", "raw").mapInArrow(_hashed, "rep bigint, weight bigint, raw binary, codes binary, keys array<bigint>"))
     filed = hashed.select("rep", F.explode("keys").alias("bucket"))  # narrow rows; vectors join those that have company
     sizes = filed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -213,8 +218,10 @@ def dedup(vectors: DataFrame, limit: float = 0.95, id_col: str = "vec_id", vecto
     found = materialise(dealt.groupBy("g").applyInArrow(_linker(limit), "node bigint, links bigint, other bigint"))
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     comps = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    info = classes.select("digest", "rep", "weight").join(links, F.col("rep") == F.col("node"), "left").drop("node")
-    info = info.join(comps, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    info = classes.select("digest", "rep", "low", "weight").join(links, F.col("rep") == F.col("node"), "left").drop("node")
+    info = info.join(comps, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("component", "rep")).drop("component")
+    names = info.groupBy("root").agg(F.min("low").alias("component"))
+    info = info.join(names, "root").select("digest", "component", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     one = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("digest")).alias("digest")).join(info, "digest", "left")
     comp = F.coalesce("component", "vec_id")
     return one.select(F.col("vec_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.cast("long").alias("component_id"), (F.col("vec_id") == comp).alias("kept"))

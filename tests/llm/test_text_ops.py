@@ -155,6 +155,25 @@ def test_components_without_rows_or_ids(spark):
     assert sorted((r["doc_id"] is None, r["component_id"]) for r in J.components(df).collect()) == [(False, 5), (False, 5), (True, 5)]
 
 
+def test_null_ids_bridge_and_ids_repeat(spark):
+    """Links A - B - C where B has no id, and one id on two different texts."""
+    words = [f"w{i}" for i in range(80)]
+    b = words.copy()
+    a, c = ["x", "y", *b[2:]], [*b[:-2], "u", "v"]
+    other = [f"o{i}" for i in range(60)]
+    rows = [(1, " ".join(a)), (None, " ".join(b)), (3, " ".join(c)), (3, " ".join(other)), (2, " ".join([*other[:-1], "z"])), (None, "p q r s t"), (None, "p q r s t")]
+    got = J.components(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, 90).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in got) == sorted([(1, 77, 1), (0, 77, 1), (3, 77, 1), (3, 57, 2), (2, 57, 2), (0, 2, 0), (0, 2, 0)])
+
+
+def test_shingle_parts_grow_with_the_rows():
+    assert [J.part_bits(n) for n in (0, 10**6, 8000 << 12, 10**12)] == [9, 9, 12, 16]
+    rng = np.random.default_rng(0)
+    rising = np.sort(rng.integers(0, 2**64, 1000, dtype=np.uint64))
+    cut = J._cuts(rising, 10)
+    assert len(cut) == 1025 and all(((rising[cut[p] : cut[p + 1]] >> np.uint64(54)) == p).all() for p in range(1024))
+
+
 def test_divide_skip_and_merge():
     rng = np.random.default_rng(0)
     lists = [np.sort(rng.choice(60, rng.integers(1, 12), replace=False)) for _ in range(6)]

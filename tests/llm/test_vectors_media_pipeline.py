@@ -75,6 +75,20 @@ def test_no_vectors(spark):
     assert {(r["n_links"], r["component_id"]) for r in same} == {(2, 7)}
 
 
+def test_repeated_ids_on_different_vectors(spark):
+    """(7, a), (7, b), (9, ~a), (11, ~b): each links with one other, in two components."""
+    a, b = np.eye(8)[0], np.eye(8)[1]
+    near = lambda v: (v + 0.05 * np.eye(8)[2]).tolist()
+    rows = [(7, a.tolist()), (7, b.tolist()), (9, near(a)), (11, near(b))]
+    got = E.dedup(vectors(spark, rows)).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(7, 1, 7), (7, 1, 7), (9, 1, 7), (11, 1, 7)]
+
+
+def test_smallest_reachable():
+    i, j = np.array([5, 3, 8, 7, 1]), np.array([3, 2, 7, 6, 1])
+    assert E.reached(9, i, j).tolist() == [0, 1, 2, 2, 4, 2, 6, 6, 6]
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(1000, 1040)] + [(5000, i) for i in range(5001, 5060)] + [(3, 3)]
@@ -236,3 +250,16 @@ def test_pipeline_on_odd_input(spark):
     red = P.personal_data(spark, kept, "")
     assert red.columns == d.columns and red.count() == kept.count()
     assert P.near_duplicates(spark, d.limit(0), "").count() == 0
+
+
+def test_near_duplicates_with_repeated_ids_and_clashes(spark):
+    import corpus_pipeline as P
+
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, text, 1), (5, "quite another text of some words", 2), (None, text + " end", 3), (4, "Start " + text, 4), (5, text, 1), (None, "alone with no id at all", 6)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, n_shingles int")
+    got = P.near_duplicates(spark, d, "")
+    assert got.columns == d.columns
+    assert sorted((r["doc_id"] or 0, r["n_shingles"]) for r in got.collect()) == [(0, 6), (4, 4), (5, 2)]
+    with pytest.raises(ValueError):
+        P.near_duplicates(spark, d.withColumnRenamed("n_shingles", "__Row"), "")
