@@ -12,11 +12,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellurion.shipping import ship_package
+from tellurion import shipping
 
 __all__ = ["connected_components", "lean", "materialise", "remainder", "scratch_dir", "ship_package"]
 
 
+#: A batch of rows that goes to a Python worker at once, in bytes, where the session leaves it at Spark's default: rows hold whole texts.
+BATCH_BYTES, _BATCH_KEY = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors the package, and bound the batches that they exchange with Python."""
+    shipping.ship_package(spark)
+    if spark.conf.get(_BATCH_KEY) in ("67108864", "67108864b", "64MB", "64m"):
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share.
 

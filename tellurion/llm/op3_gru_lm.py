@@ -432,7 +432,7 @@ def _trainer(lex: Lexicon, flat: np.ndarray, rate: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = _unflatten(flat, start_params(lex))
         opt, seen, tables = Adam(p, rate), 0, code_tables(lex)
-        for whole in batches:
+        for whole in W.regrouped(batches, 0, CODE_BYTES):
             for b in W.slices(whole, 0, CODE_BYTES, 1 << 14):
                 per, codes = _decoded(b.column(0))
                 seen += train_texts(p, lex, opt, per, codes, *tables)
@@ -461,7 +461,7 @@ def _scorer(lex: Lexicon, flat: np.ndarray):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, tables = _unflatten(flat, start_params(lex)), code_tables(lex)
-        for whole in batches:
+        for whole in W.regrouped(batches, 7, CODE_BYTES):
             for b in W.slices(whole, 7, CODE_BYTES, 1 << 14):
                 per, codes = _decoded(b.column(7))
                 score = b.column(6).to_numpy() + text_logs(p, lex, per, codes, *tables) / LOG10

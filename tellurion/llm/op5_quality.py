@@ -30,6 +30,8 @@ from .common import lean, remainder, ship_package
 #: Bound on labelled documents that are fitted on, for each of the two labels.
 PER_CLASS = 6000
 WINDOW_WORDS = 24
+#: Texts are measured so many bytes at a time.
+SLICE_BYTES = 1 << 20
 
 _LOW, _UP, _DIGIT, _BLANK, _LINE, _STOP, _MARK, _HIGH = range(8)
 _KIND = np.full(256, _MARK, np.int64)
@@ -225,7 +227,7 @@ def score_documents(docs: DataFrame, model: AdditiveModel, modulus: int = 4, hel
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in W.slices(whole, 0):
+            for b in W.slices(whole, 0, SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(model.scores(features(b.column(0))))], [*names, "__score"])
 
     src = docs.select(F.col(text_col).alias("__text"), *[F.col(f"`{n}`") for n in names])

@@ -39,6 +39,8 @@ LEAST_TEXTS = 3
 LEAST_WORDS = 10
 #: Each update also shrinks all vectors and weights by this times the rate.
 DECAY = 0.02
+#: Texts are scored so many bytes at a time.
+SLICE_BYTES = 3 << 19
 EPOCHS, BATCH, RATE, LEAST_UPDATES, WORST = 3, 1000, 0.05, 240, 4
 #: A mean is stretched by this, as few of its words bear on the label.
 SCALE = np.float32(20.0)
@@ -285,7 +287,7 @@ def score_documents(docs: DataFrame, model: SubwordModel, modulus: int = 3, held
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in W.slices(whole, 0):
+            for b in W.slices(whole, 0, SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(model.scores(b.column(0)))], [*names, "__score"])
 
     src = docs.select(F.col(text_col).alias("__text"), *[F.col(f"`{n}`") for n in names])

@@ -8,6 +8,8 @@ positions of words are exact.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -207,6 +209,20 @@ def slices(batch: pa.RecordBatch, col: int, max_bytes: int = 3 << 20, max_rows:
         begin = end
 
 
+def regrouped(batches: Iterator[pa.RecordBatch], col: int, min_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches put together until their column holds min_bytes."""
+    waiting: list[pa.RecordBatch] = []
+    held = 0
+    for b in batches:
+        waiting.append(b)
+        held += pa.compute.sum(pa.compute.binary_length(b.column(col))).as_py() or 0
+        if held >= min_bytes:
+            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+            waiting, held = [], 0
+    if waiting:
+        yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+
+
 def ragged_take(values: np.ndarray, off: np.ndarray, idx: np.ndarray) -> np.ndarray:
     """Concatenation of values[off[i]:off[i+1]] for i in idx."""
     lens = (off[1:] - off[:-1])[idx]
