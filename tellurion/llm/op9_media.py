@@ -35,7 +35,7 @@ CORNERS, CELL, SCALES = 28, 72, (1.0, 0.8, 0.64, 0.5)
 #: Of random pairs of corners about 1 in 800 are within 22 bits (1 in 200 within 26), of a turned or rescaled picture's own corners about half.
 MAX_DISTANCE, LEAST, SLACK, RADIUS, TURNS = 22, 7, 3.0, 7, 128
 #: Query corners searched for at a time, bits of a table's key, and the share of pairs at MAX_DISTANCE bits that all tables may miss.
-BLOCK, WIDTHS, MISSED = 1 << 18, (8, 16), 0.04
+BLOCK, WIDTHS, MISSED, DRAWS = 1 << 18, (8, 16), 0.06, 12
 
 
 #: Offsets (plus RADIUS) y0 x0 y1 x1 of the binary tests, one hexadecimal digit each: picked greedily from 4000 random pairs so that
@@ -219,24 +219,35 @@ def describe(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return img, y / scale, z / scale, np.stack((angle, scale), 1), code
 
 
+def _words(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of each code as numbers."""
+    both = np.ascontiguousarray(code).view(np.uint64)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
+
 class Tables:
-    """Hamming tables over query corners: each keys them by some of their bits, all drawn from a fixed seed.
+    """Hamming tables over query corners: each keys them by some of their bits, drawn from a fixed seed; of DRAWS draws the one with the evenest buckets.
 
     A pair that differs in MAX_DISTANCE bits agrees in one table's bits with probability 1 - MISSED at least; nearer ones more often.
     """
 
     def __init__(self, code: np.ndarray):
-        self.words = np.ascontiguousarray(code).view(np.uint64)
+        self.words = _words(code)
         n = len(code)
         self.width = int(np.clip(np.ceil(np.log2(max(n, 1))), *WIDTHS))
         agree = np.prod((128 - MAX_DISTANCE - np.arange(self.width)) / (128 - np.arange(self.width)))
         tables = int(np.ceil(np.log(MISSED) / np.log(1 - agree)))
         rng = np.random.default_rng(23)
         self.weights = np.zeros((128, tables), np.float32)
+        some = code[rng.permutation(n)[: 1 << 14]]
         for t in range(tables):
-            self.weights[rng.permutation(128)[: self.width], t] = 2.0 ** np.arange(self.width)
+            draws = np.zeros((128, DRAWS), np.float32)
+            for d in range(DRAWS):
+                draws[rng.permutation(128)[: self.width], d] = 2.0 ** np.arange(self.width)
+            keys = (np.unpackbits(some, axis=1).astype(np.float32) @ draws).astype(np.int32)
+            self.weights[:, t] = draws[:, np.argmin([(np.bincount(k) ** 2).sum() for k in keys.T])]
         keys = self.keys(code)
-        self.order = np.argsort(keys, axis=0, kind="stable").astype(np.int32)
+        self.order = np.asfortranarray(np.argsort(keys, axis=0, kind="stable").astype(np.int32))
         self.start = np.zeros((tables, (1 << self.width) + 1), np.int32)
         for t in range(tables):
             self.start[t, 1:] = np.cumsum(np.bincount(keys[:, t], minlength=1 << self.width))
@@ -246,17 +257,24 @@ class Tables:
 
     def matches(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query row, row of code) of pairs of MAX_DISTANCE bits at most."""
-        words = np.ascontiguousarray(code).view(np.uint64)
+        (left, right), (mine, yours) = self.words, _words(code)
         found, m = [np.zeros(0, np.int64)], max(len(code), 1)
         for a in range(0, len(code), 4096):
             keys = self.keys(code[a : a + 4096])
             for t in range(keys.shape[1]):
                 first, last = self.start[t, keys[:, t]], self.start[t, keys[:, t] + 1]
-                size = (last - first).astype(np.int64)
-                c = np.repeat(np.arange(len(keys)), size)
-                q = self.order[np.arange(len(c)) - np.repeat(np.cumsum(size) - size - first, size), t].astype(np.int64)
-                near = np.bitwise_count(self.words[q] ^ words[a + c]).sum(1) <= MAX_DISTANCE
-                found.append(q[near] * m + a + c[near])
+                some = np.flatnonzero(last > first)
+                first, size = first[some], (last - first)[some]
+                ends = np.cumsum(size)
+                if not len(ends):
+                    continue
+                c = np.repeat(some + a, size)
+                q = self.order[:, t][np.arange(ends[-1], dtype=np.int32) + np.repeat((first - (ends - size)).astype(np.int32), size)]
+                far = np.bitwise_count(left[q] ^ mine[c])
+                near = np.flatnonzero(far <= MAX_DISTANCE)
+                q, c = q[near], c[near]
+                near = far[near] + np.bitwise_count(right[q] ^ yours[c]) <= MAX_DISTANCE
+                found.append(q[near].astype(np.int64) * m + c[near])
         pair = np.unique(np.concatenate(found))
         return pair // m, pair % m
 
