@@ -88,6 +88,25 @@ def crop(df: DataFrame, ix0: int | None = None, ix1: int | None = None, iy0: int
     return out.withColumns({"ix": (F.col("ix") - F.col("__x")).cast("int"), "iy": (F.col("iy") - F.col("__y")).cast("int")}).select(*df.columns)
 
 
+def crop_extent(df: DataFrame, info: DataFrame, xmin: float | None = None, xmax: float | None = None, ymin: float | None = None, ymax: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(grid, grid_info) of the nodes within inclusive coordinate bounds; those that are None are open."""
+    s = df.select(*CELL, "z").join(info, "survey_id")
+    node = {a: F.when(F.col(f"n{a}") > 1, F.col(f"{a}_min") + F.col(f"i{a}") * (F.col(f"{a}_max") - F.col(f"{a}_min")) / (F.col(f"n{a}") - 1)).otherwise(F.col(f"{a}_min")) for a in "xy"}
+    s = s.withColumns({"__x": node["x"], "__y": node["y"]})
+    for c, lo, hi in (("__x", xmin, xmax), ("__y", ymin, ymax)):
+        if lo is not None:
+            s = s.where(F.col(c) >= F.lit(float(lo)))
+        if hi is not None:
+            s = s.where(F.col(c) <= F.lit(float(hi)))
+    ends = s.groupBy("survey_id").agg((F.max("ix") - F.min("ix") + 1).cast("int").alias("nx"), (F.max("iy") - F.min("iy") + 1).cast("int").alias("ny"), F.min("__x").alias("x_min"), F.max("__x").alias("x_max"), F.min("__y").alias("y_min"), F.max("__y").alias("y_max"))
+    return crop(s.select(*CELL, "z")), ends
+
+
+def as_rows(df: DataFrame, info: DataFrame) -> DataFrame:
+    """Grid as (survey_id, x, y, value): a row per node, with its coordinates."""
+    return lattice(info).join(df.select(*CELL, F.col("z").alias("value")), CELL, "left").select("survey_id", "x", "y", "value")
+
+
 def translate_info(info: DataFrame, dx: float = 0.0, dy: float = 0.0) -> DataFrame:
     return info.withColumns({c: F.col(c) + F.lit(float(d)) for c, d in (("x_min", dx), ("x_max", dx), ("y_min", dy), ("y_max", dy))})
 
@@ -104,17 +123,23 @@ def shift(df: DataFrame, n: int, roll: bool = False, fill: float | None = None)
     return s.withColumn("z", F.when(edge, F.lit(fill).cast("double")).otherwise(moved)).select(*df.columns)
 
 
+def _mirrored(at: Column, size: Column, lo: int, hi: int) -> Column:
+    """Where a cell stands in the grid and its mirror images as far as windows reach."""
+    turns = F.ceil(F.lit(max(-lo, hi, 1)) / (2 * size)).cast("int")
+    return F.flatten(F.transform(F.sequence(-turns, turns), lambda k: F.array(2 * size * k + at, 2 * size * k - 1 - at)))
+
+
 def neighbours(df: DataFrame, ry0: int, ry1: int, rx0: int, rx1: int) -> DataFrame:
     """(survey_id, iy, ix, v): for every cell the values of rows iy+ry0..iy+ry1, columns ix+rx0..ix+rx1, mirrored at the rim.
 
-    Right for windows no larger than the grid.
+    Windows may be larger than the grid: mirroring goes on with period 2n.
     """
     s = _shaped(df)
 
     def served(c: str, n: str, lo: int, hi: int) -> Column:
         at, size = F.col(c), F.col(n)
-        images = F.array(at, -1 - at, 2 * size - 1 - at)  # where a cell stands, and its mirror images
-        targets = F.flatten(F.transform(images, lambda m: F.sequence(m - hi, m - lo)))
+        images = _mirrored(at, size, lo, hi)  # where a cell stands, and its mirror images
+        targets = F.flatten(F.transform(images, lambda m: F.sequence(m - F.lit(hi), m - F.lit(lo))))
         return F.filter(targets, lambda t: (t >= 0) & (t < size))
 
     s = s.withColumn("__ty", F.explode(served("iy", "__ny", ry0, ry1))).withColumn("__tx", F.explode(served("ix", "__nx", rx0, rx1)))
@@ -160,7 +185,7 @@ def box_sums(df: DataFrame, size: tuple[int, int]) -> DataFrame:
 
     def along(d: DataFrame, c: str, n: str, lo: int, hi: int) -> DataFrame:
         at, m = F.col(c), F.col(n)
-        images = F.array(at, -1 - at, 2 * m - 1 - at)
+        images = _mirrored(at, m, lo, hi)
         near = F.filter(images, lambda i: (i >= lo) & (i < m + hi))  # mirrored padding rows, then one running sum
         other = "ix" if c == "iy" else "iy"
         w = Window.partitionBy("survey_id", other).orderBy("__p").rangeBetween(lo, hi)

@@ -50,9 +50,16 @@ def number(c: Column) -> Column:
 
 
 def _numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, line, value): lines in the order of their file. Lines of one file stay in order within its splits."""
-    df = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("line"))
-    return df
+    """(file, begin, line, value): lines in the order of their file, and whether they are of the file's first split. Lines of one file stay in order within its splits."""
+    begin = F.col("_metadata.file_block_start") == 0
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), begin.alias("begin"), "value", F.monotonically_increasing_id().alias("line"))
+
+
+def _without_head(lines: DataFrame, n: int) -> DataFrame:
+    """Each file's lines but its first n. Only files' first splits are ranked, which are bounded; the rest is filtered."""
+    w = Window.partitionBy("file").orderBy("line")
+    head = lines.where("begin").withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).groupBy("file").agg(F.max("line").alias("__last"))
+    return lines.join(head, "file", "left").where("__last is null or line > __last").drop("__last")
 
 
 @register_reader("ascii", "delimited text", {"x": 0, "y": 1, "value": 2})
@@ -67,9 +74,8 @@ def read_ascii(spark: SparkSession, path: str | list[str], sep: str | None = Non
         first = lines.orderBy("line").select("value").limit(skip_rows + 1).collect()  # the head of the first file
         head = first[-1]["value"] if first else ""
         sep = sep or sniff_delimiter(head)
-        rank = F.row_number().over(Window.partitionBy("file").orderBy("line"))
         if skip_rows or header:
-            lines = lines.withColumn("__n", rank).where(F.col("__n") > skip_rows + int(header)).drop("__n")
+            lines = _without_head(lines, skip_rows + int(header))
     else:
         head = ""
     names = [c.strip() for c in re.split(re.escape(sep), head)] if header else []
@@ -142,22 +148,34 @@ def read_surfer(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame,
 
 
 @register_reader("uxo", "UXO text logs")
-def read_uxo(spark: SparkSession, path: str, survey_id: str | None = None) -> DataFrame:
-    """Points from [072] lines: x, y, value, track (or track-probe), optional lon, lat, altitude, then east, north."""
+def read_uxo(spark: SparkSession, path: str | list[str], survey_id: str | None = None) -> DataFrame:
+    """Points from [072] lines: x, y, z, value, track (or track-probe), optional lon, lat, altitude, then east, north, elevation.
+
+    Each line tells its separator (tab, ';', ',', '|' or blank in this order), so files may differ; decimals have a comma or a dot. A line that
+    begins with three separators has no local place: x and y are then -999, z is 0. Where a line has east and north, these are its
+    x and y; the local ones are in local_x and local_y always.
+    """
     from tellurion.functions.geodesy import parse_angle
 
-    lines = _numbered(spark, path)
-    tags = {r["t"]: r["v"] for r in lines.where(F.col("value").rlike(r"^\[04[12]\]")).select(F.substring("value", 2, 3).alias("t"), F.expr("substring(value, 6)").alias("v")).collect()}  # two header lines
-    sep = {"tab": "\t", "": "\t", "space": " "}.get(tags.get("041", "").strip().lower(), tags.get("041", "\t").strip() or "\t")
-    p = F.split(F.regexp_replace("value", r"^\[072\]\s*", ""), re.escape(sep))
-    at = lambda i: F.try_element_at(p, F.lit(i))
+    lines = _numbered(spark, path).where(F.col("value").startswith("[072]"))
+    body = F.substring("value", 6, 1 << 20)
+    sep = F.lit(" ")
+    for d in ("|", ",", ";", "\t"):
+        sep = F.when(F.contains(body, F.lit(d)), F.lit(d)).otherwise(sep)
+    even = F.rtrim(F.replace(body, sep, F.lit("\t")))
+    lines = lines.select("file", "line", F.startswith(even, F.lit("\t\t\t")).alias("nowhere"), F.split(F.regexp_replace(even, r"^\t+", ""), "\t").alias("p"))
+    text = lambda i: F.try_element_at("p", F.lit(i) - F.when(F.col("nowhere"), 3).otherwise(0))
+    at = lambda i: number(text(i))
+    local = lambda i, v: F.when(F.col("nowhere"), F.lit(v)).otherwise(number(F.try_element_at("p", F.lit(i))))
     sid = F.lit(survey_id) if survey_id else F.regexp_extract("file", r"([^/]+?)(?:\.[^.]*)?$", 1)
-    fake = lambda i: F.coalesce(number(at(i)), F.lit(-999.0))
-    angle = lambda i: F.coalesce(number(at(i)), parse_angle(F.regexp_replace(at(i), ",", ".")))
-    return lines.where(F.col("value").startswith("[072]")).select(
-        sid.alias("survey_id"), F.col("line").alias("pid"), F.regexp_extract(at(5), r"(\d+)", 1).try_cast("int").alias("track"), fake(2).alias("x"), fake(3).alias("y"), number(at(4)).alias("value"),
-        number(at(9)).alias("east"), number(at(10)).alias("north"), angle(6).alias("lon"), angle(7).alias("lat"),
+    angle = lambda i: F.coalesce(at(i), parse_angle(F.regexp_replace(text(i), ",", ".")))
+    number_in = lambda pattern: F.regexp_extract(text(5), pattern, 1).try_cast("int")
+    out = lines.select(
+        sid.alias("survey_id"), F.col("line").alias("pid"), number_in(r"^\s*(\d+)").alias("track"), number_in(r"-\s*(\d+)").alias("probe"), local(1, -999.0).alias("local_x"), local(2, -999.0).alias("local_y"),
+        local(3, 0.0).alias("z"), at(4).alias("value"), angle(6).alias("lon"), angle(7).alias("lat"), at(8).alias("alt"), at(9).alias("east"), at(10).alias("north"), at(11).alias("elevation"),
     )
+    placed = F.col("east").isNotNull() & F.col("north").isNotNull()
+    return out.withColumns({"x": F.when(placed, F.col("east")).otherwise(F.col("local_x")), "y": F.when(placed, F.col("north")).otherwise(F.col("local_y"))})
 
 
 def read_cmd(spark: SparkSession, path: str, survey_id: str | None = None) -> DataFrame:
@@ -188,8 +206,13 @@ def read_cmd(spark: SparkSession, path: str, survey_id: str | None = None) -> Da
     parts = F.array(*[F.struct(F.lit(k).alias("channel"), pick(by("Cond", k)).alias("cond"), pick(by("Inph", k)).alias("inph")) for k in channels])
     sid = F.lit(survey_id) if survey_id else F.regexp_extract("file", r"([^/]+?)(?:\.[^.]*)?$", 1)
     body = lines.where(F.col("value") != head["value"]).withColumn("__end", (F.size(F.filter(p, lambda e: F.trim(e) != "")) <= 2).cast("int"))
-    w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    body = body.withColumn("segment", F.coalesce(F.sum("__end").over(w), F.lit(0)).cast("int")).where("__end = 0")
+    # ends before a line: those in earlier splits of the file (few rows), and those before it in its own
+    body = body.withColumn("__split", F.shiftright("line", 33))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    splits = body.groupBy("file", "__split").agg(F.sum("__end").alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(before("file").orderBy("__split")), F.lit(0))).drop("n")
+    here = F.coalesce(F.sum("__end").over(before("file", "__split").orderBy("line")), F.lit(0))
+    body = body.withColumn("__here", here).where("__end = 0").join(splits, ["file", "__split"])
+    body = body.withColumn("segment", (F.col("__before") + F.col("__here")).cast("int"))
     lat, lon = pick("latitude"), pick("longitude")
     east, north, local = pick("easting", "x[m]"), pick("northing", "y[m]"), "x[m]" in low
     if "latitude" in low:

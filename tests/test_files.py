@@ -65,6 +65,58 @@ def test_uxo(spark, tmp_path):
     assert [(r["x"], r["y"], r["value"], r["track"]) for r in got] == [(1.25, 2.5, 100.5, 7), (1.5, 2.75, None, 7)]
 
 
+def test_uxo_as_instruments_write_it(spark, tmp_path):
+    """Hand-written lines: decimal commas and ';', track-probe, missing local places, geographic and projected coordinates; two files of two separators."""
+    a, b = tmp_path / "a.uxo", tmp_path / "b.uxo"
+    a.write_text("[001]\tFile Format\tUXO100\n[041]\tColumn separator\ttab\n[072]\t1.5\t2.5\t0\t100.25\t00007\n[072]\t1.500\t2.500\t0.100\t-3.5\t00008-2\t3°30.00000000\t48°15.00000000\t35.000\t500100.5\t5300200.25\t36.000\n")
+    b.write_text("[041];Column separator;;\n[072];1,5;2,5;0,0;100,25;00003\n[072];;;;7,5;00004;3°30,6;48°15,0;35,0\n")
+    got = {(r["survey_id"], r["track"]): r for r in files.read_uxo(spark, [str(a), str(b)]).collect()}
+    plain = got["a", 7]
+    assert (plain["x"], plain["y"], plain["z"], plain["value"], plain["probe"], plain["lon"], plain["east"]) == (1.5, 2.5, 0, 100.25, None, None, None)
+    full = got["a", 8]
+    assert (full["probe"], full["lon"], full["lat"], full["alt"], full["x"], full["y"], full["local_x"], full["z"], full["elevation"]) == (2, 3.5, 48.25, 35, 500100.5, 5300200.25, 1.5, 0.1, 36)
+    assert [got["b", 3][c] for c in ("x", "y", "z", "value")] == [1.5, 2.5, 0, 100.25]
+    lost = got["b", 4]
+    assert [lost[c] for c in ("x", "y", "z", "value", "lat", "alt")] == [-999, -999, 0, 7.5, 48.25, 35] and abs(lost["lon"] - 3.51) < 1e-12
+
+
+def test_uxo_round_trip_with_places(spark, tmp_path):
+    p = spark.createDataFrame([("s", 0, 7, 1.25, 2.5, 0.5, 100.5, 3.25, 48.5, 500000.5, 5300000.25)], "survey_id string, pid bigint, track int, x double, y double, z double, value double, lon double, lat double, east double, north double")
+    sinks.write_uxo(p, str(tmp_path / "u"), name="field", unit="nT")
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "u")).collect()]
+    assert lines[:2] == ["[001]\tFile Format\tUXO100", "[002]\tProject name\tfield"] and "[022]\tMeasuring range min\t100.50" in lines and "[041]\tColumn separator\ttab" in lines
+    assert lines[-1] == "[072]\t1.250\t2.500\t0.500\t100.50\t00007\t3°15.00000000\t48°30.00000000\t0.000\t500000.500\t5300000.250\t0.000"
+    r = files.read_uxo(spark, str(tmp_path / "u")).first()
+    assert [r[c] for c in ("local_x", "local_y", "z", "value", "lon", "lat", "x", "y")] == [1.25, 2.5, 0.5, 100.5, 3.25, 48.5, 500000.5, 5300000.25]
+
+
+def test_heads_of_many_files(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"f{k}.csv").write_text("junk\nx,y,v\n" + "".join(f"{k},{i},{i}\n" for i in range(4)))
+    df = files.read_ascii(spark, str(tmp_path / "*.csv"), sep=",", column_map={"x": "x", "y": "y", "value": "v"}, skip_rows=1, header=True)
+    assert sorted((r["survey_id"], r["y"]) for r in df.collect()) == [(f"f{k}", float(i)) for k in range(3) for i in range(4)]
+
+
+def test_layers_and_extents(spark):
+    grid, info = _survey(spark)
+    doc = __import__("json").loads(sinks.grid_matrix([grid, grid], info).first()["json"])
+    assert len(doc["grid"]) == 2 and doc["grid"][0] == doc["grid"][1] == [[1.5, 2.25, None], [4.0, -5.5, 6.0]]
+    part, ends = G.crop_extent(grid, info, xmin=10.5, ymin=5.5)
+    assert _cells(part) == {(0, 0): -5.5, (0, 1): 6.0} and tuple(ends.first())[1:] == (2, 1, 11.0, 12.0, 6.0, 6.0)
+    assert sorted((r["x"], r["y"], r["value"]) for r in G.as_rows(grid, info).where("value is not null").collect())[0] == (10.0, 5.0, 1.5)
+
+
+def test_windows_larger_than_the_grid(spark):
+    """9 x 9 windows on 3 x 3 cells, mirrored without end."""
+    z = np.arange(9.0).reshape(3, 3)
+    grid = spark.createDataFrame([("g", i, j, float(v)) for (i, j), v in np.ndenumerate(z)], "survey_id string, iy int, ix int, z double")
+    wide = np.pad(z, 4, mode="symmetric")
+    got = _cells(G.separate_trends(grid, (9, 9), "regional"))
+    mid = _cells(G.median_filter(grid, (9, 9)))
+    for i, j in got:
+        assert abs(got[i, j] - wide[i : i + 9, j : j + 9].mean()) < 1e-9 and mid[i, j] == np.median(wide[i : i + 9, j : j + 9])
+
+
 def test_cmd_segments(spark, tmp_path):
     f = tmp_path / "log.dat"
     f.write_text("x[m]\ty[m]\tTime\tCond.1[mS/m]\tInph.1[ppt]\n0\t0\t10:00:00\t1\t2\n0\t9\t10:00:01\t3\t4\n0\t10\t10:00:02\t5\t6\n0\t10\n1\t0\t10:00:03\t7\t8\n1\t10\t10:00:04\t9\t1\n")
