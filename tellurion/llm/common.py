@@ -31,9 +31,11 @@ def ship_package(spark: SparkSession) -> None:
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is missing (tests, one machine) a local folder is used.
+    Only where that setting is missing and Spark runs in one process (tests) a local folder is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.sparkContext.setCheckpointDir(base)

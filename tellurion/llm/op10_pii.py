@@ -8,8 +8,8 @@ distinct instances (smoothed), an instance's score is that of its best pattern,
 at 1. Confident patterns with enough distinct seeds then mark their other instances as
 kind ``id``. Base spans always stay.
 
-Null texts count as empty: no spans. Repeated rows are treated row by row, whatever their
-ids; an empty table gives an empty result. Only the id and text columns are read by
+Null texts count as empty: no spans. Very long texts and words are searched whole. Spans that begin at one place are listed by kind, then
+end. Repeated rows are treated row by row, whatever their ids; an empty table gives an empty result. Only the id and text columns are read by
 ``find_spans``; ``redact`` keeps every column and refuses names that begin with ``__pii``.
 """
 
@@ -74,8 +74,14 @@ def _of_kind(kind: int) -> Callable[[Column], Column]:
     return lambda x: x["kind"] == kind
 
 
-def _located(text: Column, pattern: str, matches: Column) -> Column:
-    """array<struct<start,end,token,before>> of the matches, from the pieces that they leave."""
+def _last_words(piece: Column) -> Column:
+    """The last two words of a piece, however long, lower-cased, with one blank between."""
+    words = F.filter(F.split(piece, r"\s+"), lambda w: w != "")
+    return F.lower(F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), F.lit(2)), " "))
+
+
+def _located(text: Column, pattern: str, matches: Column, context: bool = False) -> Column:
+    """array<struct<start,end,token,before>> of the matches, from the pieces that they leave; before: the words left of it, if asked for."""
     pieces = F.split(text, pattern, -1)
     pairs = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
     empty = F.array().cast("array<struct<start:int,end:int,token:string,before:string>>")
@@ -84,7 +90,7 @@ def _located(text: Column, pattern: str, matches: Column) -> Column:
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["p"])
         e = s + F.length(x["m"])
-        one = F.struct(s.alias("start"), e.alias("end"), x["m"].alias("token"), F.substring(x["p"], -60, 60).alias("before"))
+        one = F.struct(s.alias("start"), e.alias("end"), x["m"].alias("token"), (_last_words(x["p"]) if context else F.lit("")).alias("before"))
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     return F.when(F.size(matches) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(empty)
@@ -113,12 +119,11 @@ def _scan(docs: DataFrame, text_col: str) -> DataFrame:
         head = F.regexp_extract(F.substring(token, F.length(label) + 1, F.length(token)), r"^([^0-9A-Za-z@+]*)", 1)
         skip = F.length(label) + F.length(head)
         value = F.substring(token, skip + 1, F.greatest(F.length(token) - skip - F.length(tail), F.lit(0)))
-        left = F.lower(F.regexp_extract(x["before"], r"(?:^|\s)(\S+\s+\S+\s+|\S+\s+)$", 1))
-        context = F.concat(F.regexp_replace(F.trim(left), r"\s+", " "), F.lit(" "), F.lower(label))
+        context = F.concat(x["before"], F.lit(" "), F.lower(label))
         s = x["start"] + skip
         return F.struct(s.alias("start"), (s + F.length(value)).alias("end"), context.alias("context"), value.alias("value"))
 
-    cand = F.filter(F.transform(_located(text, TOKEN, F.col("__pii_m_token")), candidate), lambda c: F.length(c["value"]) >= 3)
+    cand = F.filter(F.transform(_located(text, TOKEN, F.col("__pii_m_token"), context=True), candidate), lambda c: F.length(c["value"]) >= 3)
     return df.withColumn("__pii_base", base).withColumn("__pii_cand", cand).drop(*[f"__pii_m_{k}" for k in (*PATTERNS, "token")])
 
 

@@ -483,6 +483,14 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert clean[0] == "please write to me at [EMAIL] thanks" and "[ID]" in clean[8] and clean[9] == texts[9]
 
 
+def test_contexts_of_long_words(spark):
+    """Two contexts that differ only far left in an 80-letter word are two patterns."""
+    a, b = "a" + "x" * 80, "b" + "x" * 80
+    texts = [f"word {a} user{i}@mail.org end" for i in range(12)] + [f"word {a} code77-{i}x end" for i in range(2)] + [f"word {b} code88-{i}x end" for i in range(2)]
+    got = [r["spans"] for r in I.find_spans(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert all("id:" in s for s in got[12:14]) and not any(got[14:])
+
+
 def test_redaction(spark):
     d = docs(spark, TRICKY)
     out = {r["doc_id"]: r for r in I.redact(d).collect()}
