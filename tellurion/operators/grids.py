@@ -210,10 +210,9 @@ def separate_trends(df: DataFrame, window: tuple[int, int] = (5, 5), component:
     return out.withColumn("z", F.col("z") - F.col("__t")).select(*df.columns)
 
 
-@step("wallis_filter_grid", "grid")
-def wallis(df: DataFrame, window: int = 31, mean: float = 0.0, stdev: float = 1.0, floor: float = 0.1) -> DataFrame:
+def wallis(df: DataFrame, window: int | tuple[int, int] = 31, mean: float = 0.0, stdev: float = 1.0, floor: float = 0.1) -> DataFrame:
     """Local mean and deviation to targets; deviations count as floor times the largest at least."""
-    out = df.join(box_sums(df, (window, window)), CELL)
+    out = df.join(box_sums(df, (window, window) if isinstance(window, int) else tuple(window)), CELL)
     m = F.try_divide(F.col("s"), F.col("n"))
     out = out.withColumns({"__m": m, "__s": F.sqrt(F.greatest(F.try_divide(F.col("ss"), F.col("n")) - m * m, F.lit(0.0)))})
     out = with_aggregates(out, KEY, __top=F.max("__s"))
@@ -221,6 +220,12 @@ def wallis(df: DataFrame, window: int = 31, mean: float = 0.0, stdev: float = 1.
     return out.withColumn("z", F.coalesce(gain, F.lit(0.0)) * (F.col("z") - F.col("__m")) + F.lit(float(mean))).select(*df.columns)
 
 
+@step("wallis_filter_grid", "grid")
+def wallis_step(df: DataFrame, window_size: tuple[int, int] = (31, 31), target_mean: float = 127.0, target_stdev: float = 50.0, limit_stdev_factor: float = 0.8) -> DataFrame:
+    """The recipe step, by the names and defaults that recipes have."""
+    return wallis(df, window_size, target_mean, target_stdev, limit_stdev_factor)
+
+
 def wallis_levels(df: DataFrame, nx: int = 5, ny: int = 5, mean: float = 127.0, stdev: float = 40.0, gain: float = 8.0, edge: float = 0.1, limit: float = 25.0, levels: int = 256) -> DataFrame:
     """Older variant on integer levels, windows cut off at the rim: the new level blends target and local
     statistics, local deviations are capped at limit, and the result goes back to values."""
