@@ -107,8 +107,37 @@ def destagger(df: DataFrame, max_shift: int = 10, min_correlation: float = 0.4,
     return out.select("survey_id", F.col("q" if axis == "x" else "p").cast("int").alias("iy"), F.col("p" if axis == "x" else "q").cast("int").alias("ix"), "z")
 
 
+def inversions(ranks: np.ndarray) -> int:
+    """Pairs out of order, counted while sorting by merging."""
+    n, top, width, found = len(ranks), int(ranks.max(initial=0)) + 1, 1, 0
+    a = np.full(1 << max(n - 1, 0).bit_length(), top)
+    a[:n] = ranks
+    while width < len(a):
+        halves = a.reshape(-1, 2, width)
+        block = np.arange(len(halves))[:, None]
+        left, right = (halves[:, 0] + block * (top + 1)).ravel(), (halves[:, 1] + block * (top + 1)).ravel()
+        before = np.searchsorted(left, right, "right").reshape(len(halves), width)  # all of earlier blocks, and those of its own not above
+        found += int(((block + 1) * width - before).sum())
+        a, width = np.sort(a.reshape(-1, 2 * width), 1).ravel(), 2 * width
+    return found
+
+
+def kendall(z: np.ndarray, u: np.ndarray) -> float | None:
+    """Tau-a: pairs in the same order less pairs in opposite order, of all; ties count for neither. None below two values."""
+    n = len(z)
+    if n < 2:
+        return None
+    z, u = np.unique(z, return_inverse=True)[1], np.unique(u, return_inverse=True)[1]
+    tied = lambda k: int((k * (k - 1) // 2).sum())
+    pairs = n * (n - 1) // 2
+    both = np.unique(z.astype(np.int64) * n + u, return_counts=True)[1]
+    unlike = inversions(u[np.lexsort((u, z))])
+    alike = pairs - tied(np.bincount(z)) - tied(np.bincount(u)) + tied(both) - unlike
+    return (alike - unlike) / pairs
+
+
 def ranked_correlation(df: DataFrame, method: str = "pearson") -> DataFrame:
-    """(survey_id, ix, r) of each column with its left neighbour: pearson, spearman (mean ranks) or kendall (tau-a)."""
+    """(survey_id, ix, r) of each column with its left neighbour: pearson, spearman (mean ranks) or kendall (tau-a; one task holds a column whole)."""
     left = df.select("survey_id", (F.col("ix") + 1).alias("ix"), "iy", F.col("z").alias("u"))
     both = df.join(left, ["survey_id", "ix", "iy"]).where("z is not null and u is not null").select(*PROFILE, "iy", "z", "u")
     if method == "pearson":
@@ -121,6 +150,9 @@ def ranked_correlation(df: DataFrame, method: str = "pearson") -> DataFrame:
             mean = F.rank().over(w) + (F.count("*").over(Window.partitionBy(*PROFILE, c)) - 1) / 2
             both = both.withColumn(f"r{c}", mean)
         return both.groupBy(*PROFILE).agg(F.corr("rz", "ru").alias("r"))
-    arr = both.groupBy(*PROFILE).agg(F.collect_list(F.struct("z", "u")).alias("a"))
-    one = arr.select(*PROFILE, "a", F.explode("a").alias("s")).select(*PROFILE, "s", F.size("a").alias("n"), F.aggregate("a", F.lit(0.0), lambda acc, t: acc + F.signum((t["z"] - F.col("s.z")) * (t["u"] - F.col("s.u")))).alias("c"))
-    return one.groupBy(*PROFILE).agg(F.try_divide(F.sum("c"), F.first("n") * (F.first("n") - 1)).alias("r"))
+
+    def tau(g: pd.DataFrame) -> pd.DataFrame:
+        out = kendall(g["z"].to_numpy(float), g["u"].to_numpy(float))
+        return pd.DataFrame({"survey_id": [g["survey_id"].iloc[0]], "ix": [g["ix"].iloc[0]], "r": [out]})
+
+    return both.groupBy(*PROFILE).applyInPandas(tau, "survey_id string, ix int, r double")

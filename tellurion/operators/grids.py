@@ -317,7 +317,7 @@ def tile_mask(points: DataFrame, n: int = 100, radius: int = 2, power: float = 0
 
 def tile_mask_round(points: DataFrame, n: int = 100, radius: int = 3) -> DataFrame:
     """Tiles with points all round: the mean offset of near tiles with points is below (r + 1) / 2 and
-    no empty sector reaches half a turn."""
+    no empty sector reaches half a turn (to nine decimals)."""
     dens = points.select("survey_id", "x", "y")
     p = with_aggregates(dens, KEY, __x0=F.min("x"), __x1=F.max("x"), __y0=F.min("y"), __y1=F.max("y"))
     size = lambda a: F.when(F.col(f"__{a}1") > F.col(f"__{a}0"), (F.col(f"__{a}1") - F.col(f"__{a}0")) / n).otherwise(1.0)
@@ -329,7 +329,7 @@ def tile_mask_round(points: DataFrame, n: int = 100, radius: int = 3) -> DataFra
     got = near.groupBy(*CELL).agg(F.avg("oy").alias("my"), F.avg("ox").alias("mx"), F.array_sort(F.collect_set(turn)).alias("a"))
     two_pi = 2 * np.pi
     gaps = F.concat(F.zip_with(F.slice("a", 2, F.greatest(F.size("a") - 1, F.lit(0))), F.slice("a", 1, F.greatest(F.size("a") - 1, F.lit(0))), lambda b, c: b - c), F.array(F.element_at("a", 1) + F.lit(two_pi) - F.element_at("a", -1)))
-    got = got.where(F.size("a") > 1).where((F.sqrt(F.col("my") ** 2 + F.col("mx") ** 2) < (radius + 1) / 2) & (F.array_max(gaps) < F.lit(np.pi)))
+    got = got.where(F.size("a") > 1).where((F.sqrt(F.col("my") ** 2 + F.col("mx") ** 2) < (radius + 1) / 2) & (F.round(F.array_max(gaps), 9) < F.round(F.lit(np.pi), 9)))
     return got.select(*CELL)
 
 

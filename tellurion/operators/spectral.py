@@ -140,11 +140,15 @@ def continue_field(df: DataFrame, height: float, dx: float = 1.0, dy: float = 1.
 
 
 def derivatives(df: DataFrame, dx: float = 1.0, dy: float = 1.0, taper: float = 0.0) -> DataFrame:
-    """(cell, tx, ty, tz): spectral derivatives; tz is 2 pi |k|."""
-    spec, f = fft2(df, taper), Freq(dx, dy)
+    """(cell, tx, ty, tz): spectral derivatives; tz is 2 pi |k|. The three go back through one inverse transform."""
+    f = Freq(dx, dy)
     two = F.lit(2 * np.pi)
-    parts = [ifft2(times(spec, F.lit(0.0), two * f.u), "tx").drop("mean"), ifft2(times(spec, F.lit(0.0), two * f.v), "ty").drop("mean"), ifft2(times(spec, f.k), "tz").drop("mean")]
-    return parts[0].join(parts[1], CELL).join(parts[2], CELL)
+    re, im = F.col("re"), F.col("im")
+    parts = {"tx": (-im * two * f.u, re * two * f.u), "ty": (-im * two * f.v, re * two * f.v), "tz": (re * f.k, im * f.k)}
+    spec = fft2(df, taper).withColumn("p", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), a.alias("a"), b.alias("b")) for c, (a, b) in parts.items()])))
+    spec = spec.select(F.struct("survey_id", "p.c").alias("survey_id"), "ky", "kx", F.col("p.a").alias("re"), F.col("p.b").alias("im"), "mean")
+    out = ifft2(spec).select("survey_id.survey_id", "iy", "ix", F.col("survey_id.c").alias("c"), "z")
+    return out.groupBy(*CELL).agg(*[F.max(F.when(F.col("c") == c, F.col("z"))).alias(c) for c in parts])
 
 
 @step("analytic_signal_grid", "grid")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,11 @@ def _r(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), digits) for c in cols})
 
 
+def _plus(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
+    """Rounded, and without negative zeros."""
+    return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in cols})
+
+
 def _shipped(run: Query) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -158,6 +164,8 @@ def _sessions(p: DataFrame) -> DataFrame:
 add("gap_sessions", _ev(lambda p: _sessions(p).select("pid", "segment")), f"WITH {_SEG} SELECT pid, segment FROM s")
 _MID = f"{_SEG}, c AS (SELECT track, segment, round(avg(x), 2) AS cx, round(avg(y), 2) AS cy FROM s GROUP BY ALL), f AS (SELECT *, sqrt((cx - first(cx) OVER w) ^ 2 + (cy - first(cy) OVER w) ^ 2) <= 50000 AND count(*) OVER (PARTITION BY track) > 1 AS b FROM c WINDOW w AS (PARTITION BY track ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), k AS (SELECT track, segment, CASE WHEN b THEN sum(b::INT) OVER w ELSE 0 END AS base, CASE WHEN b THEN 0 ELSE sum((NOT b)::INT) OVER w END AS profile FROM f WINDOW w AS (PARTITION BY track ORDER BY segment ROWS UNBOUNDED PRECEDING))"
 add("base_detection", _ev(lambda p: T.detect_bases(_sessions(p), 50000.0).select("pid", "base", "profile")), f"WITH {_MID} SELECT pid, CAST(base AS INT) AS base, CAST(profile AS INT) AS profile FROM s JOIN k USING (track, segment)")
+for _k, _i in (("base", 0), ("profile", 1)):
+    add(f"split_{_k}s", _ev(lambda p, _i=_i: T.split_bases(T.detect_bases(_sessions(p), 50000.0))[_i].select("pid", "segment")), f"WITH {_MID} SELECT pid, segment FROM s JOIN k USING (track, segment) WHERE {_k} <> 0")
 add("profile_renumber", _ev(lambda p: T.renumber(p).select("pid", "number")), f"WITH {_P}, f AS (SELECT track, min(pid) AS m FROM p GROUP BY track), r AS (SELECT track, CAST(dense_rank() OVER (ORDER BY m) AS INT) AS number FROM f) SELECT pid, number FROM p JOIN r USING (track)")
 _RUNS = "SELECT pid, CAST(sum(CASE WHEN l IS NULL OR event_type = l THEN 0 ELSE 1 END) OVER (PARTITION BY track ORDER BY pid ROWS UNBOUNDED PRECEDING) AS INT) AS profile FROM (SELECT *, lag(event_type) OVER (PARTITION BY track ORDER BY pid) AS l FROM p)"
 add("profiles_by_runs", _ev(lambda p: P.with_profiles(p.withColumn("survey_id", F.col("track").cast("string")), "event_type").select("pid", "profile")), f"WITH {_P} {_RUNS}")
@@ -183,8 +191,10 @@ add(
     f"WITH {_P}, a AS (SELECT *, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM p WINDOW w AS (PARTITION BY track ORDER BY pid)), u AS (SELECT *, dx / nullif(sqrt(dx * dx + dy * dy), 0) AS ux, dy / nullif(sqrt(dx * dx + dy * dy), 0) AS uy FROM a), m AS (SELECT *, (coalesce(ux, lead(ux) OVER w) + coalesce(lead(ux) OVER w, ux)) / 2 AS mx, (coalesce(uy, lead(uy) OVER w) + coalesce(lead(uy) OVER w, uy)) / 2 AS my FROM u WINDOW w AS (PARTITION BY track ORDER BY pid)) SELECT pid, round(coalesce(x + 2 * mx - 0.5 * my, x), 6) AS x, round(coalesce(y + 2 * my + 0.5 * mx, y), 6) AS y FROM m",
 )
 add("seconds_of_day", lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", F.date_format("ts", "HH:mm:ss").alias("t")).select("event_id", T.seconds_of_day("t").alias("seconds")), "SELECT event_id, CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS DOUBLE) AS seconds FROM events")
-add("destripe_polynomial_3", _ev(lambda p: _r(T.polynomial(p, 3).select("pid", "value"), "value", digits=3)))
-add("destripe_polynomial_mean", _ev(lambda p: _r(T.polynomial(p, 2, "mean").select("pid", "value"), "value", digits=3)))
+# fits by orthogonal polynomials p1, p2, p3 of the distance in millions
+_ORTHO = f"{_P}, d AS (SELECT pid, track, value AS v, sqrt((x - first(x) OVER w) ^ 2 + (y - first(y) OVER w) ^ 2) / 1e6 AS d FROM p WINDOW w AS (PARTITION BY track ORDER BY pid)), m0 AS (SELECT *, avg(d) OVER t AS a0, avg(v) OVER t AS c0 FROM d WINDOW t AS (PARTITION BY track)), q1 AS (SELECT *, d - a0 AS p1 FROM m0), m1 AS (SELECT *, sum(d * p1 * p1) OVER t / sum(p1 * p1) OVER t AS a1, sum(v * p1) OVER t / sum(p1 * p1) OVER t AS c1, avg(p1 * p1) OVER t AS b1 FROM q1 WINDOW t AS (PARTITION BY track)), q2 AS (SELECT *, (d - a1) * p1 - b1 AS p2 FROM m1), m2 AS (SELECT *, sum(d * p2 * p2) OVER t / sum(p2 * p2) OVER t AS a2, sum(v * p2) OVER t / sum(p2 * p2) OVER t AS c2, sum(p2 * p2) OVER t / sum(p1 * p1) OVER t AS b2 FROM q2 WINDOW t AS (PARTITION BY track)), q3 AS (SELECT *, (d - a2) * p2 - b2 * p1 AS p3 FROM m2), m3 AS (SELECT *, sum(v * p3) OVER t / sum(p3 * p3) OVER t AS c3 FROM q3 WINDOW t AS (PARTITION BY track))"
+add("destripe_polynomial_3", _ev(lambda p: _plus(T.polynomial(p, 3).select("pid", "value"), "value", digits=3)), f"WITH {_ORTHO} SELECT pid, round(v - c0 - c1 * p1 - c2 * p2 - c3 * p3, 3) + 0.0 AS value FROM m3")
+add("destripe_polynomial_mean", _ev(lambda p: _plus(T.polynomial(p, 2, "mean").select("pid", "value"), "value", digits=3)), f"WITH {_ORTHO}, k AS (SELECT avg(k0) AS k0, avg(k1) AS k1, avg(k2) AS k2 FROM (SELECT DISTINCT track, c0 - c1 * a0 + c2 * (a0 * a1 - b1) AS k0, c1 - c2 * (a0 + a1) AS k1, c2 AS k2 FROM m2)) SELECT pid, round(v - c0 - c1 * p1 - c2 * p2 + k0 + k1 * d + k2 * d * d, 3) + 0.0 AS value FROM m2, k")
 add("destripe_grid_linear", _gr(lambda g: _cells(T.polynomial(g, 1, kind="grid"))), f"WITH {_G}, c AS (SELECT ix, regr_slope(z, iy) AS b, regr_intercept(z, iy) AS a FROM g GROUP BY ix) SELECT iy, ix, round(z - (a + b * iy), 6) AS z FROM g JOIN c USING (ix)")
 
 # grids ----------------------------------------------------------------------------------
@@ -212,25 +222,38 @@ add("box_mean_3x3", _gr(lambda g: _cells(G.separate_trends(g, (3, 3), "regional"
 add("trend_local_3x3", _gr(lambda g: _cells(G.separate_trends(g, (3, 3)))), f"{_AVG} SELECT iy, ix, round(z - m, 6) AS z FROM g JOIN m USING (iy, ix)")
 add("trend_local_relative", _gr(lambda g: _r(G.separate_trends(P.add(g, 5.0, "z"), (3, 3), "local", "relative").select("iy", "ix", "z"), "z")), f"{_AVG} SELECT iy, ix, round((z + 5) * ((SELECT avg(z) FROM g) + 5) / (m + 5), 6) AS z FROM g JOIN m USING (iy, ix)")
 add("wallis_3x3", _gr(lambda g: _r(G.wallis(g, 3, 1.0, 2.0).select("iy", "ix", "z"), "z", digits=5)), f"{_AVG}, s AS (SELECT iy, ix, m, sqrt(greatest(q - m * m, 0)) AS s FROM m), t AS (SELECT max(s) AS top FROM s) SELECT iy, ix, round(2 / greatest(s, top * 0.1) * (z - m) + 1, 5) AS z FROM g JOIN s USING (iy, ix), t")
-add("wallis_levels", _gr(lambda g: _cells(G.wallis_levels(g, 2, 2))))
-add("clahe", _gr(lambda g: _cells(G.clahe(g, (16, 16)))))
+_LEV = f"{_G}, b AS (SELECT min(z) AS lo, max(z) AS hi FROM g), v AS (SELECT iy, ix, CAST(greatest(least(round_even((z - lo) / ((hi - lo) / 256), 0), 255), 0) AS DOUBLE) AS l FROM g, b)"
+add("from_levels", _gr(lambda g: _cells(P.from_levels(P.to_levels(g), -1.0, 1.0))), f"WITH {_LEV} SELECT iy, ix, round(l * 2 / 256 - 1, 6) AS z FROM v")
+add(
+    "wallis_levels", _gr(lambda g: _cells(G.wallis_levels(g, 2, 2))),
+    f"WITH {_LEV}, w AS (SELECT a.iy, a.ix, any_value(a.l) AS l, avg(o.l) AS m, least(stddev_pop(o.l), 25) AS s FROM v a JOIN v o ON o.iy BETWEEN a.iy - 2 AND a.iy + 2 AND o.ix BETWEEN a.ix - 2 AND a.ix + 2 GROUP BY a.iy, a.ix) SELECT iy, ix, round(lo + greatest(least((l - m) * 320 / (8 * s + 40) + 12.7 + 0.9 * m, 255), 0) * (hi - lo) / 256, 6) AS z FROM w, b",
+)
+add(
+    "clahe", _gr(lambda g: _cells(G.clahe(g, (16, 16)))),
+    f"WITH {_G}, {_N}, b AS (SELECT min(z) AS lo, max(z) AS hi FROM g), v AS (SELECT iy, ix, CAST(floor(iy / 16) AS INT) AS ty, CAST(floor(ix / 16) AS INT) AS tx, CAST(least(floor((z - lo) / (hi - lo) * 256), 255) AS INT) AS b FROM g, b), h AS (SELECT ty, tx, b, count(*) AS c, sum(count(*)) OVER (PARTITION BY ty, tx) AS n FROM v GROUP BY ty, tx, b), t AS (SELECT *, least(c, greatest(1, 0.01 * n)) AS cut FROM h), o AS (SELECT ty, tx, any_value(n) AS n, sum(c) - sum(cut) AS over FROM t GROUP BY ty, tx), k AS (SELECT o.ty, o.tx, CAST(i AS INT) AS b, (coalesce(sum(t.cut) FILTER (t.b <= i), 0) + any_value(over) * (i + 1) / 256) / any_value(o.n) AS share FROM o JOIN t USING (ty, tx), range(256) r(i) GROUP BY o.ty, o.tx, i), f AS (SELECT iy, ix, b, (iy - 7.5) / 16 AS fy, (ix - 7.5) / 16 AS fx FROM v), m AS (SELECT f.iy, f.ix, sum((CASE WHEN dy = 1 THEN fy - floor(fy) ELSE 1 - fy + floor(fy) END) * (CASE WHEN dx = 1 THEN fx - floor(fx) ELSE 1 - fx + floor(fx) END) * share) AS s FROM n, f, range(2) y(dy), range(2) x(dx), k WHERE k.b = f.b AND k.ty = greatest(least(floor(fy) + dy, floor((ny - 1) / 16)), 0) AND k.tx = greatest(least(floor(fx) + dx, floor((nx - 1) / 16)), 0) GROUP BY f.iy, f.ix) SELECT iy, ix, round(lo + s * (hi - lo), 6) AS z FROM m, b",
+)
 _TILE = "greatest(least(CAST(ceil((p.{c} - lo{c}) / ((hi{c} - lo{c}) / 40) - 0.5) - 1 AS INT), 39), 0)"
 _TILES = f"{_P}, b AS (SELECT min(x) lox, max(x) hix, min(y) loy, max(y) hiy FROM p), t AS (SELECT {_TILE.format(c='y')} AS ty, {_TILE.format(c='x')} AS tx, count(*) AS c FROM p, b GROUP BY ALL), k AS (SELECT dy, dx, 1 - sqrt(dy * dy + dx * dx) / 3 AS w FROM range(-2, 3) a(dy), range(-2, 3) b(dx) WHERE dy * dy + dx * dx <= 4), d AS (SELECT CAST(ty + dy AS INT) AS iy, CAST(tx + dx AS INT) AS ix, sum(c * w) / (4 / 3.0) AS density FROM t, k WHERE ty + dy BETWEEN 0 AND 39 AND tx + dx BETWEEN 0 AND 39 GROUP BY ALL)"
 add("tile_heatmap", _ev(lambda p: _r(G.tile_density(p, 40, 2, 1.0).drop("survey_id"), "density")), f"WITH {_TILES} SELECT iy, ix, round(density, 6) AS density FROM d")
 add("tile_mask", _ev(lambda p: G.tile_mask(p, 40, 2, 1.0).drop("survey_id")), f"WITH {_TILES} SELECT iy, ix FROM d WHERE round(density, 9) > 1")
-add("tile_mask_round", _ev(lambda p: G.tile_mask_round(p, 40, 2).drop("survey_id")))
+add(
+    "tile_mask_round", _ev(lambda p: G.tile_mask_round(p, 40, 2).drop("survey_id")),
+    f"WITH {_P}, b AS (SELECT min(x) lox, max(x) hix, min(y) loy, max(y) hiy FROM p), t AS (SELECT DISTINCT {_TILE.format(c='y')} AS ty, {_TILE.format(c='x')} AS tx FROM p, b), s AS (SELECT CAST(ty - oy AS INT) AS iy, CAST(tx - ox AS INT) AS ix, oy, ox FROM t, range(-2, 3) a(oy), range(-2, 3) c(ox) WHERE oy * oy + ox * ox <= 4 AND ty - oy BETWEEN 0 AND 39 AND tx - ox BETWEEN 0 AND 39), m AS (SELECT iy, ix, sqrt(avg(oy) ^ 2 + avg(ox) ^ 2) AS off FROM s GROUP BY iy, ix), a AS (SELECT DISTINCT iy, ix, atan2(oy, ox) AS t FROM s WHERE oy <> 0 OR ox <> 0), w AS (SELECT iy, ix, coalesce(lead(t) OVER (PARTITION BY iy, ix ORDER BY t), min(t) OVER (PARTITION BY iy, ix) + 2 * pi()) - t AS gap FROM a), k AS (SELECT iy, ix FROM w GROUP BY iy, ix HAVING count(*) > 1 AND round(max(gap), 9) < round(pi(), 9)) SELECT iy, ix FROM m JOIN k USING (iy, ix) WHERE off < 1.5",
+)
 
 # correlation --------------------------------------------------------------------------------
 
-_CORR = f"{_G}, h AS (SELECT * FROM g WHERE iy < 40), b AS (SELECT a.ix, a.iy, a.z, l.z AS u FROM h a JOIN h l ON l.ix = a.ix - 1 AND l.iy = a.iy), s AS (SELECT ix, stddev_pop(z) * stddev_pop(u) * count(*) AS d FROM b GROUP BY ix), r AS (SELECT a.ix, a.iy - c.iy AS lag, sum(a.z * c.u) / any_value(d) AS r FROM b a JOIN b c ON a.ix = c.ix JOIN s ON s.ix = a.ix GROUP BY a.ix, a.iy - c.iy)"
-_C40 = lambda f: lambda spark, d: f(embeddings_grid(spark, d, (0, 39)))
-add("correlation_map", _C40(lambda g: _r(C.correlation_map(g).drop("survey_id"), "r")), f"WITH {_CORR} SELECT ix, lag, round(r, 6) AS r FROM r")
-add("correlation_sum", _C40(lambda g: _r(C.correlation_sum(g).drop("survey_id"), "r")), f"WITH {_CORR} SELECT lag, round(sum(r), 6) AS r FROM r GROUP BY lag")
-add("correlation_peak", _C40(lambda g: C.peak_lag(g).drop("survey_id")), f"WITH {_CORR}, t AS (SELECT lag, sum(r) AS r FROM r GROUP BY lag) SELECT lag FROM t ORDER BY r DESC, lag LIMIT 1")
+_CORR = f"{_G}, b AS (SELECT a.ix, a.iy, a.z, l.z AS u FROM g a JOIN g l ON l.ix = a.ix - 1 AND l.iy = a.iy), s AS (SELECT ix, stddev_pop(z) * stddev_pop(u) * count(*) AS d FROM b GROUP BY ix), r AS (SELECT a.ix, a.iy - c.iy AS lag, sum(a.z * c.u) / any_value(d) AS r FROM b a JOIN b c ON a.ix = c.ix JOIN s ON s.ix = a.ix GROUP BY a.ix, a.iy - c.iy)"
+add("correlation_map", _gr(lambda g: _plus(C.correlation_map(g).drop("survey_id"), "r")), f"WITH {_CORR} SELECT ix, lag, round(r, 6) + 0.0 AS r FROM r")
+add("correlation_sum", _gr(lambda g: _plus(C.correlation_sum(g).drop("survey_id"), "r")), f"WITH {_CORR} SELECT lag, round(sum(r), 6) + 0.0 AS r FROM r GROUP BY lag")
+add("correlation_peak", _gr(lambda g: C.peak_lag(g).drop("survey_id")), f"WITH {_CORR}, t AS (SELECT lag, sum(r) AS r FROM r GROUP BY lag) SELECT lag FROM t ORDER BY r DESC, lag LIMIT 1")
 add("profile_pearson", _gr(lambda g: _r(C.ranked_correlation(g).drop("survey_id"), "r")), f"WITH {_G} SELECT a.ix, round(corr(a.z, l.z), 6) AS r FROM g a JOIN g l ON l.ix = a.ix - 1 AND l.iy = a.iy GROUP BY a.ix")
 add("profile_spearman", _gr(lambda g: _r(C.ranked_correlation(g, "spearman").drop("survey_id"), "r")), f"WITH {_G}, b AS (SELECT a.ix, a.z, l.z AS u FROM g a JOIN g l ON l.ix = a.ix - 1 AND l.iy = a.iy), r AS (SELECT ix, rank() OVER (PARTITION BY ix ORDER BY z) + (count(*) OVER (PARTITION BY ix, z) - 1) / 2 AS rz, rank() OVER (PARTITION BY ix ORDER BY u) + (count(*) OVER (PARTITION BY ix, u) - 1) / 2 AS ru FROM b) SELECT ix, round(corr(rz, ru), 6) AS r FROM r GROUP BY ix")
-add("profile_kendall", _C40(lambda g: _r(C.ranked_correlation(g, "kendall").drop("survey_id"), "r")), f"WITH {_G}, b AS (SELECT a.ix, a.z, l.z AS u FROM g a JOIN g l ON l.ix = a.ix - 1 AND l.iy = a.iy WHERE a.iy < 40) SELECT a.ix, round(sum(sign((a.z - c.z) * (a.u - c.u))) / (count(*) - 40), 6) AS r FROM b a JOIN b c USING (ix) GROUP BY a.ix")
-add("destagger_grid", _gr(lambda g: _cells(C.destagger(g, 5, 0.05))))
+add("profile_kendall", _gr(lambda g: _plus(C.ranked_correlation(g, "kendall").drop("survey_id"), "r")), f"WITH {_G}, b AS (SELECT a.ix, a.z, l.z AS u FROM g a JOIN g l ON l.ix = a.ix - 1 AND l.iy = a.iy) SELECT a.ix, round(sum(sign((a.z - c.z) * (a.u - c.u))) / (count(*) - sqrt(count(*))), 6) + 0.0 AS r FROM b a JOIN b c USING (ix) GROUP BY a.ix")
+add(
+    "destagger_grid", _gr(lambda g: _cells(C.destagger(g, 5, 0.05))),
+    f"WITH {_G}, {_N}, o AS (SELECT a.ix, a.iy, a.z, coalesce((l.z + r.z) / 2, l.z, r.z) AS m FROM g a LEFT JOIN g l ON l.ix = a.ix - 1 AND l.iy = a.iy LEFT JOIN g r ON r.ix = a.ix + 1 AND r.iy = a.iy WHERE a.ix % 2 = 1), s AS (SELECT ix, iy, (z - avg(z) OVER p) / stddev_pop(z) OVER p AS a, (m - avg(m) OVER p) / stddev_pop(m) OVER p AS b FROM o WINDOW p AS (PARTITION BY ix)), c AS (SELECT s.ix, lag, sum(t.a * s.b) / count(*) AS r FROM n, range(-5, 6) k(lag), s JOIN s t ON t.ix = s.ix WHERE t.iy = (s.iy - lag + ny) % ny GROUP BY s.ix, lag), b AS (SELECT ix, lag FROM c QUALIFY row_number() OVER (PARTITION BY ix ORDER BY r DESC, lag) = 1 AND r >= 0.05) SELECT CAST((iy + coalesce(lag, 0) + ny) % ny AS INT) AS iy, ix, round(z, 6) AS z FROM n, g LEFT JOIN b USING (ix)",
+)
 add("destagger_points", _ev(lambda p: _r(T.destagger_points(p.select("survey_id", "pid", "track", "x", "y", "value"), 20000.0).select("pid", "x", "y"), "x", "y", digits=3)))
 
 # joins -------------------------------------------------------------------------------------------
@@ -255,36 +278,65 @@ add("variogram_lags", _ev(lambda p: _r(I.variogram(p.withColumn("x", F.col("x")
 add("merge_grids", _gr(lambda g: _r(J.merge_grids([g.select("iy", "ix", "z"), G.shift(g, 1).select("iy", "ix", "z")]), "z")), f"WITH {_G}, s AS (SELECT iy, ix, lag(z) OVER (PARTITION BY ix ORDER BY iy) AS z FROM g) SELECT iy, ix, round(avg(z), 6) AS z FROM (SELECT * FROM g UNION ALL SELECT * FROM s) GROUP BY iy, ix")
 add("georeference", _ev(lambda p: _r(J.georeference(p, [(-10.0, -10.0, 100.0, 200.0), (3e6, -10.0, 3100.0, 210.0), (-10.0, 5000.0, 150.0, 5200.0), (3e6, 5000.0, 3200.0, 5300.0)]).select("pid", F.col("east").isNotNull().alias("inside")), )), f"WITH {_P} SELECT pid, x BETWEEN -10 AND 3e6 AND y BETWEEN -10 AND 5000 AS inside FROM p")
 
+_KINDS = ("view", "click", "signup")
+
+
+def _kinds(p: DataFrame) -> list[DataFrame]:
+    return [p.where(F.col("event_type") == k).withColumn("x", F.col("x") / 3600) for k in _KINDS]
+
+
+_O3 = f"{_P}, k AS (SELECT CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS s, pid, x / 3600 AS x, y, value FROM p WHERE event_type IN ('view', 'click', 'signup'))"
+add("mismatch_matrix", _ev(lambda p: _r(J.mismatch_matrix(_kinds(p), 1.5), "mismatch")), f"WITH {_O3}, o AS (SELECT a.s AS i, b.s AS j, a.value - b.value AS d FROM k a JOIN k b ON a.s < b.s AND abs(a.x - b.x) <= 1.5 AND abs(a.y - b.y) <= 1.5 WHERE sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2) <= 1.5), m AS (SELECT i, j, avg(d) AS m, stddev_pop(d) AS s FROM o GROUP BY i, j), r AS (SELECT i, j, avg(d) AS d FROM o JOIN m USING (i, j) WHERE abs(d - m) <= 2.5 * s GROUP BY i, j) SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(d, 6) AS mismatch FROM r UNION ALL SELECT CAST(j AS INT), CAST(i AS INT), round(-d, 6) FROM r")
+for _k, _s in (("mean", "avg(value)"), ("median", "quantile_cont(value, 0.5)")):
+    add(f"match_level_{_k}", _ev(lambda p, _k=_k: _values(reduce(DataFrame.unionByName, J.match_level(_kinds(p), _k)))), f"WITH {_O3}, m AS (SELECT s, {_s} AS m FROM k GROUP BY s) SELECT pid, round(value - m + (SELECT m FROM m WHERE s = 0), 6) AS value FROM k JOIN m USING (s)")
+
 # spectra -----------------------------------------------------------------------------------------
 
 add("wavenumbers", _gr(lambda g: _r(S.wavenumbers(g, 0.5, 2.0).select("iy", "ix", "u", "v"), "u", "v", digits=9)), f"WITH {_G}, {_N} SELECT iy, ix, round(CASE WHEN ix <= floor((nx - 1) / 2) THEN ix ELSE ix - nx END / (nx * 0.5), 9) AS u, round(CASE WHEN iy <= floor((ny - 1) / 2) THEN iy ELSE iy - ny END / (ny * 2.0), 9) AS v FROM g, n")
 _TK = "CASE WHEN least({i} / ({n} - 1), 1 - {i} / ({n} - 1)) < 0.1 THEN 0.5 * (1 + cos(pi() * (2 * least({i} / ({n} - 1), 1 - {i} / ({n} - 1)) / 0.2 - 1))) ELSE 1 END"
 add("apodize_tukey", _gr(lambda g: _cells(S.apodize(g, 0.1))), f"WITH {_G}, {_N} SELECT iy, ix, round(z * {_TK.format(i='ix', n='nx')} * {_TK.format(i='iy', n='ny')}, 6) AS z FROM g, n")
-_DFT = f"{_G}, c AS (SELECT iy, ix, z - (SELECT avg(z) FROM g WHERE iy < 8) AS z FROM g WHERE iy < 8), n AS (SELECT max(ix) + 1 AS nx, 8 AS ny FROM c), k AS (SELECT CAST(ky AS INT) AS ky, CAST(kx AS INT) AS kx FROM n, range(8) a(ky), range(nx) b(kx)), f AS (SELECT ky, kx, sum(z * cos(2 * pi() * (kx * ix / nx + ky * iy / ny))) AS re, -sum(z * sin(2 * pi() * (kx * ix / nx + ky * iy / ny))) AS im FROM k, c, n GROUP BY ky, kx)"
-_C8 = lambda f: lambda spark, d: f(embeddings_grid(spark, d, (0, 7)))
-add("fft2_small", _C8(lambda g: _r(S.fft2(g).select(F.col("ky").cast("int").alias("ky"), F.col("kx").cast("int").alias("kx"), "re", "im"), "re", "im", digits=5).withColumns({c: F.col(c) + F.lit(0.0) for c in ("re", "im")})), f"WITH {_DFT} SELECT ky, kx, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im FROM f")
-add("spectrum_power", _C8(lambda g: _r(S.spectrum(g, "power").select(F.col("ky").cast("int").alias("ky"), F.col("kx").cast("int").alias("kx"), "s"), "s", digits=5)), f"WITH {_DFT} SELECT ky, kx, round((re * re + im * im) / (nx * ny), 5) AS s FROM f, n")
-_INV = f"{_DFT}, w AS (SELECT ky, kx, re, im, 2 * pi() * sqrt((CASE WHEN kx <= floor((nx - 1) / 2) THEN kx ELSE kx - nx END / nx) ^ 2 + (CASE WHEN ky <= 3 THEN ky ELSE ky - 8 END / 8) ^ 2) AS k FROM f, n)"
-add("continuation_up", _C8(lambda g: _r(S.continue_field(g, 1.5).select("iy", "ix", "z"), "z", digits=5).withColumn("z", F.col("z") + F.lit(0.0))), f"WITH {_INV} SELECT iy, ix, round((SELECT avg(z) FROM g WHERE iy < 8) + sum(exp(-1.5 * k) * (re * cos(2 * pi() * (kx * ix / nx + ky * iy / ny)) - im * sin(2 * pi() * (kx * ix / nx + ky * iy / ny)))) / (nx * ny), 5) + 0.0 AS z FROM c, w, n GROUP BY iy, ix, nx, ny")
-for _n, _f in (
-    ("analytic_signal", lambda g: S.analytic_signal(g)), ("pole_reduction", lambda g: S.reduce_to_pole(g, 65.0, 2.0)), ("field_to_gradient", lambda g: S.convert_sensor(g, "TotalField", "Gradient")),
-    ("gradient_to_fluxgate", lambda g: S.convert_sensor(g, "Gradient", "Fluxgate")), ("fluxgate_to_field", lambda g: S.convert_sensor(g, "Fluxgate", "TotalField")), ("plough_filter", lambda g: S.plough_filter(g, 30.0, 2.0, 0.3)),
-):
-    add(_n, _gr(lambda g, _f=_f: _r(_f(g).select("iy", "ix", "z"), "z")))
+# sums along x, then along y
+_DFT = f"{_G}, {_N}, e AS (SELECT avg(z) AS mean FROM g), c AS (SELECT iy, ix, z - mean AS z FROM g, e), fx AS (SELECT iy, CAST(kx AS INT) AS kx, sum(z * cos(2 * pi() * (kx * ix % nx) / nx)) AS re, -sum(z * sin(2 * pi() * (kx * ix % nx) / nx)) AS im FROM c, n, range(nx) b(kx) GROUP BY iy, kx), f AS (SELECT CAST(ky AS INT) AS ky, kx, sum(re * cos(2 * pi() * (ky * iy % ny) / ny) + im * sin(2 * pi() * (ky * iy % ny) / ny)) AS re, sum(im * cos(2 * pi() * (ky * iy % ny) / ny) - re * sin(2 * pi() * (ky * iy % ny) / ny)) AS im FROM fx, n, range(ny) a(ky) GROUP BY ky, kx)"
+_FREQ = "q AS (SELECT *, sqrt(u * u + v * v) AS r, 2 * pi() * sqrt(u * u + v * v) AS k FROM (SELECT ky, kx, re, im, (CASE WHEN kx <= floor((nx - 1) / 2) THEN kx ELSE kx - nx END) / nx AS u, (CASE WHEN ky <= floor((ny - 1) / 2) THEN ky ELSE ky - ny END) / ny AS v FROM f, n))"
+
+
+def _inverse(name: str, re: str, im: str = "0") -> str:
+    """SQL of the real part of the inverse transform of the spectrum times re + i im, as a table of that name."""
+    new = f"{name}w AS (SELECT ky, kx, re * ({re}) - im * ({im}) AS re, re * ({im}) + im * ({re}) AS im FROM q)"
+    rows = f"{name}h AS (SELECT CAST(iy AS INT) AS iy, kx, sum(re * cos(2 * pi() * (ky * iy % ny) / ny) - im * sin(2 * pi() * (ky * iy % ny) / ny)) AS re, sum(re * sin(2 * pi() * (ky * iy % ny) / ny) + im * cos(2 * pi() * (ky * iy % ny) / ny)) AS im FROM {name}w, n, range(ny) a(iy) GROUP BY iy, kx)"
+    return f"{new}, {rows}, {name} AS (SELECT iy, CAST(ix AS INT) AS ix, sum(re * cos(2 * pi() * (kx * ix % nx) / nx) - im * sin(2 * pi() * (kx * ix % nx) / nx)) / any_value(nx * ny) AS z FROM {name}h, n, range(nx) b(ix) GROUP BY iy, ix)"
+
+
+def _filtered(re: str, im: str = "0", mean: bool = False) -> str:
+    return f"WITH {_DFT}, {_FREQ}, {_inverse('t', re, im)} SELECT iy, ix, round(z{' + mean' if mean else ''}, 5) + 0.0 AS z FROM t, e"
+
+
+_KEYS = ("cast(ky AS int) AS ky", "cast(kx AS int) AS kx")
+_Z5 = lambda df: _plus(df.select("iy", "ix", "z"), "z", digits=5)
+add("fft2_small", _gr(lambda g: _plus(S.fft2(g).selectExpr(*_KEYS, "re", "im"), "re", "im", digits=5)), f"WITH {_DFT} SELECT ky, kx, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im FROM f")
+add("spectrum_power", _gr(lambda g: _plus(S.spectrum(g, "power").selectExpr(*_KEYS, "s"), "s", digits=5)), f"WITH {_DFT} SELECT ky, kx, round((re * re + im * im) / (nx * ny), 5) AS s FROM f, n")
+add("continuation_up", _gr(lambda g: _Z5(S.continue_field(g, 1.5))), _filtered("exp(-1.5 * k)", mean=True))
+add("analytic_signal", _gr(lambda g: _Z5(S.analytic_signal(g))), f"WITH {_DFT}, {_FREQ}, {_inverse('dx', '0', '2 * pi() * u')}, {_inverse('dy', '0', '2 * pi() * v')}, {_inverse('dz', 'k')} SELECT iy, ix, round(sqrt(dx.z ^ 2 + dy.z ^ 2 + dz.z ^ 2), 5) AS z FROM dx JOIN dy USING (iy, ix) JOIN dz USING (iy, ix)")
+_I, _D = "sin(radians(65))", "(cos(radians(65)) * cos(radians(2) - atan2(v, u)))"
+add("pole_reduction", _gr(lambda g: _Z5(S.reduce_to_pole(g, 65.0, 2.0))), _filtered(f"CASE WHEN k > 0 THEN ({_I} ^ 2 - {_D} ^ 2) / ({_I} ^ 2 + {_D} ^ 2) ^ 2 ELSE 0 END", f"CASE WHEN k > 0 THEN -2 * {_I} * {_D} / ({_I} ^ 2 + {_D} ^ 2) ^ 2 ELSE 0 END"))
+_C = "(cos(radians(65)) * u / r)"
+add("field_to_gradient", _gr(lambda g: _Z5(S.convert_sensor(g, "TotalField", "Gradient"))), _filtered("CASE WHEN k > 0 THEN 1 - exp(-0.7 * k) ELSE 0 END"))
+add("gradient_to_fluxgate", _gr(lambda g: _Z5(S.convert_sensor(g, "Gradient", "Fluxgate"))), _filtered(f"CASE WHEN k > 0 THEN {_I} / ({_I} ^ 2 + {_C} ^ 2) ELSE 0 END", f"CASE WHEN k > 0 THEN -{_C} / ({_I} ^ 2 + {_C} ^ 2) ELSE 0 END"))
+add("fluxgate_to_field", _gr(lambda g: _Z5(S.convert_sensor(g, "Fluxgate", "TotalField"))), _filtered(f"CASE WHEN k > 0 THEN {_I} / (1 - exp(-0.7 * k)) ELSE 0 END", f"CASE WHEN k > 0 THEN {_C} / (1 - exp(-0.7 * k)) ELSE 0 END"))
+_T = "abs((v * cos(radians(30)) - u * sin(radians(30))) / (u * cos(radians(30)) + v * sin(radians(30))))"
+add("plough_filter", _gr(lambda g: _Z5(S.plough_filter(g, 30.0, 2.0, 0.3))), _filtered(f"CASE WHEN k = 0 THEN 0 WHEN {_T} <= 1 THEN exp(-((r / 0.3) ^ 2)) ELSE exp(-((r / 0.3) ^ 2)) * (1 - exp(-r * r / {_T} ^ 2)) END", mean=True))
 add("euler_deconvolution", _gr(lambda g: S.euler(g, 3.0).select("iy", "ix", F.round("depth", 4).alias("depth"))))
-
-# the queries whose SQL reads the first 40 or 8 rows only, over the whole table; SQL would take too long on it
-add("correlation_map_whole", _gr(lambda g: _r(C.correlation_map(g).drop("survey_id"), "r")))
-add("correlation_sum_whole", _gr(lambda g: _r(C.correlation_sum(g).drop("survey_id"), "r")))
-add("correlation_peak_whole", _gr(lambda g: C.peak_lag(g).drop("survey_id")))
-add("profile_kendall_whole", _gr(lambda g: _r(C.ranked_correlation(g, "kendall").drop("survey_id"), "r")))
-add("fft2_whole", _gr(lambda g: _r(S.fft2(g).select(F.col("ky").cast("int").alias("ky"), F.col("kx").cast("int").alias("kx"), "re", "im"), "re", "im", digits=5)))
-add("spectrum_power_whole", _gr(lambda g: _r(S.spectrum(g, "power").select(F.col("ky").cast("int").alias("ky"), F.col("kx").cast("int").alias("kx"), "s"), "s", digits=5)))
-add("continuation_up_whole", _gr(lambda g: _r(S.continue_field(g, 1.5).select("iy", "ix", "z"), "z", digits=5)))
+add(
+    "pad_cosine", _gr(lambda g: _cells(S.pad_cosine(g, 8))),
+    f"WITH {_G}, {_N}, w AS (SELECT y, x, CASE WHEN y < 0 THEN -1 - y WHEN y >= ny THEN 2 * ny - 1 - y ELSE y END AS iy, CASE WHEN x < 0 THEN -1 - x WHEN x >= nx THEN 2 * nx - 1 - x ELSE x END AS ix, 0.25 * (1 + cos(pi() * greatest(-y, y - ny + 1, 0) / 9)) * (1 + cos(pi() * greatest(-x, x - nx + 1, 0) / 9)) AS w FROM n, range(-8, ny + 8) a(y), range(-8, nx + 8) b(x)) SELECT CAST(y + 8 AS INT) AS iy, CAST(x + 8 AS INT) AS ix, round(z * w, 6) AS z FROM w JOIN g USING (iy, ix)",
+)
 
 # interpolation and functions -----------------------------------------------------------------------
 
-add("interpolate_nearest", _li(lambda p: I.nearest(P.distinct_first(p.withColumn("pid", F.xxhash64("pid", "track", "value")), ["survey_id", "x", "y"]), G.grid_info(p, 0.5, 0.5), 1.5).select("iy", "ix", "z")))
+add(
+    "interpolate_nearest", _li(lambda p: I.nearest(p.groupBy("survey_id", "x", "y").agg(F.max("value").alias("value")).withColumn("pid", (F.col("x") * 1000 + F.col("y")).cast("long")), G.grid_info(p, 0.5, 0.5), 1.5).select("iy", "ix", "z")),
+    f"WITH {_L}, q AS (SELECT x, y, x * 1000 + y AS pid, max(value) AS value FROM p GROUP BY x, y), i AS (SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1, CAST(round((max(x) - min(x)) / 0.5) AS INT) + 1 AS nx, CAST(round((max(y) - min(y)) / 0.5) AS INT) + 1 AS ny FROM p), d AS (SELECT CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix, x0 + ix * (x1 - x0) / (nx - 1) AS x, y0 + iy * (y1 - y0) / (ny - 1) AS y FROM i, range(ny) a(iy), range(nx) b(ix)), m AS (SELECT iy, ix, value, row_number() OVER (PARTITION BY iy, ix ORDER BY (q.x - d.x) ^ 2 + (q.y - d.y) ^ 2, pid) AS k FROM d JOIN q ON (q.x - d.x) ^ 2 + (q.y - d.y) ^ 2 <= 2.25) SELECT d.iy, d.ix, value AS z FROM d LEFT JOIN m ON m.iy = d.iy AND m.ix = d.ix AND k = 1",
+)
 add("interpolate_linear", _li(lambda p: _r(I.linear(p.groupBy("survey_id", "x", "y").agg(F.lit(0).cast("long").alias("pid"), (2 * F.first("x") + 3 * F.first("y")).alias("value")), G.grid_info(p, 0.5, 0.5)).select("iy", "ix", "z"), "z")), f"WITH {_L}, i AS (SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1, CAST(round((max(x) - min(x)) / 0.5) AS INT) + 1 AS nx, CAST(round((max(y) - min(y)) / 0.5) AS INT) + 1 AS ny FROM p) SELECT CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix, round(2 * (x0 + ix * (x1 - x0) / (nx - 1)) + 3 * (y0 + iy * (y1 - y0) / (ny - 1)), 6) AS z FROM i, range(ny) a(iy), range(nx) b(ix)")
 
 
@@ -306,6 +358,17 @@ add(
     "utm_zone", lambda spark, d: _places(spark, d).select("c_custkey", geodesy.zone_number(F.col("lat"), F.col("lon")).alias("zone"), geodesy.zone_letter(F.col("lat")).alias("letter")),
     "WITH p AS (SELECT c_custkey, c_custkey * 7 % 160 - 80 AS lat, c_custkey * 13 % 360 - 180 AS lon FROM customer) SELECT c_custkey, CAST(CASE WHEN lat >= 56 AND lat < 64 AND lon >= 3 AND lon < 12 THEN 32 WHEN lat BETWEEN 72 AND 84 AND lon >= 0 AND lon < 42 THEN CASE WHEN lon < 9 THEN 31 WHEN lon < 21 THEN 33 WHEN lon < 33 THEN 35 ELSE 37 END ELSE floor((lon + 180) / 6) + 1 END AS INT) AS zone, substr('CDEFGHJKLMNPQRSTUVWX', CAST(least(floor((lat + 80) / 8), 19) AS INT) + 1, 1) AS letter FROM p",
 )
+def _utm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, n, _ = geodesy.utm(F.col("lat"), F.col("lon"))
+    return _places(spark, sf_dir).select("c_custkey", F.round(e, 3).alias("east"), F.round(n, 3).alias("north"))
+
+
+_ZONE = "CASE WHEN lat >= 56 AND lat < 64 AND lon >= 3 AND lon < 12 THEN 32 WHEN lat BETWEEN 72 AND 84 AND lon >= 0 AND lon < 42 THEN CASE WHEN lon < 9 THEN 31 WHEN lon < 21 THEN 33 WHEN lon < 33 THEN 35 ELSE 37 END ELSE floor((lon + 180) / 6) + 1 END"
+add(
+    "utm_forward", _utm,
+    f"WITH p AS (SELECT c_custkey, CAST(c_custkey * 7 % 160 - 80 AS DOUBLE) AS lat, CAST(c_custkey * 13 % 360 - 180 AS DOUBLE) AS lon FROM customer), e AS (SELECT f / (2 - f) AS n, sqrt(f * (2 - f)) AS e FROM (SELECT 1 / 298.257223563 AS f)), t AS (SELECT *, asinh(tan(radians(lat))) - e * atanh(e * sin(radians(lat))) AS psi, radians(lon - ({_ZONE} * 6 - 183)) AS l FROM p, e), s AS (SELECT *, atan2(sinh(psi), cos(l)) AS xi, asinh(sin(l) / sqrt(sinh(psi) ^ 2 + cos(l) ^ 2)) AS eta, 0.9996 * 6378137 / (1 + n) * (1 + n ^ 2 / 4 + n ^ 4 / 64) AS m, [n / 2 - 2 * n ^ 2 / 3 + 5 * n ^ 3 / 16 + 41 * n ^ 4 / 180, 13 * n ^ 2 / 48 - 3 * n ^ 3 / 5 + 557 * n ^ 4 / 1440, 61 * n ^ 3 / 240 - 103 * n ^ 4 / 140, 49561 * n ^ 4 / 161280] AS a FROM t) SELECT c_custkey, round(500000 + m * (eta + a[1] * cos(2 * xi) * sinh(2 * eta) + a[2] * cos(4 * xi) * sinh(4 * eta) + a[3] * cos(6 * xi) * sinh(6 * eta) + a[4] * cos(8 * xi) * sinh(8 * eta)), 3) AS east, round(CASE WHEN lat < 0 THEN 1e7 ELSE 0 END + m * (xi + a[1] * sin(2 * xi) * cosh(2 * eta) + a[2] * sin(4 * xi) * cosh(4 * eta) + a[3] * sin(6 * xi) * cosh(6 * eta) + a[4] * sin(8 * xi) * cosh(8 * eta)), 3) AS north FROM s",
+)
+add("angle_format", lambda spark, d: _places(spark, d).select("c_custkey", geodesy.format_angle(F.col("lat") / 7).alias("text")), "WITH p AS (SELECT c_custkey, (c_custkey * 7 % 160 - 80) / 7 AS d FROM customer) SELECT c_custkey, CASE WHEN d < 0 THEN '-' ELSE '' END || CAST(CAST(floor(abs(d)) AS BIGINT) AS VARCHAR) || '°' || printf('%.8f', (abs(d) - floor(abs(d))) * 60) AS text FROM p")
 add("angle_text", lambda spark, d: _places(spark, d).select("c_custkey", F.round(geodesy.parse_angle(geodesy.format_angle(F.col("lat") / 7)), 8).alias("lat")).withColumn("lat", F.col("lat") + 0.0), "SELECT c_custkey, round((c_custkey * 7 % 160 - 80) / 7, 8) + 0.0 AS lat FROM customer")
 
 # electromagnetic logs: events stand for readings, the weekday for the file, the kind of event for the base -----------

@@ -35,9 +35,7 @@ def orders_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select(_named("orders", "o_orderkey"), F.col("o_orderkey").alias("pid"), F.col("o_custkey").cast("int").alias("track"), x.alias("x"), F.col("o_custkey").cast("double").alias("y"), F.col("o_totalprice").alias("value"))
 
 
-def embeddings_grid(spark: SparkSession, sf_dir: str, rows: tuple[int, int] | None = None) -> DataFrame:
+def embeddings_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dense raster: iy = vec_id, ix = place in the vector."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    if rows:
-        v = v.where(F.col("vec_id").between(*rows))
     return v.select(_named("embeddings", "vec_id"), F.col("vec_id").cast("int").alias("iy"), F.posexplode("embedding").alias("ix", "e")).select("survey_id", "iy", "ix", F.col("e").cast("double").alias("z"))

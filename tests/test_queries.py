@@ -61,7 +61,7 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize(("name", "col", "top"), [("euler_deconvolution", "iy", 6), ("correlation_map_whole", "lag", 1), ("correlation_sum_whole", "lag", 1), ("fft2_whole", "ky", 1), ("spectrum_power_whole", "ky", 1), ("continuation_up_whole", "iy", 1)])
+@pytest.mark.parametrize(("name", "col", "top"), [("euler_deconvolution", "iy", 6), ("correlation_map", "lag", 1), ("correlation_sum", "lag", 1), ("fft2_small", "ky", 1), ("spectrum_power", "ky", 1), ("continuation_up", "iy", 1)])
 def test_whole_table(spark, sf_dir, con, name, col, top):
     """Not only the first rows of embeddings: the largest index is that of the last row, less a margin."""
     last = con.sql("SELECT max(vec_id) + 1 FROM embeddings").fetchall()[0][0]
@@ -80,8 +80,8 @@ def test_whole_columns(spark, sf_dir, con):
 
     z = np.array([r[0] for r in con.sql("SELECT embedding FROM embeddings ORDER BY vec_id").fetchall()], float)
     n = len(z)
-    k = survey_queries.QUERIES["profile_kendall_whole"](spark, sf_dir).where("ix = 3").first()["r"]
+    k = survey_queries.QUERIES["profile_kendall"](spark, sf_dir).where("ix = 3").first()["r"]
     u, v = z[:, 2], z[:, 3]
     assert math.isclose(k, np.sign(np.subtract.outer(v, v) * np.subtract.outer(u, u)).sum() / (n * (n - 1)), abs_tol=2e-3)
     totals = sum(np.correlate(z[:, i], z[:, i - 1], "full") / (n * z[:, i].std() * z[:, i - 1].std()) for i in range(1, z.shape[1]))
-    assert survey_queries.QUERIES["correlation_peak_whole"](spark, sf_dir).first()["lag"] == int(np.argmax(totals)) - (n - 1)
+    assert survey_queries.QUERIES["correlation_peak"](spark, sf_dir).first()["lag"] == int(np.argmax(totals)) - (n - 1)
