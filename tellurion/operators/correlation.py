@@ -9,15 +9,20 @@ from pyspark.sql import functions as F
 
 from tellurion.model import step
 
+from .points import with_aggregates
+
 PROFILE = ["survey_id", "ix"]
 
 
-def correlation_map(df: DataFrame) -> DataFrame:
-    """(survey_id, ix, lag, r): each column against its left neighbour.
+def correlation_map(df: DataFrame, percentile_range: tuple[float, float] | None = None) -> DataFrame:
+    """(survey_id, ix, lag, r): each column against its left neighbour, of values within the survey's percentiles.
 
     Rows where both are valid are closed up; products are summed by lag and divided by both population
     deviations and their number. Values are not demeaned. One task holds a column whole.
     """
+    if percentile_range:
+        df = with_aggregates(df, ["survey_id"], __q=F.percentile("z", F.array(*[F.lit(p / 100) for p in percentile_range])))
+        df = df.where(F.col("z").between(F.col("__q")[0], F.col("__q")[1])).drop("__q")
     left = df.select("survey_id", (F.col("ix") + 1).alias("ix"), "iy", F.col("z").alias("u"))
     both = df.join(left, ["survey_id", "ix", "iy"]).where("z is not null and u is not null")
 
@@ -37,8 +42,8 @@ def correlation_map(df: DataFrame) -> DataFrame:
     return out.select(*PROFILE, "lag", F.when(~F.col("flat"), F.col("r")).alias("r"))
 
 
-def correlation_sum(df: DataFrame) -> DataFrame:
-    return correlation_map(df).groupBy("survey_id", "lag").agg(F.sum("r").alias("r"))
+def correlation_sum(df: DataFrame, percentile_range: tuple[float, float] | None = None) -> DataFrame:
+    return correlation_map(df, percentile_range).groupBy("survey_id", "lag").agg(F.sum("r").alias("r"))
 
 
 def peak_lag(df: DataFrame) -> DataFrame:

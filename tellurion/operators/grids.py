@@ -107,6 +107,13 @@ def as_rows(df: DataFrame, info: DataFrame) -> DataFrame:
     return lattice(info).join(df.select(*CELL, F.col("z").alias("value")), CELL, "left").select("survey_id", "x", "y", "value")
 
 
+def describe(df: DataFrame, info: DataFrame) -> DataFrame:
+    """One row per survey of what file heads need: nrow, ncol, extents, cell sizes, and zmin and zmax as they are now."""
+    z = df.groupBy("survey_id").agg(F.min("z").alias("zmin"), F.max("z").alias("zmax"))
+    size = lambda a: F.try_divide(F.col(f"{a}_max") - F.col(f"{a}_min"), F.col(f"n{a}") - 1).alias(f"{a}size")
+    return info.join(z, "survey_id").select("survey_id", F.col("ny").alias("nrow"), F.col("nx").alias("ncol"), *[F.col(f"{a}_{m}").alias(f"{a}{m}") for a in "xy" for m in ("min", "max")], size("x"), size("y"), "zmin", "zmax")
+
+
 def translate_info(info: DataFrame, dx: float = 0.0, dy: float = 0.0) -> DataFrame:
     return info.withColumns({c: F.col(c) + F.lit(float(d)) for c, d in (("x_min", dx), ("x_max", dx), ("y_min", dy), ("y_max", dy))})
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .grids import CELL, lattice
+from .grids import CELL, lattice, tile_index, tile_mask, tile_mask_round
 from .joins import triangulate
 
 
@@ -91,6 +91,23 @@ def linear(points: DataFrame, info: DataFrame, tile: int = 32, halo: float = 2.0
     return lattice(info).select(*CELL).join(out.withColumn("z", F.when(~F.isnan("z"), F.col("z"))), CELL, "left")
 
 
+def masked(points: DataFrame, info: DataFrame, values: DataFrame, n: int = 100, radius: int = 2, power: float = 0.0, all_round: bool = False, keep: bool = True) -> DataFrame:
+    """values (cells of any interpolation or kriging) with NULL in nodes whose tile has too few points near.
+
+    The tiles are those of tile_mask, or of tile_mask_round with ``all_round``; with ``keep``, tiles that hold a point stay too.
+    """
+    mask = tile_mask_round(points, n, radius) if all_round else tile_mask(points, n, radius, power)
+    box = points.groupBy("survey_id").agg(*[f(F.col(a)).alias(f"__{a}{k}") for a in "xy" for k, f in ((0, F.min), (1, F.max))])
+    size = lambda a: F.when(F.col(f"__{a}1") > F.col(f"__{a}0"), (F.col(f"__{a}1") - F.col(f"__{a}0")) / n).otherwise(1.0)
+    tile = lambda a: tile_index(a, F.col(f"__{a}0"), size(a), n).alias(f"t{a}")
+    mask = mask.select("survey_id", F.col("iy").alias("ty"), F.col("ix").alias("tx"))
+    if keep:
+        mask = mask.unionByName(points.join(box, "survey_id").select("survey_id", tile("y"), tile("x"))).distinct()
+    nodes = lattice(info).join(box, "survey_id").select(*CELL, tile("y"), tile("x"))
+    kept = nodes.join(mask, ["survey_id", "ty", "tx"], "left_semi").select(*CELL, F.lit(True).alias("__in"))
+    return values.join(kept, CELL, "left").withColumn("z", F.when(F.col("__in"), F.col("z"))).select(*values.columns)
+
+
 RBF = ("linear", "thin_plate_spline", "cubic", "quintic")
 
 
@@ -215,4 +232,4 @@ def krige(points: DataFrame, info: DataFrame, model: dict, limit: int = 2000) ->
     return _both(points, info).groupBy("survey_id").applyInPandas(work, _NODES + ", stdev double")
 
 
-__all__ = ["MODELS", "RBF", "fit_variogram", "krige", "linear", "nearest", "radial", "sample", "variogram"]
+__all__ = ["MODELS", "RBF", "fit_variogram", "krige", "linear", "masked", "nearest", "radial", "sample", "variogram"]

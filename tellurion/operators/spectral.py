@@ -159,13 +159,17 @@ def analytic_signal(df: DataFrame, dx: float = 1.0, dy: float = 1.0, taper: floa
 
 
 @step("reduction_to_the_pole_grid", "grid")
-def reduce_to_pole(df: DataFrame, inclination: float, declination: float, dx: float = 1.0, dy: float = 1.0, taper: float = 0.0) -> DataFrame:
-    """1 / (F M) with F = M = sin I + i cos I cos(D - angle of k); the mean term is 0."""
+def reduce_to_pole(df: DataFrame, inclination: float, declination: float, dx: float = 1.0, dy: float = 1.0, taper: float = 0.0, mag_inclination: float | None = None, mag_declination: float | None = None) -> DataFrame:
+    """1 / (F M) with F = sin I + i cos I cos(D - angle of k) of the field and M that of the magnetisation, the field's
+    where it isn't given (no remanence); the mean term is 0."""
     f = Freq(dx, dy)
-    i, d = np.radians(inclination), np.radians(declination)
-    b = F.lit(float(np.cos(i))) * F.cos(F.lit(float(d)) - F.atan2(f.v, f.u))
-    a = F.lit(float(np.sin(i)))
-    re, im = over(a * a - b * b, 2 * a * b)
+
+    def part(inc: float, dec: float) -> tuple[Column, Column]:
+        i, d = np.radians(inc), np.radians(dec)
+        return F.lit(float(np.sin(i))), F.lit(float(np.cos(i))) * F.cos(F.lit(float(d)) - F.atan2(f.v, f.u))
+
+    (a, b), (c, d) = part(inclination, declination), part(inclination if mag_inclination is None else mag_inclination, declination if mag_declination is None else mag_declination)
+    re, im = over(a * c - b * d, a * d + b * c)
     zero = (F.col("kx") == 0) & (F.col("ky") == 0)
     return _back(df, times(fft2(df, taper), F.when(zero, 0.0).otherwise(re), F.when(zero, 0.0).otherwise(im)), False)
 

@@ -156,8 +156,9 @@ def detrend_linear(df: DataFrame, position: str = "x", col: str = "value", by: l
     return out.withColumn(col, F.col(col) - line).drop("__a", "__b", "__m")
 
 
-def polynomial(df: DataFrame, degree: int = 3, reference: str = "zero", percentiles: tuple[float, float] | None = None, kind: str = "points") -> DataFrame:
-    """Subtract each track's least-squares polynomial ('zero'), or bring it to the mean of all ('mean').
+def polynomial(df: DataFrame, degree: int = 3, reference: str | int = "zero", percentiles: tuple[float, float] | None = None, kind: str = "points") -> DataFrame:
+    """Subtract each track's least-squares polynomial ('zero'), or bring it to the mean of all ('mean') or of the
+    N tracks on each side and itself (a number N; the first and last track count on beyond the ends).
 
     Points are fitted over the distance from the track's first point, grid columns over iy. A track is one
     group of bounded size; fits with fewer valid values than coefficients leave the track as it is.
@@ -190,9 +191,18 @@ def polynomial(df: DataFrame, degree: int = 3, reference: str = "zero", percenti
     if reference == "mean":
         means = F.array(*[F.avg(F.col("__c")[k]) for k in range(degree + 1)])
         coef = with_aggregates(coef, ["survey_id"], __r=means)
+    elif reference != "zero":
+        n = int(reference)
+        place = df.groupBy(*by).agg(F.min("pid").alias("__at")) if kind == "points" else coef.select(*by, F.col("ix").alias("__at"))
+        w = Window.partitionBy("survey_id").orderBy("__at")  # one row per track
+        near, all_ = w.rowsBetween(-n, n), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        left, right = F.greatest(n + 1 - F.row_number().over(w), F.lit(0)), F.greatest(n - F.count("*").over(all_) + F.row_number().over(w), F.lit(0))
+        fits = coef.where("__c is not null").join(place, by)
+        mean = lambda c: (F.sum(c).over(near) + left * F.first(c).over(all_) + right * F.last(c).over(all_)) / (2 * n + 1)
+        coef = fits.withColumn("__r", F.array(*[mean(F.col("__c")[k]) for k in range(degree + 1)])).drop("__at")
     out = df.join(coef, by, "left")
     value = lambda c: sum((F.col(c)[k] * F.pow(F.col("__d"), F.lit(k)) for k in range(degree + 1)), F.lit(0.0))
-    new = F.col(col) - value("__c") + (value("__r") if reference == "mean" else F.lit(0.0))
+    new = F.col(col) - value("__c") + (value("__r") if reference != "zero" else F.lit(0.0))
     return out.withColumn(col, F.coalesce(new, F.col(col))).select(*cols)
 
 
@@ -244,6 +254,31 @@ def detect_bases(df: DataFrame, limit: float = 2.0) -> DataFrame:
     return df.join(mid.select("survey_id", "segment", "base", "profile"), ["survey_id", "segment"])
 
 
+def profiles_by_x(df: DataFrame, col: str = "x", by: list[str] | None = None) -> DataFrame:
+    """Adds ``base``, ``profile`` (0: not one), ``bp`` (runs so far) and ``seconds`` (-1) to readings without satellite fixes.
+
+    A new run begins where the coordinate changes; negative ones mark bases. A missing coordinate stays in the run before it.
+    One task holds what shares ``by``: for large surveys name a file or session there.
+    """
+    w = _along(by or KEY)
+    to_here, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    x = F.col(col)
+    out = df.withColumns({"__x": F.last(x, ignorenulls=True).over(to_here), "__was": F.last(x, ignorenulls=True).over(before)})
+    new = x.isNotNull() & ~x.eqNullSafe(F.col("__was"))
+    out = out.withColumns({k: F.sum((new & sign).cast("int")).over(to_here).cast("int") for k, sign in (("__b", x < 0), ("__p", x >= 0))})
+    in_base = F.coalesce(F.col("__x") < 0, F.lit(False))
+    out = out.withColumns({"base": F.when(in_base, F.col("__b")).otherwise(0), "profile": F.when(in_base, 0).otherwise(F.col("__p")), "bp": F.col("__b") + F.col("__p"), "seconds": F.lit(-1.0)})
+    return out.withColumns({k: F.coalesce(k, F.lit(0)) for k in ("base", "profile", "bp")}).drop("__x", "__was", "__b", "__p")
+
+
+def sliding_windows(df: DataFrame, n: int, col: str = "value", by: list[str] | None = None) -> DataFrame:
+    """(keys, pid, window): the n values from each row on, complete windows only."""
+    by = by or TRACK
+    ahead = _along(by).rowsBetween(0, n - 1)
+    cell = F.struct(F.col(col).alias("v"))  # missing values keep their places
+    return df.withColumn("__w", F.collect_list(cell).over(ahead)).where(F.size("__w") == n).select(*by, "pid", F.transform("__w", lambda s: s["v"]).alias("window"))
+
+
 def split_bases(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where("base <> 0"), df.where("profile <> 0")
 

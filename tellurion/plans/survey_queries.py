@@ -169,6 +169,11 @@ for _k, _i in (("base", 0), ("profile", 1)):
 add("profile_renumber", _ev(lambda p: T.renumber(p).select("pid", "number")), f"WITH {_P}, f AS (SELECT track, min(pid) AS m FROM p GROUP BY track), r AS (SELECT track, CAST(dense_rank() OVER (ORDER BY m) AS INT) AS number FROM f) SELECT pid, number FROM p JOIN r USING (track)")
 _RUNS = "SELECT pid, CAST(sum(CASE WHEN l IS NULL OR event_type = l THEN 0 ELSE 1 END) OVER (PARTITION BY track ORDER BY pid ROWS UNBOUNDED PRECEDING) AS INT) AS profile FROM (SELECT *, lag(event_type) OVER (PARTITION BY track ORDER BY pid) AS l FROM p)"
 add("profiles_by_runs", _ev(lambda p: P.with_profiles(p.withColumn("survey_id", F.col("track").cast("string")), "event_type").select("pid", "profile")), f"WITH {_P} {_RUNS}")
+add(
+    "profiles_by_x", _ev(lambda p: T.profiles_by_x(p.withColumn("u", F.when(F.col("pid") % 7 != 3, F.col("pid") % 5 - 1)), "u", ["track"]).select("pid", "base", "profile", "bp", "seconds")),
+    f"WITH {_P}, u AS (SELECT pid, track, CASE WHEN pid % 7 <> 3 THEN pid % 5 - 1 END AS u FROM p), f AS (SELECT *, last_value(u IGNORE NULLS) OVER (PARTITION BY track ORDER BY pid ROWS UNBOUNDED PRECEDING) AS x FROM u), l AS (SELECT *, CASE WHEN u IS NOT NULL AND lag(x) OVER (PARTITION BY track ORDER BY pid) IS DISTINCT FROM x THEN 1 ELSE 0 END AS n FROM f), c AS (SELECT *, sum(n) FILTER (x < 0) OVER w AS b, sum(n) FILTER (x >= 0) OVER w AS p FROM l WINDOW w AS (PARTITION BY track ORDER BY pid ROWS UNBOUNDED PRECEDING)) SELECT pid, CAST(CASE WHEN x < 0 THEN coalesce(b, 0) ELSE 0 END AS INT) AS base, CAST(CASE WHEN x < 0 THEN 0 ELSE coalesce(p, 0) END AS INT) AS profile, CAST(coalesce(b, 0) + coalesce(p, 0) AS INT) AS bp, -1.0::DOUBLE AS seconds FROM c",
+)
+add("sliding_windows", _ev(lambda p: T.sliding_windows(p, 4).select("pid", F.round(F.element_at("window", 1), 6).alias("first"), F.round(F.element_at("window", 4), 6).alias("last"), F.round(F.array_max("window"), 6).alias("top"))), f"WITH {_P}, w AS (SELECT pid, value, lead(value, 3) OVER w AS last, count(*) OVER f AS n, max(value) OVER f AS top FROM p WINDOW w AS (PARTITION BY track ORDER BY pid), f AS (PARTITION BY track ORDER BY pid ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)) SELECT pid, round(value, 6) AS first, round(last, 6) AS last, round(top, 6) AS top FROM w WHERE n = 4")
 _HOLES = lambda p: p.withColumn("value", F.when(F.col("pid") % 5 != 2, F.col("value")))
 add(
     "fill_linear", _ev(lambda p: _values(T.fill_linear(_HOLES(p), "value", "x", ["track"]))),
@@ -197,6 +202,11 @@ add("destripe_polynomial_3", _ev(lambda p: _plus(T.polynomial(p, 3).select("pid"
 add("destripe_polynomial_mean", _ev(lambda p: _plus(T.polynomial(p, 2, "mean").select("pid", "value"), "value", digits=3)), f"WITH {_ORTHO}, k AS (SELECT avg(k0) AS k0, avg(k1) AS k1, avg(k2) AS k2 FROM (SELECT DISTINCT track, c0 - c1 * a0 + c2 * (a0 * a1 - b1) AS k0, c1 - c2 * (a0 + a1) AS k1, c2 AS k2 FROM m2)) SELECT pid, round(v - c0 - c1 * p1 - c2 * p2 + k0 + k1 * d + k2 * d * d, 3) + 0.0 AS value FROM m2, k")
 add("destripe_grid_linear", _gr(lambda g: _cells(T.polynomial(g, 1, kind="grid"))), f"WITH {_G}, c AS (SELECT ix, regr_slope(z, iy) AS b, regr_intercept(z, iy) AS a FROM g GROUP BY ix) SELECT iy, ix, round(z - (a + b * iy), 6) AS z FROM g JOIN c USING (ix)")
 
+add(
+    "destripe_grid_linear_near", _gr(lambda g: _cells(T.polynomial(g, 1, 2, kind="grid"))),
+    f"WITH {_G}, {_N}, c AS (SELECT ix, regr_slope(z, iy) AS b, regr_intercept(z, iy) AS a FROM g GROUP BY ix), r AS (SELECT t.ix, avg(c.a) AS ra, avg(c.b) AS rb FROM n, c t, range(-2, 3) k(d), c WHERE c.ix = least(greatest(t.ix + d, 0), nx - 1) GROUP BY t.ix) SELECT iy, ix, round(z - (a + b * iy) + ra + rb * iy, 6) AS z FROM g JOIN c USING (ix) JOIN r USING (ix)",
+)
+
 # grids ----------------------------------------------------------------------------------
 
 add(
@@ -246,6 +256,10 @@ add(
 _CORR = f"{_G}, b AS (SELECT a.ix, a.iy, a.z, l.z AS u FROM g a JOIN g l ON l.ix = a.ix - 1 AND l.iy = a.iy), s AS (SELECT ix, stddev_pop(z) * stddev_pop(u) * count(*) AS d FROM b GROUP BY ix), r AS (SELECT a.ix, a.iy - c.iy AS lag, sum(a.z * c.u) / any_value(d) AS r FROM b a JOIN b c ON a.ix = c.ix JOIN s ON s.ix = a.ix GROUP BY a.ix, a.iy - c.iy)"
 add("correlation_map", _gr(lambda g: _plus(C.correlation_map(g).drop("survey_id"), "r")), f"WITH {_CORR} SELECT ix, lag, round(r, 6) + 0.0 AS r FROM r")
 add("correlation_sum", _gr(lambda g: _plus(C.correlation_sum(g).drop("survey_id"), "r")), f"WITH {_CORR} SELECT lag, round(sum(r), 6) + 0.0 AS r FROM r GROUP BY lag")
+add(
+    "correlation_map_5_95", _gr(lambda g: _plus(C.correlation_map(g, (5, 95)).drop("survey_id"), "r")),
+    f"WITH {_G}, q AS (SELECT quantile_cont(z, 0.05) AS lo, quantile_cont(z, 0.95) AS hi FROM g), h AS (SELECT g.* FROM g, q WHERE z BETWEEN lo AND hi), b AS (SELECT a.ix, a.z, l.z AS u, row_number() OVER (PARTITION BY a.ix ORDER BY a.iy) AS k FROM h a JOIN h l ON l.ix = a.ix - 1 AND l.iy = a.iy), s AS (SELECT ix, stddev_pop(z) * stddev_pop(u) * count(*) AS d FROM b GROUP BY ix) SELECT a.ix, CAST(a.k - c.k AS INT) AS lag, round(sum(a.z * c.u) / any_value(d), 6) + 0.0 AS r FROM b a JOIN b c USING (ix) JOIN s USING (ix) GROUP BY a.ix, a.k - c.k",
+)
 add("correlation_peak", _gr(lambda g: C.peak_lag(g).drop("survey_id")), f"WITH {_CORR}, t AS (SELECT lag, sum(r) AS r FROM r GROUP BY lag) SELECT lag FROM t ORDER BY r DESC, lag LIMIT 1")
 add("profile_pearson", _gr(lambda g: _r(C.ranked_correlation(g).drop("survey_id"), "r")), f"WITH {_G} SELECT a.ix, round(corr(a.z, l.z), 6) AS r FROM g a JOIN g l ON l.ix = a.ix - 1 AND l.iy = a.iy GROUP BY a.ix")
 add("profile_spearman", _gr(lambda g: _r(C.ranked_correlation(g, "spearman").drop("survey_id"), "r")), f"WITH {_G}, b AS (SELECT a.ix, a.z, l.z AS u FROM g a JOIN g l ON l.ix = a.ix - 1 AND l.iy = a.iy), r AS (SELECT ix, rank() OVER (PARTITION BY ix ORDER BY z) + (count(*) OVER (PARTITION BY ix, z) - 1) / 2 AS rz, rank() OVER (PARTITION BY ix ORDER BY u) + (count(*) OVER (PARTITION BY ix, u) - 1) / 2 AS ru FROM b) SELECT ix, round(corr(rz, ru), 6) AS r FROM r GROUP BY ix")
@@ -307,8 +321,8 @@ def _inverse(name: str, re: str, im: str = "0") -> str:
     return f"{new}, {rows}, {name} AS (SELECT iy, CAST(ix AS INT) AS ix, sum(re * cos(2 * pi() * (kx * ix % nx) / nx) - im * sin(2 * pi() * (kx * ix % nx) / nx)) / any_value(nx * ny) AS z FROM {name}h, n, range(nx) b(ix) GROUP BY iy, ix)"
 
 
-def _filtered(re: str, im: str = "0", mean: bool = False) -> str:
-    return f"WITH {_DFT}, {_FREQ}, {_inverse('t', re, im)} SELECT iy, ix, round(z{' + mean' if mean else ''}, 5) + 0.0 AS z FROM t, e"
+def _filtered(re: str, im: str = "0", mean: bool = False, digits: int = 5) -> str:
+    return f"WITH {_DFT}, {_FREQ}, {_inverse('t', re, im)} SELECT iy, ix, round(z{' + mean' if mean else ''}, {digits}) + 0.0 AS z FROM t, e"
 
 
 _KEYS = ("cast(ky AS int) AS ky", "cast(kx AS int) AS kx")
@@ -319,6 +333,9 @@ add("continuation_up", _gr(lambda g: _Z5(S.continue_field(g, 1.5))), _filtered("
 add("analytic_signal", _gr(lambda g: _Z5(S.analytic_signal(g))), f"WITH {_DFT}, {_FREQ}, {_inverse('dx', '0', '2 * pi() * u')}, {_inverse('dy', '0', '2 * pi() * v')}, {_inverse('dz', 'k')} SELECT iy, ix, round(sqrt(dx.z ^ 2 + dy.z ^ 2 + dz.z ^ 2), 5) AS z FROM dx JOIN dy USING (iy, ix) JOIN dz USING (iy, ix)")
 _I, _D = "sin(radians(65))", "(cos(radians(65)) * cos(radians(2) - atan2(v, u)))"
 add("pole_reduction", _gr(lambda g: _Z5(S.reduce_to_pole(g, 65.0, 2.0))), _filtered(f"CASE WHEN k > 0 THEN ({_I} ^ 2 - {_D} ^ 2) / ({_I} ^ 2 + {_D} ^ 2) ^ 2 ELSE 0 END", f"CASE WHEN k > 0 THEN -2 * {_I} * {_D} / ({_I} ^ 2 + {_D} ^ 2) ^ 2 ELSE 0 END"))
+_M = "(cos(radians(-20)) * cos(radians(40) - atan2(v, u)))"
+_RM = f"({_I} * sin(radians(-20)) - {_D} * {_M})", f"({_I} * {_M} + sin(radians(-20)) * {_D})"
+add("pole_reduction_remanent", _gr(lambda g: _plus(S.reduce_to_pole(g, 65.0, 2.0, mag_inclination=-20.0, mag_declination=40.0).select("iy", "ix", "z"), "z", digits=4)), _filtered(*[f"CASE WHEN k > 0 THEN {sign}{part} / ({_RM[0]} ^ 2 + {_RM[1]} ^ 2) ELSE 0 END" for sign, part in zip(("", "-"), _RM, strict=True)], digits=4))
 _C = "(cos(radians(65)) * u / r)"
 add("field_to_gradient", _gr(lambda g: _Z5(S.convert_sensor(g, "TotalField", "Gradient"))), _filtered("CASE WHEN k > 0 THEN 1 - exp(-0.7 * k) ELSE 0 END"))
 add("gradient_to_fluxgate", _gr(lambda g: _Z5(S.convert_sensor(g, "Gradient", "Fluxgate"))), _filtered(f"CASE WHEN k > 0 THEN {_I} / ({_I} ^ 2 + {_C} ^ 2) ELSE 0 END", f"CASE WHEN k > 0 THEN -{_C} / ({_I} ^ 2 + {_C} ^ 2) ELSE 0 END"))
@@ -337,6 +354,12 @@ add(
     "interpolate_nearest", _li(lambda p: I.nearest(p.groupBy("survey_id", "x", "y").agg(F.max("value").alias("value")).withColumn("pid", (F.col("x") * 1000 + F.col("y")).cast("long")), G.grid_info(p, 0.5, 0.5), 1.5).select("iy", "ix", "z")),
     f"WITH {_L}, q AS (SELECT x, y, x * 1000 + y AS pid, max(value) AS value FROM p GROUP BY x, y), i AS (SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1, CAST(round((max(x) - min(x)) / 0.5) AS INT) + 1 AS nx, CAST(round((max(y) - min(y)) / 0.5) AS INT) + 1 AS ny FROM p), d AS (SELECT CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix, x0 + ix * (x1 - x0) / (nx - 1) AS x, y0 + iy * (y1 - y0) / (ny - 1) AS y FROM i, range(ny) a(iy), range(nx) b(ix)), m AS (SELECT iy, ix, value, row_number() OVER (PARTITION BY iy, ix ORDER BY (q.x - d.x) ^ 2 + (q.y - d.y) ^ 2, pid) AS k FROM d JOIN q ON (q.x - d.x) ^ 2 + (q.y - d.y) ^ 2 <= 2.25) SELECT d.iy, d.ix, value AS z FROM d LEFT JOIN m ON m.iy = d.iy AND m.ix = d.ix AND k = 1",
 )
+_NODES = "i AS (SELECT min(x) lox, max(x) hix, min(y) loy, max(y) hiy, CAST(round((max(x) - min(x)) / 60000) AS INT) + 1 AS nx, CAST(round(max(y) - min(y)) AS INT) + 1 AS ny FROM p), o AS (SELECT iy, ix, lox + ix * (hix - lox) / (nx - 1) AS x, loy + iy * (hiy - loy) / (ny - 1) AS y FROM i, range(ny) a(iy), range(nx) b(ix))"
+add(
+    "masked_nodes", _ev(lambda p: I.masked(p, G.grid_info(p, 60000.0, 1.0), G.lattice(G.grid_info(p, 60000.0, 1.0)).select("survey_id", "iy", "ix", F.lit(1.0).alias("z")), 40, 2, 1.0).select("iy", "ix", "z")),
+    f"WITH {_TILES}, {_NODES}, m AS (SELECT iy AS ty, ix AS tx FROM d WHERE round(density, 9) > 1 UNION SELECT ty, tx FROM t), j AS (SELECT p.iy, p.ix, {_TILE.format(c='y')} AS ty, {_TILE.format(c='x')} AS tx FROM o p, b) SELECT CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix, CASE WHEN m.ty IS NOT NULL THEN 1.0::DOUBLE END AS z FROM j LEFT JOIN m USING (ty, tx)",
+)
+add("grid_description", _li(lambda p: G.describe(G.bin_points(p, G.grid_info(p, 7.0, 5.0)), G.grid_info(p, 7.0, 5.0)).select("nrow", "ncol", "xmin", "ymax", F.round("xsize", 6).alias("xsize"), "ysize")), f"WITH {_L}, i AS (SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1, CAST(round((max(x) - min(x)) / 7) AS INT) + 1 AS nx, CAST(round((max(y) - min(y)) / 5) AS INT) + 1 AS ny FROM p) SELECT ny AS nrow, nx AS ncol, x0 AS xmin, y1 AS ymax, round((x1 - x0) / (nx - 1), 6) AS xsize, (y1 - y0) / (ny - 1) AS ysize FROM i")
 add("interpolate_linear", _li(lambda p: _r(I.linear(p.groupBy("survey_id", "x", "y").agg(F.lit(0).cast("long").alias("pid"), (2 * F.first("x") + 3 * F.first("y")).alias("value")), G.grid_info(p, 0.5, 0.5)).select("iy", "ix", "z"), "z")), f"WITH {_L}, i AS (SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1, CAST(round((max(x) - min(x)) / 0.5) AS INT) + 1 AS nx, CAST(round((max(y) - min(y)) / 0.5) AS INT) + 1 AS ny FROM p) SELECT CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix, round(2 * (x0 + ix * (x1 - x0) / (nx - 1)) + 3 * (y0 + iy * (y1 - y0) / (ny - 1)), 6) AS z FROM i, range(ny) a(iy), range(nx) b(ix)")
 
 
