@@ -51,6 +51,10 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
+#: Matches of a text that are placed in one go; it bounds copies, not results.
+RUN = 64
+
+
 def _accept(kind: str, token: Column) -> Column:
     if kind == "ip":
         return token.rlike(r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$")
@@ -93,7 +97,25 @@ def _located(text: Column, pattern: str, matches: Column, context: bool = False)
         one = F.struct(s.alias("start"), e.alias("end"), x["m"].alias("token"), (_last_words(x["p"]) if context else F.lit("")).alias("before"))
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(empty)
+    def ends(acc: Column, run: Column) -> Column:
+        return F.struct((acc["at"] + run["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def moved(run: Column, by: Column) -> Column:
+        return F.transform(run["out"], lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["token"].alias("token"), x["before"].alias("before")))
+
+    def placed(runs: Column) -> Column:
+        before = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), ends, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(runs, before, moved))
+
+    # a run of RUN matches is placed by itself and then moved, so that texts with many matches don't copy a growing array for each
+    last = F.floor((F.size(matches) - 1) / RUN).cast("int")
+    runs = _let(pairs, lambda p: F.transform(F.sequence(F.lit(0), last), lambda i: F.aggregate(F.slice(p, i * RUN + 1, F.lit(RUN)), start, step)))
+    return F.when(F.size(matches) > 0, _let(runs, placed)).otherwise(empty)
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def _scan(docs: DataFrame, text_col: str) -> DataFrame:

@@ -474,6 +474,14 @@ def test_spans_against_regular_expressions(spark, corpus):
     assert I.find_spans(docs(spark, [])).count() == 0
 
 
+def test_texts_with_many_matches(spark):
+    """Matches are placed in runs: none of them, one, whole runs and parts of runs."""
+    texts = [" ".join(f"user{i}@mail{i}.org 10.0.{i % 256}.7," for i in range(n)) for n in (0, 1, I.RUN - 1, I.RUN, I.RUN + 1, 2 * I.RUN, 2 * I.RUN + 1, 20000)]
+    for r in I.find_spans(docs(spark, texts)).collect():
+        want = listed(brute_spans(texts[r["doc_id"]]))
+        assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest() and set(want.split(",")) <= set(r["spans"].split(","))
+
+
 def test_contexts_discover_unseen_identifiers(spark):
     texts = [f"please write to me at user{i}@mail{i}.example.com thanks" for i in range(8)] + ["please write to me at handle77#x thanks", "the number 123456 means nothing at all"]
     got = {r["doc_id"]: r["spans"] for r in I.find_spans(docs(spark, texts)).collect()}
