@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_url_filter, op2_ngram_join, op3_gru_lm, op4_embedding_dedup, op5_quality, op6_toxicity, op7_packing, op8_bpe, op9_media, op10_pii, op11_fim
+from . import op1_url_filter, op2_ngram_join, op3_gru_lm, op4_embedding_dedup, op5_quality, op6_toxicity, op7_packing, op8_bpe, op9_media, op10_pii, op11_fim, op12_decontaminate, op13_divergence
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter.query,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media": op9_media.query,
     "op10_pii": op10_pii.query,
     "op11_fim": op11_fim.query,
+    "op12_decontaminate": op12_decontaminate.query,
+    "op13_divergence": op13_divergence.query,
 }
 
-SQL: dict[str, str] = {"op1_url_filter": op1_url_filter.SQL, "op11_fim": op11_fim.SQL}
+SQL: dict[str, str] = {"op1_url_filter": op1_url_filter.SQL, "op11_fim": op11_fim.SQL, "op12_decontaminate": op12_decontaminate.SQL, "op13_divergence": op13_divergence.SQL}

@@ -58,13 +58,13 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end) byte positions of all words and their counts per text."""
+def word_spans(data: np.ndarray, off: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end) byte positions of all words and their counts per text; gaps: which of the 256 bytes part words."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(off) - 1, np.int64)
-    solid = ~_SPACE[data]
+    solid = ~gaps[data]
     edge = np.zeros(n + 1, dtype=bool)  # a text's first byte always opens a word
     edge[off] = True
     before = np.empty(n, dtype=bool)
