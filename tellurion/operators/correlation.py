@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tellurion.model import step
 
-from .points import with_aggregates
+from .statistics import Quantile, with_aggregates
 
 PROFILE = ["survey_id", "ix"]
 
@@ -21,8 +21,8 @@ def correlation_map(df: DataFrame, percentile_range: tuple[float, float] | None
     deviations and their number. Values are not demeaned. One task holds a column whole.
     """
     if percentile_range:
-        df = with_aggregates(df, ["survey_id"], __q=F.percentile("z", F.array(*[F.lit(p / 100) for p in percentile_range])))
-        df = df.where(F.col("z").between(F.col("__q")[0], F.col("__q")[1])).drop("__q")
+        df = with_aggregates(df, ["survey_id"], __q0=Quantile("z", percentile_range[0] / 100), __q1=Quantile("z", percentile_range[1] / 100))
+        df = df.where(F.col("z").between(F.col("__q0"), F.col("__q1"))).drop("__q0", "__q1")
     left = df.select("survey_id", (F.col("ix") + 1).alias("ix"), "iy", F.col("z").alias("u"))
     both = df.join(left, ["survey_id", "ix", "iy"]).where("z is not null and u is not null")
 

@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .points import KEY, median
+from .points import KEY
+from .statistics import Quantile, group_stats
 
 
 def overlap(a: DataFrame, b: DataFrame, tolerance: float, keep: list[str] | None = None) -> DataFrame:
@@ -113,13 +114,10 @@ def join_borders(surveys: dict[int, DataFrame], reach: float) -> dict[int, DataF
 
 
 def match_level(frames: list[DataFrame], stat: str = "median") -> list[DataFrame]:
-    """Shift each survey so that its median or mean is the first one's."""
-    f = (lambda: median("value")) if stat == "median" else (lambda: F.avg("value"))
-    ref = frames[0].agg(f().alias("__ref"))
-    out = [frames[0]]
-    for d in frames[1:]:
-        out.append(d.crossJoin(d.agg(f().alias("__own"))).crossJoin(ref).withColumn("value", F.col("value") - F.col("__own") + F.col("__ref")).drop("__own", "__ref"))  # one-row sides
-    return out
+    """Shift each survey so that its median or mean is the first one's: two numbers that the driver knows before the rows are read again."""
+    own = [group_stats(d, [], s=Quantile("value", 0.5) if stat == "median" else F.avg("value")).first() for d in frames]
+    level = [F.lit(None if r is None else r["s"]).cast("double") for r in own]
+    return [frames[0], *[d.withColumn("value", F.col("value") - s + level[0]) for d, s in zip(frames[1:], level[1:], strict=True)]]
 
 
 def merge_grids(grids: list[DataFrame]) -> DataFrame:

@@ -13,16 +13,9 @@ from pyspark.sql import functions as F
 
 from tellurion.model import step
 
-KEY = ["survey_id"]
-
+from .statistics import Quantile, group_stats, with_aggregates
 
-def with_aggregates(df: DataFrame, by: list[str], **aggregates: Column) -> DataFrame:
-    """df with aggregates of its group in each row: one partial aggregation and a join on by."""
-    got = df.groupBy(*by).agg(*[c.alias(n) for n, c in aggregates.items()])
-    keys = [f"__k{i}" for i in range(len(by))]
-    got = got.select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], *aggregates)
-    on = reduce(lambda a, b: a & b, [df[b].eqNullSafe(got[k]) for b, k in zip(by, keys, strict=True)])
-    return df.join(got, on).drop(*keys)
+KEY = ["survey_id"]
 
 
 def median(col: str | Column) -> Column:
@@ -64,10 +57,10 @@ def set_mean(df: DataFrame, value: float, col: str = "value", by: list[str] | No
 
 @step("set_points_median", "points")
 def set_median(df: DataFrame, value: float, col: str = "value", by: list[str] | None = None, method: str = "additive") -> DataFrame:
-    return _set_level(df, value, col, by or KEY, median(col), method)
+    return _set_level(df, value, col, by or KEY, Quantile(col, 0.5), method)
 
 
-def _set_level(df: DataFrame, target: float, col: str, by: list[str], stat: Column, method: str) -> DataFrame:
+def _set_level(df: DataFrame, target: float, col: str, by: list[str], stat: Column | Quantile, method: str) -> DataFrame:
     if method not in ("additive", "multiplicative"):
         raise ValueError(f"method must be additive or multiplicative, not {method!r}")
     out = with_aggregates(df, by, __s=stat)
@@ -168,7 +161,7 @@ def threshold(df: DataFrame, vmin: float | None = None, vmax: float | None = Non
         return df.withColumn(col, F.when(low | high, F.lit(None)).otherwise(v))
     if fill in ("mean", "median"):
         inlier = F.when(~(low | high), v)
-        out = with_aggregates(df, by or KEY, __s=F.avg(inlier) if fill == "mean" else median(inlier))
+        out = with_aggregates(df, by or KEY, __s=F.avg(inlier) if fill == "mean" else Quantile(inlier, 0.5))
         return out.withColumn(col, F.when(low | high, F.col("__s")).otherwise(v)).drop("__s")
     return df.withColumn(col, F.when(low | high, F.lit(float(fill))).otherwise(v))
 
@@ -209,16 +202,14 @@ def spread(df: DataFrame, col: str = "value", by: list[str] | None = None, vmin:
     for lo, op in ((vmin, ">="), (vmax, "<=")):
         if lo is not None:
             df = df.where(f"`{col}` {op} {float(lo)!r}")
-    q = F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    got = df.groupBy(*(by or KEY)).agg(F.avg(col).alias("mean"), F.stddev_pop(col).alias("stdev"), q.alias("__q"))
-    return got.select(*(by or KEY), "mean", "stdev", F.col("__q")[1].alias("median"), F.col("__q")[0].alias("q1"), F.col("__q")[2].alias("q3"), (F.col("__q")[2] - F.col("__q")[0]).alias("iqr"))
+    got = group_stats(df, by or KEY, mean=F.avg(col), stdev=F.stddev_pop(col), median=Quantile(col, 0.5), q1=Quantile(col, 0.25), q3=Quantile(col, 0.75))
+    return got.withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def mid_interval(df: DataFrame, percent: float, col: str = "value", by: list[str] | None = None) -> DataFrame:
     """Bounds of the central ``percent`` of the values."""
     lo = (100 - percent) / 200
-    q = F.percentile(col, F.array(F.lit(lo), F.lit(1 - lo)))
-    return df.groupBy(*(by or KEY)).agg(q[0].alias("low"), q[1].alias("high"))
+    return group_stats(df, by or KEY, low=Quantile(col, lo), high=Quantile(col, 1 - lo))
 
 
 def median_step(df: DataFrame, axis: str = "x", digits: int = 6, by: list[str] | None = None) -> DataFrame:
@@ -230,7 +221,7 @@ def median_step(df: DataFrame, axis: str = "x", digits: int = 6, by: list[str] |
     w = Window.partitionBy(*by).orderBy(axis)
     pts = df.where(F.col(axis).isNotNull()).select(*by, axis).distinct()
     gaps = pts.withColumn("gap", F.col(axis) - F.lag(axis).over(w))
-    return gaps.groupBy(*by).agg(F.coalesce(F.bround(median("gap"), digits), F.lit(0.0)).alias("step"))
+    return group_stats(gaps, by, step=Quantile("gap", 0.5)).withColumn("step", F.coalesce(F.bround("step", digits), F.lit(0.0)))
 
 
 def centroid(df: DataFrame, by: list[str] | None = None) -> DataFrame:

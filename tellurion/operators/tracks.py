@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tellurion.model import step
 
-from .points import KEY, median, with_aggregates
+from .points import KEY
+from .statistics import Quantile, group_stats, matched, settled, with_aggregates
 
 TRACK = ["survey_id", "track"]
 
@@ -77,20 +78,33 @@ def level(df: DataFrame, reference: str = "mean", config: str = "mono", percenti
     by, overall = by or TRACK, overall or KEY
     v = F.col(col)
     if percentiles:
-        q = F.percentile(col, F.array(F.lit(percentiles[0] / 100), F.lit(percentiles[1] / 100)))
-        df = with_aggregates(df, overall, __q=q)
-        v = F.when(v.between(F.col("__q")[0], F.col("__q")[1]), v)
+        df = with_aggregates(df, overall, __q0=Quantile(col, percentiles[0] / 100), __q1=Quantile(col, percentiles[1] / 100))
+        v = F.when(v.between(F.col("__q0"), F.col("__q1")), v)
     df = df.withColumn("__v", v)
 
-    def pair(prefix: str) -> dict[str, Column]:
-        if reference == "mean":
-            return {f"__{prefix}s": F.avg("__v"), f"__{prefix}g": F.stddev_pop("__v")}
-        return {f"__{prefix}s": median("__v"), f"__{prefix}g": F.percentile("__v", F.lit(0.75)) - F.percentile("__v", F.lit(0.25))}
+    def quartiles(prefix: str, keys: list[str]) -> DataFrame:
+        got = group_stats(df, keys, m=Quantile("__v", 0.5), lo=Quantile("__v", 0.25), hi=Quantile("__v", 0.75))
+        return got.select(*keys, F.col("m").alias(f"__{prefix}s"), (F.col("hi") - F.col("lo")).alias(f"__{prefix}g"))
 
-    out = with_aggregates(with_aggregates(df, by, **pair("t")), overall, **pair("a"))
+    if reference == "mean":
+        tracks = group_stats(df, list(dict.fromkeys([*overall, *by])), __n=F.count("__v"), __ts=F.avg("__v"), __tg=F.stddev_pop("__v"))
+        whole = _pooled(tracks, overall)
+        if not set(overall) <= set(by):
+            tracks = group_stats(df, by, __ts=F.avg("__v"), __tg=F.stddev_pop("__v"))
+        tracks = tracks.select(*by, "__ts", "__tg")
+    else:
+        tracks, whole = quartiles("t", by), quartiles("a", overall)
+    out = matched(matched(df, tracks, by), whole, overall)
     one = lambda c: F.when(F.col(c) == 0, 1.0).otherwise(F.col(c))
     gain = one("__ag") / one("__tg") if config == "multi" else F.lit(1.0)
-    return out.withColumn(col, (F.col(col) - F.col("__ts")) * gain + F.col("__as")).drop("__v", "__ts", "__tg", "__as", "__ag", "__q")
+    return out.withColumn(col, (F.col(col) - F.col("__ts")) * gain + F.col("__as")).drop("__v", "__ts", "__tg", "__as", "__ag", "__q0", "__q1")
+
+
+def _pooled(groups: DataFrame, by: list[str]) -> DataFrame:
+    """(by, __as, __ag): mean and population deviation of unions of groups with count __n, mean __ts and deviation __tg."""
+    mean = groups.groupBy(*by).agg(F.try_divide(F.sum(F.col("__n") * F.col("__ts")), F.sum("__n")).alias("__as"))
+    off = F.col("__n") * (F.pow("__tg", F.lit(2)) + F.pow(F.col("__ts") - F.col("__as"), 2))
+    return settled(matched(groups, mean, by).groupBy(*by).agg(F.first("__as").alias("__as"), F.sqrt(F.try_divide(F.sum(off), F.sum("__n"))).alias("__ag")))
 
 
 step("destripe_points_by_leveling", "points")(lambda df, reference="mean", config="mono", percentile_range=None: level(df, reference, config, percentile_range))
@@ -104,10 +118,10 @@ def zero_tracks(df: DataFrame, stat: str = "mean", percentiles: tuple[float, flo
     by = by or TRACK
     v = F.col(col)
     if percentiles:
-        df = with_aggregates(df, by, __q=F.percentile(col, F.array(F.lit(percentiles[0] / 100), F.lit(percentiles[1] / 100))))
-        v = F.when(v.between(F.col("__q")[0], F.col("__q")[1]), v)
-    out = with_aggregates(df.withColumn("__v", v), by, __s=F.avg("__v") if stat == "mean" else median("__v"))
-    return out.withColumn(col, F.col(col) - F.col("__s")).drop("__v", "__s", "__q")
+        df = with_aggregates(df, by, __q0=Quantile(col, percentiles[0] / 100), __q1=Quantile(col, percentiles[1] / 100))
+        v = F.when(v.between(F.col("__q0"), F.col("__q1")), v)
+    out = with_aggregates(df.withColumn("__v", v), by, __s=F.avg("__v") if stat == "mean" else Quantile("__v", 0.5))
+    return out.withColumn(col, F.col(col) - F.col("__s")).drop("__v", "__s", "__q0", "__q1")
 
 
 step("zero_mean_tracks", "points")(lambda df, percentile_range=None: zero_tracks(df, "mean", percentile_range))
@@ -132,12 +146,13 @@ def destripe_neighbours(df: DataFrame, n: int = 4, method: str = "additive", ref
             cols = cols.withColumns({f"__w{k}": F.sum(f"__{k}").over(w) for k in ("n", "s", "ss")})
             cols = cols.withColumns({"__as": F.try_divide(F.col("__ws"), F.col("__wn")), "__ag": var(F.col("__wn"), F.col("__ws"), F.col("__wss"))})
     else:
-        iqr = lambda c: F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))
-        cols = df.groupBy(*prof).agg(median("z").alias("__ts"), iqr("z").alias("__tg"))
+        def quartiles(cells: DataFrame, prefix: str) -> DataFrame:
+            got = group_stats(cells, prof, m=Quantile("z", 0.5), lo=Quantile("z", 0.25), hi=Quantile("z", 0.75))
+            return got.select(*prof, F.col("m").alias(f"__{prefix}s"), (F.col("hi") - F.col("lo")).alias(f"__{prefix}g"))
+
+        cols = quartiles(df, "t")
         if n:
-            to = df.withColumn("__to", F.explode(F.sequence(F.col("ix") - n + 1, F.col("ix") + n)))
-            pooled = to.groupBy("survey_id", F.col("__to").alias("ix")).agg(median("z").alias("__as"), iqr("z").alias("__ag"))
-            cols = cols.join(pooled, prof)
+            cols = cols.join(quartiles(df.withColumn("ix", F.explode(F.sequence(F.col("ix") - n + 1, F.col("ix") + n))), "a"), prof)
     if not n:
         cols = cols.withColumns({"__as": F.lit(0.0 if method == "additive" else 1.0), "__ag": F.lit(1.0)})
     one = lambda c: F.when(F.col(c) == 0, 1.0).otherwise(F.col(c))
@@ -237,7 +252,7 @@ def gap_sessions(df: DataFrame, factor: float = 5.0, time: str = "seconds", by:
     w = _along(by)
     filled = F.last(time, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     out = df.withColumn("__t", filled).withColumn("__gap", F.col("__t") - F.lag("__t").over(w))
-    out = with_aggregates(out, by, __m=median("__gap"))
+    out = with_aggregates(out, by, __m=Quantile("__gap", 0.5))
     out = out.withColumn("__new", F.coalesce((F.col("__gap") > F.lit(factor) * F.col("__m")).cast("int"), F.lit(0)))
     return out.withColumn("segment", (F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1).cast("int")).drop("__t", "__gap", "__m", "__new")
 
