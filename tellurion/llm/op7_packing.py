@@ -10,13 +10,13 @@ what the loop over single documents gives. Pieces then learn their bin from thei
 among the pieces of their length. The plan's size depends on the capacity only,
 never on the rows, so it may be broadcast.
 
-A null text counts as empty (its end id alone). Rows that repeat, also with equal or null
+A null text counts as empty (its end id alone). Very long texts are encoded whole and cut into pieces; pieces of one length
+rank by a hash of their row, so ties are settled alike in every run on the same files. Rows that repeat, also with equal or null
 ids, are all packed. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import lean, materialise, ship_package
 
-CAPACITY, END_ID, CACHE_UNITS = 1024, 2, 500_000
-_ODD_SPACE = tuple(c.encode() for c in "\x85\xa0     　") + (b"\xe2\x80",)
-#: The pattern of byte-level pre-tokens.
-PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_ASCII_SPACE = b" \t\n\x0b\x0c\r"
+CAPACITY, END_ID = 1024, 2
+#: A worker keeps the ids of so many units, or so many bytes of units, over slices and tasks; then it begins anew.
+CACHE_UNITS, CACHE_BYTES = 200_000, 16 << 20
+#: Buckets of ranks that one window orders.
+WIDE = 4096
 _CACHE: dict = {}
 
 
@@ -51,13 +51,26 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+def other_space(data: np.ndarray) -> np.ndarray:
+    """Which bytes are the last one of a white space character outside ASCII."""
+    out = np.zeros(len(data), bool)
+    if len(data) < 2:
+        return out
+    last, mid = data[1:], data[:-1]
+    out[1:] = (mid == 0xC2) & ((last == 0x85) | (last == 0xA0))
+    first, mid, last = data[:-2], data[1:-1], data[2:]
+    out[2:] |= (first == 0xE1) & (mid == 0x9A) & (last == 0x80) | (first == 0xE3) & (mid == 0x80) & (last == 0x80)
+    general = (last >= 0x80) & (last <= 0x8A) | (last == 0xA8) | (last == 0xA9) | (last == 0xAF)
+    out[2:] |= (first == 0xE2) & ((mid == 0x80) & general | (mid == 0x81) & (last == 0x9F))
+    return out
+
+
 class UnitEncoder:
     """Token ids by white-space-led units; a distinct unit is encoded once per worker.
 
-    New units are encoded as one string. As tokens never cross units, and the number of
-    bytes of every token is known, running byte counts tell where each unit's ids end.
-    Where ids are merge ranks (as in this vocabulary), plain strings take the faster of
-    two libraries that hold the same vocabulary; all others take the tokenizers library.
+    A unit begins at ASCII white space after something that isn't white space of any kind, so that
+    tokens never cross units. New units are encoded as one string; as the number of bytes of every token is known, running
+    byte counts tell where each unit's ids end. Units whose ends would meet their neighbours' white space in that string go by themselves.
     """
 
     def __init__(self, path: str):
@@ -65,27 +78,13 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.special = {t.content for t in self.tok.get_added_tokens_decoder().values()}
+        special = {t.content for t in self.tok.get_added_tokens_decoder().values()}
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
         for s, i in vocab.items():
-            self.bytes_of[i] = len(s.encode()) if s in self.special else len(s)
-        self.fast = self._ranked(path, vocab)
+            self.bytes_of[i] = len(s.encode()) if s in special else len(s)
         self.clear()
 
-    def _ranked(self, path: str, vocab: dict[str, int]):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        ranks = [vocab[a + b] for a, b in merges]
-        if spec["normalizer"] or spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} or ranks != sorted(ranks):
-            return None
-        import tiktoken
-
-        back = {c: b for b, c in enumerate(byte_alphabet())}
-        table = {bytes(back[c] for c in s): i for s, i in vocab.items() if s not in self.special}
-        return tiktoken.Encoding("units", pat_str=PIECE_PATTERN, mergeable_ranks=table, special_tokens={})
-
     def clear(self) -> None:
         self.known = pa.array([], pa.large_binary())
         self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
@@ -97,33 +96,29 @@ class UnitEncoder:
         return _CACHE[path]
 
     def ids(self, raw: bytes) -> np.ndarray:
-        text = raw.decode()
-        if self.fast and not any(s in text for s in self.special) and not any(x in raw for x in _ODD_SPACE):
-            return np.array(self.fast.encode_ordinary(text), np.uint32)
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.tok.encode(raw.decode(), add_special_tokens=False).ids, np.uint32)
 
     def _learn(self, fresh: pa.Array) -> None:
         off = np.frombuffer(fresh.buffers()[1], np.int64)[: len(fresh) + 1]
-        data = np.frombuffer(fresh.buffers()[2], np.uint8)
-        blank = W.is_space(data[off[1:] - 1])  # a text's last white space
-        bare = ~blank & ~W.is_space(data[off[:-1]])  # a text's first word: led by a line end for now
-        plain = fresh.filter(pa.array(~blank & ~bare))
+        data = np.frombuffer(fresh.buffers()[2], np.uint8)[: off[-1]]
+        other = other_space(data)
+        head = data[off[:-1]]
+        width = np.where(head == 0xC2, 1, np.where((head >= 0xE1) & (head <= 0xE3), 2, 0))
+        alone = W.is_space(data[off[1:] - 1]) | other[off[1:] - 1] | (width > 0) & other[np.minimum(off[:-1] + width, len(data) - 1)]
+        led = W.is_space(head)  # others are a text's first unit: a line end goes before them
+        plain, first, rest = (fresh.filter(pa.array(x)) for x in (~alone & led, ~alone & ~led, alone))
         if len(plain):
             o = np.frombuffer(plain.buffers()[1], np.int64)[: len(plain) + 1]
             ids = self.ids(plain.buffers()[2].to_pybytes()[: o[-1]])
             self._keep(plain, ids, np.searchsorted(np.cumsum(self.bytes_of[ids]), o[1:], side="left") + 1)
-        for odd in (fresh.filter(pa.array(bare)), fresh.filter(pa.array(blank))):
-            if not len(odd):
-                continue
-            led = [b"\n" + u if odd[0].as_py()[0] not in _ASCII_SPACE else u for u in odd.to_pylist()]
-            if led[0][:1] == b"\n" and odd[0].as_py()[:1] != b"\n":
-                ids = self.ids(b"".join(led))
-                ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(u) for u in led]), side="left") + 1
-                ids = np.delete(ids, np.concatenate(([0], ends[:-1])))
-                self._keep(odd, ids, ends - np.arange(1, len(led) + 1))
-            else:
-                each = [self.ids(u) for u in led]
-                self._keep(odd, np.concatenate(each), np.cumsum([len(x) for x in each]))
+        if len(first):
+            lines = [b"\n" + u for u in first.to_pylist()]
+            ids = self.ids(b"".join(lines))
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(u) for u in lines]), side="left") + 1
+            self._keep(first, np.delete(ids, np.concatenate(([0], ends[:-1]))), ends - np.arange(1, len(lines) + 1))
+        if len(rest):
+            each = [self.ids(u) for u in rest.to_pylist()]
+            self._keep(rest, np.concatenate(each), np.cumsum([len(x) for x in each]))
 
     def _keep(self, units: pa.Array, ids: np.ndarray, ends: np.ndarray) -> None:
         self.starts = np.concatenate((self.starts, ends + self.starts[-1]))
@@ -134,18 +129,14 @@ class UnitEncoder:
         """(all ids, ids per text)."""
         data, off = W.text_bytes(col)
         s, e, per = W.unit_spans(data, off)
-        raw = data.tobytes()
-        if any(x in raw for x in _ODD_SPACE):  # white space outside ASCII joins units: such texts go whole
-            odd = np.array([any(x in raw[a:b] for x in _ODD_SPACE) for a, b in zip(off[:-1], off[1:], strict=True)])
-            text_of = np.repeat(np.arange(len(per)), per)
-            first = np.zeros(len(s), bool)
-            first[np.searchsorted(s, off[:-1][odd & (per > 0)])] = True
-            keep = ~odd[text_of] | first
-            s = s[keep]
-            e = np.append(s[1:], len(data))
-            per = np.where(odd, np.minimum(per, 1), per)
+        other = other_space(data)
+        if other.any():  # white space may run on over a unit's beginning
+            inner = np.ones(len(s), bool)
+            inner[np.searchsorted(s, off[:-1][per > 0])] = False
+            s = s[~(inner & other[s - 1])]
+            e, per = np.append(s[1:], len(data)), np.diff(np.searchsorted(s, off))
         idx, vals = W.distinct(W.span_strings(data, s, e))
-        if len(self.known) > CACHE_UNITS:
+        if len(self.known) > CACHE_UNITS or self.known.nbytes > CACHE_BYTES:
             self.clear()
         at = pc.index_in(vals, value_set=self.known)
         if at.null_count:
@@ -244,7 +235,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = UnitEncoder.of(tokenizer_path)
         end = np.array([end_id], np.uint32)
-        enc.clear()  # what an earlier task's texts left
         for whole in batches:
             for b in W.slices(whole, 1):
                 ids, per = enc.encode(b.column(1))
@@ -264,7 +254,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
                     [b.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     ["id", "piece", "start", "length", "ids_crc32"],
                 )
-        enc.clear()
 
     pieces = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(cut), f"id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint")
     pieces = materialise(pieces.withColumn("rid", F.monotonically_increasing_id()))
@@ -272,8 +261,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("rid"), F.lit(max(64, rows // 1000))))
     counts = materialise(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # pieces of one length before a bucket: within its run of WIDE buckets, and in the runs before
+    runs = counts.withColumn("run", F.floor(F.col("bucket") / WIDE))
+    earlier = Window.partitionBy("length").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    whole = runs.groupBy("length", "run").agg(F.sum("n").alias("n")).select("length", "run", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("whole"))
+    before = Window.partitionBy("length", "run").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = runs.withColumn("own", F.coalesce(F.sum("n").over(before), F.lit(0))).join(whole, ["length", "run"]).select("length", "bucket", (F.col("own") + F.col("whole")).alias("base"))
     local = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("rid")) - 1
     ranked = pieces.withColumn("local", local).join(base, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("local"))
     steps = plan(histogram, capacity)

@@ -373,6 +373,21 @@ def test_plan_is_best_fit_decreasing(seed):
     assert brute_bins(lengths, cap) == (len(bins), sorted(cap - sum(n for _, n in p) for p in bins.values()))
 
 
+def test_unit_ids_of_random_unicode_are_the_librarys():
+    """White space of every kind, contractions, special tokens, scripts: 20,000 strings through one encoder whose cache overflows."""
+    enc = K.UnitEncoder(K.tokenizer_file("byte_bpe_50k.json"))
+    rng = random.Random(7)
+    spaces = [chr(c) for c in (9, 10, 11, 12, 13, 32, 32, 0x1C, 0x1F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
+    some = [*spaces, *"abéß日İI'’.,!12½\u0301😀", "'s", "'ll", "<|endoftext|>", " the", " a"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 14))) for _ in range(16000)]
+    texts += ["".join(chr(rng.randrange(1, 0x3100)) for _ in range(rng.randint(1, 12))) for _ in range(4000)]
+    texts += ["\xa0\xa0x", "\xa0 x", "a\xa0\n\nb", "x" * 300000 + "\u3000" * 50000 + " y", "\u2003" * 7, None]
+    for _ in range(2):
+        ids, per = enc.encode(pa.array(texts))
+        assert ids.tolist() == [i for t in texts for i in enc.tok.encode(t or "", add_special_tokens=False).ids] and len(per) == len(texts)
+        enc.known = pa.concat_arrays([enc.known, pa.array([b"\0" * K.CACHE_BYTES], pa.large_binary())])
+
+
 def check_packing(rows, texts, tokenizer, capacity):
     per_doc, per_bin = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
