@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .grids import CELL, lattice, tile_index, tile_mask, tile_mask_round
-from .joins import triangulate
-
+from .kriging import krige_near
+from .statistics import group_stats, matched
+from .triangulation import cubic, linear
 
 _NODES = "survey_id string, iy int, ix int, z double"
 
@@ -29,68 +28,6 @@ def nearest(points: DataFrame, info: DataFrame, reach: float) -> DataFrame:
     return lattice(info).select(*CELL).join(best, CELL, "left")
 
 
-def _barycentric(x: np.ndarray, y: np.ndarray, v: np.ndarray, qx: np.ndarray, qy: np.ndarray, box: tuple[float, float, float, float]) -> tuple[np.ndarray, bool]:
-    """Values at the nodes, and whether points outside the box (y0, y1, x0, x1) can't change them."""
-    out, sure = np.full(len(qx), np.nan), True
-    for t in triangulate(x, y):
-        m = np.array([[x[t[0]], x[t[1]], x[t[2]]], [y[t[0]], y[t[1]], y[t[2]]], [1, 1, 1]], float)
-        near = (qx >= x[t].min() - 1e-9) & (qx <= x[t].max() + 1e-9) & (qy >= y[t].min() - 1e-9) & (qy <= y[t].max() + 1e-9)
-        if near.any():
-            w = np.linalg.solve(m, np.stack((qx[near], qy[near], np.ones(near.sum()))))
-            ok = (w >= -1e-9).all(0)
-            at = np.flatnonzero(near)[ok]
-            out[at] = v[t] @ w[:, ok]
-            if len(at):
-                ax, ay, bx, by = x[t[1]] - x[t[0]], y[t[1]] - y[t[0]], x[t[2]] - x[t[0]], y[t[2]] - y[t[0]]
-                d = 2 * (ax * by - ay * bx)
-                ux, uy = (by * (ax * ax + ay * ay) - ay * (bx * bx + by * by)) / d, (ax * (bx * bx + by * by) - bx * (ax * ax + ay * ay)) / d
-                cy, cx, r = y[t[0]] + uy, x[t[0]] + ux, np.hypot(ux, uy)
-                sure &= bool(cy - r >= box[0] and cy + r <= box[1] and cx - r >= box[2] and cx + r <= box[3])
-    return out, sure and (not np.isnan(out).any() or bool(np.isinf(box).all()))
-
-
-def linear(points: DataFrame, info: DataFrame, tile: int = 32, halo: float = 2.0) -> DataFrame:
-    """Linear interpolation on Delaunay triangles, in tiles of nodes with a halo of points round each.
-
-    A tile is one group; its halo (times the tile's size) lets triangles reach across borders. A tile is settled when the circles round
-    all its triangles lie inside its halo, so that no further point can change them; the others are done again with twice the halo, at
-    last with all points (always where a node lies outside all triangles). Nodes outside all triangles are NULL.
-    """
-    key = ["survey_id", "ty", "tx"]
-    nodes = lattice(info).withColumns({"ty": F.floor(F.col("iy") / tile).cast("int"), "tx": F.floor(F.col("ix") / tile).cast("int")})
-    span = lambda a: F.greatest((F.col(f"{a}_max") - F.col(f"{a}_min")) / F.greatest(F.col(f"n{a}") - 1, F.lit(1)) * tile, F.lit(1e-9))
-    at = lambda a: F.floor((F.col(a) - F.col(f"{a}_min")) / span(a)).cast("int")
-    known = points.where("value is not null").join(info, "survey_id").withColumns({"py": at("y"), "px": at("x")})
-    ends = known.groupBy("survey_id").agg(*[f(F.col(c)).alias(f"{c}{k}") for c in ("py", "px") for k, f in ((0, F.min), (1, F.max))])
-    none = lambda t: F.lit(None).cast(t)
-    sides = ["b0", "b1", "b2", "b3"]
-
-    def work(g: pd.DataFrame) -> pd.DataFrame:
-        node = g["iy"].notna()
-        a, b = g[~node], g[node]
-        z, sure = _barycentric(*(a[c].to_numpy(float) for c in ("x", "y", "v")), *(b[c].to_numpy(float) for c in ("x", "y")), tuple(b[sides].iloc[0]))
-        return pd.DataFrame({"survey_id": b["survey_id"], "iy": b["iy"].astype(int), "ix": b["ix"].astype(int), "z": z, "ty": b["ty"], "tx": b["tx"], "sure": sure})
-
-    parts, reach = [], int(np.ceil(halo))
-    while True:
-        tiles = nodes.select(*key).distinct()
-        low = lambda a, r=reach: F.when(F.col(f"t{a}") - r <= F.col(f"p{a}0"), F.lit(-np.inf)).otherwise(F.col(f"{a}_min") + (F.col(f"t{a}") - r) * span(a))
-        high = lambda a, r=reach: F.when(F.col(f"t{a}") + r >= F.col(f"p{a}1"), F.lit(np.inf)).otherwise(F.col(f"{a}_min") + (F.col(f"t{a}") + r + 1) * span(a))
-        box = tiles.join(info, "survey_id").join(ends, "survey_id").select(*key, *[f(a).alias(n) for n, (a, f) in zip(sides, (("y", low), ("y", high), ("x", low), ("x", high)), strict=True)])
-        q = nodes.join(box, key).select(*key, "x", "y", none("double").alias("v"), "iy", "ix", *sides)
-        near = lambda c, r=reach: F.sequence(F.col(c) - r, F.col(c) + r)
-        p = known.withColumn("ty", F.explode(near("py"))).withColumn("tx", F.explode(near("px"))).join(tiles, key)
-        p = p.select(*key, "x", "y", F.col("value").alias("v"), none("int").alias("iy"), none("int").alias("ix"), *[none("double").alias(s) for s in sides])
-        got = p.unionByName(q).groupBy(*key).applyInPandas(work, _NODES + ", ty int, tx int, sure boolean").persist()
-        parts.append(got.where("sure"))
-        left = got.where("not sure").select(*key).distinct()
-        if left.isEmpty():
-            break
-        nodes, reach = nodes.join(left, key), 2 * reach
-    out = reduce(DataFrame.unionAll, parts).select("survey_id", "iy", "ix", "z")
-    return lattice(info).select(*CELL).join(out.withColumn("z", F.when(~F.isnan("z"), F.col("z"))), CELL, "left")
-
-
 def masked(points: DataFrame, info: DataFrame, values: DataFrame, n: int = 100, radius: int = 2, power: float = 0.0, all_round: bool = False, keep: bool = True) -> DataFrame:
     """values (cells of any interpolation or kriging) with NULL in nodes whose tile has too few points near.
 
@@ -209,8 +146,8 @@ def fit_variogram(table: pd.DataFrame, kind: str = "spherical") -> dict[str, flo
     return best[1]
 
 
-def krige(points: DataFrame, info: DataFrame, model: dict, limit: int = 2000) -> DataFrame:
-    """(survey_id, iy, ix, z, stdev): ordinary kriging with all of a survey's points; refused beyond ``limit`` points."""
+def krige(points: DataFrame, info: DataFrame, model: dict, limit: int = 2000, near: int = 64) -> DataFrame:
+    """(survey_id, iy, ix, z, stdev): ordinary kriging; surveys of up to ``limit`` places with all of them, larger ones with the ``near`` nearest to each node."""
 
     def gamma(h: np.ndarray) -> np.ndarray:
         return np.where(h > 0, model["nugget"] + model["sill"] * MODELS[model["kind"]](h, model["range"]), 0.0)
@@ -218,10 +155,10 @@ def krige(points: DataFrame, info: DataFrame, model: dict, limit: int = 2000) ->
     def work(g: pd.DataFrame) -> pd.DataFrame:
         node = g["iy"].notna()
         a, b = g[~node].groupby(["x", "y"], as_index=False)["v"].mean(), g[node]
-        if len(a) > limit:
-            raise ValueError(f"{len(a)} points; unique-neighbourhood kriging takes {limit} at most")
         x, y, v = (a[c].to_numpy(float) for c in ("x", "y", "v"))
         n = len(x)
+        if not n:
+            return pd.DataFrame({"survey_id": b["survey_id"], "iy": b["iy"].astype(int), "ix": b["ix"].astype(int), "z": np.nan, "stdev": np.nan})
         m = np.ones((n + 1, n + 1))
         m[:n, :n], m[n, n] = gamma(np.hypot(x[:, None] - x, y[:, None] - y)), 0
         r = np.ones((n + 1, len(b)))
@@ -229,7 +166,14 @@ def krige(points: DataFrame, info: DataFrame, model: dict, limit: int = 2000) ->
         w = np.linalg.lstsq(m, r, rcond=None)[0]
         return pd.DataFrame({"survey_id": b["survey_id"], "iy": b["iy"].astype(int), "ix": b["ix"].astype(int), "z": v @ w[:n], "stdev": np.sqrt(np.maximum((w * r).sum(0), 0))})
 
-    return _both(points, info).groupBy("survey_id").applyInPandas(work, _NODES + ", stdev double")
+    sizes = group_stats(points.where("value IS NOT NULL").select("survey_id", "x", "y").distinct(), ["survey_id"], n=F.count("*"))
+    large = sizes.where(F.col("n") > limit).select("survey_id")
+    few = lambda d: matched(d, large, ["survey_id"], "left_anti")
+    whole = _both(few(points), few(info)).groupBy("survey_id").applyInPandas(work, _NODES + ", stdev double")
+    if large.isEmpty():
+        return whole
+    many = lambda d: matched(d, large, ["survey_id"], "left_semi")
+    return whole.unionByName(krige_near(many(points), many(info), gamma, near).select("survey_id", "iy", "ix", "z", "stdev"))
 
 
-__all__ = ["MODELS", "RBF", "fit_variogram", "krige", "linear", "masked", "nearest", "radial", "sample", "variogram"]
+__all__ = ["MODELS", "RBF", "cubic", "fit_variogram", "krige", "krige_near", "linear", "masked", "nearest", "radial", "sample", "variogram"]

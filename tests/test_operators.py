@@ -181,7 +181,7 @@ def test_plane_is_interpolated_exactly(spark):
     node = G.lattice(info).select("iy", "ix", (2 * F.col("x") + 3 * F.col("y")).alias("z"))
     want = array(node)
     assert np.allclose(array(I.linear(p, info)), want)
-    assert np.allclose(array(I.linear(p, info, tile=4, halo=3)), want)
+    assert np.allclose(array(I.linear(p, info, most=12)), want)
     assert np.allclose(array(I.radial(p, info, "thin_plate_spline")), want, atol=1e-6)
     sampled = I.sample(p, node.withColumn("survey_id", F.lit("s")), info)
     assert all(np.isclose(r["sampled"], r["value"]) for r in sampled.collect())
@@ -333,7 +333,7 @@ def test_linear_sparse_survey_is_the_whole_triangulation(spark):
     x, y = np.concatenate((rng.uniform(0, 1, 12), rng.uniform(38, 40, 12), [0, 40, 0, 40])), np.concatenate((rng.uniform(0, 40, 24), [0, 0, 40, 40]))
     v = np.sin(x) * 10 + y**2
     p = spark.createDataFrame([("s", i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(x, y, v, strict=True))], "survey_id string, pid bigint, x double, y double, value double")
-    got = {(r["iy"], r["ix"]): r["z"] for r in I.linear(p, G.grid_info(p, 1.0, 1.0), tile=4, halo=2).collect()}
+    got = {(r["iy"], r["ix"]): r["z"] for r in I.linear(p, G.grid_info(p, 1.0, 1.0), most=8).collect()}
     assert len(got) == 41 * 41 and None not in got.values()
     tri = triangulate(x, y)
     for (b, a), z in got.items():
