@@ -14,8 +14,10 @@ from tellurion.operators import emi as M
 from tellurion.operators import grids as G
 from tellurion.operators import interpolation as I
 from tellurion.operators import joins as J
+from tellurion.operators import kriging as K
 from tellurion.operators import points as P
 from tellurion.operators import spectral as S
+from tellurion.operators import statistics as Q
 from tellurion.operators import tracks as T
 from tellurion.shipping import ship_package
 from tellurion.sources.tables import embeddings_grid, events_points, lineitem_points, orders_points
@@ -415,3 +417,36 @@ add("emi_process", lambda spark, d: M.process(_emi(spark, d).drop("base").withCo
 add("tracks_wiped_gaps", _ev(lambda p: T.mark_gaps(p.select("survey_id", "pid", "track", "x", "value"), 1000.0).where("pid is null").groupBy("track").count().withColumnRenamed("count", "n")), f"WITH {_P}, l AS (SELECT track, lead(x) OVER (PARTITION BY track ORDER BY x) - x AS gap FROM p), m AS (SELECT track, min(gap) AS d FROM l WHERE gap > 0 GROUP BY track) SELECT track, count(*) AS n FROM l JOIN m USING (track) WHERE gap > 2000 * d GROUP BY track")
 add("spread_repeats", _ev(lambda p: _r(T.spread_repeats(p.withColumn("x", F.floor(F.col("x") / 60000) * 60000.0), ["x"], ["track"]).select("pid", "x"), "x")), f"WITH {_P}, q AS (SELECT pid, track, floor(x / 60000) * 60000.0 AS x FROM p), c AS (SELECT *, sum(CASE WHEN l IS NULL OR l = x THEN 0 ELSE 1 END) OVER (PARTITION BY track ORDER BY pid ROWS UNBOUNDED PRECEDING) AS r FROM (SELECT *, lag(x) OVER (PARTITION BY track ORDER BY pid) AS l FROM q)), u AS (SELECT track, r, any_value(x) AS v, count(*) AS n FROM c GROUP BY track, r), w AS (SELECT *, lead(v) OVER (PARTITION BY track ORDER BY r) AS nx FROM u) SELECT pid, round(v + coalesce((nx - v) * (row_number() OVER (PARTITION BY c.track, c.r ORDER BY pid) - 1) / n, 0), 6) AS x FROM c JOIN w ON c.track = w.track AND c.r = w.r")
 add("bilinear_sample", _li(lambda p: _r(I.sample(p.select("survey_id", F.xxhash64("pid", "track", "value").alias("pid"), "x", "y", "value"), G.lattice(G.grid_info(p, 7.0, 5.0)).select("survey_id", "iy", "ix", (2 * F.col("x") - F.col("y")).alias("z")), G.grid_info(p, 7.0, 5.0)).groupBy("x", "y").agg(F.first("sampled").alias("sampled")), "sampled")), f"WITH {_L} SELECT x, y, round(2 * x - y, 6) AS sampled FROM p GROUP BY x, y")
+
+# quantiles, rough surfaces, neighbourhoods ----------------------------------------------------------
+
+add(
+    "exact_quantiles", _li(lambda p: _r(Q.quantiles(p, ["survey_id"], "value", [0.001, 0.05, 0.5, 0.731, 0.999]).drop("survey_id"), "q")),
+    f"WITH {_L}, k AS (SELECT unnest([0.001, 0.05, 0.5, 0.731, 0.999]) AS p) SELECT CAST(k.p AS DOUBLE) AS p, round((SELECT quantile_cont(value, [0.001, 0.05, 0.5, 0.731, 0.999]) FROM p)[list_position([0.001, 0.05, 0.5, 0.731, 0.999], k.p)], 6) AS q FROM k",
+)
+_PLACES = "d AS (SELECT x, y, avg(value) AS v FROM p GROUP BY x, y)"
+
+
+def _nodes_sql(x_step: float, y_step: float) -> str:
+    return f"i AS (SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1, CAST(round((max(x) - min(x)) / {x_step}) AS INT) + 1 AS nx, CAST(round((max(y) - min(y)) / {y_step}) AS INT) + 1 AS ny FROM p), o AS (SELECT CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix, x0 + ix * (x1 - x0) / (nx - 1) AS qx, y0 + iy * (y1 - y0) / (ny - 1) AS qy FROM i, range(ny) a(iy), range(nx) b(ix))"
+
+
+# on the lattice of quantities and discounts the triangles' legs are sure, their diagonals aren't: nodes on points and on legs
+add(
+    "interpolate_linear_rough", _li(lambda p: _r(I.linear(p, G.grid_info(p, 0.5, 0.5)).where("iy % 2 = 0 OR ix % 2 = 0").select("iy", "ix", "z"), "z", digits=4)),
+    f"WITH {_L}, {_PLACES}, {_nodes_sql(0.5, 0.5)} SELECT iy, ix, round(avg(v), 4) AS z FROM o JOIN d ON abs(d.x - qx) <= 0.5 AND abs(d.y - qy) <= 0.5 WHERE (iy % 2 = 0 OR ix % 2 = 0) GROUP BY iy, ix",
+)
+add("interpolate_cubic", _li(lambda p: _r(I.cubic(p, G.grid_info(p, 0.5, 0.5)).select("iy", "ix", "z"), "z", digits=4)))
+_LOCAL = {"kind": "spherical", "nugget": 0.0, "sill": 1.0, "range": 9.0}
+
+
+def _krige_near(p: DataFrame) -> DataFrame:
+    shape, far = I.MODELS["spherical"], _LOCAL["range"]
+    return K.krige_near(p, G.grid_info(p, 3.3, 0.7), lambda h: shape(h, far), 12)
+
+
+add(
+    "nearest_twelve", _li(lambda p: _r(_krige_near(p).select("iy", "ix", "farthest", "used"), "farthest")),
+    f"WITH {_L}, {_PLACES}, {_nodes_sql(3.3, 0.7)}, r AS (SELECT iy, ix, sqrt((x - qx) ^ 2 + (y - qy) ^ 2) AS f, row_number() OVER (PARTITION BY iy, ix ORDER BY (x - qx) ^ 2 + (y - qy) ^ 2) AS k FROM o, d) SELECT iy, ix, round(max(f), 6) AS farthest, CAST(count(*) AS INT) AS used FROM r WHERE k <= 12 GROUP BY iy, ix",
+)
+add("krige_local", _li(lambda p: _r(_krige_near(p).select("iy", "ix", "z", "stdev"), "z", "stdev", digits=4)))
