@@ -1,12 +1,15 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-Base patterns find e-mail addresses, IPv4 numbers, cards and phones with their places. Those are
-the seeds. The two words left of a seed, and a label glued to it like ``id=``, are a lexical
-pattern. All tokens with a digit or an at sign in such contexts form a bipartite graph
-of patterns and instances. Scores go round: a pattern's confidence is the mean score of its
-distinct instances (smoothed), an instance's score is that of its best pattern, seeds stay
-at 1. Confident patterns with enough distinct seeds then mark their other instances as
-kind ``id``. Base spans always stay.
+Base patterns find e-mail addresses, IPv4 numbers, cards and phones with their places. These are seeds; so are
+strings of 32 hexadecimal digits or more, which are keys wherever they stand. Tokens with a digit or an at sign are the other instances; a base span
+counts as one instance whole, whatever blanks it holds. An instance's lexical patterns are the two words left of it with a label glued to it like ``id=``,
+and, where these end in a cue (``:``, ``=`` or ``#``), the last word and label alone.
+
+Patterns and instances form a bipartite graph, of which patterns with LEAST_SEEDS different seeds are kept. A pattern's confidence is the mean score of its
+instances (smoothed), an instance's score is DAMPING times that of its best pattern, seeds stay at 1. Scores go round until they settle: a pattern with as
+many seeds as others is trusted, one with a few seeds among many others is not, as what it lends to them comes back damped. The other instances of trusted
+patterns then count as seeds, and patterns are weighed anew, until no more are trusted. Instances of trusted patterns that aren't base spans are kind ``id``;
+base spans always stay.
 
 Null texts count as empty: no spans. Very long texts and words are searched whole. Spans that begin at one place are listed by kind, then
 end. Repeated rows are treated row by row, whatever their ids; an empty table gives an empty result. Only the id and text columns are read by
@@ -33,8 +36,12 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-ROUNDS, CONFIDENCE, LEAST_SEEDS = 3, 0.85, 4
-#: Rows of discovered spans that may be broadcast; beyond, a shuffled join is used.
+#: A seed outside the base kinds.
+KEY = r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]{32,}$"
+CONFIDENCE, LEAST_SEEDS, DAMPING = 0.8, 4, 0.95
+#: Scores are settled when none moves by more; rounds at most, several of them in one job; times that found instances become seeds at most.
+SETTLED, ROUNDS, TOGETHER, SPREADS = 0.005, 24, 4, 5
+#: Discovered spans that may be broadcast; beyond, a shuffled join is used.
 SMALL = 100_000
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -128,63 +135,118 @@ def _scan(docs: DataFrame, text_col: str) -> DataFrame:
     for kind, pattern in PATTERNS.items():
         df = df.withColumn(f"__pii_m_{kind}", F.when(gate.get(kind, has_digit), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
     df = df.withColumn("__pii_m_token", F.when(has_digit | gate["email"], F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).otherwise(none))
-    spans = []
-    for k, (kind, pattern) in enumerate(PATTERNS.items()):
-        found = F.filter(_located(text, pattern, F.col(f"__pii_m_{kind}")), _accepting(kind))
-        spans.append(F.transform(found, _as_span(k)))
-    base = F.array_sort(F.concat(*spans)).cast(_SPAN)
+    for kind, pattern in PATTERNS.items():
+        df = df.withColumn(f"__pii_f_{kind}", F.filter(_located(text, pattern, F.col(f"__pii_m_{kind}")), _accepting(kind)))
+    base = F.array_sort(F.concat(*[F.transform(f"__pii_f_{kind}", _as_span(k)) for k, kind in enumerate(PATTERNS)])).cast(_SPAN)
+    df = df.withColumn("__pii_seeds", F.array_sort(F.concat(*[F.transform(f"__pii_f_{kind}", _as_seed) for kind in PATTERNS])))
+
+    def touching(seeds: Column, start: Column, end: Column) -> Column:
+        return F.filter(seeds, lambda b: (b["start"] < end) & (b["end"] > start))
+
+    def candidate(x: Column, seeds: Column) -> Column:
+        """The token's value; of a token in which a base span begins, that span; of one that a span runs on into, nothing."""
+        return _let(F.get(touching(seeds, x["start"], x["end"]), F.lit(0)), lambda seed: F.when(seed.isNull(), other(x)).when(seed["start"] >= x["start"], seeded(x, seed)))
+
+    def in_run(run: Column, seeds: Column) -> Column:
+        """Candidates of RUN tokens, each held against those seeds only that touch the run."""
+        near = touching(seeds, F.get(run, F.lit(0))["start"], F.element_at(run, -1)["end"])
+        return _let(near, lambda few: F.transform(run, lambda x: candidate(x, few)))
+
+    def in_runs(tokens: Column, seeds: Column) -> Column:
+        at = F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / RUN).cast("int"))
+        return F.flatten(F.transform(at, lambda i: _let(F.slice(tokens, i * RUN + 1, F.lit(RUN)), lambda run: in_run(run, seeds))))
 
-    def candidate(x: Column) -> Column:
+    def seeded(x: Column, seed: Column) -> Column:
+        label = F.regexp_extract(F.substring(x["token"], F.lit(1), seed["start"] - x["start"]), r"([\p{L}_]+[:=#])[^\p{L}0-9]*$", 1)
+        return F.struct(seed["start"].alias("start"), seed["end"].alias("end"), contexts(x["before"], F.lower(label)).alias("contexts"), seed["token"].alias("value"), F.lit(True).alias("base"))
+
+    def contexts(before: Column, label: Column) -> Column:
+        last = F.regexp_extract(before, r"(\S*[\p{L}\p{N}]\S*(?: [^\p{L}\p{N}\s]+)?)$", 1)
+        short = F.when(label != "", F.concat(F.lit("1 "), label)).when(last.rlike("[:=#]$"), F.concat(F.lit("1 "), last))
+        long = F.when(F.trim(F.concat(before, label)) != "", F.concat(F.lit("2 "), before, F.lit(" "), label))
+        return F.array_distinct(F.array_compact(F.array(long, short)))
+
+    def other(x: Column) -> Column:
         token = x["token"]
         label = F.regexp_extract(token, r"^([\p{L}_]+[:=#])", 1)
         tail = F.regexp_extract(token, r"([^0-9A-Za-z]*)$", 1)
         head = F.regexp_extract(F.substring(token, F.length(label) + 1, F.length(token)), r"^([^0-9A-Za-z@+]*)", 1)
         skip = F.length(label) + F.length(head)
         value = F.substring(token, skip + 1, F.greatest(F.length(token) - skip - F.length(tail), F.lit(0)))
-        context = F.concat(x["before"], F.lit(" "), F.lower(label))
         s = x["start"] + skip
-        return F.struct(s.alias("start"), (s + F.length(value)).alias("end"), context.alias("context"), value.alias("value"))
-
-    cand = F.filter(F.transform(_located(text, TOKEN, F.col("__pii_m_token"), context=True), candidate), lambda c: F.length(c["value"]) >= 3)
-    return df.withColumn("__pii_base", base).withColumn("__pii_cand", cand).drop(*[f"__pii_m_{k}" for k in (*PATTERNS, "token")])
-
-
-def confident_patterns(tokens: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, least_seeds: int = LEAST_SEEDS) -> DataFrame:
-    """Contexts to trust, from (context, value, seed) rows; only grouped sums and joins."""
+        return F.struct(s.alias("start"), (s + F.length(value)).alias("end"), contexts(x["before"], F.lower(label)).alias("contexts"), value.alias("value"), F.lit(False).alias("base"))
+
+    df = df.withColumn("__pii_tokens", _located(text, TOKEN, F.col("__pii_m_token"), context=True))
+    # both arrays are bound once a row, not once a run
+    every = _let(F.col("__pii_tokens"), lambda tokens: _let(F.col("__pii_seeds"), lambda seeds: F.when(F.size(tokens) > 0, in_runs(tokens, seeds))))
+    cand = F.filter(F.coalesce(every, F.array()), lambda c: F.length(c["value"]) >= 3)
+    out = df.withColumn("__pii_base", base).withColumn("__pii_cand", cand)
+    return out.drop("__pii_seeds", "__pii_tokens", *[f"__pii_m_{k}" for k in (*PATTERNS, "token")], *[f"__pii_f_{k}" for k in PATTERNS])
+
+
+def _as_seed(x: Column) -> Column:
+    return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["token"].alias("token"))
+
+
+def _settled(edges: DataFrame) -> DataFrame:
+    """(context, confidence) of a graph of (context, value, seed), when scores have settled or ROUNDS are over."""
+    size = edges.groupBy("context").agg(F.count("*").alias("n"))
+    weight = edges.join(size, "context").select("context", "value", "seed", "n")
+    now = edges.select("context").distinct().withColumn("confidence", F.lit(0.0))
+    for _ in range(ROUNDS // TOGETHER):
+        before = now
+        for _ in range(TOGETHER):
+            score = weight.join(now, "context").groupBy("value").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(DAMPING * F.col("confidence"))).alias("score"))
+            now = weight.join(score, "value").groupBy("context").agg((F.sum("score") / (F.first("n") + F.lit(0.5))).alias("confidence"))
+        now = materialise(now)
+        moved = now.join(before.withColumnRenamed("confidence", "was"), "context").agg(F.max(F.abs(F.col("confidence") - F.col("was"))).alias("d")).first()["d"]
+        if moved is None or moved <= SETTLED:
+            break
+    return now
+
+
+def confident_patterns(tokens: DataFrame, confidence: float = CONFIDENCE, least_seeds: int = LEAST_SEEDS) -> DataFrame:
+    """(context) to trust, from (context, value, seed) rows; only grouped sums and joins. Confidences rise from 0, so an early end trusts less."""
     edges = materialise(tokens.groupBy("context", "value").agg(F.max("seed").alias("seed")))
-    score = edges.groupBy("value").agg(F.max("seed").cast("double").alias("score"))
-    patterns = None
-    for _ in range(rounds):
-        patterns = materialise(
-            edges.join(score, "value").groupBy("context").agg((F.sum("score") / (F.count("*") + F.lit(0.5))).alias("confidence"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-        )
-        score = edges.join(patterns.select("context", "confidence"), "context").groupBy("value").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(F.col("confidence"))).alias("score"))
-    return patterns.where((F.col("confidence") >= confidence) & (F.col("seeds") >= least_seeds)).select("context")
-
-
-def _overlaps(spans: Column, s: Column, e: Column) -> Column:
-    return F.exists(spans, lambda b: (b["start"] < e) & (b["end"] > s))
+    trusted, before = edges.select("context").limit(0), 0
+    for _ in range(SPREADS):
+        rich = edges.where("seed").groupBy("context").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= least_seeds).select("context")
+        graph = materialise(edges.join(rich, "context"))
+        trusted = materialise(_settled(graph).where(F.col("confidence") >= confidence).select("context"))
+        if (now := trusted.count()) <= before:
+            break
+        before = now
+        found = edges.join(trusted, "context").select("value").distinct().withColumn("found", F.lit(True))
+        edges = materialise(edges.join(found, "value", "left").select("context", "value", (F.col("seed") | F.coalesce("found", F.lit(False))).alias("seed")))
+    return trusted
 
 
 def _extra(scanned: DataFrame) -> DataFrame:
     """(__pii_rid, __pii_extra): spans that only the learnt patterns find."""
-    rows = scanned.where(F.size("__pii_cand") > 0).select("__pii_rid", "__pii_base", F.explode("__pii_cand").alias("c"))
-    tokens = rows.select("__pii_rid", F.col("c.start").alias("s"), F.col("c.end").alias("e"), F.col("c.context").alias("context"), F.col("c.value").alias("value"), _overlaps(F.col("__pii_base"), F.col("c.start"), F.col("c.end")).alias("seed"))
-    tokens = tokens.where(F.length(F.trim("context")) > 0)
-    trusted = confident_patterns(tokens.select("context", "value", "seed"))
-    found = tokens.where(~F.col("seed")).join(trusted, "context")
-    one = F.struct(F.col("s").alias("start"), F.lit(KINDS.index("id")).alias("kind"), F.col("e").alias("end"))
+    rows = scanned.where(F.size("__pii_cand") > 0).select("__pii_rid", F.explode("__pii_cand").alias("c")).select("__pii_rid", "c.*")
+    tokens = rows.select("*", F.explode("contexts").alias("context")).drop("contexts")
+    trusted = confident_patterns(tokens.select("context", "value", (F.col("base") | F.col("value").rlike(KEY)).alias("seed")))
+    found = tokens.where(~F.col("base")).join(trusted, "context")
+    one = F.struct("start", F.lit(KINDS.index("id")).alias("kind"), "end")
     return materialise(found.groupBy("__pii_rid").agg(F.array_sort(F.collect_set(one)).cast(_SPAN).alias("__pii_extra")))
 
 
+def _with_extra(scanned: DataFrame) -> DataFrame:
+    """scanned with __pii_extra, which is broadcast if it holds SMALL spans at most."""
+    extra = _extra(scanned)
+    if (extra.agg(F.sum(F.size("__pii_extra")).alias("n")).first()["n"] or 0) <= SMALL:
+        extra = F.broadcast(extra)
+    return scanned.join(extra, "__pii_rid", "left")
+
+
+def _all_spans() -> Column:
+    return F.array_sort(F.concat("__pii_base", F.coalesce("__pii_extra", F.array().cast(_SPAN))))
+
+
 def _spanned(docs: DataFrame, text_col: str) -> DataFrame:
     """docs with __pii_base and __pii_spans."""
     scanned = materialise(_scan(docs, text_col).withColumn("__pii_rid", F.monotonically_increasing_id()))
-    extra = _extra(scanned)
-    if extra.count() <= SMALL:
-        extra = F.broadcast(extra)
-    joined = scanned.join(extra, "__pii_rid", "left")
-    return joined.withColumn("__pii_spans", F.array_sort(F.concat("__pii_base", F.coalesce("__pii_extra", F.array().cast(_SPAN)))))
+    return _with_extra(scanned).withColumn("__pii_spans", _all_spans())
 
 
 def _listed(spans: Column) -> Column:
@@ -197,12 +259,8 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     narrow = docs.select(F.col(id_col).alias("__pii_id"), F.col(text_col).alias("__pii_text"))
     src = _scan(narrow, "__pii_text").drop("__pii_text")
     scanned = materialise(src.withColumn("__pii_rid", F.monotonically_increasing_id()))
-    extra = _extra(scanned)
-    if extra.count() <= SMALL:
-        extra = F.broadcast(extra)
-    all_spans = F.array_sort(F.concat("__pii_base", F.coalesce("__pii_extra", F.array().cast(_SPAN))))
     counts = [F.size(F.filter("__pii_base", _of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(PATTERNS)]
-    return scanned.join(extra, "__pii_rid", "left").select(F.col("__pii_id").alias(id_col), *counts, F.sha2(_listed(F.col("__pii_base")), 256).alias("base_sha256"), _listed(all_spans).alias("spans"))
+    return _with_extra(scanned).select(F.col("__pii_id").alias(id_col), *counts, F.sha2(_listed(F.col("__pii_base")), 256).alias("base_sha256"), _listed(_all_spans()).alias("spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -522,3 +522,47 @@ def test_redaction(spark):
         assert not any(k == 0 for _, k, _ in brute_spans(out[i]["text"])), t
     with pytest.raises(ValueError):
         I.redact(d.withColumn("__pii_x", F.lit(1)))
+
+
+def found_ids(spark, texts):
+    """Texts of the spans that only the method finds."""
+    got = {r["doc_id"]: r["spans"] for r in I.find_spans(docs(spark, texts)).collect()}
+    return {t[int(a) : int(b)] for i, t in enumerate(texts) for k, a, b in (s.split(":") for s in got[i].split(",") if s) if k == "id"}
+
+
+CARDS = ["4111111111111111", "5500005555555559", "340000000000009", "6011000000000004", "3530111333300000", "4012888888881881"]
+
+
+def test_pii_bootstrapping_settles(spark):
+    """Six seeds and six others after the same words: trusted once scores have settled; four among a hundred never."""
+    even = [f"paid with account {c} today" for c in CARDS] + [f"paid with account AB-{i}77-XY today" for i in range(6)]
+    assert found_ids(spark, even) == {f"AB-{i}77-XY" for i in range(6)}
+    few = [f"see also page {c}" for c in CARDS[:4]] + [f"see also page {i}" for i in range(100, 200)]
+    assert found_ids(spark, few) == set()
+    assert found_ids(spark, [f"paid with account {CARDS[0]}"] * 50 + ["paid with account AB-1277-XY"]) == set()
+
+
+def test_pii_spans_with_blanks_are_one_instance_each(spark):
+    phones = [f"please call me +49 170 123456{i} soon" for i in range(6)]
+    assert found_ids(spark, [*phones, "please call me x0170-55123 soon"]) == {"x0170-55123"}
+
+
+def test_pii_backs_off_to_cues_and_labels(spark):
+    """One word that ends in a cue, or a label glued to the value, is a pattern whatever stands before it."""
+    a = [f"word{chr(97 + i)} account: {c}" for i, c in enumerate(CARDS)] + ["some other account: 99-AB-7", "the account 12-CD-8"]
+    assert found_ids(spark, a) == {"99-AB-7"}
+    b = [f"word{chr(97 + i)} acct={c} end" for i, c in enumerate(CARDS)] + ["elsewhere acct=QZ-18-77, end", "acct QZ-18-78"]
+    assert found_ids(spark, b) == {"QZ-18-77"}
+
+
+def test_pii_keys_are_seeds(spark):
+    keys = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(8)]
+    texts = [f'x{i % 3}y\ntoken = "{k}"' for i, k in enumerate(keys)] + ['z\ntoken = "Zq81-unusual_Value9"', f"a commit {keys[0][::-1]} alone"]
+    assert found_ids(spark, texts) == {*keys, "Zq81-unusual_Value9"}
+
+
+def test_pii_found_instances_seed_others(spark):
+    """Instances of a trusted pattern make another pattern trusted, which has no seed of its own."""
+    first = [f"customer account no. {c}" for c in CARDS] + [f"customer account no. K{i}4-{i}" for i in range(5)]
+    second = [f"refer to file K{i}4-{i}" for i in range(5)] + ["refer to file W99-1"]
+    assert found_ids(spark, first + second) == {*(f"K{i}4-{i}" for i in range(5)), "W99-1"}
