@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tellurion.model import Survey
+from tellurion.operators.statistics import settled
 
 READERS: dict[str, tuple[Callable, str, dict]] = {}
 EXTENSIONS = {".csv": "ascii", ".txt": "ascii", ".dat": "ascii", ".xyz": "ascii", ".grd": "surfer", ".uxo": "uxo", ".json": "matrix"}
@@ -55,41 +56,85 @@ def _numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), begin.alias("begin"), "value", F.monotonically_increasing_id().alias("line"))
 
 
-def _without_head(lines: DataFrame, n: int) -> DataFrame:
-    """Each file's lines but its first n. Only files' first splits are ranked, which are bounded; the rest is filtered."""
-    w = Window.partitionBy("file").orderBy("line")
-    head = lines.where("begin").withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).groupBy("file").agg(F.max("line").alias("__last"))
-    return lines.join(head, "file", "left").where("__last is null or line > __last").drop("__last")
+def peek(spark: SparkSession, path: str | list[str], n: int = 5) -> DataFrame:
+    """(file, row, value): the first n lines of each file that are neither blank nor comments, from row 0. Only files' first splits are ranked, which are bounded."""
+    lines = _numbered(spark, path).where("begin").where(_telling())
+    row = F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1
+    return lines.withColumn("row", row).where(F.col("row") < n).select("file", "row", "line", "value")
 
 
-@register_reader("ascii", "delimited text", {"x": 0, "y": 1, "value": 2})
-def read_ascii(spark: SparkSession, path: str | list[str], sep: str | None = None, column_map: dict[str, int | str] | None = None, skip_rows: int = 0, header: bool = False, survey_id: str | None = None) -> DataFrame:
-    """Points from delimited text without header by default; '#' opens comments. Columns by place or, with header, by name.
+def limits(points: DataFrame) -> DataFrame:
+    """(survey_id, x_min, x_max, y_min, y_max): one row per file of a reading."""
+    return points.groupBy("survey_id").agg(*[f(F.col(a)).alias(f"{a}_{k}") for a in "xy" for k, f in (("min", F.min), ("max", F.max))])
+
+
+def _telling() -> Column:
+    return ~F.ltrim("value").startswith("#") & (F.trim("value") != "")
+
 
-    Rows whose x or y is no number are dropped, a bad value is NULL.
+def _fields(line: Column, sep: Column) -> Column:
+    """The fields of a line, trimmed and without quotes; a delimiter inside double quotes parts nothing, a comment after a blank and '#' is cut off."""
+    quoted = F.contains(line, F.lit('"'))
+    bare = F.when(quoted, line).otherwise(F.regexp_replace(line, r"\s+#.*$", ""))
+    pattern = F.when(sep == " ", r"\s+").when(sep == "|", r"\|").otherwise(sep)
+    outside = F.when(quoted, r'(?=(?:[^"]*"[^"]*")*[^"]*$)').otherwise("")
+    parts = F.split(F.when(sep == " ", F.trim(bare)).otherwise(bare), F.concat(pattern, outside))
+    return F.transform(parts, lambda f: F.regexp_replace(F.regexp_replace(F.trim(f), r'^"(.*)"$', "$1"), '""', '"'))
+
+
+@register_reader("ascii", "delimited text", {"x": 0, "y": 1, "value": 2})
+def read_ascii(
+    spark: SparkSession, path: str | list[str], sep: str | None = None, column_map: dict[str, int | str] | None = None, skip_rows: int = 0, header: bool = False, survey_id: str | None = None,
+    fields_row: int | None = None, refuse: str = "short",
+) -> DataFrame:
+    """Points from delimited text; '#' opens comments. Columns by place, or by name where names stand in the row after skip_rows (header) or in fields_row.
+
+    Each file has its own delimiter, unless given, and its own names. Rows whose x or y is no number are left out, a bad or missing value is NULL. A row
+    too short to have an x and y, as from another delimiter, and a file without a wanted name stop the reading with the file's name. refuse="all" stops at
+    texts in place of coordinates too, refuse="none" leaves short rows out.
     """
+    if refuse not in ("short", "all", "none"):
+        raise ValueError(f"refuse must be short, all or none, not {refuse!r}")
+    if sep is not None and sep not in DELIMITERS:
+        raise ValueError(f"sep must be one of {DELIMITERS}")
     column_map = column_map or {"x": 0, "y": 1, "value": 2}
-    lines = _numbered(spark, path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    if skip_rows or header or sep is None:
-        first = lines.orderBy("line").select("value").limit(skip_rows + 1).collect()  # the head of the first file
-        head = first[-1]["value"] if first else ""
-        sep = sep or sniff_delimiter(head)
-        if skip_rows or header:
-            lines = _without_head(lines, skip_rows + int(header))
+    named = fields_row if fields_row is not None else skip_rows if header else None
+    first = max(skip_rows, 0 if named is None else named + 1)  # rows before the data
+    lines = _numbered(spark, path).where(_telling())
+    if first or sep is None:
+        at = lambda row: F.max(F.when(F.col("row") == row, F.col("value")))
+        shown = at(named) if named is not None else F.coalesce(at(first), at(first - 1))
+        sniffed = F.coalesce(*[F.when(F.contains(F.trim(shown), F.lit(d)), F.lit(d)) for d in DELIMITERS], F.lit(",")) if sep is None else F.lit(sep)
+        heads = peek(spark, path, first + 1).groupBy("file").agg(F.max(F.when(F.col("row") < first, F.col("line"))).alias("__last"), sniffed.alias("__sep"), (at(named) if named is not None else F.lit(None).cast("string")).alias("__names"))
+        heads = settled(heads.withColumn("__names", _fields(F.col("__names"), F.col("__sep"))))
+        lines = lines.join(heads, "file", "left").where("__last is null or line > __last")
     else:
-        head = ""
-    names = [c.strip() for c in re.split(re.escape(sep), head)] if header else []
-    parts = F.split(F.trim("value"), r"\s+" if sep == " " else re.escape(sep))
+        lines = lines.withColumns({"__sep": F.lit(sep), "__names": F.lit(None).cast("array<string>")})
+    lines = lines.withColumn("__parts", _fields(F.col("value"), F.col("__sep")))
 
     def pick(key: str) -> Column:
         at = column_map.get(key)
         if at is None:
-            return F.lit(None).cast("double")
-        at = names.index(at) if isinstance(at, str) else at
-        return number(F.try_element_at(parts, F.lit(at + 1)))
+            return F.lit(None).cast("string")
+        if isinstance(at, int):
+            return F.try_element_at("__parts", F.lit(at + 1))
+        if named is None:
+            raise ValueError(f"column {at!r} needs a row of names: header=True or fields_row")
+        place = F.array_position("__names", at).cast("int")
+        lost = F.raise_error(F.concat(F.lit(f"no column {at!r} in "), F.col("file"))).cast("string")
+        return F.when(place > 0, F.try_element_at("__parts", place)).otherwise(lost)
+
+    def coordinate(key: str) -> Column:
+        text = pick(key)
+        x = number(text)
+        wrong = pick("x").isNull() | pick("y").isNull()
+        if refuse == "all":
+            wrong |= (F.trim(text) != "") & ~F.lower(F.trim(text)).isin("nan", "null", "none", "na", "*") & x.isNull()
+        said = F.raise_error(F.concat(F.lit(f"no {key} in a row of "), F.col("file"), F.lit(": "), F.col("value"))).cast("double")
+        return x if refuse == "none" else F.when(wrong, said).otherwise(x)
 
     sid = F.lit(survey_id) if survey_id else F.regexp_extract("file", r"([^/]+?)(?:\.[^.]*)?$", 1)
-    out = lines.select(sid.alias("survey_id"), F.col("line").alias("pid"), pick("track").cast("int").alias("track"), pick("x").alias("x"), pick("y").alias("y"), pick("value").alias("value"), *[pick(c).alias(c) for c in ("east", "north", "lon", "lat")])
+    out = lines.select(sid.alias("survey_id"), F.col("line").alias("pid"), number(pick("track")).cast("int").alias("track"), coordinate("x").alias("x"), coordinate("y").alias("y"), number(pick("value")).alias("value"), *[number(pick(c)).alias(c) for c in ("east", "north", "lon", "lat")])
     return out.where("x is not null and y is not null")
 
 

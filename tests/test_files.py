@@ -141,3 +141,42 @@ def test_lattice_and_bins(spark):
     info = G.grid_info(p, 1.0, 1.0)
     got = {(r["iy"], r["ix"]): r["z"] for r in G.bin_points(p, info, True).collect()}
     assert got == {(0, 0): 0.25, (0, 1): None, (1, 0): None, (1, 1): 3.0}
+
+
+def test_ascii_files_with_settings_of_their_own(spark, tmp_path):
+    """Delimiter, names and their order per file; quoted fields, comments after values, decimal commas, blanks."""
+    (tmp_path / "a.csv").write_text("# made by hand\nx;y;value\n1,5;2;3,5 # note\n2;3;\n")
+    (tmp_path / "b.csv").write_text("y,value,x\n20,7,10\n21,nan,11\n")
+    (tmp_path / "c.csv").write_text('"x","y","value","remark"\n"5","6","7","a, b"\n8,9,"10","say ""no"" # not"\n')
+    (tmp_path / "d.csv").write_text("x y value\n 1   2  3\n4 5 6\n")
+    df = files.read_ascii(spark, str(tmp_path / "*.csv"), column_map={"x": "x", "y": "y", "value": "value"}, header=True)
+    got = sorted((r["survey_id"], r["x"], r["y"], r["value"]) for r in df.collect())
+    assert [g[:3] for g in got] == [("a", 1.5, 2.0), ("a", 2.0, 3.0), ("b", 10.0, 20.0), ("b", 11.0, 21.0), ("c", 5.0, 6.0), ("c", 8.0, 9.0), ("d", 1.0, 2.0), ("d", 4.0, 5.0)]
+    assert [g[3] for g in got] == [3.5, None, 7.0, None, 7.0, 10.0, 3.0, 6.0]
+    assert {r["survey_id"]: (r["x_min"], r["x_max"], r["y_min"], r["y_max"]) for r in files.limits(df).collect()}["b"] == (10.0, 11.0, 20.0, 21.0)
+    seen = {(r["file"][-5:], r["row"]): r["value"] for r in files.peek(spark, str(tmp_path / "*.csv"), 2).collect()}
+    assert seen["a.csv", 0] == "x;y;value" and len(seen) == 8
+
+
+def test_ascii_is_loud(spark, tmp_path):
+    (tmp_path / "good.dat").write_text("1,2,3\n,5,6\nnan,1,1\n4,5,oops\n")
+    (tmp_path / "bad.dat").write_text("1,2,3\nonly text\n")
+    (tmp_path / "other.dat").write_text("a,b\n1,2\n")
+    assert sorted((r["x"], r["value"] is None) for r in files.read_ascii(spark, str(tmp_path / "good.dat")).collect()) == [(1.0, False), (4.0, True)]
+    with pytest.raises(Exception, match="bad.dat"):
+        files.read_ascii(spark, str(tmp_path / "bad.dat")).collect()
+    assert files.read_ascii(spark, str(tmp_path / "bad.dat"), refuse="none").count() == 1
+    (tmp_path / "text.dat").write_text("1,2,3\nfour,5,6\n")
+    assert files.read_ascii(spark, str(tmp_path / "text.dat")).count() == 1
+    with pytest.raises(Exception, match="text.dat"):
+        files.read_ascii(spark, str(tmp_path / "text.dat"), refuse="all").collect()
+    with pytest.raises(Exception, match="no column 'x' in .*other.dat"):
+        files.read_ascii(spark, str(tmp_path / "other.dat"), header=True, column_map={"x": "x", "y": "b", "value": "a"}).collect()
+    with pytest.raises(ValueError, match="row of names"):
+        files.read_ascii(spark, str(tmp_path / "other.dat"), column_map={"x": "x", "y": "b"})
+
+
+def test_ascii_names_in_a_row_of_their_own(spark, tmp_path):
+    (tmp_path / "f.txt").write_text("Site 7\nX|Y|V\nm|m|nT\n1|2|3\n4|5|6\n")
+    df = files.read_ascii(spark, str(tmp_path / "f.txt"), column_map={"x": "X", "y": "Y", "value": "V"}, fields_row=1, skip_rows=3)
+    assert sorted((r["x"], r["y"], r["value"]) for r in df.collect()) == [(1.0, 2.0, 3.0), (4.0, 5.0, 6.0)]
