@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import lean, materialise, remainder, ship_package
 
-VOCABULARY, SOFT, FREQUENT, CLASSES, LAST = 16_000, 4_000, 200_000, 48, 8
-EMBEDDING, HIDDEN, STEPS, RUN, ROUNDS, BLOCKS = 16, 16, 32, 16, 3, 16
+VOCABULARY, SOFT, FREQUENT, CLASSES, LAST = 16_000, 16_000, 200_000, 64, 12
+EMBEDDING, HIDDEN, STEPS, RUN, ROUNDS, BLOCKS = 16, 24, 32, 16, 3, 16
 #: Runs of windows in an update: so many that a slice gives about UPDATES groups, within bounds.
 BATCH, UPDATES = (32, 256), 12
 OUTPUT_ROWS, SCORE_ROWS, SETTLE, ROW_RATE = 2048, 1024, 1 << 15, 10.0
