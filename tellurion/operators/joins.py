@@ -26,11 +26,10 @@ def overlap(a: DataFrame, b: DataFrame, tolerance: float, keep: list[str] | None
 
 def mismatch(pairs: DataFrame, weighted: bool = True, discard: bool = True) -> DataFrame:
     """One row: mean of value_a - value_b, after dropping what is over 2.5 deviations off, and its weight 1 / variance."""
-    d = F.col("value_a") - F.col("value_b")
-    s = pairs.agg(F.avg(d).alias("m"), F.stddev_pop(d).alias("s"))
-    ok = pairs.crossJoin(s).withColumn("d", d)  # s is one row
+    ok = pairs.withColumn("d", F.col("value_a") - F.col("value_b"))
     if discard:
-        ok = ok.where(F.abs(F.col("d") - F.col("m")) <= 2.5 * F.col("s"))
+        s = ok.agg(F.avg("d").alias("m"), F.stddev_pop("d").alias("s")).first()  # two numbers, known before the pairs are read again
+        ok = ok.where(F.abs(F.col("d") - F.lit(s["m"]).cast("double")) <= F.lit(s["s"]).cast("double") * 2.5)
     got = ok.agg(F.avg("d").alias("mismatch"), F.stddev_pop("d").alias("sd"))
     weight = F.coalesce(F.try_divide(F.lit(1.0), F.col("sd") * F.col("sd")), F.lit(0.0)) if weighted else F.lit(1.0)
     return got.select("mismatch", weight.alias("weight"))

@@ -148,8 +148,7 @@ add("level_percentile_5_95", _ev(lambda p: _values(T.level(p, percentiles=(5, 95
 add("level_grid_profiles", _gr(lambda g: _cells(T.level(g, col="z", by=["ix"]))), f"WITH {_G}, t AS (SELECT ix, avg(z) AS s FROM g GROUP BY ix), a AS (SELECT avg(z) AS s FROM g) SELECT iy, ix, round(z - t.s + a.s, 6) AS z FROM g JOIN t USING (ix), a")
 add("destripe_neighbours_4", _gr(lambda g: _cells(T.destripe_neighbours(g, 4))), f"WITH {_G}, t AS (SELECT ix, avg(z) AS s FROM g GROUP BY ix), r AS (SELECT t.ix, avg(g.z) AS s FROM t JOIN g ON g.ix BETWEEN t.ix - 4 AND t.ix + 3 GROUP BY t.ix) SELECT iy, ix, round(z - t.s + r.s, 6) AS z FROM g JOIN t USING (ix) JOIN r USING (ix)")
 add("destripe_neighbours_median", _gr(lambda g: _cells(T.destripe_neighbours(g, 2, reference="median"))), f"WITH {_G}, t AS (SELECT ix, quantile_cont(z, 0.5) AS s FROM g GROUP BY ix), r AS (SELECT t.ix, quantile_cont(g.z, 0.5) AS s FROM t JOIN g ON g.ix BETWEEN t.ix - 2 AND t.ix + 1 GROUP BY t.ix) SELECT iy, ix, round(z - t.s + r.s, 6) AS z FROM g JOIN t USING (ix) JOIN r USING (ix)")
-add("detrend_linear", _or(lambda p: _values(T.detrend_linear(p))), f"WITH {_O}, c AS (SELECT track, regr_slope(value, x) AS b, regr_intercept(value, x) AS a, avg(value) AS m FROM p GROUP BY track) SELECT pid, round(value - coalesce(CASE WHEN isnan(a + b * x) THEN NULL ELSE a + b * x END, m), 4) AS value FROM p JOIN c USING (track)")
-QUERIES["detrend_linear"] = _shipped(_or(lambda p: _r(T.detrend_linear(p).select("pid", "value"), "value", digits=4)))
+add("detrend_linear", _or(lambda p: _r(T.detrend_linear(p).select("pid", "value"), "value", digits=4)), f"WITH {_O}, c AS (SELECT track, regr_slope(value, x) AS b, regr_intercept(value, x) AS a, avg(value) AS m FROM p GROUP BY track) SELECT pid, round(value - coalesce(CASE WHEN isnan(a + b * x) THEN NULL ELSE a + b * x END, m), 4) AS value FROM p JOIN c USING (track)")
 add("distance_along_track", _ev(lambda p: _r(T.distance_along_track(p).select("pid", "distance"), "distance")), f"WITH {_P}, d AS (SELECT *, coalesce(sqrt((x - lag(x) OVER w) ^ 2 + (y - lag(y) OVER w) ^ 2), 0) AS leg FROM p WINDOW w AS (PARTITION BY track ORDER BY pid)) SELECT pid, round(sum(leg) OVER (PARTITION BY track ORDER BY pid ROWS UNBOUNDED PRECEDING), 6) AS distance FROM d")
 _W5 = "(PARTITION BY track ORDER BY pid ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"
 add("median_decision_rel", _ev(lambda p: _values(T.median_decision(p, 5, 0.8))), f"WITH {_P}, m AS (SELECT *, quantile_cont(value, 0.5) OVER {_W5} AS m FROM p) SELECT pid, round(CASE WHEN abs(value - m) > abs(0.8 * m) THEN m ELSE value END, 6) AS value FROM m")

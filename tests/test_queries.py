@@ -68,7 +68,7 @@ def test_whole_table(spark, sf_dir, con, name, col, top):
     assert survey_queries.QUERIES[name](spark, sf_dir).agg({col: "max"}).first()[0] >= last - top > 63
 
 
-@pytest.mark.parametrize("name", ["level_mono_mean", "level_multi_median", "wallis_3x3", "grid_flip", "bin_grid", "tile_heatmap", "median2d_3x3", "analytic_signal", "set_mean", "threshold_inlier_mean"])
+@pytest.mark.parametrize("name", ["level_mono_mean", "level_multi_median", "wallis_3x3", "grid_flip", "bin_grid", "tile_heatmap", "median2d_3x3", "analytic_signal", "set_mean", "threshold_inlier_mean", "mismatch_weighted", "mismatch_matrix", "match_level_median", "level_multi_median"])
 def test_joins_on_surveys_are_no_products(spark, sf_dir, name):
     plan = survey_queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
