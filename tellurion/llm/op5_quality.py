@@ -7,7 +7,7 @@ features that explain most of what is left get two-dimensional tables the same w
 is a sum of table entries, one vectorised addition per feature or pair.
 
 Texts that are null or empty have features of their own (all zero) and get a score like
-others. Repeated rows are scored one by one; without any usable label all scores are
+others; very long ones are measured whole, in one pass. A score at the threshold counts as label 1. Repeated rows are scored one by one; without any usable label all scores are
 0.5; an empty table gives an empty result. Only the named columns are read, so others
 cannot clash; labels, language, source and id are never features.
 """

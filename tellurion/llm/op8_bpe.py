@@ -6,7 +6,8 @@ since are skipped as stale. Decoding concatenates the vocabulary strings, with t
 that the vocabulary's missing decoder puts between tokens. Normalising and splitting a word into
 pre-tokens follow the vocabulary file; each distinct word is encoded once per worker.
 
-A null text counts as empty: no tokens, hashes of the empty string. Strings of special
+A null text counts as empty: no tokens, hashes of the empty string. Very long texts and words are encoded whole; equal
+ranks merge from the left. Strings of special
 tokens in a text become those tokens, as in the library. Repeated rows stay; an empty
 table gives an empty result. Only the id and text columns are read.
 """

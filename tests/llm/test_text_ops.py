@@ -566,3 +566,24 @@ def test_pii_found_instances_seed_others(spark):
     first = [f"customer account no. {c}" for c in CARDS] + [f"customer account no. K{i}4-{i}" for i in range(5)]
     second = [f"refer to file K{i}4-{i}" for i in range(5)] + ["refer to file W99-1"]
     assert found_ids(spark, first + second) == {*(f"K{i}4-{i}" for i in range(5)), "W99-1"}
+
+
+def test_quality_scores_added_plainly(spark, sf_dir, corpus):
+    """Every document's score, entry by entry from the lookup tables of features and pairs, text by text."""
+    import bisect
+
+    d, texts = corpus
+    model = Q.train(d, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert model.tables and model.pairs
+    some = {**dict(list(texts.items())[:60]), **{10**6 + i: t for i, t in enumerate(ODD)}}
+    rows = spark.createDataFrame(list(some.items()), "doc_id bigint, text string")
+    for r in Q.score_documents(rows, model).collect():
+        x = Q.features(pa.array([some[r["doc_id"]]], pa.string()))[0].tolist()
+        total = model.bias
+        for v, edges, table in zip(x, model.edges, model.tables, strict=True):
+            total += table[bisect.bisect_right(edges.tolist(), v)]
+        for (i, j), table in zip(model.pairs, model.pair_tables, strict=True):
+            total += table[bisect.bisect_right(model.pair_edges[i].tolist(), x[i])][bisect.bisect_right(model.pair_edges[j].tolist(), x[j])]
+        score = 1 / (1 + math.exp(-min(max(total, -30), 30)))
+        assert math.isclose(r["score"], score, rel_tol=1e-9) and r["predicted"] == int(r["score"] >= 0.7)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
