@@ -38,7 +38,9 @@ EMBEDDING, HIDDEN, STEPS, RUN, ROUNDS, BLOCKS = 16, 24, 32, 16, 3, 16
 #: Runs of windows in an update: so many that a slice gives about UPDATES groups, within bounds.
 BATCH, UPDATES = (32, 256), 12
 OUTPUT_ROWS, SCORE_ROWS, SETTLE, ROW_RATE = 2048, 1024, 1 << 15, 10.0
-SLICE_BYTES, CODE_BYTES, FAN = 6 << 20, 4 << 20, 128
+SLICE_BYTES, CODE_BYTES = 6 << 20, 4 << 20
+#: Tokens that a copy of the model is worth: fewer, and partitions go together for training.
+COPY_TOKENS = 1_000_000
 RARE = 2 * LAST
 LOG10 = np.log(10.0)
 
@@ -428,7 +430,7 @@ def _decoded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(off) // 2, np.frombuffer(data, np.uint16)[off[0] // 2 : off[-1] // 2] if data is not None else np.zeros(0, np.uint16)
 
 
-def _trainer(lex: Lexicon, flat: np.ndarray, rate: float):
+def _trainer(lex: Lexicon, flat: np.ndarray, rate: float, fan: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = _unflatten(flat, start_params(lex))
         opt, seen, tables = Adam(p, rate), 0, code_tables(lex)
@@ -437,8 +439,8 @@ def _trainer(lex: Lexicon, flat: np.ndarray, rate: float):
                 per, codes = _decoded(b.column(0))
                 seen += train_texts(p, lex, opt, per, codes, *tables)
         if seen:
-            parts = np.array_split(_flatten(p).astype(np.float64) * seen, BLOCKS)
-            slot = TaskContext.get().partitionId() % FAN
+            parts = np.array_split(_flatten(p).astype(np.float32) * np.float32(seen), BLOCKS)
+            slot = TaskContext.get().partitionId() % fan
             yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([slot] * BLOCKS, pa.int32()), pa.array([seen] * BLOCKS, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["block", "slot", "seen", "blob"])
 
     return work
@@ -451,9 +453,9 @@ def _sum_up(t: pa.Table) -> pa.Table:
     """One row of sums of the group's rows."""
     total = 0
     for x in t.column("blob"):
-        total = total + np.frombuffer(x.as_buffer(), np.float64)
+        total = total + np.frombuffer(x.as_buffer(), np.float32).astype(np.float64)
     first = [t.column(c)[0].as_py() for c in ("block", "slot")]
-    return pa.table([pa.array(first[:1], pa.int32()), pa.array(first[1:], pa.int32()), pa.array([sum(t.column("seen").to_pylist())], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["block", "slot", "seen", "blob"])
+    return pa.table([pa.array(first[:1], pa.int32()), pa.array(first[1:], pa.int32()), pa.array([sum(t.column("seen").to_pylist())], pa.int64()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["block", "slot", "seen", "blob"])
 
 
 def _scorer(lex: Lexicon, flat: np.ndarray):
@@ -488,12 +490,14 @@ def score_documents(docs: DataFrame, modulus: int = 5, held_out: int = 1, rate:
     coded = src.select(F.monotonically_increasing_id().alias("rid"), "id", "held", "text").mapInArrow(lean(_coder(lex)), f"kind int, rid bigint, id {id_type}, held boolean, n bigint, known bigint, base double, score double, h bigint, codes binary")
     coded = materialise(coded)
     rows, flat = coded.where("kind = 0").drop("kind", "h"), _flatten(start_params(lex))
+    copies = min(rows.rdd.getNumPartitions(), max(1, -(-lex.total // COPY_TOKENS)))
+    fan = max(1, int(np.ceil(np.sqrt(copies))))  # both levels of sums have about as many terms
     for r in range(ROUNDS):
-        mine = rows.where(~F.col("held") & (F.pmod(F.xxhash64("id"), F.lit(ROUNDS)) == r)).select("codes")
-        sums = mine.mapInArrow(lean(_trainer(lex, flat, rate / (1 + r))), _SUMS).groupBy("block", "slot").applyInArrow(_sum_up, _SUMS).groupBy("block").applyInArrow(_sum_up, _SUMS)
+        mine = rows.where(~F.col("held") & (F.pmod(F.xxhash64("id"), F.lit(ROUNDS)) == r)).select("codes").coalesce(copies)
+        sums = mine.mapInArrow(lean(_trainer(lex, flat, rate / (1 + r), fan)), _SUMS).groupBy("block", "slot").applyInArrow(_sum_up, _SUMS).groupBy("block").applyInArrow(_sum_up, _SUMS)
         got = sorted((r["block"], r["seen"], r["blob"]) for r in sums.collect())  # BLOCKS rows
         if got:
-            flat = np.concatenate([np.frombuffer(x, np.float64) / n for _, n, x in got]).astype(np.float32)
+            flat = np.concatenate([np.frombuffer(x, np.float32) / n for _, n, x in got]).astype(np.float32)
     scored = rows.select("rid", "id", "held", "n", "known", "base", "score", "codes").mapInArrow(lean(_scorer(lex, flat)), f"rid bigint, id {id_type}, held boolean, n bigint, known bigint, base double, score double")
     rest = counts.where("h is not null").select(F.col("h").alias("w"), "c")
     far = coded.where("kind = 1").select("rid", F.col("n").alias("tf"), F.col("h").alias("w")).join(rest, "w", "left")
