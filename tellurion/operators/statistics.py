@@ -4,7 +4,7 @@ Statistics are one row per group. Up to MANY groups they come to the driver once
 themselves are never shuffled by a survey's key, and a plan that uses statistics of statistics reads its input once. More groups than that
 stay a distributed table, and the join is a plain one.
 
-A quantile of a group of at most LEAST values is taken by an aggregate that holds them. For larger groups it is found by selection: rounds of
+A quantile of a group of at most LEAST values, or of an input of LITTLE bytes, is taken by an aggregate that holds them. For larger groups it is found by selection: rounds of
 a mergeable sketch (bounded, whatever the group's size) that propose a narrower range of values, and of exact counts below and inside it that confirm it,
 until LEAST values or a single one are left. No task ever holds more of a group than that, and the result is exact.
 """
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Groups whose statistics the driver may hold; values that one buffer may hold.
 MANY, LEAST = 20_000, 1 << 16
+#: Input, by the planner's estimate in bytes, that is so little that groups aren't counted first.
+LITTLE = 16 << 20
 #: Sketch: parts that a range is cut into, relative accuracy, ranks that are sought at once, rounds before giving up.
 PARTS, ACCURACY, AT_ONCE, ROUNDS = 500, 10_000, 1_000, 60
 
@@ -68,11 +70,17 @@ def matched(df: DataFrame, side: DataFrame, by: Sequence[str], how: str = "inner
 
 def settled(df: DataFrame) -> DataFrame:
     """df's rows as a local table to broadcast if they are at most MANY, else df itself."""
-    table = df.limit(MANY + 1).toArrow()
-    return F.broadcast(df.sparkSession.createDataFrame(table, df.schema)) if table.num_rows <= MANY else df
+    rows = few(df)
+    return df if rows is None else F.broadcast(local(df, rows))
 
 
-def _rows(like: DataFrame, rows: list[dict[str, Any]]) -> DataFrame:
+def few(df: DataFrame) -> list[dict[str, Any]] | None:
+    """df's rows if they are at most MANY."""
+    rows = df.take(MANY + 1)
+    return [r.asDict() for r in rows] if len(rows) <= MANY else None
+
+
+def local(like: DataFrame, rows: list[dict[str, Any]]) -> DataFrame:
     """Rows from the driver in like's columns and types."""
     return like.sparkSession.createDataFrame(pa.Table.from_pylist(rows, schema=like.limit(0).toArrow().schema), like.schema)
 
@@ -151,6 +159,10 @@ def _selected(df: DataFrame, by: Sequence[str], quantiles: dict[str, Quantile],
     return out
 
 
+def _little(df: DataFrame) -> bool:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= LITTLE
+
+
 def group_stats(df: DataFrame, by: Sequence[str], **aggregates: Column | Quantile) -> DataFrame:
     """(by, aggregates), one row per group; see the module's head for where they are computed. Without by all rows are one group, and no rows none."""
     if not by:
@@ -159,6 +171,8 @@ def group_stats(df: DataFrame, by: Sequence[str], **aggregates: Column | Quantil
     quantiles = {n: q for n, q in aggregates.items() if isinstance(q, Quantile)}
     if not quantiles:
         return settled(df.groupBy(*by).agg(*[c.alias(n) for n, c in plain.items()]))
+    if _little(df):
+        return settled(df.groupBy(*by).agg(*[(F.percentile(c.column, F.lit(float(c.p))) if isinstance(c, Quantile) else c).alias(n) for n, c in aggregates.items()]))
     known = list(dict.fromkeys(q.name for q in quantiles.values()))
     column = {n: f"__n{known.index(q.name)}" for n, q in quantiles.items()}
     counts = {column[n]: F.count(q.column).alias(column[n]) for n, q in quantiles.items()}
@@ -168,11 +182,11 @@ def group_stats(df: DataFrame, by: Sequence[str], **aggregates: Column | Quantil
     large = [r.asDict() for r in first.where(is_large).select(*by, *counts).toLocalIterator()]
     rest = df
     if large:
-        rest = matched(df, settled(_rows(df.select(*by), [{b: g[b] for b in by} for g in large])), by, "left_anti")
+        rest = matched(df, settled(local(df.select(*by), [{b: g[b] for b in by} for g in large])), by, "left_anti")
     held = rest.groupBy(*by).agg(*[F.percentile(q.column, F.lit(float(q.p))).alias(n) for n, q in quantiles.items()])
     if large:
         found = _selected(df, by, quantiles, large, column)
-        held = held.unionByName(_rows(held, found))
+        held = held.unionByName(local(held, found))
     held = settled(held)
     return matched(first, held, by).select(*by, *aggregates) if plain else held.select(*by, *aggregates)
 

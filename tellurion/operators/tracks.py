@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import fsum, sqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from tellurion.model import step
 
 from .points import KEY
-from .statistics import Quantile, group_stats, matched, settled, with_aggregates
+from .statistics import Quantile, few, group_stats, local, matched, settled, with_aggregates
 
 TRACK = ["survey_id", "track"]
 
@@ -102,6 +104,17 @@ def level(df: DataFrame, reference: str = "mean", config: str = "mono", percenti
 
 def _pooled(groups: DataFrame, by: list[str]) -> DataFrame:
     """(by, __as, __ag): mean and population deviation of unions of groups with count __n, mean __ts and deviation __tg."""
+    shape = groups.select(*by, F.col("__ts").alias("__as"), F.col("__tg").alias("__ag"))
+    if (rows := few(groups)) is not None:  # known to the driver already
+        pooled, members = [], {}
+        for r in rows:
+            members.setdefault(tuple(r[b] for b in by), []).extend([r] if r["__n"] else [])
+        for key, mine in members.items():
+            n = sum(r["__n"] for r in mine)
+            mean = fsum(r["__n"] * r["__ts"] for r in mine) / n if n else None
+            off = sqrt(fsum(r["__n"] * (r["__tg"] * r["__tg"] + (r["__ts"] - mean) * (r["__ts"] - mean)) for r in mine) / n) if n else None
+            pooled.append({**dict(zip(by, key, strict=True)), "__as": mean, "__ag": off})
+        return F.broadcast(local(shape, pooled))
     mean = groups.groupBy(*by).agg(F.try_divide(F.sum(F.col("__n") * F.col("__ts")), F.sum("__n")).alias("__as"))
     off = F.col("__n") * (F.pow("__tg", F.lit(2)) + F.pow(F.col("__ts") - F.col("__as"), 2))
     return settled(matched(groups, mean, by).groupBy(*by).agg(F.first("__as").alias("__as"), F.sqrt(F.try_divide(F.sum(off), F.sum("__n"))).alias("__ag")))
