@@ -1,6 +1,6 @@
 """Media columns: local descriptors find cropped or edited copies of images.
 
-An image's pyramid is searched for corners (Harris); the strongest of each cell of pixels, so that their number grows with the area, get an orientation (direction
+An image's pyramid is searched for corners (Harris, each the strongest of its surroundings, all of them kept); they get an orientation (direction
 of the patch's centre of mass) and 128 binary tests of smoothed grey values, turned by it. Descriptors
 are searched in tables keyed by random choices of their bits, so many that pairs up to MAX_DISTANCE bits apart are found
 (see Tables). Geometric consensus decides: each match proposes a turn, scale and shift, and the best proposal must be shared by
@@ -10,7 +10,7 @@ scan. More than BLOCK query corners take one more pass over the images' corners
 
 Reads binary PGM (P5), PPM (P6) and PNG (8 bits, grey, RGB or RGBA, not interlaced). Null, empty or
 unreadable images have no descriptors and match nothing, nor do rows without an id. Very large images are described whole. Repeated rows are
-all reported; corners of equal strength go by their place. Empty tables give empty results. Only the id and media columns are read, so others
+all reported; neighbouring corners of equal strength are both kept. Empty tables give empty results. Only the id and media columns are read, so others
 cannot clash.
 """
 
@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 
 from .common import materialise, ship_package
 
-#: Each cell of CELL x CELL pixels keeps its CORNERS strongest corners over all scales.
-CORNERS, CELL, SCALES = 28, 72, (1.0, 0.8, 0.64, 0.5)
-#: Of random pairs of corners about 1 in 800 are within 22 bits (1 in 200 within 26), of a turned or rescaled picture's own corners about half.
-MAX_DISTANCE, LEAST, SLACK, RADIUS, TURNS = 22, 7, 3.0, 7, 128
+#: A corner is the strongest of all pixels within SPREAD of it each way, at its own scale: so a crop has the corners of the whole, wherever it is cut.
+SPREAD, SCALES = 5, (1.0, 0.8, 0.64, 0.5)
+#: Of random pairs of corners about 1 in 200 are within 26 bits, of a turned or rescaled picture's own corners about half.
+MAX_DISTANCE, LEAST, SLACK, RADIUS, TURNS = 26, 7, 3.0, 7, 128
 #: Images described at a time: few, to stay in the processor's cache.
 IMAGES = 48
 #: Query corners searched for at a time, bits of a table's key, and the share of pairs at MAX_DISTANCE bits that all tables may miss.
-BLOCK, WIDTHS, MISSED, DRAWS = 1 << 18, (8, 16), 0.06, 12
+BLOCK, WIDTHS, MISSED, DRAWS = 1 << 18, (8, 16), 0.04, 12
 
 
 #: Offsets (plus RADIUS) y0 x0 y1 x1 of the binary tests, one hexadecimal digit each: picked greedily from 4000 random pairs so that
@@ -158,17 +158,17 @@ def _resize(x: np.ndarray, scale: float) -> np.ndarray:
     return top * (1 - fy) + low * fy
 
 
-def _cells(y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return (y // CELL).astype(np.int64) * (1 << 32) + (x // CELL).astype(np.int64)
-
-
-def _strongest(img: np.ndarray, cell: np.ndarray, height: np.ndarray) -> np.ndarray:
-    """Rows of the CORNERS strongest of each cell of each image."""
-    order = np.lexsort((-height, cell, img))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (np.diff(img[order]) != 0) | (np.diff(cell[order]) != 0)
-    first = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
-    return order[np.arange(len(order)) - first < CORNERS]
+def _highest(r: np.ndarray) -> np.ndarray:
+    """Whether a value is the highest of the square that reaches SPREAD pixels each way."""
+    top = r
+    for axis in (1, 2):
+        wide = [(0, 0)] * 3
+        wide[axis] = (SPREAD, SPREAD)
+        p, n = np.pad(top, wide, constant_values=-np.inf), top.shape[axis]
+        top = np.take(p, range(n), axis)
+        for i in range(1, 2 * SPREAD + 1):
+            np.maximum(top, p[:, i : i + n] if axis == 1 else p[:, :, i : i + n], out=top)
+    return r >= top
 
 
 def describe(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -189,26 +189,14 @@ def describe(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         r -= c * c
         a += b
         r -= np.float32(0.05) * a * a
-        inner = r[:, rim:-rim, rim:-rim]
-        peak = np.ones(inner.shape, bool)
-        for i in (-1, 0, 1):
-            for j in (-1, 0, 1):
-                if i or j:
-                    peak &= inner >= r[:, rim + i : r.shape[1] - rim + i, rim + j : r.shape[2] - rim + j]
-        peak &= inner > 1.0
-        # the strongest of each cell of CELL pixels of the whole image; a cell keeps CORNERS of all scales below
+        peak = (_highest(r) & (r > 1.0))[:, rim:-rim, rim:-rim]
         img, y, z = np.nonzero(peak)
-        strong = inner[img, y, z]
-        y, z = y + rim, z + rim
-        keep = _strongest(img, _cells(y / scale, z / scale), strong)
-        found.append([v[keep] for v in (img, y, z, strong)] + [np.full(len(keep), len(levels))])
+        found.append([img, y + rim, z + rim, np.full(len(img), len(levels))])
         levels.append((scale, x))
     if not found:
         return np.zeros(0, int), np.zeros(0), np.zeros(0), np.zeros((0, 2)), np.zeros((0, 16), np.uint8)
-    img, y, z, strong, level = (np.concatenate([f[i] for f in found]) for i in range(5))
+    img, y, z, level = (np.concatenate([f[i] for f in found]) for i in range(4))
     scale = np.array([v[0] for v in levels])[level]
-    order = _strongest(img, _cells(y / scale, z / scale), strong)
-    img, y, z, level, scale = (v[order] for v in (img, y, z, level, scale))
     angle, code = np.zeros(len(img)), np.zeros((len(img), 16), np.uint8)
     for k, (_, x) in enumerate(levels):
         on = np.flatnonzero(level == k)

@@ -195,6 +195,22 @@ def test_media_small_crops_of_large_images(spark):
     assert got == {(i, i) for i in range(n)}
 
 
+def test_media_crops_cut_anywhere():
+    """Crops of a twenty-fifth of the picture at random places: at least nine in ten found, whatever cells or corners lie around them."""
+    rng, n = np.random.default_rng(5), 36
+    whole = [np.clip(np.rint(M.render(i, 360)), 0, 255) for i in range(n)]
+    crops = []
+    for x in whole:
+        y, z = rng.integers(0, 288, 2)
+        crops.append(np.clip(np.rint(x[y : y + 72, z : z + 72] * 0.9 + 10), 0, 255))
+    q, c = M.describe(np.stack(crops)), M.describe(np.stack(whole))
+    a, b = M.Tables(q[4]).matches(c[4])
+    at = [np.column_stack((v[1], v[2], v[3])) for v in (q, c)]
+    found = M.decide(q[0][a], c[0][b], at[0][a], at[1][b])
+    pairs = set(zip(found[0].tolist(), found[1].tolist(), strict=True))
+    assert len(pairs & {(i, i) for i in range(n)}) >= 0.9 * n and all(i == j for i, j in pairs)
+
+
 def test_media_blocks_of_queries(spark, monkeypatch):
     images = spark.createDataFrame([(i, pgm(M.render(i))) for i in range(12)], "id bigint, media binary")
     whole = sorted(map(tuple, M.find_copies(images, images, "id", "media").collect()))
