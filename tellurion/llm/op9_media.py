@@ -38,6 +38,8 @@ MAX_DISTANCE, LEAST, SLACK, RADIUS, TURNS = 26, 7, 3.0, 7, 128
 IMAGES = 48
 #: Query corners searched for at a time, bits of a table's key, and the share of pairs at MAX_DISTANCE bits that all tables may miss.
 BLOCK, WIDTHS, MISSED, DRAWS = 1 << 18, (8, 16), 0.04, 12
+#: Corners whose candidates are listed at a time.
+STEP = 4096
 
 
 #: Offsets (plus RADIUS) y0 x0 y1 x1 of the binary tests, one hexadecimal digit each: picked greedily from 4000 random pairs so that
@@ -216,6 +218,12 @@ def _words(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted numbers, each once."""
+    x = np.sort(x)
+    return x[np.flatnonzero(np.concatenate((np.ones(min(len(x), 1), bool), x[1:] != x[:-1])))]
+
+
 class Tables:
     """Hamming tables over query corners: each keys them by some of their bits, drawn from a fixed seed; of DRAWS draws the one with the evenest buckets.
 
@@ -250,23 +258,24 @@ class Tables:
         """(query row, row of code) of pairs of MAX_DISTANCE bits at most."""
         (left, right), (mine, yours) = self.words, _words(code)
         found, m = [np.zeros(0, np.int64)], max(len(code), 1)
-        for a in range(0, len(code), 4096):
-            keys = self.keys(code[a : a + 4096])
+        for a in range(0, len(code), STEP):
+            keys, here, there = self.keys(code[a : a + STEP]), mine[a : a + STEP], yours[a : a + STEP]
             for t in range(keys.shape[1]):
-                first, last = self.start[t, keys[:, t]], self.start[t, keys[:, t] + 1]
-                some = np.flatnonzero(last > first)
+                first, last = self.start[t].take(keys[:, t]), self.start[t].take(keys[:, t] + 1)
+                some = np.flatnonzero(last > first).astype(np.int32)
                 first, size = first[some], (last - first)[some]
-                ends = np.cumsum(size)
+                ends = np.cumsum(size, dtype=np.int32)
                 if not len(ends):
                     continue
-                c = np.repeat(some + a, size)
-                q = self.order[:, t][np.arange(ends[-1], dtype=np.int32) + np.repeat((first - (ends - size)).astype(np.int32), size)]
-                far = np.bitwise_count(left[q] ^ mine[c])
+                place = np.repeat(first - (ends - size), size)
+                place += np.arange(len(place), dtype=np.int32)
+                q, c = self.order[:, t].take(place), np.repeat(some, size)
+                far = np.bitwise_count(left.take(q) ^ np.repeat(here[some], size))
                 near = np.flatnonzero(far <= MAX_DISTANCE)
-                q, c = q[near], c[near]
-                near = far[near] + np.bitwise_count(right[q] ^ yours[c]) <= MAX_DISTANCE
-                found.append(q[near].astype(np.int64) * m + c[near])
-        pair = np.unique(np.concatenate(found))
+                q, c = q.take(near), c.take(near)
+                near = np.flatnonzero(far.take(near) + np.bitwise_count(right.take(q) ^ there.take(c)) <= MAX_DISTANCE)
+                found.append(q.take(near).astype(np.int64) * m + (c.take(near) + a))
+        pair = _distinct(np.concatenate(found))
         return pair // m, pair % m
 
 
@@ -341,13 +350,17 @@ def _search(shared, name: str, described: bool):
 
 def decide(query: np.ndarray, image: np.ndarray, q: np.ndarray, c: np.ndarray, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, image, inliers) of the pairs of images of whose matches LEAST share one proposal of turn, scale and shift; rows of q and c are y, x, angle, scale."""
-    if len(query):  # most pairs of images share a chance match or two: those go before anything is sorted
+    spot = np.rint(q[:, :2] / 2).astype(np.int64)  # one corner at two scales counts once
+    spot = np.unique(spot[:, 0] * (1 << 32) + spot[:, 1], return_inverse=True)[1]
+    spots = int(spot.max(initial=0)) + 1
+    if len(query):  # most pairs of images share too few corners by chance: those go before any proposal is tried
         (names_q, at_q), (names_c, at_c) = np.unique(query, return_inverse=True), np.unique(image, return_inverse=True)
         pair = at_q * len(names_c) + at_c
-        many = np.flatnonzero((np.bincount(pair) >= LEAST)[pair])
-        query, image, q, c = query[many], image[many], q[many], c[many]
+        corners = np.bincount(_distinct(pair * spots + spot) // spots, minlength=int(pair.max()) + 1)
+        many = np.flatnonzero((corners >= LEAST)[pair])
+        query, image, q, c, spot = query[many], image[many], q[many], c[many], spot[many]
     order = np.lexsort((image, query))
-    query, image, q, c = query[order], image[order], q[order], c[order]
+    query, image, q, c, spot = query[order], image[order], q[order], c[order], spot[order]
     cut = np.flatnonzero(np.concatenate(([True], (query[1:] != query[:-1]) | (image[1:] != image[:-1]), [True]))) if len(query) else np.zeros(1, np.int64)
     first, size = cut[:-1][np.diff(cut) >= LEAST], np.diff(cut)[np.diff(cut) >= LEAST]
     group = np.repeat(np.arange(len(first)), size)
@@ -356,24 +369,24 @@ def decide(query: np.ndarray, image: np.ndarray, q: np.ndarray, c: np.ndarray, m
     best = np.zeros(len(first), np.int64)
     turn, zoom = c[:, 2] - q[:, 2], q[:, 3] / c[:, 3]
     co, si = np.cos(turn) * zoom, np.sin(turn) * zoom
+    (qy, qx), (cy, cx) = (np.ascontiguousarray(v[:, :2].T) for v in (q, c))
+    to_y, to_x = cy - si * qx - co * qy, cx - co * qx + si * qy  # a proposal's shift
     width = size[group] if len(group) else np.zeros(0, np.int64)
     ends = np.cumsum(width)
     a = 0
     while a < len(prop):
         z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
-        w = width[a:z]
-        k = np.repeat(prop[a:z], w)
-        m = np.arange(len(k)) - np.repeat(np.cumsum(w) - w - head[a:z], w)
-        dy, dx = q[m, 0] - q[k, 0], q[m, 1] - q[k, 1]
-        ey, ex = c[k, 0] + si[k] * dx + co[k] * dy - c[m, 0], c[k, 1] + co[k] * dx - si[k] * dy - c[m, 1]
-        near = ey * ey + ex * ex <= SLACK**2
+        w, k = width[a:z], prop[a:z]
         begin = np.cumsum(w) - w
-        count = np.add.reduceat(near.astype(np.int64), begin)
-        for p in np.flatnonzero(count >= LEAST):
-            if count[p] > best[group[a + p]]:
-                on = m[begin[p] : begin[p] + w[p]][near[begin[p] : begin[p] + w[p]]]
-                spots = np.rint(q[on, :2] / 2).astype(np.int64)  # one corner at two scales counts once
-                best[group[a + p]] = max(best[group[a + p]], len(np.unique(spots[:, 0] * (1 << 32) + spots[:, 1])))
+        m = np.arange(w.sum()) - np.repeat(begin - head[a:z], w)
+        s, t, y, x = np.repeat(si[k], w), np.repeat(co[k], w), qy[m], qx[m]
+        ey, ex = np.repeat(to_y[k], w) + s * x + t * y - cy[m], np.repeat(to_x[k], w) + t * x - s * y - cx[m]
+        near = ey * ey + ex * ex <= SLACK**2
+        shared = np.repeat(np.add.reduceat(near.astype(np.int64), begin) >= LEAST, w)
+        on = np.flatnonzero(near & shared)
+        owner = np.repeat(np.arange(len(w)), w)[on]
+        count = np.bincount(_distinct(owner * spots + spot[m[on]]) // spots, minlength=len(w))
+        np.maximum.at(best, group[a:z], count)
         a = z
     hit = best >= LEAST
     return query[first[hit]], image[first[hit]], best[hit]
