@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tellurion.functions import geodesy
 from tellurion.operators import correlation as C
 from tellurion.operators import emi as M
+from tellurion.operators import fits as L
 from tellurion.operators import grids as G
 from tellurion.operators import interpolation as I
 from tellurion.operators import joins as J
@@ -410,6 +411,27 @@ add(
     f"WITH {_E}, r AS (SELECT base, channel, round(cond, 0) AS cond FROM e WHERE base <> 0), t AS (SELECT base, channel, (quantile_cont(cond, 0.05) + quantile_cont(cond, 0.95)) / 2 AS t FROM r GROUP BY ALL) SELECT base, channel, round((quantile_cont(cond, 0.5) FILTER (cond > t) + quantile_cont(cond, 0.5) FILTER (cond <= t)) / 2, 1) AS cond FROM r JOIN t USING (base, channel) GROUP BY base, channel",
 )
 add("channel_relation", lambda spark, d: _r(M.relation(_emi(spark, d)), "slope", "intercept"), f"WITH {_E} SELECT channel, round(regr_slope(inph, cond), 6) AS slope, round(regr_intercept(inph, cond), 6) AS intercept FROM e GROUP BY channel")
+
+
+def _named(fitted: DataFrame, *names: str, digits: int = 3) -> DataFrame:
+    """Coefficients as columns."""
+    return fitted.select(*[c for c in fitted.columns if c != "coefficients"], *[(F.round(F.col("coefficients")[i], digits) + F.lit(0.0)).alias(c) for i, c in enumerate(names)])
+
+
+add(
+    "relation_inverse_cubic", lambda spark, d: _named(L.relation_fit(_emi(spark, d), "cond", "inph", ["channel"], "inverse_3"), "a", "b", "c", "d"),
+    f"""WITH {_E}, k AS (SELECT channel, cond AS x, sqrt(cond) AS s, cbrt(cond) AS t, inph AS y FROM e WHERE cond >= 0 AND inph IS NOT NULL),
+m AS (SELECT channel, count(*) AS n, avg(x) AS mx, avg(s) AS ms, avg(t) AS mt, avg(y) AS my FROM k GROUP BY channel),
+k0 AS (SELECT channel, x - mx AS x, s - ms AS s, t - mt AS t, y - my AS y FROM k JOIN m USING (channel)),
+f1 AS (SELECT channel, sum(x * s) / sum(x * x) AS xs, sum(x * t) / sum(x * x) AS xt, sum(x * y) / sum(x * x) AS xy FROM k0 GROUP BY channel),
+k1 AS (SELECT channel, s - xs * x AS s, t - xt * x AS t, y - xy * x AS y FROM k0 JOIN f1 USING (channel)),
+f2 AS (SELECT channel, sum(s * t) / sum(s * s) AS st, sum(s * y) / sum(s * s) AS sy FROM k1 GROUP BY channel),
+f3 AS (SELECT channel, sum((t - st * s) * (y - sy * s)) / sum((t - st * s) * (t - st * s)) AS d FROM k1 JOIN f2 USING (channel) GROUP BY channel),
+r AS (SELECT channel, n, mx, ms, mt, my, xs, xt, xy, sy - st * d AS c, d FROM m JOIN f1 USING (channel) JOIN f2 USING (channel) JOIN f3 USING (channel))
+SELECT channel, n, round(my - (xy - xs * c - xt * d) * mx - c * ms - d * mt, 3) + 0.0 AS a, round(xy - xs * c - xt * d, 3) + 0.0 AS b, round(c, 3) + 0.0 AS c, round(d, 3) + 0.0 AS d FROM r""",
+)
+add("relation_robust_cubic", lambda spark, d: _named(L.relation_fit(_emi(spark, d), "cond", "inph", ["channel"], "poly_3"), "a", "b", "c", "d", digits=9))
+add("gaussian_least_squares", _ev(lambda p: _r(L.gaussian_curve(p).drop("survey_id"), "a", "x0", "sigma", "squares", digits=4)))
 add("calibration_cubic", lambda spark, d: M.calibrate(_emi(spark, d), [1.5, -0.2, 0.01]).select("pid", F.round("sigma", 9).alias("sigma")), f"WITH {_E}, q AS (SELECT pid, inph / 1000 AS q FROM e), s AS (SELECT pid, 1.5 * q - 0.2 * q ^ 2 + 0.01 * q ^ 3 AS s FROM q) SELECT pid, round(CASE WHEN s > 0 THEN s END, 9) AS sigma FROM s")
 add("channels_wide", lambda spark, d: M.to_wide(_emi(spark, d), ["base"], [1, 2]).select("base", F.col("1_cond").isNotNull().alias("one"), F.col("2_cond").isNotNull().alias("two")), f"WITH {_E} SELECT base, count(*) FILTER (channel = 1) > 0 AS one, count(*) FILTER (channel = 2) > 0 AS two FROM e GROUP BY base")
 add("emi_process", lambda spark, d: M.process(_emi(spark, d).drop("base").withColumns({"x": F.col("seconds") / 1000, "y": F.lit(0.0)}), 3.0, 50.0).select("file_id", "pid", "segment", F.round("cond", 4).alias("cond")))
