@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .grids import CELL, lattice, tile_index, tile_mask, tile_mask_round
 from .kriging import krige_near
-from .statistics import group_stats, matched
+from .statistics import group_stats, matched, settled
 from .triangulation import cubic, linear
 
 _NODES = "survey_id string, iy int, ix int, z double"
@@ -101,6 +101,61 @@ def sample(points: DataFrame, grid: DataFrame, info: DataFrame) -> DataFrame:
     return points.join(got, ["survey_id", "pid"], "left")
 
 
+def _cubic_nodes(base: Column, f: Column, n: Column) -> Column:
+    """(at, w) of the nodes of a line that a place f beyond node ``base`` is made of: cubic convolution, third order up to the rims.
+
+    Beyond a rim, nodes follow the parabola through the last three; lines of two nodes are straight, of one constant. Nodes of no weight are left out.
+    """
+    g = 1 - f
+    w = [-0.5 * f * g * g, 1 - 2.5 * f * f + 1.5 * f * f * f, 1 - 2.5 * g * g + 1.5 * g * g * g, -0.5 * g * f * f]
+    node = lambda k, weight: F.struct((base + F.lit(k)).cast("int").alias("at"), weight.alias("w"))
+    inner = F.array(*[node(k - 1, w[k]) for k in range(4)])
+    low = F.array(node(0, w[1] + 3 * w[0]), node(1, w[2] - 3 * w[0]), node(2, w[3] + w[0]))
+    high = F.array(node(-1, w[0] + w[3]), node(0, w[1] - 3 * w[3]), node(1, w[2] + 3 * w[3]))
+    nodes = F.when(n < 2, F.array(node(0, F.lit(1.0)))).when(n == 2, F.array(node(0, g), node(1, f))).when(base == 0, low).when(base == n - 2, high).otherwise(inner)
+    return F.filter(nodes, lambda v: v["w"] != 0)
+
+
+def _placed(value: Column, low: str, high: str, n: str) -> tuple[Column, Column]:
+    """Node below a place on a line of n nodes, and how far beyond it (0 to 1)."""
+    at = F.when((F.col(n) > 1) & (F.col(high) > F.col(low)), (value - F.col(low)) * (F.col(n) - 1) / (F.col(high) - F.col(low))).otherwise(0.0)
+    base = F.greatest(F.least(F.floor(at), F.col(n) - 2), F.lit(0)).cast("int")
+    return base, at - base
+
+
+def sample_cubic(points: DataFrame, grid: DataFrame, info: DataFrame) -> DataFrame:
+    """points (pid unique in a survey) with ``sampled``: values of a smooth surface (C1) through the grid's nodes; NULL outside and where a node it is made of has no value.
+
+    Parabolas are met exactly, up to the rims.
+    """
+    p = points.select("survey_id", "pid", "x", "y").join(info, "survey_id").where("x between x_min and x_max and y between y_min and y_max")
+    for a in ("x", "y"):
+        p = p.withColumn(f"w{a}", _cubic_nodes(*_placed(F.col(a), f"{a}_min", f"{a}_max", f"n{a}"), F.col(f"n{a}")))
+    p = p.select("survey_id", "pid", (F.size("wx") * F.size("wy")).alias("__n"), "wx", F.explode("wy").alias("u")).withColumn("v", F.explode("wx"))
+    p = p.select("survey_id", "pid", "__n", F.col("u.at").alias("iy"), F.col("v.at").alias("ix"), (F.col("u.w") * F.col("v.w")).alias("w"))
+    got = p.join(grid.where("z IS NOT NULL"), CELL).groupBy("survey_id", "pid").agg(F.when(F.count("*") == F.first("__n"), F.sum(F.col("w") * F.col("z"))).alias("sampled"))
+    return points.join(got, ["survey_id", "pid"], "left")
+
+
+def regrid(grid: DataFrame, info: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(survey_id, iy, ix, z): the same surface on the lattice of ``fresh`` (an info with other node counts or extents), one axis after the other.
+
+    Nodes outside the old extents, or made of a node without a value, are left out.
+    """
+    new = fresh.select("survey_id", *[F.col(c).alias(f"new_{c}") for c in ("nx", "ny", "x_min", "x_max", "y_min", "y_max")])
+    both = info.join(new, "survey_id")
+    for a in ("x", "y"):
+        other = "iy" if a == "x" else "ix"
+        line = both.withColumn("to", F.explode(F.sequence(F.lit(0), F.col(f"new_n{a}") - 1)))
+        place = F.col(f"new_{a}_min") + F.when(F.col(f"new_n{a}") > 1, F.col("to") * (F.col(f"new_{a}_max") - F.col(f"new_{a}_min")) / (F.col(f"new_n{a}") - 1)).otherwise(0.0)
+        line = line.withColumn("place", place).where(F.col("place").between(F.col(f"{a}_min"), F.col(f"{a}_max")))
+        nodes = _cubic_nodes(*_placed(F.col("place"), f"{a}_min", f"{a}_max", f"n{a}"), F.col(f"n{a}"))
+        line = settled(line.select("survey_id", "to", nodes.alias("nodes")).select("survey_id", "to", F.size("nodes").alias("n"), F.inline("nodes")).withColumnRenamed("at", f"i{a}"))
+        sums = grid.where("z IS NOT NULL").join(line, ["survey_id", f"i{a}"]).groupBy("survey_id", other, "to").agg(F.sum(F.col("w") * F.col("z")).alias("z"), (F.count("*") == F.first("n")).alias("whole"))
+        grid = sums.where("whole").select("survey_id", other, F.col("to").alias(f"i{a}"), "z")
+    return grid.select(*CELL, "z")
+
+
 def variogram(points: DataFrame, lag: float, lags: int, direction: float | None = None, tolerance: float = 22.5) -> DataFrame:
     """(survey_id, lag, n, distance, gamma): half mean squared differences of pairs by distance, optionally in one direction.
 
@@ -176,4 +231,4 @@ def krige(points: DataFrame, info: DataFrame, model: dict, limit: int = 2000, ne
     return whole.unionByName(krige_near(many(points), many(info), gamma, near).select("survey_id", "iy", "ix", "z", "stdev"))
 
 
-__all__ = ["MODELS", "RBF", "cubic", "fit_variogram", "krige", "krige_near", "linear", "masked", "nearest", "radial", "sample", "variogram"]
+__all__ = ["MODELS", "RBF", "cubic", "fit_variogram", "krige", "krige_near", "linear", "masked", "nearest", "radial", "regrid", "sample", "sample_cubic", "variogram"]

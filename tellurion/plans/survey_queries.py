@@ -439,6 +439,24 @@ add("tracks_wiped_gaps", _ev(lambda p: T.mark_gaps(p.select("survey_id", "pid",
 add("spread_repeats", _ev(lambda p: _r(T.spread_repeats(p.withColumn("x", F.floor(F.col("x") / 60000) * 60000.0), ["x"], ["track"]).select("pid", "x"), "x")), f"WITH {_P}, q AS (SELECT pid, track, floor(x / 60000) * 60000.0 AS x FROM p), c AS (SELECT *, sum(CASE WHEN l IS NULL OR l = x THEN 0 ELSE 1 END) OVER (PARTITION BY track ORDER BY pid ROWS UNBOUNDED PRECEDING) AS r FROM (SELECT *, lag(x) OVER (PARTITION BY track ORDER BY pid) AS l FROM q)), u AS (SELECT track, r, any_value(x) AS v, count(*) AS n FROM c GROUP BY track, r), w AS (SELECT *, lead(v) OVER (PARTITION BY track ORDER BY r) AS nx FROM u) SELECT pid, round(v + coalesce((nx - v) * (row_number() OVER (PARTITION BY c.track, c.r ORDER BY pid) - 1) / n, 0), 6) AS x FROM c JOIN w ON c.track = w.track AND c.r = w.r")
 add("bilinear_sample", _li(lambda p: _r(I.sample(p.select("survey_id", F.xxhash64("pid", "track", "value").alias("pid"), "x", "y", "value"), G.lattice(G.grid_info(p, 7.0, 5.0)).select("survey_id", "iy", "ix", (2 * F.col("x") - F.col("y")).alias("z")), G.grid_info(p, 7.0, 5.0)).groupBy("x", "y").agg(F.first("sampled").alias("sampled")), "sampled")), f"WITH {_L} SELECT x, y, round(2 * x - y, 6) AS sampled FROM p GROUP BY x, y")
 
+
+
+def _halved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid on a lattice of half its steps."""
+    g = embeddings_grid(spark, sf_dir)
+    info = g.groupBy("survey_id").agg((F.max("ix") + 1).cast("int").alias("nx"), (F.max("iy") + 1).cast("int").alias("ny"))
+    info = info.withColumns({"x_min": F.lit(0.0), "x_max": F.col("nx") - 1.0, "y_min": F.lit(0.0), "y_max": F.col("ny") - 1.0})
+    return I.regrid(g, info, info.withColumns({"nx": 2 * F.col("nx") - 1, "ny": 2 * F.col("ny") - 1})).select("iy", "ix", (F.round("z", 5) + F.lit(0.0)).alias("z"))
+
+
+# one more node beyond each rim, then odd nodes are (-1, 9, 9, -1) / 16 of their neighbours
+_HALVED = f"""WITH {_G}, {_N}, gx AS (SELECT * FROM g UNION ALL SELECT iy, CASE WHEN r = 0 THEN -1 ELSE nx END, sum(z * CASE abs(ix - CASE WHEN r = 0 THEN -1 ELSE nx END) WHEN 1 THEN 3 WHEN 2 THEN -3 ELSE 1 END) FROM g, n, range(2) e(r) WHERE abs(ix - CASE WHEN r = 0 THEN -1 ELSE nx END) <= 3 GROUP BY iy, r, nx),
+hx AS (SELECT iy, 2 * ix AS ix, z FROM g UNION ALL SELECT iy, 2 * k + 1, sum(z * CASE WHEN ix IN (k, k + 1) THEN 0.5625 ELSE -0.0625 END) FROM (SELECT iy, ix, z, unnest(range(ix - 2, ix + 2)) AS k FROM gx), n WHERE k BETWEEN 0 AND nx - 2 GROUP BY iy, k),
+gy AS (SELECT * FROM hx UNION ALL SELECT CASE WHEN r = 0 THEN -1 ELSE ny END, ix, sum(z * CASE abs(iy - CASE WHEN r = 0 THEN -1 ELSE ny END) WHEN 1 THEN 3 WHEN 2 THEN -3 ELSE 1 END) FROM hx, n, range(2) e(r) WHERE abs(iy - CASE WHEN r = 0 THEN -1 ELSE ny END) <= 3 GROUP BY ix, r, ny),
+hy AS (SELECT 2 * iy AS iy, ix, z FROM hx UNION ALL SELECT 2 * k + 1, ix, sum(z * CASE WHEN iy IN (k, k + 1) THEN 0.5625 ELSE -0.0625 END) FROM (SELECT iy, ix, z, unnest(range(iy - 2, iy + 2)) AS k FROM gy), n WHERE k BETWEEN 0 AND ny - 2 GROUP BY ix, k)
+SELECT CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix, round(z, 5) + 0.0 AS z FROM hy"""
+add("regrid_cubic", _halved, _HALVED)
+
 # quantiles, rough surfaces, neighbourhoods ----------------------------------------------------------
 
 add(
