@@ -194,3 +194,23 @@ def test_kriging_of_small_and_large_surveys_together(spark):
     got = I.krige(survey(spark, of), info, MODEL, limit=100, near=16).collect()
     assert {n: sum(r["survey_id"] == n for r in got) for n in ("three", "uniform", "none")} == {"three": 9, "uniform": 30, "none": 2}
     assert all(np.isfinite(r["z"]) for r in got if r["survey_id"] != "none")
+
+
+def test_bilinear_takes_points_as_they_are(spark):
+    """Equal pids, places outside and meshes without a corner; points are neither sorted by survey nor joined with themselves."""
+    info = spark.createDataFrame([("s", 4, 3, 0.0, 6.0, 0.0, 2.0)], INFO)
+    grid = spark.createDataFrame([("s", y, x, None if (y, x) == (2, 3) else 2.0 * x * 2 - y + x * y) for y in range(3) for x in range(4)], "survey_id string, iy int, ix int, z double")
+    places = [(7, 1.0, 0.5), (7, 3.0, 1.25), (7, 0.0, 2.0), (8, 5.0, 1.5), (9, 6.5, 1.0), (9, None, 1.0), (None, 6.0, 0.0)]
+    pts = spark.createDataFrame([("s", i, 0, x, y, 0.0) for i, x, y in places] + [("t", 1, 0, 1.0, 1.0, 0.0)], POINTS)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = I.sample(pts, grid, info)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {(r["survey_id"], r["x"], r["y"]): r["sampled"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    surface = lambda x, y: 2.0 * x - y + x / 2 * y
+    for _, x, y in places[:3] + places[6:]:
+        assert got["s", x, y] == pytest.approx(surface(x, y))
+    assert len(got) == 8 and all(got[k] is None for k in (("s", 5.0, 1.5), ("s", 6.5, 1.0), ("s", None, 1.0), ("t", 1.0, 1.0)))
+    assert "SortMergeJoin" not in plan and out.columns == [*pts.columns, "sampled"]
