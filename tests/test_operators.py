@@ -128,6 +128,20 @@ def test_clahe_keeps_range(spark):
     assert np.isnan(array(G.clahe(grid(spark, [[1.0, np.nan], [2.0, 3.0]]), (2, 2)))[0, 1])
 
 
+def test_points_are_not_sent_by_survey(spark):
+    """Cell means bring the extents to the points."""
+    p = points(spark, [(0, x, y, x * y) for x in range(6) for y in range(4)])
+    info = G.grid_info(p, 1.0, 1.0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        binned = G.bin_points(p, info)
+        plan = binned._jdf.queryExecution().executedPlan().toString()
+        assert binned.count() == 15 and array(binned)[0, 0] == 0 and array(binned)[2, 4] == np.mean([8, 12, 10, 15])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan
+
+
 def test_polynomial_of_a_cubic_is_zero(spark):
     d = np.arange(12) * 0.5
     p = points(spark, [(t, x, 0, 1 + x - 2 * x**2 + x**3 + t) for t in (1, 2) for x in d])
