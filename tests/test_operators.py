@@ -129,7 +129,7 @@ def test_clahe_keeps_range(spark):
 
 
 def test_points_are_not_sent_by_survey(spark):
-    """Cell means bring the extents to the points."""
+    """Cell means and descriptions of them bring the extents to the points."""
     p = points(spark, [(0, x, y, x * y) for x in range(6) for y in range(4)])
     info = G.grid_info(p, 1.0, 1.0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -137,9 +137,12 @@ def test_points_are_not_sent_by_survey(spark):
         binned = G.bin_points(p, info)
         plan = binned._jdf.queryExecution().executedPlan().toString()
         assert binned.count() == 15 and array(binned)[0, 0] == 0 and array(binned)[2, 4] == np.mean([8, 12, 10, 15])
+        cut, ends = G.crop_extent(binned, info, xmin=1.0)
+        sent = ends._jdf.queryExecution().executedPlan().toString()
+        assert G.describe(cut, ends).first()["nrow"] == 3
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "SortMergeJoin" not in plan
+    assert "SortMergeJoin" not in plan and "SortMergeJoin" not in sent
 
 
 def test_polynomial_of_a_cubic_is_zero(spark):
