@@ -128,6 +128,42 @@ def test_clahe_keeps_range(spark):
     assert np.isnan(array(G.clahe(grid(spark, [[1.0, np.nan], [2.0, 3.0]]), (2, 2)))[0, 1])
 
 
+def plain_clahe(z, ky, kx, clip, bins):
+    """Cell by cell; as in the SQL, cells without a value count in the last bin."""
+    ny, nx = z.shape
+    lo, hi = np.nanmin(z), np.nanmax(z)
+    b = np.where(np.isnan(z), bins - 1, np.minimum(np.floor((np.nan_to_num(z) - lo) / (hi - lo) * bins), bins - 1)).astype(int)
+    out = np.full(z.shape, np.nan)
+    for (i, j), v in np.ndenumerate(z):
+        fy, fx = (i - (ky - 1) / 2) / ky, (j - (kx - 1) / 2) / kx
+        mixed = 0.0
+        for dy in (0, 1):
+            for dx in (0, 1):
+                ty, tx = min(max(int(np.floor(fy)) + dy, 0), (ny - 1) // ky), min(max(int(np.floor(fx)) + dx, 0), (nx - 1) // kx)
+                c = np.bincount(b[ty * ky : (ty + 1) * ky, tx * kx : (tx + 1) * kx].ravel(), minlength=bins)
+                cut = np.minimum(c, max(1.0, clip * c.sum()))
+                share = (cut[: b[i, j] + 1].sum() + (c.sum() - cut.sum()) * (b[i, j] + 1) / bins) / c.sum()
+                mixed += (fy % 1 if dy else 1 - fy % 1) * (fx % 1 if dx else 1 - fx % 1) * share
+        out[i, j] = v if np.isnan(v) else lo + mixed * (hi - lo)
+    return out
+
+
+@pytest.mark.parametrize(("kernel", "least"), [((4, 3), 1 << 16), ((4, 3), 1), ((1, 2), 1 << 16), ((40, 40), 1 << 16)])
+def test_clahe_sends_each_cell_once(spark, monkeypatch, kernel, least):
+    """Against a plain version, with a tile of no value; only one join sorts the cells, and their maps don't go on to further ones."""
+    monkeypatch.setattr(G, "LEAST", least, raising=False)
+    z = np.random.default_rng(1).gamma(1.0, size=(13, 11))
+    z[4:8, 3:6], z[0, 0] = np.nan, np.nan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = G.clahe(grid(spark, z), kernel, 0.1, 16)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert np.allclose(array(out), plain_clahe(z, *kernel, 0.1, 16), equal_nan=True)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.split("== Initial Plan ==")[-1].count("SortMergeJoin") == 1
+
+
 def test_points_are_not_sent_by_survey(spark):
     """Cell means and descriptions of them bring the extents to the points."""
     p = points(spark, [(0, x, y, x * y) for x in range(6) for y in range(4)])
