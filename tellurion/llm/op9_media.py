@@ -142,9 +142,10 @@ def _blur(x: np.ndarray) -> np.ndarray:
         def at(i, p=p, n=n, cut=cut, axis=axis):
             return p[tuple([*cut[:axis], slice(i, i + n), *cut[axis + 1 :]])]
 
-        x = at(0) + at(4)
-        x += 4 * (at(1) + at(3))
-        x += 6 * at(2)
+        x, more = at(0) + at(4), at(1) + at(3)
+        more *= 4
+        x += more
+        x += np.multiply(at(2), 6, out=more)
         x *= np.float32(1 / 16)
     return x
 
@@ -166,10 +167,17 @@ def _highest(r: np.ndarray) -> np.ndarray:
     for axis in (1, 2):
         wide = [(0, 0)] * 3
         wide[axis] = (SPREAD, SPREAD)
-        p, n = np.pad(top, wide, constant_values=-np.inf), top.shape[axis]
-        top = np.take(p, range(n), axis)
-        for i in range(1, 2 * SPREAD + 1):
-            np.maximum(top, p[:, i : i + n] if axis == 1 else p[:, :, i : i + n], out=top)
+        p = np.pad(top, wide, constant_values=-np.inf)
+
+        def cut(v, i, n, axis=axis):
+            return v[:, i : i + n] if axis == 1 else v[:, :, i : i + n]
+
+        reach, size = 1, p.shape[axis]  # the highest of as many from each on, doubled while that is within the square
+        while reach < 2 * SPREAD + 1:
+            more = min(reach, 2 * SPREAD + 1 - reach)
+            size -= more
+            p, reach = np.maximum(cut(p, 0, size), cut(p, more, size)), reach + more
+        top = p
     return r >= top
 
 
@@ -261,20 +269,21 @@ class Tables:
         for a in range(0, len(code), STEP):
             keys, here, there = self.keys(code[a : a + STEP]), mine[a : a + STEP], yours[a : a + STEP]
             for t in range(keys.shape[1]):
-                first, last = self.start[t].take(keys[:, t]), self.start[t].take(keys[:, t] + 1)
-                some = np.flatnonzero(last > first).astype(np.int32)
-                first, size = first[some], (last - first)[some]
-                ends = np.cumsum(size, dtype=np.int32)
-                if not len(ends):
-                    continue
+                first = self.start[t].take(keys[:, t]).astype(np.int64)
+                size = self.start[t].take(keys[:, t] + 1) - first
+                ends = np.cumsum(size)
                 place = np.repeat(first - (ends - size), size)
-                place += np.arange(len(place), dtype=np.int32)
-                q, c = self.order[:, t].take(place), np.repeat(some, size)
-                far = np.bitwise_count(left.take(q) ^ np.repeat(here[some], size))
+                place += np.arange(len(place))
+                q = self.order[:, t].take(place).astype(np.int64)
+                far = left.take(q)
+                far ^= np.repeat(here, size)
+                far = np.bitwise_count(far)
                 near = np.flatnonzero(far <= MAX_DISTANCE)
-                q, c = q.take(near), c.take(near)
-                near = np.flatnonzero(far.take(near) + np.bitwise_count(right.take(q) ^ there.take(c)) <= MAX_DISTANCE)
-                found.append(q.take(near).astype(np.int64) * m + (c.take(near) + a))
+                q, c = q.take(near), np.repeat(np.arange(len(size)), size).take(near)
+                rest = right.take(q)
+                rest ^= there.take(c)
+                near = np.flatnonzero(far.take(near) + np.bitwise_count(rest) <= MAX_DISTANCE)
+                found.append(q.take(near) * m + (c.take(near) + a))
         pair = _distinct(np.concatenate(found))
         return pair // m, pair % m
 
@@ -340,7 +349,7 @@ def _search(shared, name: str, described: bool):
                 n, none = b.num_rows, pa.nulls(b.num_rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), b.column(0), b.column(1), none, none], ["kind", "id", "image", "query", "inliers"])
                 image, at, mine = _unpacked(*b.columns[1:])
-                q, c = tables.matches(mine)
+                q, c = likely(query, image, *tables.matches(mine))
                 found = decide(query[q], image[c], pose[q], at[c])
                 n = len(found[0])
                 yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(found[1]), pa.array(found[0]), pa.array(found[2])], ["kind", "id", "image", "query", "inliers"])
@@ -348,7 +357,16 @@ def _search(shared, name: str, described: bool):
     return work
 
 
-def decide(query: np.ndarray, image: np.ndarray, q: np.ndarray, c: np.ndarray, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def likely(query: np.ndarray, image: np.ndarray, q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The matches (rows of corners) of pairs of images that have LEAST matches at least: fewer can't agree on a proposal. Counted without sorting them."""
+    at_q, at_c = (np.unique(v, return_inverse=True)[1].astype(np.int32) for v in (query, image))
+    n = int(at_c.max(initial=0)) + 1
+    pair = at_q.take(q).astype(np.int64) * n + at_c.take(c)
+    many = np.flatnonzero((np.bincount(pair) >= LEAST).take(pair))
+    return q.take(many), c.take(many)
+
+
+def decide(query: np.ndarray, image: np.ndarray, q: np.ndarray, c: np.ndarray, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, image, inliers) of the pairs of images of whose matches LEAST share one proposal of turn, scale and shift; rows of q and c are y, x, angle, scale."""
     spot = np.rint(q[:, :2] / 2).astype(np.int64)  # one corner at two scales counts once
     spot = np.unique(spot[:, 0] * (1 << 32) + spot[:, 1], return_inverse=True)[1]
@@ -363,31 +381,26 @@ def decide(query: np.ndarray, image: np.ndarray, q: np.ndarray, c: np.ndarray, m
     query, image, q, c, spot = query[order], image[order], q[order], c[order], spot[order]
     cut = np.flatnonzero(np.concatenate(([True], (query[1:] != query[:-1]) | (image[1:] != image[:-1]), [True]))) if len(query) else np.zeros(1, np.int64)
     first, size = cut[:-1][np.diff(cut) >= LEAST], np.diff(cut)[np.diff(cut) >= LEAST]
-    group = np.repeat(np.arange(len(first)), size)
-    head = np.repeat(first, size)  # of each proposal's group
-    prop = head + np.arange(len(head)) - np.repeat(np.cumsum(size) - size, size)
     best = np.zeros(len(first), np.int64)
     turn, zoom = c[:, 2] - q[:, 2], q[:, 3] / c[:, 3]
     co, si = np.cos(turn) * zoom, np.sin(turn) * zoom
     (qy, qx), (cy, cx) = (np.ascontiguousarray(v[:, :2].T) for v in (q, c))
     to_y, to_x = cy - si * qx - co * qy, cx - co * qx + si * qy  # a proposal's shift
-    width = size[group] if len(group) else np.zeros(0, np.int64)
-    ends = np.cumsum(width)
-    a = 0
-    while a < len(prop):
-        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
-        w, k = width[a:z], prop[a:z]
-        begin = np.cumsum(w) - w
-        m = np.arange(w.sum()) - np.repeat(begin - head[a:z], w)
-        s, t, y, x = np.repeat(si[k], w), np.repeat(co[k], w), qy[m], qx[m]
-        ey, ex = np.repeat(to_y[k], w) + s * x + t * y - cy[m], np.repeat(to_x[k], w) + t * x - s * y - cx[m]
-        near = ey * ey + ex * ex <= SLACK**2
-        shared = np.repeat(np.add.reduceat(near.astype(np.int64), begin) >= LEAST, w)
-        on = np.flatnonzero(near & shared)
-        owner = np.repeat(np.arange(len(w)), w)[on]
-        count = np.bincount(_distinct(owner * spots + spot[m[on]]) // spots, minlength=len(w))
-        np.maximum.at(best, group[a:z], count)
-        a = z
+    for n in np.unique(size).tolist():  # pairs of images of as many matches together, each proposal against each match of its pair
+        alike, rows = np.flatnonzero(size == n), min(n, max(1, most // n))
+        pairs = max(1, most // (n * n))
+        for a in range(0, len(alike), pairs):
+            g = alike[a : a + pairs]
+            m = first[g][:, None] + np.arange(n)
+            y, x, there_y, there_x = (v[m][:, None, :] for v in (qy, qx, cy, cx))
+            for k in range(0, n, rows):
+                s, t, off_y, off_x = (v[m[:, k : k + rows]][:, :, None] for v in (si, co, to_y, to_x))
+                ey, ex = off_y + s * x + t * y - there_y, off_x + t * x - s * y - there_x
+                near = ey * ey + ex * ex <= SLACK**2
+                of, at = np.nonzero(np.count_nonzero(near, axis=2) >= LEAST)
+                owner, on = np.nonzero(near[of, at])
+                count = np.bincount(_distinct(owner * spots + spot[m[of[owner], on]]) // spots, minlength=len(of))
+                np.maximum.at(best, g[of], count)
     hit = best >= LEAST
     return query[first[hit]], image[first[hit]], best[hit]
 

@@ -211,6 +211,37 @@ def test_media_crops_cut_anywhere():
     assert len(pairs & {(i, i) for i in range(n)}) >= 0.9 * n and all(i == j for i, j in pairs)
 
 
+def test_media_pairs_of_few_matches_go_first():
+    """Images with too few matches go before they are decided, which changes nothing, whatever the size of a step."""
+    rng, n = np.random.default_rng(6), 30
+    whole = [np.clip(np.rint(M.render(i)), 0, 255) for i in range(n)]
+    c, q = (M.describe(np.stack(v)) for v in (whole, [np.clip(np.rint(M.alter(x, 4 * i)), 0, 255) for i, x in enumerate(whole)]))
+    at = [np.column_stack((v[1], v[2], v[3])) for v in (q, c)]
+    a, b = M.Tables(q[4]).matches(c[4])
+    few = rng.permutation(np.flatnonzero(q[0][a] == 3))[:5]
+    a, b = np.concatenate((a[q[0][a] != 3], a[few])), np.concatenate((b[q[0][a] != 3], b[few]))
+    x, y = M.likely(q[0], c[0], a, b)
+    assert 0 < len(x) < len(a) and not (q[0][x] == 3).any()
+    want = {}
+    for i, j in set(zip(q[0][a].tolist(), c[0][b].tolist(), strict=True)):
+        here = (q[0][a] == i) & (c[0][b] == j)
+        u, v = at[0][a[here]], at[1][b[here]]
+        for s, t in zip(u, v, strict=True):
+            turn, zoom = t[2] - s[2], s[3] / t[3]
+            co, si = np.cos(turn) * zoom, np.sin(turn) * zoom
+            ey, ex = t[0] - si * s[1] - co * s[0] + si * u[:, 1] + co * u[:, 0] - v[:, 0], t[1] - co * s[1] + si * s[0] + co * u[:, 1] - si * u[:, 0] - v[:, 1]
+            got = len(np.unique(np.rint(u[ey * ey + ex * ex <= M.SLACK**2, :2] / 2), axis=0))
+            if got >= M.LEAST:
+                want[i, j] = max(got, want.get((i, j), 0))
+    assert len(want) > 20
+    for most in (1, 100, 1 << 16):
+        for a_, b_ in ((a, b), (x, y)):
+            f = M.decide(q[0][a_], c[0][b_], at[0][a_], at[1][b_], most)
+            assert dict(zip(zip(f[0].tolist(), f[1].tolist(), strict=True), f[2].tolist(), strict=True)) == want
+    none = np.zeros(0, np.int64)
+    assert [len(v) for v in M.likely(none, none, none, none)] == [0, 0]
+
+
 def test_media_blocks_of_queries(spark, monkeypatch):
     images = spark.createDataFrame([(i, pgm(M.render(i))) for i in range(12)], "id bigint, media binary")
     whole = sorted(map(tuple, M.find_copies(images, images, "id", "media").collect()))
