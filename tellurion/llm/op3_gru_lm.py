@@ -38,10 +38,13 @@ EMBEDDING, HIDDEN, STEPS, RUN, ROUNDS, BLOCKS = 16, 24, 32, 16, 3, 16
 #: Runs of windows in an update: so many that a slice gives about UPDATES groups, within bounds.
 BATCH, UPDATES = (32, 256), 12
 OUTPUT_ROWS, SCORE_ROWS, SETTLE, ROW_RATE = 2048, 1024, 1 << 15, 10.0
-SLICE_BYTES, CODE_BYTES = 6 << 20, 4 << 20
+#: Bytes of text, of codes learnt from and of codes scored at a time; the last are more, as each slice's longest texts are scored few at a time.
+SLICE_BYTES, CODE_BYTES, SCORE_BYTES = 6 << 20, 4 << 20, 8 << 20
 #: Tokens that a copy of the model is worth: fewer, and partitions go together for training.
 COPY_TOKENS = 1_000_000
 RARE = 2 * LAST
+#: Which units of a step's product the symbol goes into: both gates and its part of the candidate.
+_BY_SYMBOL = np.concatenate((np.arange(2 * HIDDEN), np.arange(3 * HIDDEN, 4 * HIDDEN)))
 LOG10 = np.log(10.0)
 
 
@@ -128,116 +131,162 @@ def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray, shift:
     return e, s, logit - np.log(s)
 
 
-def run_window(p: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """States after each step (rows, steps, H) and what backpropagation needs.
+class Room(dict):
+    """Arrays by name that are used again: fresh memory costs more than the arithmetic in it."""
 
-    Inside, all is laid out by step, unit, row, so that gates are whole blocks of memory. A logistic gate is (tanh(x / 2) + 1) / 2,
-    the half being put into the weights.
-    """
-    rows, steps = x.shape
-    half = np.ones(3 * HIDDEN, p["u"].dtype)
-    half[: 2 * HIDDEN] = 0.5
-    u = np.ascontiguousarray((p["u"] * half).T)
-    symbols = p["emb"][x.T.ravel()]
-    proj = np.matmul(np.ascontiguousarray((p["wx"] * half).T), symbols.reshape(steps, rows, -1).transpose(0, 2, 1))
-    proj += (p["bx"] * half)[:, None]
-    states = np.empty((steps + 1, HIDDEN, rows), proj.dtype)
-    gates, cand, un = np.empty((steps, 2 * HIDDEN, rows), proj.dtype), np.empty((steps, HIDDEN, rows), proj.dtype), np.empty((steps, HIDDEN, rows), proj.dtype)
-    states[0] = h.T
-    hu = np.empty((3 * HIDDEN, rows), proj.dtype)
-    for t in range(steps):
-        before, g, n, after = states[t], gates[t], cand[t], states[t + 1]
-        np.matmul(u, before, out=hu)
-        np.add(proj[t, : 2 * HIDDEN], hu[: 2 * HIDDEN], out=g)
-        np.tanh(g, out=g)
-        g += 1
-        g *= 0.5
-        un[t] = hu[2 * HIDDEN :]
-        np.multiply(g[HIDDEN:], un[t], out=n)
-        n += proj[t, 2 * HIDDEN :]
-        np.tanh(n, out=n)
-        np.subtract(before, n, out=after)
-        after *= g[:HIDDEN]
-        after += n
-    by_row = np.ascontiguousarray(states[1:].transpose(0, 2, 1))
-    return by_row.transpose(1, 0, 2), (states, gates, cand, un, symbols)
-
-
-def outputs(p: dict, lex: Lexicon, h: np.ndarray, cls: np.ndarray, word: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log probability of each token's class and word (word -1: rare); with grads, those of the states."""
-    logp, dh = np.empty(len(h)), np.empty_like(h) if grads is not None else None
+    def of(self, name: str, kind: np.dtype, *shape: int) -> np.ndarray:
+        size, kind = int(np.prod(shape)), np.dtype(kind)
+        if name not in self or len(self[name]) < size or self[name].dtype != kind:
+            self[name] = np.empty(size, kind)
+        return self[name][:size].reshape(shape)
 
-    def one(hs: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray, back: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-        """Log probabilities and the gradients of w and b; that of the states goes to ``back``."""
-        e, s, got = _softmax(hs, w, b, at)
-        if back is None:
-            return got, None, None
-        e /= s[:, None]
-        e[np.arange(len(hs)), at] -= 1
-        np.matmul(e, w.T, out=back)
-        return got, e.T @ hs, np.ones(len(hs), e.dtype) @ e
 
+def run_window(p: dict, x: np.ndarray, h: np.ndarray, keep: bool = True, room: Room | None = None) -> tuple[np.ndarray, tuple]:
+    """States after each step (rows, steps, H) and, with keep, what backpropagation needs; else the room of a step is used again.
+
+    Inside, all is laid out by step, unit, row, so that gates are whole blocks of memory. A step is one product: the state, the symbol
+    and a one make the two gates (their sign turned: a logistic gate is 1 / (1 + exp(-x))), what the state and what the symbol give the candidate.
+    Results lie in the room, up to its next window.
+    """
+    rows, steps = x.shape
+    room = Room() if room is None else room
+    kind, kept, g2, g3 = p["u"].dtype, steps if keep else 1, 2 * HIDDEN, 3 * HIDDEN
+    w = np.zeros((4 * HIDDEN, HIDDEN + EMBEDDING + 1), kind)
+    w[:g3, :HIDDEN] = p["u"].T
+    w[_BY_SYMBOL, HIDDEN:-1], w[_BY_SYMBOL, -1] = p["wx"].T, p["bx"]
+    w[:g2] *= -1
+    inputs, units, part = room.of("inputs", kind, steps + 1, HIDDEN + EMBEDDING + 1, rows), room.of("units", kind, kept, 4 * HIDDEN, rows), room.of("part", kind, HIDDEN, rows)
+    inputs[0, :HIDDEN] = h.T
+    symbols = p["emb"].take(x.T.ravel(), axis=0, out=room.of("symbols", kind, steps * rows, EMBEDDING), mode="clip")
+    inputs[:steps, HIDDEN:-1] = symbols.reshape(steps, rows, -1).transpose(0, 2, 1)
+    inputs[:, -1] = 1
+    states = inputs[:, :HIDDEN]
     with np.errstate(over="ignore"):
+        for t in range(steps):
+            unit, before, after = units[t if keep else 0], states[t], states[t + 1]
+            np.matmul(w, inputs[t], out=unit)
+            g, n = unit[:g2], unit[g3:]
+            np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            np.multiply(g[HIDDEN:], unit[g2:g3], out=part)
+            n += part
+            np.tanh(n, out=n)
+            np.subtract(before, n, out=after)
+            after *= g[:HIDDEN]
+            after += n
+    by_row = room.of("by row", kind, steps, rows, HIDDEN)
+    by_row[:] = states[1:].transpose(0, 2, 1)
+    return by_row.transpose(1, 0, 2), (inputs, units)
+
+
+def outputs(p: dict, lex: Lexicon, h: np.ndarray, cls: np.ndarray, word: np.ndarray, grads: dict | None = None, room: Room | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Natural log probability of each token's class and word (word -1: rare); with grads, those of the states.
+
+    Exponentials are left as they are: what is narrower is divided by their sums.
+    """
+    logp, dh = np.empty(len(h)), np.empty_like(h) if grads is not None else None
+    room = Room() if room is None else room
+    with np.errstate(over="ignore", invalid="ignore"):
         for a in range(0, len(h), OUTPUT_ROWS):  # pieces that stay in the processor's cache
-            z = a + OUTPUT_ROWS
-            logp[a:z], gw, gb = one(h[a:z], p["wc"], p["bc"], cls[a:z], None if dh is None else dh[a:z])
+            hs, own = h[a : a + OUTPUT_ROWS], cls[a : a + OUTPUT_ROWS]
+            z = a + len(hs)
+            e, s, logp[a:z] = _softmax(hs, p["wc"], p["bc"], own)
             if grads is not None:
-                grads["wc"] += gw.T
-                grads["bc"] += gb
+                e[np.arange(len(hs)), own] -= s
+                s = 1 / s
+                np.matmul(e, p["wc"].T, out=dh[a:z])
+                dh[a:z] *= s[:, None]
+                grads["wc"] += (e.T @ (hs * s[:, None])).T
+                grads["bc"] += s @ e
         logp += np.where(word >= 0, lex.in_class[word], 0)
-        inside = np.flatnonzero((word >= 0) & (cls < lex.soft))
+        start = lex.class_start[: lex.soft + 1]
+        size = np.zeros(1 + CLASSES + RARE, np.int64)
+        size[: lex.soft] = np.diff(start)
+        inside = np.flatnonzero(size[cls] > 1)
         inside = inside[np.argsort(cls[inside].astype(np.uint16), kind="stable")]
-        cut = np.searchsorted(cls[inside], np.arange(lex.soft + 1))
-        hs, place, got = h[inside], word[inside], np.zeros(len(inside))
-        back = None if dh is None else np.zeros_like(hs)
-        for k in range(lex.soft):
-            a, b, i, j = lex.class_start[k], lex.class_start[k + 1], cut[k], cut[k + 1]
-            if b - a < 2 or i == j:
-                continue
-            got[i:j], gw, gb = one(hs[i:j], p["wo"][a:b].T, p["bo"][a:b], place[i:j] - a, None if back is None else back[i:j])
-            if grads is not None:
-                grads["wo"][a:b] += gw
-                grads["bo"][a:b] += gb
-    logp[inside] += got
-    if dh is not None:
+        if not len(inside):
+            return logp, dh
+        of, n = cls[inside], len(inside)
+        cut = np.searchsorted(of, np.arange(lex.soft + 1))
+        own = (np.arange(n) - cut[of]) * size[of] + word[inside] - start[of]  # each token's word among its class's outputs
+        table, hs = room.of("table", h.dtype, len(p["wo"]), HIDDEN + 1), room.of("hs", h.dtype, n, HIDDEN + 1)
+        table[:, :-1], table[:, -1], hs[:, :-1], hs[:, -1] = p["wo"], p["bo"], h[inside], 1
+        got, s, ones = np.empty(n, h.dtype), np.empty(n, h.dtype), np.ones(size.max(), h.dtype)
+        if grads is not None:
+            back, more = room.of("word back", h.dtype, n, HIDDEN), room.of("more", h.dtype, *table.shape)
+            more[:] = 0
+        for shift in (False, True):  # by the highest of each row, where it takes that
+            for k in range(lex.soft):
+                a, b, i, j = start[k], start[k + 1], cut[k], cut[k + 1]
+                if i == j:
+                    continue
+                e = hs[i:j] @ table[a:b].T
+                if shift:
+                    e -= e.max(1, keepdims=True)
+                flat, at = e.reshape(-1), own[i:j]
+                got[i:j] = flat.take(at)
+                np.exp(e, out=e)
+                np.matmul(e, ones[: b - a], out=s[i:j])
+                if grads is not None:
+                    flat[at] -= s[i:j]
+                    np.matmul(e, p["wo"][a:b], out=back[i:j])
+                    np.matmul(e.T, hs[i:j] / s[i:j, None], out=more[a:b])
+            if s.min() > 1e-25 and s.max() < 1e30:
+                break
+    logp[inside] += got - np.log(s)
+    if grads is not None:
+        back /= s[:, None]
         dh[inside] += back
+        grads["wo"] += more[:, :-1]
+        grads["bo"] += more[:, -1]
     return logp, dh
 
 
-def back_window(p: dict, x: np.ndarray, kept: tuple, dstates: np.ndarray, grads: dict) -> np.ndarray:
-    """Truncated backpropagation: gradients stop at the window's first state. Returns the symbols met."""
-    states, gates, cand, un, symbols = kept
-    steps, _, rows = cand.shape
-    dstates = np.ascontiguousarray(dstates.transpose(1, 2, 0))
-    z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    dproj, du = np.empty((steps, 3 * HIDDEN, rows), states.dtype), np.empty((steps, 3 * HIDDEN, rows), states.dtype)
-    dn_of, dz_of = cand * cand, states[:-1] - cand  # what a step's gradient is multiplied by
-    np.subtract(1, dn_of, out=dn_of)
-    dn_of *= 1 - z
+def back_window(p: dict, x: np.ndarray, kept: tuple, dstates: np.ndarray, grads: dict, room: Room | None = None) -> np.ndarray:
+    """Truncated backpropagation: gradients stop at the window's first state. Returns the symbols met; what was kept is used up."""
+    inputs, units = kept
+    room = Room() if room is None else room
+    (steps, _, rows), kind, g2, g3 = units.shape, units.dtype, 2 * HIDDEN, 3 * HIDDEN
+    wanted = room.of("wanted", kind, steps, HIDDEN, rows)
+    wanted[:] = dstates.transpose(1, 2, 0)
+    z, r, un, cand = units[:, :HIDDEN], units[:, HIDDEN:g2], units[:, g2:g3], units[:, g3:]
+    rest, dz_of = room.of("rest", kind, steps, HIDDEN, rows), room.of("dz", kind, steps, HIDDEN, rows)
+    np.subtract(1, z, out=rest)
+    np.subtract(inputs[:-1, :HIDDEN], cand, out=dz_of)  # what a step's gradient is multiplied by
     dz_of *= z
-    dz_of *= 1 - z
-    dr_of = un * r
-    dr_of *= 1 - r
-    dh = np.zeros((HIDDEN, rows), states.dtype)
+    dz_of *= rest
+    dn_of, dr_of = cand, un
+    dn_of *= cand
+    np.subtract(1, dn_of, out=dn_of)
+    dn_of *= rest
+    np.subtract(1, r, out=rest)
+    dr_of *= r
+    dr_of *= rest
+    back = room.of("back", kind, steps, 4 * HIDDEN, rows)
+    dh, more = np.zeros((HIDDEN, rows), kind), np.empty((HIDDEN, rows), kind)
     for t in range(steps - 1, -1, -1):
-        dh += dstates[t]
-        d = du[t]
-        dn = dproj[t, 2 * HIDDEN :]
+        dh += wanted[t]
+        d = back[t]
+        dn = d[g3:]
         np.multiply(dh, dn_of[t], out=dn)
         np.multiply(dh, dz_of[t], out=d[:HIDDEN])
-        np.multiply(dn, dr_of[t], out=d[HIDDEN : 2 * HIDDEN])
-        np.multiply(dn, r[t], out=d[2 * HIDDEN :])
+        np.multiply(dn, dr_of[t], out=d[HIDDEN:g2])
+        np.multiply(dn, r[t], out=d[g2:g3])
         dh *= z[t]
-        dh += p["u"] @ d
-    dproj[:, : 2 * HIDDEN] = du[:, : 2 * HIDDEN]
-    grads["u"] += np.matmul(states[:-1], du.transpose(0, 2, 1)).sum(0)
-    flat, sym = dproj.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN), x.T.ravel()
-    grads["wx"] += symbols.T @ flat
-    grads["bx"] += np.ones(len(flat), flat.dtype) @ flat
+        dh += np.matmul(p["u"], d[:g3], out=more)
+    gw = np.matmul(back, inputs[:-1].transpose(0, 2, 1)).sum(0)
+    grads["u"] += gw[:g3, :HIDDEN].T
+    grads["wx"] += gw[_BY_SYMBOL, HIDDEN:-1].T
+    grads["bx"] += gw[_BY_SYMBOL, -1]
+    wx = np.zeros((EMBEDDING, 4 * HIDDEN), kind)
+    wx[:, _BY_SYMBOL] = p["wx"]
+    by_symbol = np.matmul(wx, back, out=room.of("by symbol", kind, steps, EMBEDDING, rows)).transpose(0, 2, 1).reshape(-1, EMBEDDING)
+    sym = x.T.ravel()
     order = np.argsort(sym.astype(np.uint16), kind="stable")
     sym = sym[order]
     first = np.flatnonzero(np.concatenate(([True], sym[1:] != sym[:-1])))
-    grads["emb"][sym[first]] += np.add.reduceat((flat @ p["wx"].T)[order], first, axis=0)
+    grads["emb"][sym[first]] += np.add.reduceat(by_symbol.take(order, axis=0), first, axis=0)
     return sym[first]
 
 
@@ -299,7 +348,7 @@ def _layout(per: np.ndarray, idx: np.ndarray, cls: np.ndarray, word: np.ndarray,
 def text_logs(p: dict, lex: Lexicon, per: np.ndarray, idx: np.ndarray, cls: np.ndarray, word: np.ndarray, sym: np.ndarray) -> np.ndarray:
     """Natural log probability of each text's classes and model words, the state carried across windows."""
     start, length, c, w, x = _layout(per, idx, cls, word, sym, len(lex.word_class))
-    order, out = np.argsort(-length, kind="stable"), np.zeros(len(per))
+    order, out, room = np.argsort(-length, kind="stable"), np.zeros(len(per)), Room()
     waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def settle(least: int) -> None:
@@ -307,7 +356,7 @@ def text_logs(p: dict, lex: Lexicon, per: np.ndarray, idx: np.ndarray, cls: np.n
         if waiting and sum(len(t) for _, t, _ in waiting) >= least:
             h, tok, text = (np.concatenate([v[k] for v in waiting]) for k in range(3))
             waiting.clear()
-            out[:] += np.bincount(text, outputs(p, lex, h, c[tok], w[tok])[0], len(out))
+            out[:] += np.bincount(text, outputs(p, lex, h, c[tok], w[tok], room=room)[0], len(out))
 
     for first in range(0, len(order), SCORE_ROWS):
         group = order[first : first + SCORE_ROWS]
@@ -315,7 +364,7 @@ def text_logs(p: dict, lex: Lexicon, per: np.ndarray, idx: np.ndarray, cls: np.n
         for begin in range(0, int(length[group[0]]), STEPS):
             rows = group[: int((length[group] > begin).sum())]
             place, live = _window(start[rows], length[rows], begin)
-            states, _ = run_window(p, x[place].T, h[: len(rows)])
+            states, _ = run_window(p, x[place].T, h[: len(rows)], False, room)
             h = states[:, -1]
             waiting.append((states.transpose(1, 0, 2)[live], place[live], np.broadcast_to(rows, live.shape)[live]))
             settle(SETTLE)
@@ -343,7 +392,7 @@ def train_texts(p: dict, lex: Lexicon, opt: Adam, per: np.ndarray, idx: np.ndarr
     start, length = start[text] + skip, np.minimum(length[text] - skip, size)
     order, seen = np.lexsort((W.mix64(np.arange(len(length))), -(-length // STEPS))), 0
     batch = int(np.clip(len(order) // UPDATES, *BATCH))
-    grads = {n: np.zeros_like(v) for n, v in p.items()}
+    grads, room = {n: np.zeros_like(v) for n, v in p.items()}, Room()
     groups = [order[a : a + batch] for a in range(0, len(order), batch)]
     for k in np.random.default_rng(len(order)).permutation(len(groups)):  # short and long ones in turn
         group = groups[k][np.argsort(-length[groups[k]], kind="stable")]
@@ -351,12 +400,13 @@ def train_texts(p: dict, lex: Lexicon, opt: Adam, per: np.ndarray, idx: np.ndarr
         for begin in range(0, int(length[group[0]]), STEPS):
             rows = group[: int((length[group] > begin).sum())]
             place, live = _window(start[rows], length[rows], begin)
-            states, kept = run_window(p, x[place].T, h[: len(rows)])
+            states, kept = run_window(p, x[place].T, h[: len(rows)], room=room)
             tok = place[live]
-            _, dh = outputs(p, lex, states.transpose(1, 0, 2)[live], c[tok], w[tok], grads)
-            d = np.zeros((*place.shape, HIDDEN), np.float32)
+            _, dh = outputs(p, lex, states.transpose(1, 0, 2)[live], c[tok], w[tok], grads, room)
+            d = room.of("by token", np.float32, *place.shape, HIDDEN)
+            d[~live] = 0
             d[live] = dh
-            met = back_window(p, x[place].T, kept, d.transpose(1, 0, 2), grads)
+            met = back_window(p, x[place].T, kept, d.transpose(1, 0, 2), grads, room)
             opt.step(p, grads, met, len(tok))
             h = states[:, -1]
             seen += len(tok)
@@ -463,8 +513,8 @@ def _scorer(lex: Lexicon, flat: np.ndarray):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, tables = _unflatten(flat, start_params(lex)), code_tables(lex)
-        for whole in W.regrouped(batches, 7, CODE_BYTES):
-            for b in W.slices(whole, 7, CODE_BYTES, 1 << 14):
+        for whole in W.regrouped(batches, 7, SCORE_BYTES):
+            for b in W.slices(whole, 7, SCORE_BYTES, 1 << 15):
                 per, codes = _decoded(b.column(7))
                 score = b.column(6).to_numpy() + text_logs(p, lex, per, codes, *tables) / LOG10
                 yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(score)], ["rid", "id", "held", "n", "known", "base", "score"])

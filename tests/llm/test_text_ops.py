@@ -255,6 +255,44 @@ def test_model_state_is_carried_and_sums_to_one():
     assert math.isclose(whole[0], L.outputs(p, lex, states[0], c, w)[0].sum(), rel_tol=1e-4)
 
 
+def test_model_in_a_used_room_and_against_plain_softmax():
+    """Windows of other shapes in one room, with steep logits too: states as in a fresh one, probabilities and gradients as worked out plainly."""
+    lex = L.make_lexicon(np.arange(10, 60), np.arange(50, 0, -1), np.full(L.RARE, 2000.0), np.full(L.RARE, 60.0), np.zeros(50, int), 9, 2000, 90)
+    cls, word, _ = L.code_tables(lex)
+    rng, room = np.random.default_rng(5), L.Room()
+    for rows, steps, factor in ((40, L.STEPS, 1), (3, 5, 40), (7, L.STEPS, 4000)):
+        p = {k: v.astype(np.float64) * (factor if k in ("wo", "wc") else 1) for k, v in L.start_params(lex).items()}
+        x = rng.integers(0, len(cls), (rows, steps))
+        h = rng.uniform(-1, 1, (rows, L.HIDDEN))
+        fresh, kept = L.run_window(p, x, h)
+        lean = L.run_window(p, x, h, False, room)[0].copy()
+        states, kept_here = L.run_window(p, x, h, room=room)
+        assert np.array_equal(fresh, states) and np.array_equal(fresh, lean)
+        grads = {k: np.zeros_like(v) for k, v in p.items()}
+        here = {k: np.zeros_like(v) for k, v in p.items()}
+        flat, code = fresh.reshape(-1, L.HIDDEN), x.ravel()
+        got, dh = L.outputs(p, lex, flat, cls[code], word[code], here, room)
+        logits = flat @ p["wc"] + p["bc"]
+        for i, c in enumerate(code):
+            k = cls[c]
+            share = np.exp(logits[i] - logits[i].max()) / np.exp(logits[i] - logits[i].max()).sum()
+            want, back = np.log(share[k]), p["wc"] @ share - p["wc"][:, k]
+            grads["bc"] += share
+            grads["bc"][k] -= 1
+            if word[c] >= 0:
+                a, b = lex.class_start[k], lex.class_start[k + 1]
+                inside = p["wo"][a:b] @ flat[i] + p["bo"][a:b]
+                share = np.exp(inside - inside.max()) / np.exp(inside - inside.max()).sum()
+                want, back = want + np.log(share[word[c] - a]), back + share @ p["wo"][a:b] - p["wo"][word[c]]
+                grads["bo"][a:b] += share
+                grads["bo"][word[c]] -= 1
+            assert math.isclose(got[i], want, rel_tol=1e-6, abs_tol=1e-5) and np.allclose(dh[i], back, rtol=1e-6, atol=1e-5 * factor)
+        assert all(np.allclose(here[k], grads[k], atol=1e-5) for k in ("bc", "bo"))
+        L.back_window(p, x, kept, dh.reshape(rows, steps, -1), grads)
+        L.back_window(p, x, kept_here, dh.reshape(rows, steps, -1), here, room)
+        assert all(np.array_equal(here[k], grads[k]) for k in ("u", "wx", "bx", "emb"))
+
+
 def test_language_model_on_odd_input(spark):
     got = {r["doc_id"]: r for r in L.score_documents(docs(spark, ODD)).collect()}
     assert len(got) == len(ODD) and all(math.isfinite(r["score"]) for r in got.values()) and got[0]["n_tokens"] == 1
