@@ -156,8 +156,9 @@ def _resize(x: np.ndarray, scale: float) -> np.ndarray:
     y0, z0 = np.minimum(y.astype(int), x.shape[1] - 1), np.minimum(z.astype(int), x.shape[2] - 1)
     y1, z1 = np.minimum(y0 + 1, x.shape[1] - 1), np.minimum(z0 + 1, x.shape[2] - 1)
     fy, fz = (y - y0)[:, None], (z - z0)[None, :]
-    top = x[:, y0][:, :, z0] * (1 - fz) + x[:, y0][:, :, z1] * fz
-    low = x[:, y1][:, :, z0] * (1 - fz) + x[:, y1][:, :, z1] * fz
+    upper, lower = x.take(y0, axis=1), x.take(y1, axis=1)
+    top = upper.take(z0, axis=2) * (1 - fz) + upper.take(z1, axis=2) * fz
+    low = lower.take(z0, axis=2) * (1 - fz) + lower.take(z1, axis=2) * fz
     return top * (1 - fy) + low * fy
 
 
@@ -188,9 +189,9 @@ def describe(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     yy, xx = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
     disc = (yy**2 + xx**2 <= RADIUS**2).ravel()
     yy, xx = yy.ravel()[disc], xx.ravel()[disc]
-    images = images.astype(np.float32)
+    smooth = _blur(images.astype(np.float32))
     for scale in SCALES:
-        x = _blur(images if scale == 1 else _resize(_blur(images), scale).astype(np.float32))
+        x = smooth if scale == 1 else _blur(_resize(smooth, scale).astype(np.float32))
         if min(x.shape[1:]) <= 2 * rim + 2:
             continue
         gy, gx = np.gradient(x, axis=(1, 2))
@@ -232,6 +233,13 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[np.flatnonzero(np.concatenate((np.ones(min(len(x), 1), bool), x[1:] != x[:-1])))]
 
 
+def _numbers(x: np.ndarray) -> np.ndarray:
+    """The place of each number among the distinct ones; those in order already aren't sorted."""
+    if (x[1:] >= x[:-1]).all():
+        return np.cumsum(np.concatenate((np.zeros(min(len(x), 1), bool), x[1:] != x[:-1])))
+    return np.unique(x, return_inverse=True)[1]
+
+
 class Tables:
     """Hamming tables over query corners: each keys them by some of their bits, drawn from a fixed seed; of DRAWS draws the one with the evenest buckets.
 
@@ -265,25 +273,27 @@ class Tables:
     def matches(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query row, row of code) of pairs of MAX_DISTANCE bits at most."""
         (left, right), (mine, yours) = self.words, _words(code)
-        found, m = [np.zeros(0, np.int64)], max(len(code), 1)
+        found, m, count = [np.zeros(0, np.int64)], max(len(code), 1), np.arange(1 << 16)
         for a in range(0, len(code), STEP):
             keys, here, there = self.keys(code[a : a + STEP]), mine[a : a + STEP], yours[a : a + STEP]
             for t in range(keys.shape[1]):
-                first = self.start[t].take(keys[:, t]).astype(np.int64)
+                first = self.start[t].take(keys[:, t])
                 size = self.start[t].take(keys[:, t] + 1) - first
                 ends = np.cumsum(size)
+                if ends[-1] > len(count):
+                    count = np.arange(2 * ends[-1])
                 place = np.repeat(first - (ends - size), size)
-                place += np.arange(len(place))
-                q = self.order[:, t].take(place).astype(np.int64)
+                place += count[: len(place)]
+                q = self.order[:, t].take(place)
                 far = left.take(q)
                 far ^= np.repeat(here, size)
                 far = np.bitwise_count(far)
                 near = np.flatnonzero(far <= MAX_DISTANCE)
-                q, c = q.take(near), np.repeat(np.arange(len(size)), size).take(near)
+                q, c = q.take(near), np.repeat(count[: len(size)], size).take(near)
                 rest = right.take(q)
                 rest ^= there.take(c)
                 near = np.flatnonzero(far.take(near) + np.bitwise_count(rest) <= MAX_DISTANCE)
-                found.append(q.take(near) * m + (c.take(near) + a))
+                found.append(q.take(near).astype(np.int64) * m + (c.take(near) + a))
         pair = _distinct(np.concatenate(found))
         return pair // m, pair % m
 
@@ -368,12 +378,12 @@ def likely(query: np.ndarray, image: np.ndarray, q: np.ndarray, c: np.ndarray) -
 
 def decide(query: np.ndarray, image: np.ndarray, q: np.ndarray, c: np.ndarray, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, image, inliers) of the pairs of images of whose matches LEAST share one proposal of turn, scale and shift; rows of q and c are y, x, angle, scale."""
-    spot = np.rint(q[:, :2] / 2).astype(np.int64)  # one corner at two scales counts once
-    spot = np.unique(spot[:, 0] * (1 << 32) + spot[:, 1], return_inverse=True)[1]
-    spots = int(spot.max(initial=0)) + 1
+    y, x = np.rint(q[:, :2] / 2).astype(np.int64).T
+    y, x = y - y.min(initial=0), x - x.min(initial=0)
+    spot, spots = y * (int(x.max(initial=0)) + 1) + x, (int(y.max(initial=0)) + 1) * (int(x.max(initial=0)) + 1)  # one corner at two scales counts once
     if len(query):  # most pairs of images share too few corners by chance: those go before any proposal is tried
-        (names_q, at_q), (names_c, at_c) = np.unique(query, return_inverse=True), np.unique(image, return_inverse=True)
-        pair = at_q * len(names_c) + at_c
+        at_q, at_c = _numbers(query), _numbers(image)
+        pair = at_q * (int(at_c.max()) + 1) + at_c
         corners = np.bincount(_distinct(pair * spots + spot) // spots, minlength=int(pair.max()) + 1)
         many = np.flatnonzero((corners >= LEAST)[pair])
         query, image, q, c, spot = query[many], image[many], q[many], c[many], spot[many]

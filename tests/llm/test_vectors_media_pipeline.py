@@ -48,6 +48,21 @@ def test_links_and_components(spark, monkeypatch, block):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+def test_media_pairs_in_any_order_of_matches():
+    """Numbers of images and places of corners don't rest on an order of the matches, nor on where the first corner lies."""
+    rng = np.random.default_rng(4)
+    for x in (np.zeros(0, np.int64), np.array([-5, -5, 3, 9]), rng.integers(-(2**62), 2**62, 50)[rng.integers(0, 50, 400)]):
+        assert np.array_equal(M._numbers(x), np.unique(x, return_inverse=True)[1])
+    query, image = np.repeat([5, 5, -2**60, 7], [12, 6, 9, 8]), np.repeat([-1, 2**61, 4, 4], [12, 6, 9, 8])
+    q = np.column_stack((rng.uniform(-3000, 90000, (35, 2)), np.zeros(35), np.ones(35)))
+    c = q + [40.0, -7.0, 0, 0]
+    q[18:27, :2], c[18:27, :2] = q[18, :2], c[18, :2]  # nine matches of one corner
+    want = {(5, -1, 12), (7, 4, 8)}
+    for order in (np.arange(35), rng.permutation(35)):
+        assert set(zip(*(v.tolist() for v in M.decide(query[order], image[order], q[order], c[order])), strict=True)) == want
+    assert all(len(v) == 0 for v in M.decide(query[:0], image[:0], q[:0], c[:0]))
+
+
 def test_recall_at_the_limit():
     """Pairs with a cosine just above 0.95 meet in some bucket."""
     rng = np.random.default_rng(1)
