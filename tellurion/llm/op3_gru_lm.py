@@ -21,6 +21,7 @@ result; only the id and text columns are read, so others cannot clash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,14 +38,15 @@ VOCABULARY, SOFT, FREQUENT, CLASSES, LAST = 16_000, 16_000, 200_000, 64, 12
 EMBEDDING, HIDDEN, STEPS, RUN, ROUNDS, BLOCKS = 16, 24, 32, 16, 3, 16
 #: Runs of windows in an update: so many that a slice gives about UPDATES groups, within bounds.
 BATCH, UPDATES = (32, 256), 12
-OUTPUT_ROWS, SCORE_ROWS, SETTLE, ROW_RATE = 2048, 1024, 1 << 15, 10.0
-#: Bytes of text, of codes learnt from and of codes scored at a time; the last are more, as each slice's longest texts are scored few at a time.
-SLICE_BYTES, CODE_BYTES, SCORE_BYTES = 6 << 20, 4 << 20, 8 << 20
+OUTPUT_ROWS, OUTPUT_CELLS, SCORE_ROWS, SETTLE, ROW_RATE = 2048, 1 << 17, 512, 1 << 15, 10.0
+#: Bytes of text counted and coded, of codes learnt from and of codes scored at a time; the last are more, as each slice's longest texts are scored few at a time.
+COUNT_BYTES, SLICE_BYTES, CODE_BYTES, SCORE_BYTES = 8 << 20, 6 << 20, 4 << 20, 8 << 20
 #: Tokens that a copy of the model is worth: fewer, and partitions go together for training.
 COPY_TOKENS = 1_000_000
 RARE = 2 * LAST
-#: Which units of a step's product the symbol goes into: both gates and its part of the candidate.
-_BY_SYMBOL = np.concatenate((np.arange(2 * HIDDEN), np.arange(3 * HIDDEN, 4 * HIDDEN)))
+#: A step's product has four parts: the state's part of the candidate, both gates, the symbol's part of the candidate. So the state goes into
+#: the first three, the symbol into the last three. These are the columns of ``u`` in that order.
+_UNITS = np.roll(np.arange(3 * HIDDEN), HIDDEN)
 LOG10 = np.log(10.0)
 
 
@@ -117,25 +119,11 @@ def start_params(lex: Lexicon, seed: int = 3) -> dict[str, np.ndarray]:
     }
 
 
-def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray, shift: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(exponentials, their sums, log probability of the outcome ``at``) of each row; rows are shifted by their maximum only where it takes that."""
-    e = h @ w
-    e += b
-    if shift:
-        e -= e.max(1, keepdims=True)
-    logit = e[np.arange(len(h)), at]
-    np.exp(e, out=e)
-    s = e @ np.ones(e.shape[1], e.dtype)
-    if not shift and not (s.min() > 1e-25 and s.max() < 1e30):
-        return _softmax(h, w, b, at, True)
-    return e, s, logit - np.log(s)
-
-
 class Room(dict):
     """Arrays by name that are used again: fresh memory costs more than the arithmetic in it."""
 
     def of(self, name: str, kind: np.dtype, *shape: int) -> np.ndarray:
-        size, kind = int(np.prod(shape)), np.dtype(kind)
+        size = math.prod(shape)
         if name not in self or len(self[name]) < size or self[name].dtype != kind:
             self[name] = np.empty(size, kind)
         return self[name][:size].reshape(shape)
@@ -152,9 +140,9 @@ def run_window(p: dict, x: np.ndarray, h: np.ndarray, keep: bool = True, room: R
     room = Room() if room is None else room
     kind, kept, g2, g3 = p["u"].dtype, steps if keep else 1, 2 * HIDDEN, 3 * HIDDEN
     w = np.zeros((4 * HIDDEN, HIDDEN + EMBEDDING + 1), kind)
-    w[:g3, :HIDDEN] = p["u"].T
-    w[_BY_SYMBOL, HIDDEN:-1], w[_BY_SYMBOL, -1] = p["wx"].T, p["bx"]
-    w[:g2] *= -1
+    w[:g3, :HIDDEN] = p["u"].T[_UNITS]
+    w[HIDDEN:, HIDDEN:-1], w[HIDDEN:, -1] = p["wx"].T, p["bx"]
+    w[HIDDEN:g3] *= -1
     inputs, units, part = room.of("inputs", kind, steps + 1, HIDDEN + EMBEDDING + 1, rows), room.of("units", kind, kept, 4 * HIDDEN, rows), room.of("part", kind, HIDDEN, rows)
     inputs[0, :HIDDEN] = h.T
     symbols = p["emb"].take(x.T.ravel(), axis=0, out=room.of("symbols", kind, steps * rows, EMBEDDING), mode="clip")
@@ -165,11 +153,11 @@ def run_window(p: dict, x: np.ndarray, h: np.ndarray, keep: bool = True, room: R
         for t in range(steps):
             unit, before, after = units[t if keep else 0], states[t], states[t + 1]
             np.matmul(w, inputs[t], out=unit)
-            g, n = unit[:g2], unit[g3:]
+            g, n = unit[HIDDEN:g3], unit[g3:]
             np.exp(g, out=g)
             g += 1
             np.reciprocal(g, out=g)
-            np.multiply(g[HIDDEN:], unit[g2:g3], out=part)
+            np.multiply(g[HIDDEN:], unit[:HIDDEN], out=part)
             n += part
             np.tanh(n, out=n)
             np.subtract(before, n, out=after)
@@ -180,67 +168,106 @@ def run_window(p: dict, x: np.ndarray, h: np.ndarray, keep: bool = True, room: R
     return by_row.transpose(1, 0, 2), (inputs, units)
 
 
-def outputs(p: dict, lex: Lexicon, h: np.ndarray, cls: np.ndarray, word: np.ndarray, grads: dict | None = None, room: Room | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log probability of each token's class and word (word -1: rare); with grads, those of the states.
+def _with_bias(p: dict) -> np.ndarray:
+    """``wo`` with ``bo`` as its last column: what both are parts of, or a new table."""
+    table = p["wo"].base
+    return table if table is not None and table is p["bo"].base and table.shape == (len(p["wo"]), HIDDEN + 1) else np.column_stack((p["wo"], p["bo"]))
+
+
+def _as_parts(p: dict) -> np.ndarray:
+    """Makes ``wo`` and ``bo`` parts of one table, which is returned."""
+    table = _with_bias(p)
+    p["wo"], p["bo"] = table[:, :-1], table[:, -1]
+    return table
 
-    Exponentials are left as they are: what is narrower is divided by their sums.
+
+def outputs(p: dict, lex: Lexicon, h: np.ndarray, cls: np.ndarray, word: np.ndarray, grads: dict | None = None, room: Room | None = None, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Natural log probability of each token's class and word (word -1: rare); with grads, those of the states h.
+
+    Token i stands on row at[i] of h, or on row i; rows without a token have gradient 0. Inside, tokens lie by class, so each class is a
+    slice. Exponentials are left as they are: what is narrower is divided by their sums. Rows are shifted by their maximum only where it takes that.
     """
-    logp, dh = np.empty(len(h)), np.empty_like(h) if grads is not None else None
     room = Room() if room is None else room
+    n, kind = len(cls), h.dtype
+    order = np.argsort(cls.astype(np.uint16), kind="stable")
+    rows = order if at is None else at[order]
+    of, own = cls[order], word[order]
+    hs, scaled = room.of("hs", kind, n, HIDDEN + 1), room.of("scaled", kind, n, HIDDEN + 1)
+    hs[:, :-1], hs[:, -1] = h.take(rows, axis=0, out=room.of("taken", kind, n, HIDDEN), mode="clip"), 1
+    got, dh = np.empty(n), room.of("by class", kind, n, HIDDEN) if grads is not None else None
+    start, cut = lex.class_start[: lex.soft + 1], np.searchsorted(of, np.arange(lex.soft + 1))
+    inner, size, many = int(cut[-1]), np.diff(start), np.diff(cut)
     with np.errstate(over="ignore", invalid="ignore"):
-        for a in range(0, len(h), OUTPUT_ROWS):  # pieces that stay in the processor's cache
-            hs, own = h[a : a + OUTPUT_ROWS], cls[a : a + OUTPUT_ROWS]
-            z = a + len(hs)
-            e, s, logp[a:z] = _softmax(hs, p["wc"], p["bc"], own)
+        wide, out = np.concatenate((p["wc"], p["bc"][None])), len(p["bc"])
+        ones = np.ones(max(out, int(size.max(initial=0))), kind)
+        for a in range(0, n, OUTPUT_ROWS):  # pieces that stay in the processor's cache
+            mine, some = hs[a : a + OUTPUT_ROWS], scaled[a : a + OUTPUT_ROWS]
+            z = a + len(mine)
+            e, place = room.of("classes", kind, z - a, out), np.arange(z - a) * out + of[a:z]
+            for shift in (False, True):
+                np.matmul(mine, wide, out=e)
+                if shift:
+                    e -= e.max(1, keepdims=True)
+                logit = e.reshape(-1).take(place)
+                np.exp(e, out=e)
+                s = e @ ones[:out]
+                if s.min() > 1e-25 and s.max() < 1e30:
+                    break
+            got[a:z] = logit - np.log(s)
             if grads is not None:
-                e[np.arange(len(hs)), own] -= s
-                s = 1 / s
+                e.reshape(-1)[place] -= s
+                np.reciprocal(s, out=s)
+                np.multiply(mine, s[:, None], out=some)
                 np.matmul(e, p["wc"].T, out=dh[a:z])
                 dh[a:z] *= s[:, None]
-                grads["wc"] += (e.T @ (hs * s[:, None])).T
-                grads["bc"] += s @ e
-        logp += np.where(word >= 0, lex.in_class[word], 0)
-        start = lex.class_start[: lex.soft + 1]
-        size = np.zeros(1 + CLASSES + RARE, np.int64)
-        size[: lex.soft] = np.diff(start)
-        inside = np.flatnonzero(size[cls] > 1)
-        inside = inside[np.argsort(cls[inside].astype(np.uint16), kind="stable")]
-        if not len(inside):
-            return logp, dh
-        of, n = cls[inside], len(inside)
-        cut = np.searchsorted(of, np.arange(lex.soft + 1))
-        own = (np.arange(n) - cut[of]) * size[of] + word[inside] - start[of]  # each token's word among its class's outputs
-        table, hs = room.of("table", h.dtype, len(p["wo"]), HIDDEN + 1), room.of("hs", h.dtype, n, HIDDEN + 1)
-        table[:, :-1], table[:, -1], hs[:, :-1], hs[:, -1] = p["wo"], p["bo"], h[inside], 1
-        got, s, ones = np.empty(n, h.dtype), np.empty(n, h.dtype), np.ones(size.max(), h.dtype)
+                more = e.T @ some
+                grads["wc"] += more[:, :-1].T
+                grads["bc"] += more[:, -1]
+        if lex.soft <= CLASSES:
+            got += np.where(own >= 0, lex.in_class[own], 0)
+        begin = np.cumsum(many * size) - many * size
+        k = of[:inner]
+        place = begin[k] + (np.arange(inner) - cut[k]) * size[k] + own[:inner] - start[k]  # each token's word among the outputs of all classes, one after the other
+        table = _with_bias(p)
+        inside, sums = np.empty(inner, kind), np.empty(inner, kind)
         if grads is not None:
-            back, more = room.of("word back", h.dtype, n, HIDDEN), room.of("more", h.dtype, *table.shape)
-            more[:] = 0
-        for shift in (False, True):  # by the highest of each row, where it takes that
-            for k in range(lex.soft):
-                a, b, i, j = start[k], start[k + 1], cut[k], cut[k + 1]
-                if i == j:
-                    continue
-                e = hs[i:j] @ table[a:b].T
-                if shift:
-                    e -= e.max(1, keepdims=True)
-                flat, at = e.reshape(-1), own[i:j]
-                got[i:j] = flat.take(at)
-                np.exp(e, out=e)
-                np.matmul(e, ones[: b - a], out=s[i:j])
-                if grads is not None:
-                    flat[at] -= s[i:j]
-                    np.matmul(e, p["wo"][a:b], out=back[i:j])
-                    np.matmul(e.T, hs[i:j] / s[i:j, None], out=more[a:b])
-            if s.min() > 1e-25 and s.max() < 1e30:
-                break
-    logp[inside] += got - np.log(s)
-    if grads is not None:
-        back /= s[:, None]
-        dh[inside] += back
-        grads["wo"] += more[:, :-1]
-        grads["bo"] += more[:, -1]
-    return logp, dh
+            back, total = room.of("word back", kind, inner, HIDDEN), _as_parts(grads)
+        some = np.flatnonzero(many)
+        for group in np.split(some, np.flatnonzero(np.diff(begin[some] // OUTPUT_CELLS)) + 1):  # again, pieces that stay in the cache
+            if not len(group):
+                continue
+            i, j, low = cut[group[0]], cut[group[-1] + 1], begin[group[0]]
+            flat, place[i:j] = room.of("words", kind, int((many * size)[group].sum())), place[i:j] - low
+            parts = [(slice(start[k], start[k + 1]), slice(cut[k], cut[k + 1]), flat[begin[k] - low :][: many[k] * size[k]].reshape(many[k], size[k])) for k in group.tolist()]
+            for shift in (False, True):
+                for words, tokens, e in parts:
+                    np.matmul(hs[tokens], table[words].T, out=e)
+                    if shift:
+                        e -= e.max(1, keepdims=True)
+                inside[i:j] = flat.take(place[i:j])
+                np.exp(flat, out=flat)
+                for _, tokens, e in parts:
+                    np.matmul(e, ones[: e.shape[1]], out=sums[tokens])
+                if sums[i:j].min() > 1e-25 and sums[i:j].max() < 1e30:
+                    break
+            if grads is not None:
+                flat[place[i:j]] -= sums[i:j]
+                np.divide(hs[i:j], sums[i:j, None], out=scaled[i:j])
+                for words, tokens, e in parts:
+                    np.matmul(e, p["wo"][words], out=back[tokens])
+                    total[words] += e.T @ scaled[tokens]
+    got[:inner] += np.where(size[of[:inner]] > 1, inside - np.log(sums), 0)  # a word alone in its class is sure
+    logp = np.empty(n)
+    logp[order] = got
+    if grads is None:
+        return logp, None
+    back /= sums[:, None]
+    dh[:inner] += back
+    by_row = room.of("by token", kind, *h.shape)
+    if n < len(h):
+        by_row[:] = 0
+    by_row[rows] = dh
+    return logp, by_row
 
 
 def back_window(p: dict, x: np.ndarray, kept: tuple, dstates: np.ndarray, grads: dict, room: Room | None = None) -> np.ndarray:
@@ -250,7 +277,7 @@ def back_window(p: dict, x: np.ndarray, kept: tuple, dstates: np.ndarray, grads:
     (steps, _, rows), kind, g2, g3 = units.shape, units.dtype, 2 * HIDDEN, 3 * HIDDEN
     wanted = room.of("wanted", kind, steps, HIDDEN, rows)
     wanted[:] = dstates.transpose(1, 2, 0)
-    z, r, un, cand = units[:, :HIDDEN], units[:, HIDDEN:g2], units[:, g2:g3], units[:, g3:]
+    un, z, r, cand = units[:, :HIDDEN], units[:, HIDDEN:g2], units[:, g2:g3], units[:, g3:]
     rest, dz_of = room.of("rest", kind, steps, HIDDEN, rows), room.of("dz", kind, steps, HIDDEN, rows)
     np.subtract(1, z, out=rest)
     np.subtract(inputs[:-1, :HIDDEN], cand, out=dz_of)  # what a step's gradient is multiplied by
@@ -264,24 +291,22 @@ def back_window(p: dict, x: np.ndarray, kept: tuple, dstates: np.ndarray, grads:
     dr_of *= r
     dr_of *= rest
     back = room.of("back", kind, steps, 4 * HIDDEN, rows)
-    dh, more = np.zeros((HIDDEN, rows), kind), np.empty((HIDDEN, rows), kind)
+    dh, more, u = np.zeros((HIDDEN, rows), kind), np.empty((HIDDEN, rows), kind), p["u"][:, _UNITS]
     for t in range(steps - 1, -1, -1):
         dh += wanted[t]
         d = back[t]
         dn = d[g3:]
         np.multiply(dh, dn_of[t], out=dn)
-        np.multiply(dh, dz_of[t], out=d[:HIDDEN])
-        np.multiply(dn, dr_of[t], out=d[HIDDEN:g2])
-        np.multiply(dn, r[t], out=d[g2:g3])
+        np.multiply(dh, dz_of[t], out=d[HIDDEN:g2])
+        np.multiply(dn, dr_of[t], out=d[g2:g3])
+        np.multiply(dn, r[t], out=d[:HIDDEN])
         dh *= z[t]
-        dh += np.matmul(p["u"], d[:g3], out=more)
-    gw = np.matmul(back, inputs[:-1].transpose(0, 2, 1)).sum(0)
-    grads["u"] += gw[:g3, :HIDDEN].T
-    grads["wx"] += gw[_BY_SYMBOL, HIDDEN:-1].T
-    grads["bx"] += gw[_BY_SYMBOL, -1]
-    wx = np.zeros((EMBEDDING, 4 * HIDDEN), kind)
-    wx[:, _BY_SYMBOL] = p["wx"]
-    by_symbol = np.matmul(wx, back, out=room.of("by symbol", kind, steps, EMBEDDING, rows)).transpose(0, 2, 1).reshape(-1, EMBEDDING)
+        dh += np.matmul(u, d[:g3], out=more)
+    gu, gx = np.matmul(back[:, :g3], inputs[:-1, :HIDDEN].transpose(0, 2, 1)).sum(0), np.matmul(back[:, HIDDEN:], inputs[:-1, HIDDEN:].transpose(0, 2, 1)).sum(0)
+    grads["u"][:, _UNITS] += gu.T
+    grads["wx"] += gx[:, :-1].T
+    grads["bx"] += gx[:, -1]
+    by_symbol = np.matmul(back[:, HIDDEN:].transpose(0, 2, 1), p["wx"].T, out=room.of("by symbol", kind, steps, rows, EMBEDDING)).reshape(-1, EMBEDDING)
     sym = x.T.ravel()
     order = np.argsort(sym.astype(np.uint16), kind="stable")
     sym = sym[order]
@@ -310,17 +335,21 @@ class Adam:
             self.v[k] += 0.01 * (mean * mean - self.v[k])
             p[k] -= lr * self.m[k] / (np.sqrt(self.v[k]) + 1e-6)
             g[k].fill(0)
-        for k, on in (("emb", symbols), ("wo", slice(None))):
-            mine, seen = g[k][on], self.rows[k]
-            seen[on] += np.einsum("ij,ij->i", mine, mine) / mine.shape[1]
-            p[k][on] -= mine * (ROW_RATE * self.rate / (np.sqrt(seen[on]) + 1e-6))[:, None]
-            g[k][on] = 0
+        table, more = _as_parts(p), _as_parts(g)  # whole rows are faster than parts of them; the biases, which are done, are 0 there
+        for k, on, to, of in (("emb", symbols, p["emb"], g["emb"]), ("wo", slice(None), table, more)):
+            mine, seen = of[on], self.rows[k]
+            seen[on] += np.einsum("ij,ij->i", mine, mine) / p[k].shape[1]
+            mine *= (ROW_RATE * self.rate / (np.sqrt(seen[on]) + 1e-6))[:, None]
+            to[on] -= mine
+            of[on] = 0
 
 
-def symbols(lex: Lexicon, hashes: np.ndarray, rare: np.ndarray) -> np.ndarray:
-    """Code of each distinct word: its model id, or one of the RARE codes after those."""
-    at = find(lex.words, hashes)
-    return np.where(at >= 0, lex.ids[np.maximum(at, 0)] if len(lex.ids) else -1, len(lex.word_class) + rare).astype(np.uint16)
+def symbols(lex: Lexicon, at: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """Code of each distinct word, given its place among the frequent words (or -1): its model id, or one of the RARE codes after those."""
+    ids = np.full(len(lex.hashes) + 1, -1)
+    ids[np.searchsorted(lex.hashes, lex.words)] = lex.ids
+    code = ids[at]
+    return np.where(code >= 0, code, len(lex.word_class) + rare).astype(np.uint16)
 
 
 def code_tables(lex: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -334,14 +363,13 @@ def _layout(per: np.ndarray, idx: np.ndarray, cls: np.ndarray, word: np.ndarray,
     length = per + 1
     start = np.cumsum(length) - length
     total = int(length.sum())
-    c, w, x = np.zeros(total, np.int32), np.zeros(total, np.int32), np.empty(total, np.int32)
-    body = np.ones(total, bool)
-    body[start + per] = False
-    c[body], w[body] = cls[idx], word[idx]
-    head = np.ones(total, bool)
-    head[start] = False
+    c, w, x = np.zeros(total, np.int32), np.zeros(total, np.int32), np.empty(total + 1, np.int32)
+    body = np.arange(len(idx)) + np.repeat(np.arange(len(per)), per)
+    idx = idx.astype(np.intp)
+    c[body], w[body] = cls.astype(np.int32).take(idx), word.astype(np.int32).take(idx)
+    x[body + 1] = sym.astype(np.int32).take(idx)
+    x = x[:-1]
     x[start] = n_model + RARE
-    x[head] = sym[idx]
     return start, length, c, w, x
 
 
@@ -349,14 +377,15 @@ def text_logs(p: dict, lex: Lexicon, per: np.ndarray, idx: np.ndarray, cls: np.n
     """Natural log probability of each text's classes and model words, the state carried across windows."""
     start, length, c, w, x = _layout(per, idx, cls, word, sym, len(lex.word_class))
     order, out, room = np.argsort(-length, kind="stable"), np.zeros(len(per)), Room()
-    waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    waiting, held = room.of("waiting", np.float32, SETTLE + SCORE_ROWS * STEPS, HIDDEN), 0
+    tokens: list[tuple[np.ndarray, np.ndarray]] = []
+    _as_parts(p)
 
-    def settle(least: int) -> None:
+    def settle() -> None:
         """Outputs of the states that wait, once they are many: they don't bear on later states."""
-        if waiting and sum(len(t) for _, t, _ in waiting) >= least:
-            h, tok, text = (np.concatenate([v[k] for v in waiting]) for k in range(3))
-            waiting.clear()
-            out[:] += np.bincount(text, outputs(p, lex, h, c[tok], w[tok], room=room)[0], len(out))
+        tok, text = (np.concatenate([v[k] for v in tokens]) for k in range(2))
+        out[:] += np.bincount(text, outputs(p, lex, waiting[:held], c[tok], w[tok], room=room)[0], len(out))
+        tokens.clear()
 
     for first in range(0, len(order), SCORE_ROWS):
         group = order[first : first + SCORE_ROWS]
@@ -366,12 +395,23 @@ def text_logs(p: dict, lex: Lexicon, per: np.ndarray, idx: np.ndarray, cls: np.n
             place, live = _window(start[rows], length[rows], begin)
             states, _ = run_window(p, x[place].T, h[: len(rows)], False, room)
             h = states[:, -1]
-            waiting.append((states.transpose(1, 0, 2)[live], place[live], np.broadcast_to(rows, live.shape)[live]))
-            settle(SETTLE)
-    settle(1)
+            at = np.flatnonzero(live)
+            _rows(states).take(at, axis=0, out=waiting[held : held + len(at)], mode="clip")
+            tokens.append((place.ravel()[at], rows[at % len(rows)]))
+            held += len(at)
+            if held >= SETTLE:
+                settle()
+                held = 0
+    if held:
+        settle()
     return out
 
 
+def _rows(states: np.ndarray) -> np.ndarray:
+    """The states of run_window as they lie: one row for each step and text."""
+    return states.transpose(1, 0, 2).reshape(-1, HIDDEN)
+
+
 def _window(start: np.ndarray, length: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
     """By step, (places, mask of those that count) of each text's window; past its end a text stays at its last token."""
     left = np.minimum(length - begin, STEPS)
@@ -392,7 +432,7 @@ def train_texts(p: dict, lex: Lexicon, opt: Adam, per: np.ndarray, idx: np.ndarr
     start, length = start[text] + skip, np.minimum(length[text] - skip, size)
     order, seen = np.lexsort((W.mix64(np.arange(len(length))), -(-length // STEPS))), 0
     batch = int(np.clip(len(order) // UPDATES, *BATCH))
-    grads, room = {n: np.zeros_like(v) for n, v in p.items()}, Room()
+    grads, room = {n: np.zeros(v.shape, v.dtype) for n, v in p.items()}, Room()
     groups = [order[a : a + batch] for a in range(0, len(order), batch)]
     for k in np.random.default_rng(len(order)).permutation(len(groups)):  # short and long ones in turn
         group = groups[k][np.argsort(-length[groups[k]], kind="stable")]
@@ -401,12 +441,10 @@ def train_texts(p: dict, lex: Lexicon, opt: Adam, per: np.ndarray, idx: np.ndarr
             rows = group[: int((length[group] > begin).sum())]
             place, live = _window(start[rows], length[rows], begin)
             states, kept = run_window(p, x[place].T, h[: len(rows)], room=room)
-            tok = place[live]
-            _, dh = outputs(p, lex, states.transpose(1, 0, 2)[live], c[tok], w[tok], grads, room)
-            d = room.of("by token", np.float32, *place.shape, HIDDEN)
-            d[~live] = 0
-            d[live] = dh
-            met = back_window(p, x[place].T, kept, d.transpose(1, 0, 2), grads, room)
+            at = np.flatnonzero(live)
+            tok = place.ravel()[at]
+            _, d = outputs(p, lex, _rows(states), c[tok], w[tok], grads, room, at)
+            met = back_window(p, x[place].T, kept, d.reshape(*place.shape, HIDDEN).transpose(1, 0, 2), grads, room)
             opt.step(p, grads, met, len(tok))
             h = states[:, -1]
             seen += len(tok)
@@ -428,7 +466,7 @@ def _unflatten(flat: np.ndarray, like: dict) -> dict:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, rare, c) of each slice's training words; the end token has a null h."""
     for whole in batches:
-        for b in W.slices(whole, 0):
+        for b in W.slices(whole, 0, COUNT_BYTES, 1 << 14):
             idx, vals, per = W.batch_words(b.column(0))
             c = np.bincount(idx, minlength=len(vals)).astype(np.int64)
             h = pa.concat_arrays([pa.array(W.hash_words(vals).view(np.int64)), pa.nulls(1, pa.int64())])
@@ -447,9 +485,8 @@ def _coder(lex: Lexicon):
                 m = b.num_rows
                 idx, vals, per = W.batch_words(b.column(3))
                 hashes, rare = W.hash_words(vals).view(np.int64), rare_class(vals)
-                code = symbols(lex, hashes, rare)
                 at = find(lex.hashes, hashes)
-                here = at >= 0
+                here, code = at >= 0, symbols(lex, at, rare)
                 count = np.where(here, lex.counts[np.maximum(at, 0)] if len(lex.counts) else 0, 0)
                 log_c = np.where(here, np.log10(count + 0.5), 0.0)
                 text_of = np.repeat(np.arange(m), per)

@@ -293,6 +293,37 @@ def test_model_in_a_used_room_and_against_plain_softmax():
         assert all(np.array_equal(here[k], grads[k]) for k in ("u", "wx", "bx", "emb"))
 
 
+def test_outputs_of_tokens_on_some_rows():
+    """Classes of many words against a plain softmax; tokens that stand on chosen rows, in any order, as those rows alone; rows without a token get no gradient."""
+    n_words = 900
+    lex = L.make_lexicon(np.arange(10, 10 + n_words), 9000 // np.arange(1, 1 + n_words), np.full(L.RARE, 90000.0), np.full(L.RARE, 1000.0), np.zeros(n_words, int), 9, 90000, 2000)
+    assert np.diff(lex.class_start).max() > 20
+    cls, word, _ = L.code_tables(lex)
+    rng, room = np.random.default_rng(8), L.Room()
+    p = {k: v.astype(np.float64) for k, v in L.start_params(lex).items()}
+    p["wo"] *= 30
+    h = rng.uniform(-1, 1, (3 * L.OUTPUT_ROWS, L.HIDDEN))
+    for n in (2 * L.OUTPUT_ROWS + 5, 3, 0):
+        at, code = rng.permutation(len(h))[:n], rng.integers(0, len(cls), n)
+        alone, some, plain = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(3))
+        want, back = (v.copy() for v in L.outputs(p, lex, h[at], cls[code], word[code], alone))
+        got, dh = L.outputs(p, lex, h, cls[code], word[code], some, room, at)
+        assert np.allclose(got, want) and np.allclose(dh[at], back) and not np.delete(dh, at, 0).any()
+        assert all(np.allclose(alone[k], some[k]) for k in p)
+        for i, c in zip(at, code, strict=True):
+            if word[c] >= 0:
+                a, b = lex.class_start[cls[c]], lex.class_start[cls[c] + 1]
+                share = np.exp(p["wo"][a:b] @ h[i] + p["bo"][a:b])
+                share /= share.sum()
+                share[word[c] - a] -= 1
+                plain["wo"][a:b] += share[:, None] * h[i]
+                plain["bo"][a:b] += share
+        assert all(np.allclose(plain[k], some[k]) for k in ("wo", "bo")) and bool(n) == some["bo"].any()
+        q = {k: v.copy() for k, v in p.items()}
+        L.Adam(q, 0.01).step(q, some, np.zeros(0, int), max(n, 1))
+        assert not some["wo"].any() and not some["bo"].any() and bool(n) == (q["wo"] != p["wo"]).any() == (q["bo"] != p["bo"]).any()
+
+
 def test_language_model_on_odd_input(spark):
     got = {r["doc_id"]: r for r in L.score_documents(docs(spark, ODD)).collect()}
     assert len(got) == len(ODD) and all(math.isfinite(r["score"]) for r in got.values()) and got[0]["n_tokens"] == 1
