@@ -1,12 +1,15 @@
 """Media columns: local descriptors find cropped or edited copies of images.
 
 An image's pyramid is searched for corners (Harris, each the strongest of its surroundings, all of them kept); they get an orientation (direction
-of the patch's centre of mass) and 128 binary tests of smoothed grey values, turned by it. Descriptors
-are searched in tables keyed by random choices of their bits, so many that pairs up to MAX_DISTANCE bits apart are found
-(see Tables). Geometric consensus decides: each match proposes a turn, scale and shift, and the best proposal must be shared by
-LEAST matches. Images of equal bytes are one class (by a 64-bit hash), matched once per run of rows. The corners of a bounded
-block of queries go to all executors, where each image is matched and decided at once: only pairs of images found leave the
-scan. More than BLOCK query corners take one more pass over the images' corners per block.
+of the patch's centre of mass) and 128 binary tests of smoothed grey values, turned by it. Single descriptors tell little: of
+chance pairs of corners 1 in 150 match, so nearly every two images share some and their number grows with queries times images.
+So pairs of images are looked up by pairs of neighbouring corners: tables are keyed by some bits of both descriptors and by how
+one corner lies to the other (see Tables); a pair of images goes on if in one place both corners match and agree on a turn, scale and
+shift. Of those all corners are compared, none is left out. Geometric consensus decides: each match (MAX_DISTANCE bits at most)
+proposes a turn, scale and shift, and the best proposal must be shared by LEAST matches. Images of equal bytes are one class
+(by a 64-bit hash), matched once per run of rows. The corners of a bounded block of queries go to all executors, where each
+image is looked up, matched and decided at once: only pairs of images found leave the scan. More than BLOCK query corners
+take one more pass over the images' corners per block.
 
 Reads binary PGM (P5), PPM (P6) and PNG (8 bits, grey, RGB or RGBA, not interlaced). Null, empty or
 unreadable images have no descriptors and match nothing, nor do rows without an id. Very large images are described whole. Repeated rows are
@@ -32,14 +35,19 @@ from .common import materialise, ship_package
 
 #: A corner is the strongest of all pixels within SPREAD of it each way, at its own scale: so a crop has the corners of the whole, wherever it is cut.
 SPREAD, SCALES = 5, (1.0, 0.8, 0.64, 0.5)
-#: Of random pairs of corners about 1 in 200 are within 26 bits, of a turned or rescaled picture's own corners about half.
+#: Of random pairs of corners about 1 in 150 are within 26 bits, of a turned or rescaled picture's own corners about half.
 MAX_DISTANCE, LEAST, SLACK, RADIUS, TURNS = 26, 7, 3.0, 7, 128
 #: Images described at a time: few, to stay in the processor's cache.
 IMAGES = 48
-#: Query corners searched for at a time, bits of a table's key, and the share of pairs at MAX_DISTANCE bits that all tables may miss.
-BLOCK, WIDTHS, MISSED, DRAWS = 1 << 18, (8, 16), 0.04, 12
-#: Corners whose candidates are listed at a time.
-STEP = 4096
+#: Query corners searched for at a time, and pairs of corners looked at at a time; corners of a picture that is gone through in strips, so many at a time.
+BLOCK, STEP, LARGE, ROWS = 1 << 19, 1 << 16, 512, 32
+#: Tables of pairs of corners, and bits of each corner's code in their keys.
+TABLES, WIDTH = 6, 8
+#: A corner is paired with its nearest neighbours; nearer ones than NEAR pixels of its scale are the same spot at another scale.
+NEIGHBOURS, NEAR = 8, 6.0
+#: In keys, directions and turns are told apart by so many parts of a circle, distances by this part of their logarithm. Of true pairs nine in ten differ by
+#: less than half of that.
+PARTS, RATIO = 32, 0.25
 
 
 #: Offsets (plus RADIUS) y0 x0 y1 x1 of the binary tests, one hexadecimal digit each: picked greedily from 4000 random pairs so that
@@ -240,62 +248,164 @@ def _numbers(x: np.ndarray) -> np.ndarray:
     return np.unique(x, return_inverse=True)[1]
 
 
+def _runs(first: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of numbers, STEP at a time or one run: the number of the run, and first, first + 1, ... of each."""
+    ends, a = np.cumsum(size), 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] - size[a] + STEP, "right")))
+        n = size[a:b]
+        yield np.repeat(np.arange(a, b), n), np.repeat(first[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        a = b
+
+
+def _nearest(here: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of there (y, x, scale; pictures by corners, none: nan) are the NEIGHBOURS nearest to each of here, and how far the last of them is, squared."""
+    (y, x, scale), (y2, x2, scale2) = here[:, :, :, None], there[:, :, None, :]
+    dy, dx = y2 - y, x2 - x
+    far = dy * dy + dx * dx
+    out = ~(far >= (NEAR / scale) ** 2)
+    far += 1e-6 * (dy + 0.618 * dx + 0.414 * scale2)  # of equally near ones always the same
+    far[out] = np.inf
+    k = min(NEIGHBOURS, far.shape[2]) - 1
+    last = np.partition(far, k, axis=2)[:, :, k]
+    return far <= np.minimum(last, np.finfo(float).max)[:, :, None], last
+
+
+def neighbours(cut: np.ndarray, pose: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(corner, neighbour): the NEIGHBOURS nearest corners of the same picture, whose rows are those from cut[k] to cut[k + 1]; nearer ones than NEAR are left out."""
+    n, at, found = np.diff(cut), np.ascontiguousarray(pose[:, [0, 1, 3]].T), [np.zeros((2, 0), np.int64)]
+    order = np.argsort(n, kind="stable")
+    order = order[n[order] > 1]
+    while len(order) and n[order[0]] <= LARGE:  # pictures of about as many corners together
+        some = order[: max(1, min(STEP // int(n[order[0]]) ** 2, int(np.searchsorted(n[order], LARGE, "right"))))]
+        most = int(n[some].max())
+        if len(some) * most**2 > 2 * STEP:
+            some = some[: max(1, 2 * STEP // most**2)]
+            most = int(n[some].max())
+        order = order[len(some) :]
+        row = np.minimum(cut[some][:, None] + np.arange(most), len(pose) - 1)
+        here = np.where(np.arange(most) < n[some][:, None], at[:, row], np.nan)
+        k, i, j = np.nonzero(_nearest(here, here)[0])
+        found.append(np.stack((row[k, i], row[k, j])))
+    for p in order.tolist():
+        row = cut[p] + np.argsort(at[0, cut[p] : cut[p + 1]], kind="stable")
+        mine = at[:, None, row]
+        y = mine[0, 0]
+        for a in range(0, len(row), ROWS):
+            b, reach = min(a + ROWS, len(row)), 32.0
+            while True:  # a strip of the picture, wider until no nearer one can lie outside
+                lo, hi = np.searchsorted(y, y[a] - reach), np.searchsorted(y, y[b - 1] + reach, "right")
+                near, last = _nearest(mine[:, :, a:b], mine[:, :, lo:hi])
+                if hi - lo == len(row) or (hi - lo >= NEIGHBOURS and last.max() < (reach - 1) ** 2):
+                    break
+                reach *= 2
+            _, i, j = np.nonzero(near)
+            found.append(np.stack((row[i + a], row[j + lo])))
+    i, j = np.concatenate(found, 1)
+    return i, j
+
+
+def _agree(q: np.ndarray, c: np.ndarray, q2: np.ndarray, c2: np.ndarray) -> np.ndarray:
+    """Whether the turn, scale and shift that the match of q and c proposes brings q2 to c2."""
+    turn, zoom = c[:, 2] - q[:, 2], q[:, 3] / c[:, 3]
+    co, si = np.cos(turn) * zoom, np.sin(turn) * zoom
+    (y, x), (there_y, there_x) = (q2 - q)[:, :2].T, (c2 - c)[:, :2].T
+    return (co * y + si * x - there_y) ** 2 + (co * x - si * y - there_x) ** 2 <= SLACK**2
+
+
+def _chosen() -> tuple[np.ndarray, np.ndarray]:
+    """Each table's bits of a corner and of its neighbour as weights, (128, 2 * TABLES), and where its parts of circles and of distances begin, (TABLES, 3)."""
+    rng, weights = np.random.default_rng(23), np.zeros((128, 2 * TABLES), np.float32)
+    for t in range(2 * TABLES):
+        weights[rng.permutation(128)[:WIDTH], t] = 2.0 ** np.arange(WIDTH)
+    return weights, rng.random((TABLES, 3))
+
+
 class Tables:
-    """Hamming tables over query corners: each keys them by some of their bits, drawn from a fixed seed; of DRAWS draws the one with the evenest buckets.
+    """Query corners; with their poses and pictures (the rows from cut[k] to cut[k + 1]) also tables of their pairs of neighbours.
 
-    A pair that differs in MAX_DISTANCE bits agrees in one table's bits with probability 1 - MISSED at least; nearer ones more often.
+    A key holds WIDTH bits of each code, the neighbour's distance and direction as seen from the corner, in its scale and from its angle, and the difference
+    of both angles: no crop, turn or scale changes them but by the error of corners. Two pictures that share LEAST corners have many such pairs, of which one
+    must meet in one of the tables.
     """
 
-    def __init__(self, code: np.ndarray):
+    def __init__(self, code: np.ndarray, pose: np.ndarray | None = None, cut: np.ndarray | None = None):
         self.words = _words(code)
-        n = len(code)
-        self.width = int(np.clip(np.ceil(np.log2(max(n, 1))), *WIDTHS))
-        agree = np.prod((128 - MAX_DISTANCE - np.arange(self.width)) / (128 - np.arange(self.width)))
-        tables = int(np.ceil(np.log(MISSED) / np.log(1 - agree)))
-        rng = np.random.default_rng(23)
-        self.weights = np.zeros((128, tables), np.float32)
-        some = code[rng.permutation(n)[: 1 << 14]]
-        for t in range(tables):
-            draws = np.zeros((128, DRAWS), np.float32)
-            for d in range(DRAWS):
-                draws[rng.permutation(128)[: self.width], d] = 2.0 ** np.arange(self.width)
-            keys = (np.unpackbits(some, axis=1).astype(np.float32) @ draws).astype(np.int32)
-            self.weights[:, t] = draws[:, np.argmin([(np.bincount(k) ** 2).sum() for k in keys.T])]
-        keys = self.keys(code)
-        self.order = np.asfortranarray(np.argsort(keys, axis=0, kind="stable").astype(np.int32))
-        self.start = np.zeros((tables, (1 << self.width) + 1), np.int32)
-        for t in range(tables):
-            self.start[t, 1:] = np.cumsum(np.bincount(keys[:, t], minlength=1 << self.width))
-
-    def keys(self, code: np.ndarray) -> np.ndarray:
-        return (np.unpackbits(code, axis=1).astype(np.float32) @ self.weights).astype(np.int32)
+        if pose is None or cut is None:
+            return
+        self.pose, self.cut, self.picture = pose, cut, np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+        self.weights, self.begin = _chosen()
+        i, j = neighbours(cut, pose)
+        self.bits = int(np.ceil(np.log2(max(len(i), 1)))) + 1
+        self.i, self.j, self.tables = i.astype(np.int32), j.astype(np.int32), []
+        for key in self.keys(code, pose, i, j):
+            order = np.argsort(key, kind="stable").astype(np.int32)
+            self.tables.append((np.concatenate(([0], np.cumsum(np.bincount(key, minlength=1 << self.bits)))).astype(np.int32), order))
+
+    def keys(self, code: np.ndarray, pose: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[np.ndarray]:
+        """For each table the keys of pairs of corners, hashed to its places."""
+        mine = (np.unpackbits(code, axis=1).astype(np.float32) @ self.weights).astype(np.int64)
+        (y, x), angle = (pose[j] - pose[i])[:, :2].T, pose[:, 2]
+        far = np.log(np.hypot(y, x) * pose[i, 3]) / RATIO
+        way, turn = ((v * (PARTS / (2 * np.pi))) for v in (np.arctan2(y, x) - angle[i], angle[j] - angle[i]))
+        for t, (a, b, c) in enumerate(self.begin):
+            key = np.floor(far + a).astype(np.int64) * PARTS + np.floor(way + b).astype(np.int64) % PARTS
+            key = key * PARTS + np.floor(turn + c).astype(np.int64) % PARTS
+            key = ((key << WIDTH) + mine[:, 2 * t].take(i) << WIDTH) + mine[:, 2 * t + 1].take(j)
+            yield (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def pictures(self, code: np.ndarray, pose: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query's picture, picture) where a corner and its neighbour both match and agree."""
+        i, j = neighbours(cut, pose)
+        picture, words, n = np.repeat(np.arange(len(cut) - 1), np.diff(cut)), _words(code), len(cut)
+        found = np.zeros(0, np.int64)
+        for (start, order), key in zip(self.tables, self.keys(code, pose, i, j), strict=True):
+            first = start.take(key)
+            for k, place in _runs(first.astype(np.int64), start.take(key + 1) - first):
+                pair = order.take(place)
+                q, c = self.i.take(pair), i.take(k)
+                near = np.flatnonzero(self.distance(q, words, c) <= MAX_DISTANCE)
+                q, c, pair, k = q.take(near), c.take(near), pair.take(near), k.take(near)
+                q2, c2 = self.j.take(pair), j.take(k)
+                near = np.flatnonzero(self.distance(q2, words, c2) <= MAX_DISTANCE)
+                q, c, q2, c2 = (v.take(near) for v in (q, c, q2, c2))
+                near = _agree(self.pose[q], pose[c], self.pose[q2], pose[c2])
+                found = _distinct(np.concatenate((found, self.picture[q[near]] * n + picture[c[near]])))
+        return found // n, found % n
+
+    def distance(self, q: np.ndarray, words: tuple[np.ndarray, np.ndarray], c: np.ndarray) -> np.ndarray:
+        """Bits by which query corners q and corners c differ."""
+        far = np.bitwise_count(self.words[0].take(q) ^ words[0].take(c))
+        far += np.bitwise_count(self.words[1].take(q) ^ words[1].take(c))
+        return far
 
     def matches(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query row, row of code) of pairs of MAX_DISTANCE bits at most."""
-        (left, right), (mine, yours) = self.words, _words(code)
-        found, m, count = [np.zeros(0, np.int64)], max(len(code), 1), np.arange(1 << 16)
-        for a in range(0, len(code), STEP):
-            keys, here, there = self.keys(code[a : a + STEP]), mine[a : a + STEP], yours[a : a + STEP]
-            for t in range(keys.shape[1]):
-                first = self.start[t].take(keys[:, t])
-                size = self.start[t].take(keys[:, t] + 1) - first
-                ends = np.cumsum(size)
-                if ends[-1] > len(count):
-                    count = np.arange(2 * ends[-1])
-                place = np.repeat(first - (ends - size), size)
-                place += count[: len(place)]
-                q = self.order[:, t].take(place)
-                far = left.take(q)
-                far ^= np.repeat(here, size)
-                far = np.bitwise_count(far)
+        """(query row, row of code) of all pairs of MAX_DISTANCE bits at most."""
+        n = min(len(code), 1) * len(self.words[0])
+        return self.compared(code, np.arange(n), np.array([0, n]), np.array([0]), np.array([len(code)]))
+
+    def among(self, code: np.ndarray, cut: np.ndarray, mine: np.ndarray, yours: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The matches between all corners of the queries' pictures mine[k] and the pictures yours[k]."""
+        order = np.argsort(yours, kind="stable")
+        mine, yours = mine[order], yours[order]
+        size = self.cut[mine + 1] - self.cut[mine]
+        rows = np.concatenate([np.zeros(0, np.int64), *(place for _, place in _runs(self.cut[mine], size))])
+        new = np.flatnonzero(np.diff(yours, prepend=-1))
+        return self.compared(code, rows, np.concatenate(([0], np.cumsum(size)))[[*new, len(mine)]], cut[yours[new]], cut[yours[new] + 1])
+
+    def compared(self, code: np.ndarray, rows: np.ndarray, part: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The matches of query rows part[k] to part[k + 1] of rows with the rows from start[k] to end[k] of code, for each k."""
+        (left, right), (first, second), found = _words(code), (w.take(rows)[:, None] for w in self.words), [np.zeros((2, 0), np.int64)]
+        for a, b, lo, hi in zip(part[:-1].tolist(), part[1:].tolist(), start.tolist(), end.tolist(), strict=True):
+            step, here, there = max(1, STEP // max(hi - lo, 1)), left[lo:hi], right[lo:hi]
+            for k in range(a, b, step):
+                e = min(k + step, b)
+                far = np.bitwise_count(first[k:e] ^ here)
+                far += np.bitwise_count(second[k:e] ^ there)
                 near = np.flatnonzero(far <= MAX_DISTANCE)
-                q, c = q.take(near), np.repeat(count[: len(size)], size).take(near)
-                rest = right.take(q)
-                rest ^= there.take(c)
-                near = np.flatnonzero(far.take(near) + np.bitwise_count(rest) <= MAX_DISTANCE)
-                found.append(q.take(near).astype(np.int64) * m + (c.take(near) + a))
-        pair = _distinct(np.concatenate(found))
-        return pair // m, pair % m
+                found.append(np.stack((rows.take(near // (hi - lo) + k), near % (hi - lo) + lo)))
+        q, c = np.concatenate(found, 1)
+        return q, c
 
 
 _FEATURES = "id bigint, image bigint, pose binary, code binary"
@@ -332,46 +442,51 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.int64()), pa.array(pose, pa.binary()), pa.array(code, pa.binary())], ["id", "image", "pose", "code"])
 
 
-def _unpacked(image: pa.Array, pose: pa.Array, code: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(image, pose, code) by corner."""
+def _unpacked(image: pa.Array, pose: pa.Array, code: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The images that have corners, where each one's corners begin and all end, and (pose, code) by corner."""
     image, pose, code = (c.filter(code.is_valid()) for c in (image, pose, code))
     poses = np.frombuffer(b"".join(pose.to_pylist()), np.float64).reshape(-1, 4)
     codes = [np.frombuffer(c, np.uint8) for c in code.to_pylist()]
-    per = np.array([len(c) // 16 for c in codes], np.int64)
-    return np.repeat(image.to_numpy(), per), poses, np.concatenate([np.zeros(0, np.uint8), *codes]).reshape(-1, 16)
+    cut = np.cumsum([0, *(len(c) // 16 for c in codes)])
+    return image.to_numpy(), cut, poses, np.concatenate([np.zeros(0, np.uint8), *codes]).reshape(-1, 16)
 
 
 _LOADED: dict = {}
 
 
+def _loaded(name: str, shared) -> tuple[np.ndarray, Tables]:
+    """The queries' images and tables, built once per worker. (Named by the module: what an inner function refers to is sent as a copy with each task.)"""
+    if name not in _LOADED:
+        _LOADED.clear()
+        query, cut, pose, code = shared.value
+        _LOADED[name] = query, Tables(code, pose, cut)
+    return _LOADED[name]
+
+
 def _search(shared, name: str, described: bool):
     """Matches of a block of queries. Kind 0: each image's id and class. Kind 1: (query, image, inliers)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query, pose, code = shared.value
-        if name not in _LOADED:  # tables are built once per worker
-            _LOADED.clear()
-            _LOADED[name] = Tables(code)
-        tables = _LOADED[name]
+        query, tables = _loaded(name, shared)
         for whole in batches if described else _features(batches):
             for a in range(0, whole.num_rows, 256):
                 b = whole.slice(a, 256)
                 n, none = b.num_rows, pa.nulls(b.num_rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), b.column(0), b.column(1), none, none], ["kind", "id", "image", "query", "inliers"])
-                image, at, mine = _unpacked(*b.columns[1:])
-                q, c = likely(query, image, *tables.matches(mine))
-                found = decide(query[q], image[c], pose[q], at[c])
+                image, cut, pose, code = _unpacked(*b.columns[1:])
+                picture = np.repeat(np.arange(len(image)), np.diff(cut))
+                q, c = likely(tables.picture, picture, *tables.among(code, cut, *tables.pictures(code, pose, cut)))
+                found = decide(tables.picture[q], picture[c], tables.pose[q], pose[c])
                 n = len(found[0])
-                yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(found[1]), pa.array(found[0]), pa.array(found[2])], ["kind", "id", "image", "query", "inliers"])
+                yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(image[found[1]]), pa.array(query[found[0]]), pa.array(found[2])], ["kind", "id", "image", "query", "inliers"])
 
     return work
 
 
 def likely(query: np.ndarray, image: np.ndarray, q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The matches (rows of corners) of pairs of images that have LEAST matches at least: fewer can't agree on a proposal. Counted without sorting them."""
-    at_q, at_c = (np.unique(v, return_inverse=True)[1].astype(np.int32) for v in (query, image))
-    n = int(at_c.max(initial=0)) + 1
-    pair = at_q.take(q).astype(np.int64) * n + at_c.take(c)
+    """The matches (rows of corners) of pairs of images that have LEAST matches at least: fewer can't agree on a proposal."""
+    at_q, at_c = _numbers(query.take(q)), _numbers(image.take(c))
+    pair = at_q * (int(at_c.max(initial=0)) + 1) + at_c
     many = np.flatnonzero((np.bincount(pair) >= LEAST).take(pair))
     return q.take(many), c.take(many)
 

@@ -257,6 +257,110 @@ def test_media_pairs_of_few_matches_go_first():
     assert [len(v) for v in M.likely(none, none, none, none)] == [0, 0]
 
 
+def corners(images):
+    """(pose, code) of each image."""
+    out = []
+    for x in images:
+        _, y, z, angle, code = M.describe(np.clip(np.rint(x), 0, 255)[None])
+        out.append((np.column_stack((y, z, angle)), code))
+    return out
+
+
+def together(parts):
+    """Where each image's corners begin and all end, and their poses and codes."""
+    return np.cumsum([0, *(len(c) for _, c in parts)]), np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts])
+
+
+def plain(query, image):
+    """Most distinct corners that share the proposal of one match, all corners compared."""
+    (u, a), (v, b) = query, image
+    i, j = np.nonzero(np.bitwise_count(a[:, None] ^ b[None]).sum(2) <= M.MAX_DISTANCE)
+    most = 0
+    for s, t in zip(u[i], v[j], strict=True):
+        turn, zoom = t[2] - s[2], s[3] / t[3]
+        co, si = np.cos(turn) * zoom, np.sin(turn) * zoom
+        ey, ex = co * (u[i, 0] - s[0]) + si * (u[i, 1] - s[1]) - (v[j, 0] - t[0]), co * (u[i, 1] - s[1]) - si * (u[i, 0] - s[0]) - (v[j, 1] - t[1])
+        most = max(most, len(np.unique(np.rint(u[i][ey * ey + ex * ex <= M.SLACK**2, :2] / 2), axis=0)))
+    return most
+
+
+def test_media_searched_pairs_of_images_are_few():
+    """Lookups by pairs of corners propose nearly all images that plain comparison finds, and few of the others, whose number grows with queries times images."""
+    n = 240
+    whole = [M.render(i) for i in range(n)]
+    c, q = corners(whole), corners([M.alter(x, i) for i, x in enumerate(whole)])
+    (cut, pose, code), (at, pose_q, code_q) = together(c), together(q)
+    tables = M.Tables(code_q, pose_q, at)
+    mine, yours = tables.pictures(code, pose, cut)
+    got, want = set(zip(mine.tolist(), yours.tolist(), strict=True)), {(i, i) for i in range(n) if plain(q[i], c[i]) >= M.LEAST}
+    assert len(want) >= 0.95 * n and len(got & want) >= 0.98 * len(want)
+    assert len({(i, j) for i, j in got if i != j}) < n * n / 200
+    i, j = tables.among(code, cut, mine, yours)
+    for a, b in list(got)[:60]:
+        here = (tables.picture[i] == a) & (np.searchsorted(cut, j, "right") - 1 == b)
+        d = np.bitwise_count(q[a][1][:, None] ^ c[b][1][None]).sum(2)
+        assert set(zip(i[here] - at[a], j[here] - cut[b], strict=True)) == set(zip(*np.nonzero(d <= M.MAX_DISTANCE), strict=True))
+
+
+def test_media_rows_against_plain_comparison(spark):
+    """Whole rows with their inliers, of all corners of all pairs of images."""
+    n = 24
+    whole = [M.render(i) for i in range(n)]
+    edits = [M.alter(x, i) for i, x in enumerate(whole)]
+    images, queries = (spark.createDataFrame([(i, pgm(x)) for i, x in enumerate(v)], "id bigint, media binary") for v in (whole, edits))
+    got = {(r["query_id"], r["match_id"], r["inliers"]) for r in M.find_copies(queries, images, "id", "media").collect()}
+    c, q = corners(whole), corners(edits)
+    want = {(i, j, m) for i in range(n) for j in range(n) if (m := plain(q[i], c[j])) >= M.LEAST}
+    assert got <= want and len(got) >= 0.95 * len(want) > 20
+
+
+def test_media_neighbours(monkeypatch):
+    """The nearest corners of each, in pictures together or in strips, whatever their order; few or none left."""
+    rng = np.random.default_rng(8)
+    sizes = [0, 1, 2, 5, 700, 40, 0, 33, 90]
+    cut = np.cumsum([0, *sizes])
+    pose = np.column_stack((rng.uniform(0, 3000, (cut[-1], 2)), rng.uniform(-3, 3, cut[-1]), rng.choice(M.SCALES, cut[-1])))
+    pose[cut[5] :, :2] = np.rint(pose[cut[5] :, :2] / 40)  # many as near, or the same spot
+    want = set()
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        for i in range(a, b):
+            dy, dx = (pose[a:b, :2] - pose[i, :2]).T
+            far = dy**2 + dx**2
+            order = [j for j in np.argsort(far + 1e-6 * (dy + 0.618 * dx + 0.414 * pose[a:b, 3])) if far[j] >= (M.NEAR / pose[i, 3]) ** 2]
+            want |= {(i, a + int(j)) for j in order[: M.NEIGHBOURS]}
+    for large in (512, 0, 1 << 20):
+        monkeypatch.setattr(M, "LARGE", large)
+        i, j = M.neighbours(cut, pose)
+        assert len(i) == len(want) and set(zip(i.tolist(), j.tolist(), strict=True)) == want
+    assert len(M.neighbours(np.array([0]), pose[:0])[0]) == 0
+
+
+def test_media_runs(monkeypatch):
+    monkeypatch.setattr(M, "STEP", 4)
+    first, size = np.array([5, 0, 9, 2, 7]), np.array([3, 0, 10, 1, 2])
+    got = [(int(k), int(v)) for ks, vs in M._runs(first, size) for k, v in zip(ks, vs, strict=True)]
+    assert got == [(k, int(f) + i) for k, (f, n) in enumerate(zip(first, size, strict=True)) for i in range(n)]
+    assert list(M._runs(first[:0], size[:0])) == []
+
+
+def test_media_tables_are_built_once_per_worker(monkeypatch):
+    """Tasks that a worker gets one after the other, each with a search unpickled anew."""
+    import pickle
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from pyspark import cloudpickle
+
+    (cut, pose, code), built = together(corners([M.render(1), M.render(2)])), []
+    monkeypatch.setattr(M, "Tables", lambda *a, make=M.Tables: built.append(1) or make(*a))
+    sent = cloudpickle.dumps(M._search(SimpleNamespace(value=(np.array([1, 2]), cut, pose, code)), "one", True))
+    rows = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([pose[: cut[1]].tobytes()], pa.binary()), pa.array([code[: cut[1]].tobytes()], pa.binary())], ["id", "image", "pose", "code"])
+    for _ in range(3):
+        got = [r for b in pickle.loads(sent)(iter([rows])) for r in b.to_pylist() if r["kind"] == 1]
+        assert [(r["query"], r["image"]) for r in got] == [(1, 1)]
+    assert len(built) == 1
+
+
 def test_media_blocks_of_queries(spark, monkeypatch):
     images = spark.createDataFrame([(i, pgm(M.render(i))) for i in range(12)], "id bigint, media binary")
     whole = sorted(map(tuple, M.find_copies(images, images, "id", "media").collect()))
